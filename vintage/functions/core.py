@@ -63,12 +63,19 @@ def numeric_columns(df: DataFrame, deny: Iterable[str] = ()) -> list[str]:
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in deny]
 
 
-def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
-    """Round every double column and normalise -0.0 (for cross-engine comparison)."""
+def round_doubles(df: DataFrame, places: int = 6, exact: dict[str, int] | None = None) -> DataFrame:
+    """Round every double column and normalise -0.0 (for cross-engine comparison).
+
+    ``exact`` overrides the places per column: compounded products of short
+    decimals are exact decimals whose 7th digit is often a tie, so they are
+    rounded past their last digit instead.
+    """
+    exact = exact or {}
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            out.append((F.round(F.col(f.name).cast("double"), places) + F.lit(0.0)).alias(f.name))
+            p = exact.get(f.name, places)
+            out.append((F.round(F.col(f.name).cast("double"), p) + F.lit(0.0)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

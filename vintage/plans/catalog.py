@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
 SQL_DAILY = """
 daily AS (
   SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS date,
-         avg(l_discount) - 0.05 AS ret, sum(l_extendedprice) AS prc, sum(l_quantity) AS vol
+         sum(l_extendedprice * (1.0 + l_discount)) / sum(l_extendedprice * (1.0 + l_tax)) - 1.0 AS ret, sum(l_extendedprice) AS prc, sum(l_quantity) AS vol
   FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
 
 SQL_FUND = """
@@ -61,3 +61,196 @@ FROM daily d ASOF LEFT JOIN fund f ON d.entity_id = f.entity_id AND d.date >= f.
 """)
 def q_pit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(panel.build(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- #
+# temporal toolkit: D2, D9, H1, D4, D5, D11/G14, E4/H2, E5, H13, D13
+# --------------------------------------------------------------------------- #
+from pyspark.sql import functions as F  # noqa: E402
+
+from vintage.operators import temporal as T  # noqa: E402
+from vintage.operators.asof import days_since_event  # noqa: E402
+
+# Order priorities playing the 10-K / 10-Q / 8-K forms.
+KQ8_FORMS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+MACRO_SERIES = ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW")
+
+SQL_PANEL = """
+panel AS (SELECT entity_id, lpad(CAST(entity_id AS VARCHAR), 10, '0') AS cik, date FROM daily)"""
+SQL_FILINGS = """
+filings AS (SELECT lpad(CAST(entity_id AS VARCHAR), 10, '0') AS cik, datekey AS filing_date, form_type
+            FROM fund_raw)"""
+SQL_WINDOWS = """
+od AS (SELECT DISTINCT entity_id, datekey AS date FROM fund_raw),
+og AS (SELECT entity_id, date,
+              CASE WHEN date_diff('day', lag(date) OVER (PARTITION BY entity_id ORDER BY date), date) <= 5
+                   THEN 0 ELSE 1 END AS new_spell FROM od),
+os AS (SELECT *, sum(new_spell) OVER (PARTITION BY entity_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS spell_no
+       FROM og),
+sp AS (SELECT entity_id, spell_no, min(date) AS date_in, max(date) AS date_out FROM os GROUP BY 1, 2),
+windows AS (SELECT entity_id, CAST(spell_no AS INTEGER) AS spell_no, date_in,
+                   CASE WHEN spell_no = max(spell_no) OVER (PARTITION BY entity_id) THEN NULL
+                        ELSE date_out END AS date_out FROM sp)"""
+
+
+@register("days_since_filing", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {SQL_PANEL}, {SQL_FILINGS},
+kq AS (SELECT DISTINCT cik, filing_date FROM filings WHERE form_type IN {KQ8_FORMS})
+SELECT p.entity_id, p.date, CAST(date_diff('day', f.filing_date, p.date) AS INTEGER) AS days_since_filing
+FROM panel p ASOF LEFT JOIN kq f ON p.cik = f.cik AND p.date >= f.filing_date
+""")
+def q_days_since_filing(spark, sf_dir):
+    f = roles.filings(spark, sf_dir).filter(F.col("form_type").isin(*KQ8_FORMS))
+    out = days_since_event(roles.panel_keys(spark, sf_dir), f, "cik", "date", "filing_date",
+                           "days_since_filing")
+    return out.select("entity_id", "date", "days_since_filing")
+
+
+@register("doc_count_window", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {SQL_PANEL}, {SQL_FILINGS}
+SELECT p.entity_id, p.date, CAST(count(f.cik) AS INTEGER) AS doc_count_7d
+FROM panel p LEFT JOIN filings f ON p.cik = f.cik AND f.filing_date BETWEEN p.date - 7 AND p.date
+GROUP BY p.entity_id, p.date
+""")
+def q_doc_count_window(spark, sf_dir):
+    out = T.trailing_event_count(roles.panel_keys(spark, sf_dir), roles.filings(spark, sf_dir),
+                                 "cik", "date", "filing_date", 7)
+    return out.select("entity_id", "date", "doc_count_7d")
+
+
+@register("forward_returns", f"""
+WITH {SQL_DAILY}
+SELECT entity_id, date, round(ret, 6) + 0.0 AS ret,
+  round(CASE WHEN count(ln(1 + ret)) OVER w1 = 1 THEN exp(sum(ln(1 + ret)) OVER w1) - 1 END, 6) + 0.0 AS fwd_ret_1d,
+  round(CASE WHEN count(ln(1 + ret)) OVER w5 = 5 THEN exp(sum(ln(1 + ret)) OVER w5) - 1 END, 6) + 0.0 AS fwd_ret_5d
+FROM daily
+WINDOW w1 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING),
+       w5 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)
+""")
+def q_forward_returns(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir).select("entity_id", "date", "ret")
+    return round_doubles(T.forward_returns(d, "entity_id", "date", "ret", (1, 5)))
+
+
+@register("membership_spells", f"""
+WITH {SQL_FUND}, {SQL_WINDOWS}
+SELECT entity_id, spell_no, date_in, date_out FROM windows
+""")
+def q_membership_spells(spark, sf_dir):
+    return roles.membership_windows(spark, sf_dir).select("entity_id", "spell_no", "date_in", "date_out")
+
+
+@register("membership_flag", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {SQL_WINDOWS}
+SELECT d.entity_id, d.date,
+       coalesce(bool_or(d.date BETWEEN w.date_in AND coalesce(w.date_out, DATE '2100-01-01')), false) AS in_universe
+FROM daily d LEFT JOIN windows w ON d.entity_id = w.entity_id
+GROUP BY d.entity_id, d.date
+""")
+def q_membership_flag(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir).select("entity_id", "date")
+    return T.membership_flag(d, roles.membership_windows(spark, sf_dir), "entity_id", "date")
+
+
+@register("membership_filter", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {SQL_WINDOWS}
+SELECT d.entity_id, d.date, round(d.ret, 6) + 0.0 AS ret FROM daily d
+WHERE EXISTS (SELECT 1 FROM windows w WHERE w.entity_id = d.entity_id
+              AND d.date BETWEEN w.date_in AND coalesce(w.date_out, DATE '2100-01-01'))
+""")
+def q_membership_filter(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir).select("entity_id", "date", "ret")
+    return round_doubles(T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date"))
+
+
+SQL_VECTORS = """
+v AS (SELECT CAST(label AS BIGINT) AS entity_id, DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS date,
+             vec_id, embedding AS vec FROM embeddings)"""
+
+
+@register("text_novelty", f"""
+WITH {SQL_VECTORS},
+vl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, date ORDER BY vec_id DESC) AS rn
+                      FROM v) WHERE rn = 1),
+j AS (SELECT a.entity_id, a.date, a.vec AS va, b.vec AS vb
+      FROM vl a LEFT JOIN vl b ON a.entity_id = b.entity_id AND b.date = a.date - 7)
+SELECT entity_id, date,
+  round(1 - list_sum(list_transform(range(1, len(va) + 1), lambda i: CAST(va[i] AS DOUBLE) * CAST(vb[i] AS DOUBLE)))
+        / nullif(sqrt(list_sum(list_transform(va, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))
+               * sqrt(list_sum(list_transform(vb, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 0), 6) + 0.0
+    AS text_novelty
+FROM j
+""")
+def q_text_novelty(spark, sf_dir):
+    out = T.text_novelty(roles.vectors(spark, sf_dir), "entity_id", "date", "vec", 7, order=["vec_id"])
+    return round_doubles(out)
+
+
+def _macro_cols():
+    return [(T.series_column(s), s) for s in MACRO_SERIES]
+
+
+@register("macro_ffill", f"""
+WITH m AS (SELECT CAST(o_orderdate AS DATE) AS date, regexp_replace(o_orderpriority, '^[0-9]-', '') AS series,
+                  avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+w AS (SELECT date, {", ".join(f"max(CASE WHEN series = '{s}' THEN value END) AS {c}" for c, s in
+                              [(T.series_column(s), s) for s in MACRO_SERIES])} FROM m GROUP BY date),
+a AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem),
+j AS (SELECT a.date, {", ".join(T.series_column(s) for s in MACRO_SERIES)} FROM a LEFT JOIN w ON a.date = w.date)
+SELECT date, {", ".join(f"round(last_value({c} IGNORE NULLS) OVER y, 6) + 0.0 AS {c}" for c in
+                        [T.series_column(s) for s in MACRO_SERIES])}
+FROM j WINDOW y AS (PARTITION BY year(date) ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+""")
+def q_macro_ffill(spark, sf_dir):
+    wide = T.pivot_wide(roles.macro_long_orders(spark, sf_dir), "date", "series", "value", MACRO_SERIES)
+    axis = roles.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return round_doubles(T.fill_on_axis(axis, wide, "date"))
+
+
+@register("macro_pivot", """
+WITH m AS (SELECT CAST(ts AS DATE) AS date, upper(event_type) AS series, avg(value) AS value
+           FROM events GROUP BY 1, 2)
+SELECT date,
+  round(max(CASE WHEN series = 'CLICK' THEN value END), 6) + 0.0 AS macro_click,
+  round(max(CASE WHEN series = 'ERROR' THEN value END), 6) + 0.0 AS macro_error,
+  round(max(CASE WHEN series = 'PURCHASE' THEN value END), 6) + 0.0 AS macro_purchase,
+  round(max(CASE WHEN series = 'SIGNUP' THEN value END), 6) + 0.0 AS macro_signup,
+  round(max(CASE WHEN series = 'VIEW' THEN value END), 6) + 0.0 AS macro_view
+FROM m GROUP BY date
+""")
+def q_macro_pivot(spark, sf_dir):
+    return round_doubles(T.pivot_wide(roles.macro_long_events(spark, sf_dir), "date", "series", "value",
+                                      ("CLICK", "ERROR", "PURCHASE", "SIGNUP", "VIEW")))
+
+
+@register("unpivot_bars", f"""
+WITH {SQL_DAILY}
+SELECT entity_id, date, 'ret' AS series, round(ret, 6) + 0.0 AS value FROM daily WHERE ret IS NOT NULL
+UNION ALL SELECT entity_id, date, 'prc', round(prc, 6) + 0.0 FROM daily WHERE prc IS NOT NULL
+UNION ALL SELECT entity_id, date, 'vol', round(vol, 6) + 0.0 FROM daily WHERE vol IS NOT NULL
+""")
+def q_unpivot_bars(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir)
+    return round_doubles(T.unpivot_long(d, ["entity_id", "date"], ["ret", "prc", "vol"]))
+
+
+@register("walk_splits", f"""
+WITH {SQL_DAILY},
+walks AS (SELECT CAST(n AS INTEGER) AS walk_id, DATE '1995-01-01' AS train_start,
+                 make_date(CAST(1995 + n AS INTEGER), 12, 31) AS train_end,
+                 make_date(CAST(1996 + n AS INTEGER), 1, 1) AS val_start, make_date(CAST(1996 + n AS INTEGER), 12, 31) AS val_end,
+                 make_date(CAST(1997 + n AS INTEGER), 1, 1) AS test_start, make_date(CAST(1997 + n AS INTEGER), 12, 31) AS test_end
+          FROM range(1, 4) t(n)),
+lab AS (SELECT w.walk_id, d.entity_id, d.date,
+               CASE WHEN d.date BETWEEN train_start AND train_end THEN 'train'
+                    WHEN d.date BETWEEN val_start AND val_end THEN 'val' ELSE 'test' END AS split
+        FROM daily d JOIN walks w ON d.date BETWEEN w.train_start AND w.test_end)
+SELECT walk_id, split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities,
+       min(date) AS first_date, max(date) AS last_date FROM lab GROUP BY walk_id, split
+""")
+def q_walk_splits(spark, sf_dir):
+    walks = T.walk_schedule(spark, 3, "1995-01-01", 1996)
+    lab = T.assign_walks(roles.daily_bars(spark, sf_dir).select("entity_id", "date"), walks, "date")
+    return lab.groupBy("walk_id", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"))

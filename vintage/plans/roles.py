@@ -30,11 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, date, ret, prc, vol) — one row per supplier and ship day."""
+    """(entity_id, date, ret, prc, vol) — one row per supplier and ship day;
+    ``ret`` is the price relative ``sum(p (1 + discount)) / sum(p (1 + tax)) - 1``."""
     li = table(spark, sf_dir, "lineitem")
     return (li.groupBy(F.col("l_suppkey").alias("entity_id"),
                        F.to_date("l_shipdate").alias("date"))
-            .agg((F.avg("l_discount") - F.lit(0.05)).alias("ret"),
+            .agg((F.sum(F.col("l_extendedprice") * (F.lit(1.0) + F.col("l_discount")))
+                  / F.sum(F.col("l_extendedprice") * (F.lit(1.0) + F.col("l_tax"))) - F.lit(1.0)).alias("ret"),
                  F.sum("l_extendedprice").alias("prc"),
                  F.sum("l_quantity").alias("vol")))
 
@@ -66,6 +68,14 @@ def panel_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "entity_id", F.lpad(F.col("entity_id").cast("string"), 10, "0").alias("cik"), "date")
 
 
+def membership_windows(spark: SparkSession, sf_dir: str, max_gap_days: int = 5) -> DataFrame:
+    """(entity_id, spell_no, date_in, date_out): spells of a supplier's order days
+    (a gap of more than ``max_gap_days`` starts a new spell; the last one is open)."""
+    from vintage.operators.temporal import spells
+    days = fundamentals(spark, sf_dir).select("entity_id", F.col("datekey").alias("date"))
+    return spells(days, "entity_id", "date", max_gap_days)
+
+
 def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, seq, op) change rows: signup = added, error = removed."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
