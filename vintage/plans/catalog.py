@@ -33,7 +33,7 @@ def register(name: str, sql: str | None = None):
 SQL_DAILY = """
 daily AS (
   SELECT l_suppkey AS entity_id, CAST(l_shipdate AS DATE) AS date,
-         sum(l_extendedprice * (1.0 + l_discount)) / sum(l_extendedprice * (1.0 + l_tax)) - 1.0 AS ret, sum(l_extendedprice) AS prc, sum(l_quantity) AS vol
+         sum(l_extendedprice * (1.0 + l_discount)) / sum(l_extendedprice * (1.0 + l_tax)) - 1.01 AS ret, sum(l_extendedprice) AS prc, sum(l_quantity) AS vol
   FROM lineitem GROUP BY l_suppkey, CAST(l_shipdate AS DATE))"""
 
 SQL_FUND = """
@@ -254,3 +254,246 @@ def q_walk_splits(spark, sf_dir):
     return lab.groupBy("walk_id", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+# --------------------------------------------------------------------------- #
+# cross-section, ranking, portfolio: C9, H5-H7, F5, F6, J1-J6, K1-K9, H8-H12
+# --------------------------------------------------------------------------- #
+from vintage.operators import crosssection as X  # noqa: E402
+from vintage.operators import metrics as M  # noqa: E402
+from vintage.operators import portfolio as P  # noqa: E402
+from vintage.operators import ranking as RK  # noqa: E402
+from vintage.plans import backtest as BT  # noqa: E402
+
+SQL_FRI = """
+fwd AS (SELECT entity_id, date, ret, vol,
+  CASE WHEN count(ln(1 + ret)) OVER w1 = 1 THEN exp(sum(ln(1 + ret)) OVER w1) - 1 END AS fwd_ret_1d,
+  CASE WHEN count(ln(1 + ret)) OVER w5 = 5 THEN exp(sum(ln(1 + ret)) OVER w5) - 1 END AS fwd_ret_5d
+  FROM daily
+  WINDOW w1 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING),
+         w5 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+fri AS (SELECT *, -100.0 * ret AS score FROM fwd WHERE isodow(date) = 5)"""
+
+SQL_BOARD = f"""
+board AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity_id) AS slot
+                         FROM fri) WHERE slot <= {BT.TOP_K})"""
+
+
+def _sql_avg_rank(col: str, part: str = "date") -> str:
+    x = f"round({col}, {X.TIE_DIGITS})"
+    return (f"(rank() OVER (PARTITION BY {part} ORDER BY {x} ASC NULLS LAST) "
+            f"+ (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0)")
+
+
+def _sql_cap(src: str, dst: str, w: str, cap: float) -> str:
+    """SQL of the exact capping fixed point (same recipe as ``portfolio.cap_weights``)."""
+    return f"""
+{dst}_a AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {w} DESC, entity_id) AS _r,
+       sum({w}) OVER (PARTITION BY date) - coalesce(sum({w}) OVER (PARTITION BY date ORDER BY {w} DESC, entity_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _from FROM {src}),
+{dst}_b AS (SELECT *, min(CASE WHEN {w} * (1 - (_r - 1) * {cap}) / _from <= {cap} + 1e-12 THEN _r - 1 END)
+       OVER (PARTITION BY date) AS _m FROM {dst}_a),
+{dst} AS (SELECT * EXCLUDE (_r, _from, _m), CASE WHEN _r <= _m THEN {cap}
+       ELSE {w} * (1 - _m * {cap}) / sum(CASE WHEN _r > _m THEN {w} END) OVER (PARTITION BY date) END AS w
+       FROM {dst}_b)"""
+
+
+SQL_WEIGHTS = f"""
+{SQL_BOARD},
+sp0 AS (SELECT *, exp(score - max(score) OVER (PARTITION BY date)) AS _e FROM board),
+sp1 AS (SELECT *, _e / sum(_e) OVER (PARTITION BY date) AS w0 FROM sp0),
+{_sql_cap("sp1", "sp", "w0", BT.MAX_WEIGHT)},
+tl0 AS (SELECT * EXCLUDE (w, w0, _e), ln(w + 1e-8)
+          + {BT.TILT_SCALE} * (((entity_id * 31 + dayofmonth(date)) % 11) - 5) / 5.0 AS _tilt FROM sp),
+tl1 AS (SELECT *, exp(_tilt - max(_tilt) OVER (PARTITION BY date)) AS _e FROM tl0),
+tl2 AS (SELECT *, _e / sum(_e) OVER (PARTITION BY date) AS w0 FROM tl1),
+{_sql_cap("tl2", "tl", "w0", BT.MAX_WEIGHT)},
+weights AS (
+  SELECT 'EW' AS strategy, date, entity_id, slot, fwd_ret_5d, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM board
+  UNION ALL SELECT 'SP', date, entity_id, slot, fwd_ret_5d, w FROM sp
+  UNION ALL SELECT 'TILT', date, entity_id, slot, fwd_ret_5d, w FROM tl)"""
+
+SQL_RETURNS = f"""
+{SQL_WEIGHTS},
+tv0 AS (SELECT strategy, date, abs(w - coalesce(lag(w) OVER (PARTITION BY strategy, slot ORDER BY date),
+                                                1.0 / count(*) OVER (PARTITION BY strategy, date))) AS d FROM weights),
+tv AS (SELECT strategy, date, sum(d) AS turnover FROM tv0 GROUP BY ALL),
+gr AS (SELECT strategy, date, sum(w * coalesce(fwd_ret_5d, 0.0)) AS return_gross FROM weights GROUP BY ALL),
+r0 AS (SELECT g.strategy, g.date, g.return_gross, t.turnover FROM gr g JOIN tv t USING (strategy, date)),
+r1 AS (SELECT * FROM r0 UNION ALL
+       SELECT 'SIXTY_FORTY', date, 0.6 * return_gross + 0.4 * 4.0 / 5200.0, 0.6 * turnover FROM r0
+       WHERE strategy = 'EW'),
+rets AS (SELECT *, return_gross - {BT.COST_BPS / 1e4} * turnover AS return_net FROM r1)"""
+
+
+@register("crosssection_targets", f"""
+WITH {SQL_DAILY}, {SQL_FRI},
+x AS (SELECT entity_id, date, ret, fwd_ret_5d, fwd_ret_5d - avg(fwd_ret_5d) OVER (PARTITION BY date) AS y_excess
+      FROM fri),
+r AS (SELECT *, CASE WHEN y_excess IS NOT NULL THEN {_sql_avg_rank("y_excess")}
+                     / count(y_excess) OVER (PARTITION BY date) END AS pct FROM x)
+SELECT entity_id, date, round(fwd_ret_5d, 6) + 0.0 AS fwd_ret_5d, round(y_excess, 6) + 0.0 AS y_excess,
+       CAST(least(floor(pct * {BT.N_BUCKETS}), {BT.N_BUCKETS - 1}) AS INTEGER) AS target,
+       round(coalesce((ret - avg(ret) OVER (PARTITION BY date))
+                      / (stddev_pop(ret) OVER (PARTITION BY date) + 1e-8), 0.0), 6) + 0.0 AS ret_z
+FROM r
+""")
+def q_crosssection_targets(spark, sf_dir):
+    fri = BT.friday_panel(spark, sf_dir)
+    t = X.excess_return_buckets(fri, "date", "fwd_ret_5d", BT.N_BUCKETS)
+    t = X.zscore(t, "date", ["ret"], suffix="_z")
+    return round_doubles(t.select("entity_id", "date", "fwd_ret_5d", "y_excess", "target", "ret_z"))
+
+
+@register("scoreboard_topk", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_BOARD}
+SELECT entity_id, date, CAST(slot AS INTEGER) AS slot, round(score, 6) + 0.0 AS score,
+       round(fwd_ret_5d, 6) + 0.0 AS fwd_ret_5d FROM board
+""")
+def q_scoreboard_topk(spark, sf_dir):
+    b = BT.scoreboard(BT.friday_panel(spark, sf_dir))
+    return round_doubles(b.select("entity_id", "date", "slot", "score", "fwd_ret_5d"))
+
+
+@register("head_tail_means", f"""
+WITH {SQL_DAILY}, {SQL_FRI},
+t AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity_id) AS rt,
+                row_number() OVER (PARTITION BY date ORDER BY score ASC, entity_id DESC) AS rb FROM fri)
+SELECT date, round(avg(CASE WHEN rt <= {BT.TOP_K} THEN fwd_ret_5d END), 6) + 0.0 AS top_mean,
+       round(avg(CASE WHEN rb <= {BT.TOP_K} THEN fwd_ret_5d END), 6) + 0.0 AS bottom_mean
+FROM t GROUP BY date
+""")
+def q_head_tail_means(spark, sf_dir):
+    f = X.head_tail_flags(BT.friday_panel(spark, sf_dir), "date", "score", BT.TOP_K, "entity_id")
+    return round_doubles(f.groupBy("date").agg(
+        F.avg(F.when(F.col("is_top"), F.col("fwd_ret_5d"))).alias("top_mean"),
+        F.avg(F.when(F.col("is_bottom"), F.col("fwd_ret_5d"))).alias("bottom_mean")))
+
+
+SQL_LAB = f"""
+t AS (SELECT entity_id, date, score, fwd_ret_5d - avg(fwd_ret_5d) OVER (PARTITION BY date) AS y
+      FROM fri WHERE fwd_ret_5d IS NOT NULL),
+lab AS (SELECT *, CAST(least(floor({_sql_avg_rank("y")} / count(y) OVER (PARTITION BY date) * {BT.N_BUCKETS}),
+                             {BT.N_BUCKETS - 1}) AS INTEGER) AS label FROM t)"""
+
+
+def _labelled(spark, sf_dir):
+    fri = BT.friday_panel(spark, sf_dir).filter(F.col("fwd_ret_5d").isNotNull())
+    return X.excess_return_buckets(fri, "date", "fwd_ret_5d", BT.N_BUCKETS, "y", "label")
+
+
+@register("ndcg_by_date", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_LAB},
+o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity_id) AS rs,
+                row_number() OVER (PARTITION BY date ORDER BY label DESC, entity_id) AS rl FROM lab),
+nd AS (SELECT date, count(*) AS n,
+              sum(CASE WHEN rs <= {BT.TOP_K} THEN (pow(2.0, label) - 1) / log2(rs + 1.0) END) AS dcg,
+              sum(CASE WHEN rl <= {BT.TOP_K} THEN (pow(2.0, label) - 1) / log2(rl + 1.0) END) AS idcg
+       FROM o GROUP BY date)
+SELECT date, n, round(dcg, 6) + 0.0 AS dcg, round(idcg, 6) + 0.0 AS idcg,
+       round(CASE WHEN idcg > 0 THEN dcg / idcg END, 6) + 0.0 AS ndcg FROM nd
+""")
+def q_ndcg_by_date(spark, sf_dir):
+    return round_doubles(RK.ndcg_by_group(_labelled(spark, sf_dir), "date", "score", "label", BT.TOP_K, "entity_id"))
+
+
+@register("ranking_metrics", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_LAB},
+o AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity_id) AS rs,
+                row_number() OVER (PARTITION BY date ORDER BY label DESC, entity_id) AS rl,
+                row_number() OVER (PARTITION BY date ORDER BY score ASC, entity_id DESC) AS rb,
+                count(*) OVER (PARTITION BY date) AS n FROM lab),
+nd AS (SELECT date, sum(CASE WHEN rs <= {BT.TOP_K} THEN (pow(2.0, label) - 1) / log2(rs + 1.0) END) AS dcg,
+                    sum(CASE WHEN rl <= {BT.TOP_K} THEN (pow(2.0, label) - 1) / log2(rl + 1.0) END) AS idcg
+       FROM o GROUP BY date),
+ranks AS (SELECT date, {_sql_avg_rank("score")} AS ra, {_sql_avg_rank("y")} AS rb FROM lab),
+ic0 AS (SELECT date, corr(ra, rb) AS ic FROM ranks GROUP BY date),
+ic AS (SELECT * FROM ic0 WHERE ic IS NOT NULL AND NOT isnan(ic)),
+dq AS (SELECT date, count(*) AS n,
+              list_sort(list_distinct(quantile_cont(score, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))
+              AS e FROM lab GROUP BY date),
+bins AS (SELECT l.date, l.y, len(list_filter(e[2:len(e) - 1], lambda x: x < l.score)) AS bin
+         FROM lab l JOIN dq ON l.date = dq.date WHERE dq.n >= 10 AND len(e) >= 2),
+bm AS (SELECT date, bin, avg(y) AS m FROM bins GROUP BY date, bin),
+sp AS (SELECT date, arg_max(m, bin) - arg_min(m, bin) AS spread FROM bm GROUP BY date),
+hit AS (SELECT date, CASE WHEN avg(CASE WHEN rs <= {BT.TOP_K} THEN y END) > avg(CASE WHEN rb <= {BT.TOP_K} THEN y END)
+                     THEN 1.0 ELSE 0.0 END AS hit FROM o WHERE n >= {2 * BT.TOP_K} GROUP BY date),
+sets AS (SELECT date, list(entity_id) AS s FROM o WHERE rs <= {BT.TOP_K} GROUP BY date),
+jac AS (SELECT date, s, lag(s) OVER (ORDER BY date) AS p FROM sets),
+jj AS (SELECT len(list_intersect(s, p)) / len(list_distinct(list_concat(s, p))) AS jaccard FROM jac
+       WHERE p IS NOT NULL)
+SELECT 'ndcg_at_{BT.TOP_K}' AS metric, round(coalesce(avg(CASE WHEN idcg > 0 THEN dcg / idcg END), 0.0), 6) + 0.0 AS value FROM nd
+UNION ALL SELECT 'rank_ic_mean', round(avg(ic), 6) + 0.0 FROM ic
+UNION ALL SELECT 'rank_ic_ir', round(CASE WHEN count(ic) > 1 AND stddev_samp(ic) > 0
+                                          THEN avg(ic) / stddev_samp(ic) END, 6) + 0.0 FROM ic
+UNION ALL SELECT 'decile_spread_bps', round(avg(spread) * 1e4, 6) + 0.0 FROM sp
+UNION ALL SELECT 'hit_rate', round(avg(hit), 6) + 0.0 FROM hit
+UNION ALL SELECT 'top_k_jaccard', round(avg(jaccard), 6) + 0.0 FROM jj
+""")
+def q_ranking_metrics(spark, sf_dir):
+    lab = _labelled(spark, sf_dir)
+    return round_doubles(RK.ranking_summary(lab, "date", "score", "y", "label", "entity_id",
+                                            k=BT.TOP_K, ndcg_k=BT.TOP_K))
+
+
+@register("capped_weights", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WEIGHTS}
+SELECT strategy, date, entity_id, CAST(slot AS INTEGER) AS slot, round(w, 6) + 0.0 AS w FROM weights
+""")
+def q_capped_weights(spark, sf_dir):
+    w = BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)))
+    return round_doubles(w.select("strategy", "date", "entity_id", "slot", "w"))
+
+
+@register("strategy_returns", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_RETURNS}
+SELECT strategy, date, round(return_gross, 6) + 0.0 AS return_gross, round(turnover, 6) + 0.0 AS turnover,
+       round(return_net, 6) + 0.0 AS return_net FROM rets
+""")
+def q_strategy_returns(spark, sf_dir):
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    return round_doubles(r.select("strategy", "date", "return_gross", "turnover", "return_net"))
+
+
+@register("equity_curve", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_RETURNS},
+eq AS (SELECT strategy, date,
+              product(1 + return_gross) OVER w AS equity_gross, product(1 + return_net) OVER w AS equity_net
+       FROM rets WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT strategy, date, round(equity_gross, 6) + 0.0 AS equity_gross, round(equity_net, 6) + 0.0 AS equity_net,
+       round(equity_net / max(equity_net) OVER (PARTITION BY strategy ORDER BY date
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 6) + 0.0 AS drawdown FROM eq
+""")
+def q_equity_curve(spark, sf_dir):
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    e = M.equity_curve(r, "strategy", "date")
+    return round_doubles(e.select("strategy", "date", "equity_gross", "equity_net", "drawdown"))
+
+
+@register("strategy_metrics", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_RETURNS},
+eq AS (SELECT *, product(1 + return_net) OVER w AS eqn FROM rets
+       WINDOW w AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+dd AS (SELECT *, eqn / max(eqn) OVER (PARTITION BY strategy ORDER BY date
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS drawdown FROM eq),
+g AS (SELECT strategy, count(*) AS n_periods, product(1 + return_gross) - 1 AS total_return_gross,
+             product(1 + return_net) - 1 AS total_return_net, stddev_samp(return_net) AS sd,
+             count(CASE WHEN return_net < 0 THEN 1 END) AS nneg,
+             stddev_samp(CASE WHEN return_net < 0 THEN return_net END) AS dsd,
+             min(drawdown) AS max_drawdown, avg(CASE WHEN return_net > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate,
+             avg(turnover) AS avg_turnover FROM dd GROUP BY strategy),
+h AS (SELECT *, pow(1 + total_return_net, 52.0 / n_periods) - 1 AS annualized_return,
+             CASE WHEN n_periods > 1 THEN sd * sqrt(52) ELSE 0.0 END AS annualized_vol,
+             CASE WHEN nneg > 1 THEN dsd * sqrt(52) ELSE 0.0 END AS dvol FROM g)
+SELECT strategy, n_periods, round(total_return_gross, 6) + 0.0 AS total_return_gross,
+  round(total_return_net, 6) + 0.0 AS total_return_net, round(annualized_return, 6) + 0.0 AS annualized_return,
+  round(annualized_vol, 6) + 0.0 AS annualized_vol,
+  round(CASE WHEN annualized_vol > 0 THEN annualized_return / annualized_vol END, 6) + 0.0 AS sharpe,
+  round(CASE WHEN dvol > 0 THEN annualized_return / dvol END, 6) + 0.0 AS sortino,
+  round(max_drawdown, 6) + 0.0 AS max_drawdown,
+  round(CASE WHEN max_drawdown < 0 THEN annualized_return / abs(max_drawdown) END, 6) + 0.0 AS calmar,
+  round(hit_rate, 6) + 0.0 AS hit_rate, round(avg_turnover, 6) + 0.0 AS avg_turnover
+FROM h
+""")
+def q_strategy_metrics(spark, sf_dir):
+    return round_doubles(BT.build_summary(spark, sf_dir))
