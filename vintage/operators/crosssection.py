@@ -51,7 +51,8 @@ def excess_return_buckets(df: DataFrame, date: str, ret: str, n_buckets: int = 3
     capped at ``n - 1``; NULL return gives NULL bucket."""
     out = demean(df, date, ret, excess_col)
     pct = average_rank_pct(excess_col, date)
-    b = F.least(F.floor(pct * n_buckets), F.lit(n_buckets - 1)).cast("int")
+    # least() skips NULLs, so the NULL case is explicit
+    b = F.when(pct.isNotNull(), F.least(F.floor(pct * n_buckets), F.lit(n_buckets - 1))).cast("int")
     return out.withColumn(bucket_col, b)
 
 

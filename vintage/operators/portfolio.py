@@ -47,17 +47,16 @@ def cap_weights(df: DataFrame, by, w: str, cap: float, entity: str, out: str | N
     o = g.orderBy(F.col(w).desc(), F.col(entity).asc())
     x = (df.withColumn("_r", F.row_number().over(o))
          .withColumn("_n", F.count(F.lit(1)).over(g))
-         .withColumn("_tot", F.sum(w).over(g))
-         .withColumn("_from", F.col("_tot") - F.sum(w).over(o.rowsBetween(Window.unboundedPreceding, -1))))
-    x = x.withColumn("_from", F.coalesce(F.col("_from"), F.col("_tot")))
-    fits = F.col(w) * (F.lit(1.0) - (F.col("_r") - 1) * cap) / F.col("_from") <= cap + 1e-12
+         # suffix sum (not total minus prefix: that cancels to 0 when the tail is tiny)
+         .withColumn("_from", F.sum(w).over(o.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    fits = F.col(w) * (F.lit(1.0) - (F.col("_r") - 1) * cap) <= F.lit(cap + 1e-12) * F.col("_from")
     x = x.withColumn("_m", F.min(F.when(fits, F.col("_r") - 1)).over(g))
     rest = F.sum(F.when(F.col("_r") > F.col("_m"), F.col(w))).over(g)
     new = F.when(F.col("_r") <= F.col("_m"), F.lit(cap)).otherwise(
-        F.col(w) * (F.lit(1.0) - F.col("_m") * cap) / rest)
+        F.coalesce(F.try_divide(F.col(w) * (F.lit(1.0) - F.col("_m") * cap), rest), F.lit(0.0)))
     infeasible = F.col("_n") * cap < 1.0 - 1e-12
     new = F.when(infeasible, F.raise_error(F.lit("cap infeasible: n * max_weight < 1"))).otherwise(new)
-    return x.withColumn(out, new).drop("_r", "_n", "_tot", "_from", "_m")
+    return x.withColumn(out, new).drop("_r", "_n", "_from", "_m")
 
 
 def cap_weights_rounds(df: DataFrame, by, w: str, cap: float, entity: str,

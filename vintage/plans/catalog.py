@@ -289,12 +289,13 @@ def _sql_cap(src: str, dst: str, w: str, cap: float) -> str:
     """SQL of the exact capping fixed point (same recipe as ``portfolio.cap_weights``)."""
     return f"""
 {dst}_a AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {w} DESC, entity_id) AS _r,
-       sum({w}) OVER (PARTITION BY date) - coalesce(sum({w}) OVER (PARTITION BY date ORDER BY {w} DESC, entity_id
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _from FROM {src}),
-{dst}_b AS (SELECT *, min(CASE WHEN {w} * (1 - (_r - 1) * {cap}) / _from <= {cap} + 1e-12 THEN _r - 1 END)
+       sum({w}) OVER (PARTITION BY date ORDER BY {w} DESC, entity_id
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _from FROM {src}),
+{dst}_b AS (SELECT *, min(CASE WHEN {w} * (1 - (_r - 1) * {cap}) <= ({cap} + 1e-12) * _from THEN _r - 1 END)
        OVER (PARTITION BY date) AS _m FROM {dst}_a),
 {dst} AS (SELECT * EXCLUDE (_r, _from, _m), CASE WHEN _r <= _m THEN {cap}
-       ELSE {w} * (1 - _m * {cap}) / sum(CASE WHEN _r > _m THEN {w} END) OVER (PARTITION BY date) END AS w
+       ELSE coalesce({w} * (1 - _m * {cap}) / nullif(sum(CASE WHEN _r > _m THEN {w} END) OVER (PARTITION BY date), 0),
+                     0.0) END AS w
        FROM {dst}_b)"""
 
 
@@ -333,7 +334,8 @@ x AS (SELECT entity_id, date, ret, fwd_ret_5d, fwd_ret_5d - avg(fwd_ret_5d) OVER
 r AS (SELECT *, CASE WHEN y_excess IS NOT NULL THEN {_sql_avg_rank("y_excess")}
                      / count(y_excess) OVER (PARTITION BY date) END AS pct FROM x)
 SELECT entity_id, date, round(fwd_ret_5d, 6) + 0.0 AS fwd_ret_5d, round(y_excess, 6) + 0.0 AS y_excess,
-       CAST(least(floor(pct * {BT.N_BUCKETS}), {BT.N_BUCKETS - 1}) AS INTEGER) AS target,
+       CAST(CASE WHEN pct IS NOT NULL THEN least(floor(pct * {BT.N_BUCKETS}), {BT.N_BUCKETS - 1}) END AS INTEGER)
+         AS target,
        round(coalesce((ret - avg(ret) OVER (PARTITION BY date))
                       / (stddev_pop(ret) OVER (PARTITION BY date) + 1e-8), 0.0), 6) + 0.0 AS ret_z
 FROM r
