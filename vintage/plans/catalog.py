@@ -499,3 +499,197 @@ FROM h
 """)
 def q_strategy_metrics(spark, sf_dir):
     return round_doubles(BT.build_summary(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- #
+# text: G1-G11, E6, E7, F7
+# --------------------------------------------------------------------------- #
+from vintage.functions import text as TX  # noqa: E402
+from vintage.operators import text as TXT  # noqa: E402
+
+_WS = TX.PY_WS
+
+
+def _sql_collapse(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+def _sql_entities(x: str) -> str:
+    for k, v in TX.BASIC_ENTITIES:
+        v = v.replace("'", "''")
+        x = f"replace({x}, '{k}', '{v}')"
+    return f"regexp_replace({x}, '&amp;?', '&', 'g')"
+
+
+def _sql_strip_html(x: str) -> str:
+    return _sql_collapse(_sql_entities(f"regexp_replace({x}, '{TX.TAG}', ' ', 'g')"))
+
+
+def _sql_tokens(x: str) -> str:
+    s = _sql_strip(x)
+    return f"CASE WHEN {s} = '' THEN []::VARCHAR[] ELSE regexp_split_to_array({s}, '{_WS}+') END"
+
+
+def _sql_is_content(t: str) -> str:
+    return (f"(length({t}) BETWEEN 2 AND 40 AND NOT regexp_matches({t}, '[:=\"/]') "
+            f"AND regexp_matches(substr({t}, 1, 1), '^\\p{{L}}') "
+            f"AND length(regexp_replace({t}, '[^\\p{{L}}]', '', 'g')) / length({t}) >= 0.6)")
+
+
+@register("clean_pages", f"""
+WITH b AS (SELECT page_id, html, regexp_extract_all(html, '{TX.TEXT_BLOCK}', 1) AS bodies FROM pages),
+c AS (SELECT page_id, CASE WHEN len(bodies) = 0 THEN {_sql_strip_html("html")}
+        ELSE array_to_string(list_filter(list_transform(bodies, lambda x: {_sql_strip_html("x")}),
+                                         lambda s: s <> ''), chr(10)) END AS clean_text FROM b)
+SELECT page_id, clean_text, CAST(length(clean_text) AS INTEGER) AS n_chars,
+       length(clean_text) >= {TXT.MIN_OUTPUT_LENGTH} AS kept FROM c
+""")
+def q_clean_pages(spark, sf_dir):
+    p = roles.table(spark, sf_dir, "pages")
+    c = TXT.clean_documents(p, "html", "clean_text", min_length=None)
+    return c.select("page_id", "clean_text", "n_chars", (F.col("n_chars") >= TXT.MIN_OUTPUT_LENGTH).alias("kept"))
+
+
+def _sql_page_text_regex(x: str) -> str:
+    for pat in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<head\b.*?</head>",
+                r"(?s)<!--.*?-->", r"(?is)<meta\b[^>]*>", r"(?is)<!doctype[^>]*>"):
+        x = f"regexp_replace({x}, '{pat}', '', 'g')"
+    raw = _sql_entities(f"regexp_replace({x}, '{TX.TAG}', chr(10), 'g')")
+    return (f"array_to_string(list_filter(list_transform(string_split({raw}, chr(10)), lambda l: {_sql_strip('l')}),"
+            f" lambda s: s <> ''), chr(10))")
+
+
+@register("page_text", f"""
+SELECT page_id, {_sql_page_text_regex("html")} AS page_text FROM pages
+""")
+def q_page_text(spark, sf_dir):
+    p = roles.table(spark, sf_dir, "pages")
+    return p.select("page_id", TXT.page_text("html", "regex").alias("page_text"))
+
+
+@register("page_text_parser")
+def q_page_text_parser(spark, sf_dir):
+    p = roles.table(spark, sf_dir, "pages")
+    return p.select("page_id", TXT.page_text("html", "parser").alias("page_text"))
+
+
+@register("content_tokens", f"""
+WITH t AS (SELECT doc_id, {_sql_tokens(_sql_collapse("text"))} AS toks FROM documents)
+SELECT doc_id, CAST(len(toks) AS INTEGER) AS n_tokens,
+       CAST(len(list_filter(toks, lambda x: {_sql_is_content("x")})) AS INTEGER) AS n_content FROM t
+""")
+def q_content_tokens(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents")
+    tok = TX.tokens(TX.collapse_ws("text"))
+    return d.select("doc_id", F.size(tok).alias("n_tokens"),
+                    F.size(F.filter(TX.content_flags(tok), lambda b: b)).alias("n_content"))
+
+
+# The oracle states the plain-text path; the driver's documents hold no HTML-like
+# text, so the parser branch of ``refilter`` is not reached on them.
+@register("refilter_documents", f"""
+WITH t AS (SELECT doc_id, {_sql_tokens(_sql_collapse("text"))} AS toks FROM documents),
+u AS (SELECT doc_id, len(toks) AS n, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM t),
+f AS (SELECT *, CASE WHEN {_sql_is_content("tok")} THEN 1 ELSE 0 END AS flag FROM u),
+w AS (SELECT *,
+        avg(flag) OVER (PARTITION BY doc_id ORDER BY pos
+                        ROWS BETWEEN {TXT.WINDOW_TOKENS // 2} PRECEDING AND {TXT.WINDOW_TOKENS // 2 - 1} FOLLOWING) AS dens,
+        avg(flag) OVER (PARTITION BY doc_id) AS share,
+        coalesce(max(flag) OVER (PARTITION BY doc_id ORDER BY pos
+                                 ROWS BETWEEN {TXT.LOCAL_RADIUS} PRECEDING AND 1 PRECEDING), 0) AS back,
+        coalesce(max(flag) OVER (PARTITION BY doc_id ORDER BY pos
+                                 ROWS BETWEEN 1 FOLLOWING AND {TXT.LOCAL_RADIUS} FOLLOWING), 0) AS fwd
+      FROM f),
+k AS (SELECT *, CASE WHEN n <= {TXT.WINDOW_TOKENS} THEN share >= {TXT.CONTENT_THRESHOLD}
+                     ELSE dens >= {TXT.CONTENT_THRESHOLD} AND (flag = 1 OR (back = 1 AND fwd = 1)) END AS keep
+      FROM w),
+a AS (SELECT doc_id, string_agg(CASE WHEN keep THEN tok END, ' ' ORDER BY pos) AS refiltered,
+             count(*) FILTER (WHERE keep) AS n_kept, sum(flag) AS n_content FROM k GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(t.toks) AS INTEGER) AS n_tokens, CAST(coalesce(a.n_content, 0) AS INTEGER) AS n_content,
+       CAST(coalesce(a.n_kept, 0) AS INTEGER) AS n_kept, coalesce(a.refiltered, '') AS refiltered
+FROM t LEFT JOIN a ON t.doc_id = a.doc_id
+""")
+def q_refilter_documents(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TXT.refilter(d, "text").select("doc_id", "n_tokens", "n_content", "n_kept", "refiltered")
+
+
+@register("doc_length_profile", """
+WITH d AS (SELECT lang, CAST(strlen(text) AS INTEGER) AS bytes FROM documents)
+SELECT lang, count(*) AS n,
+       round(quantile_cont(bytes, 0.5), 6) + 0.0 AS p50, round(quantile_cont(bytes, 0.9), 6) + 0.0 AS p90,
+       round(quantile_cont(bytes, 0.95), 6) + 0.0 AS p95, round(quantile_cont(bytes, 0.99), 6) + 0.0 AS p99,
+       max(bytes) AS max
+FROM d GROUP BY lang
+""")
+def q_doc_length_profile(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("bytes"))
+    return round_doubles(TXT.length_percentiles(d, "lang", "bytes"))
+
+
+@register("doc_length_histogram", """
+WITH s0 AS (SELECT lang, CAST(strlen(text) AS INTEGER) AS bytes FROM documents),
+s AS (SELECT lang, log10(bytes) AS lx FROM s0 WHERE bytes > 0),
+b AS (SELECT min(lx) AS lo, max(lx) AS hi FROM s)
+SELECT lang, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((lx - lo) / (hi - lo) * 80), 79) END AS INTEGER) AS bin,
+       count(*) AS n
+FROM s, b GROUP BY ALL
+""")
+def q_doc_length_histogram(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("lang", F.octet_length("text").alias("bytes"))
+    return TXT.log_histogram(d, "lang", "bytes", 80)
+
+
+@register("largest_documents", """
+WITH d AS (SELECT doc_id, lang, CAST(strlen(text) AS INTEGER) AS bytes FROM documents)
+SELECT doc_id, lang, bytes FROM (SELECT *, row_number() OVER (ORDER BY bytes DESC, doc_id) AS rn FROM d)
+WHERE rn <= 15
+""")
+def q_largest_documents(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents")
+    return (d.select("doc_id", "lang", F.octet_length("text").alias("bytes"))
+            .orderBy(F.col("bytes").desc(), "doc_id").limit(15))
+
+
+def _sql_chunks(mode: str) -> str:
+    step = TXT.CHUNK_LEN - 2 - TXT.STRIDE
+    cond = (f"n - s >= {TXT.MIN_CHUNK_TOKENS}" if mode == "train" else f"(s = 0 OR n - s > {TXT.STRIDE})")
+    where = "" if mode == "train" else f"WHERE length({_sql_strip('text')}) >= {TXT.MIN_EMBED_CHARS}"
+    return f"""
+WITH t AS (SELECT doc_id, {_sql_tokens("text")} AS toks FROM documents {where}),
+s AS (SELECT doc_id, toks, len(toks) AS n, unnest(range(0, len(toks), {step})) AS s FROM t),
+c AS (SELECT doc_id, toks, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_no FROM s
+      WHERE {cond})
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(s AS INTEGER) AS start,
+       CAST(least(n - s, {TXT.CHUNK_LEN - 2}) AS INTEGER) AS n_body,
+       toks[s + 1] AS first_token, toks[least(n, s + {TXT.CHUNK_LEN - 2})] AS last_token FROM c
+"""
+
+
+def _chunks(spark, sf_dir, mode):
+    d = roles.table(spark, sf_dir, "documents")
+    if mode == "inference":
+        d = d.filter(F.length(TX.strip_ws("text")) >= TXT.MIN_EMBED_CHARS)
+    c = TXT.chunk_documents(d.select("doc_id", TX.tokens("text").alias("tok")), "doc_id", "tok", mode)
+    return c.select("doc_id", "chunk_no", "start", "n_body", F.col("body")[0].alias("first_token"),
+                    F.element_at("body", -1).alias("last_token"))
+
+
+@register("token_chunks", _sql_chunks("train"))
+def q_token_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir, "train")
+
+
+@register("inference_chunks", _sql_chunks("inference"))
+def q_inference_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir, "inference")
+
+
+@register("doc_split")
+def q_doc_split(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents")
+    return d.groupBy(TXT.doc_split("doc_id").alias("split")).agg(F.count(F.lit(1)).alias("n_docs"))
