@@ -693,3 +693,78 @@ def q_inference_chunks(spark, sf_dir):
 def q_doc_split(spark, sf_dir):
     d = roles.table(spark, sf_dir, "documents")
     return d.groupBy(TXT.doc_split("doc_id").alias("split")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+# --------------------------------------------------------------------------- #
+# vectors: E8, E9, G12, G13, H3, B12, G15-G19
+# --------------------------------------------------------------------------- #
+from vintage.operators import vectors as V  # noqa: E402
+
+GRID_TAIL_DAYS = 60
+
+
+def _round_vec(c: str, places: int = 6):
+    return F.transform(F.col(c), lambda x: F.round(x.cast("double"), places) + F.lit(0.0))
+
+
+def _stockday_inputs(spark, sf_dir):
+    v = roles.vectors(spark, sf_dir)
+    docs = v.select(F.col("entity_id").alias("cik"), F.col("vec_id").alias("doc_id"),
+                    F.col("date").alias("filing_date"), "vec")
+    bridge = v.select("entity_id", F.col("entity_id").alias("cik")).distinct()
+    span = v.groupBy("entity_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    grid = span.select("entity_id", F.explode(F.sequence("d0", F.date_add("d1", GRID_TAIL_DAYS))).alias("date"))
+    return grid, docs, bridge
+
+
+@register("stockday_vectors", f"""
+WITH {SQL_VECTORS},
+grid AS (SELECT entity_id, CAST(unnest(generate_series(min(date), max(date) + {GRID_TAIL_DAYS}, INTERVAL 1 DAY)) AS DATE)
+                AS date FROM v GROUP BY entity_id),
+hit AS (SELECT g.entity_id, g.date, v.vec, pow(0.5, date_diff('day', v.date, g.date) / {float(V.HALF_LIFE_DAYS)}) AS w
+        FROM grid g JOIN v ON g.entity_id = v.entity_id AND g.date BETWEEN v.date AND v.date + {V.WINDOW_DAYS}),
+el AS (SELECT entity_id, date, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM hit),
+agg AS (SELECT entity_id, date, list(m ORDER BY i) AS vec FROM
+          (SELECT entity_id, date, i, sum(w * x) / sum(w) AS m FROM el GROUP BY entity_id, date, i) GROUP BY ALL),
+f AS (SELECT g.entity_id, g.date, last_value(a.vec IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY g.date
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vec FROM grid g LEFT JOIN agg a
+          ON g.entity_id = a.entity_id AND g.date = a.date)
+SELECT entity_id, date, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM f WHERE vec IS NOT NULL
+""")
+def q_stockday_vectors(spark, sf_dir):
+    grid, docs, bridge = _stockday_inputs(spark, sf_dir)
+    out = V.stockday_vectors(grid, docs, bridge, "entity_id", "date", "cik", "doc_id", "filing_date", "vec",
+                             dtype="float64")
+    return out.select("entity_id", "date", _round_vec("vec").alias("vec"))
+
+
+@register("chunk_mean_pool", """
+WITH el AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+m AS (SELECT label, i, avg(x) AS m FROM el GROUP BY label, i),
+n AS (SELECT label, count(*) AS n_chunks FROM embeddings GROUP BY label)
+SELECT m.label, n.n_chunks, list(round(m.m, 6) + 0.0 ORDER BY i) AS vec FROM m JOIN n ON m.label = n.label
+GROUP BY m.label, n.n_chunks
+""")
+def q_chunk_mean_pool(spark, sf_dir):
+    e = roles.table(spark, sf_dir, "embeddings")
+    out = V.mean_vectors(e, "label", "embedding", out="vec", count_col="n_chunks", dtype="float64")
+    return out.select("label", "n_chunks", _round_vec("vec").alias("vec"))
+
+
+@register("vector_sanity", """
+WITH t AS (SELECT embedding AS v,
+                  sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS nrm,
+                  len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 AS bad FROM embeddings)
+SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS n_bad, round(avg(nrm), 6) + 0.0 AS norm_mean,
+       round(stddev_pop(nrm), 6) + 0.0 AS norm_std, CAST(min(len(v)) AS INTEGER) AS min_dim,
+       CAST(max(len(v)) AS INTEGER) AS max_dim FROM t
+""")
+def q_vector_sanity(spark, sf_dir):
+    return round_doubles(V.vector_sanity(roles.table(spark, sf_dir, "embeddings"), "embedding"))
+
+
+@register("doc_embeddings")
+def q_doc_embeddings(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents")
+    ch = TXT.chunk_documents(d.select("doc_id", TX.tokens("text").alias("tok")), "doc_id", "tok", "inference")
+    return V.embed_documents(ch, "doc_id", "body", dim=64)
