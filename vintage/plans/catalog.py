@@ -768,3 +768,93 @@ def q_doc_embeddings(spark, sf_dir):
     d = roles.table(spark, sf_dir, "documents")
     ch = TXT.chunk_documents(d.select("doc_id", TX.tokens("text").alias("tok")), "doc_id", "tok", "inference")
     return V.embed_documents(ch, "doc_id", "body", dim=64)
+
+
+# --------------------------------------------------------------------------- #
+# §3.2 training panel composition, B8/B10 audit, E1, E10, E11
+# --------------------------------------------------------------------------- #
+from vintage.operators import gates as G  # noqa: E402
+
+_MACRO_COLS = [T.series_column(s) for s in MACRO_SERIES]
+SQL_MACRO = f"""
+mlong AS (SELECT CAST(o_orderdate AS DATE) AS date, regexp_replace(o_orderpriority, '^[0-9]-', '') AS series,
+                 avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+mwide AS (SELECT date, {", ".join(f"max(CASE WHEN series = '{s}' THEN value END) AS {T.series_column(s)}"
+                                  for s in MACRO_SERIES)} FROM mlong GROUP BY date),
+maxis AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS date FROM lineitem),
+mj AS (SELECT maxis.date, {", ".join(_MACRO_COLS)} FROM maxis LEFT JOIN mwide ON maxis.date = mwide.date),
+macro AS (SELECT date, {", ".join(f"last_value({c} IGNORE NULLS) OVER y AS {c}" for c in _MACRO_COLS)}
+          FROM mj WINDOW y AS (PARTITION BY year(date) ORDER BY date
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+SQL_TRAINING = f"""
+{SQL_DAILY}, {SQL_FUND}, {SQL_PANEL}, {SQL_FILINGS}, {SQL_WINDOWS}, {SQL_MACRO},
+member AS (SELECT p.entity_id, p.cik, p.date, d.ret, d.prc, d.vol FROM panel p JOIN daily d
+           ON p.entity_id = d.entity_id AND p.date = d.date
+           WHERE EXISTS (SELECT 1 FROM windows w WHERE w.entity_id = p.entity_id
+                         AND p.date BETWEEN w.date_in AND coalesce(w.date_out, DATE '2100-01-01'))),
+kq AS (SELECT DISTINCT cik, filing_date FROM filings WHERE form_type IN {KQ8_FORMS}),
+rec AS (SELECT m.entity_id, m.date, CAST(date_diff('day', k.filing_date, m.date) AS INTEGER) AS days_since_filing
+        FROM member m ASOF LEFT JOIN kq k ON m.cik = k.cik AND m.date >= k.filing_date),
+cnt AS (SELECT m.entity_id, m.date, CAST(count(f.cik) AS INTEGER) AS doc_count_7d FROM member m
+        LEFT JOIN filings f ON m.cik = f.cik AND f.filing_date BETWEEN m.date - 7 AND m.date GROUP BY ALL),
+lab AS (SELECT entity_id, date,
+          CASE WHEN count(ln(1 + ret)) OVER w1 = 1 THEN exp(sum(ln(1 + ret)) OVER w1) - 1 END AS fwd_ret_1d,
+          CASE WHEN count(ln(1 + ret)) OVER w5 = 5 THEN exp(sum(ln(1 + ret)) OVER w5) - 1 END AS fwd_ret_5d
+        FROM member
+        WINDOW w1 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING),
+               w5 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+training AS (SELECT m.*, {", ".join("mc." + c for c in _MACRO_COLS)}, r.days_since_filing, c.doc_count_7d,
+                    l.fwd_ret_1d, l.fwd_ret_5d, CAST(year(m.date) AS INTEGER) AS year
+             FROM member m LEFT JOIN macro mc ON m.date = mc.date
+             JOIN rec r ON m.entity_id = r.entity_id AND m.date = r.date
+             JOIN cnt c ON m.entity_id = c.entity_id AND m.date = c.date
+             JOIN lab l ON m.entity_id = l.entity_id AND m.date = l.date)"""
+
+
+@register("training_panel", f"""
+WITH {SQL_TRAINING}
+SELECT entity_id, cik, date, round(ret, 6) + 0.0 AS ret, round(prc, 6) + 0.0 AS prc, round(vol, 6) + 0.0 AS vol,
+       {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _MACRO_COLS)}, days_since_filing, doc_count_7d,
+       round(fwd_ret_1d, 6) + 0.0 AS fwd_ret_1d, round(fwd_ret_5d, 6) + 0.0 AS fwd_ret_5d, year
+FROM training
+""")
+def q_training_panel(spark, sf_dir):
+    return round_doubles(panel.training_panel(spark, sf_dir))
+
+
+@register("panel_audit", f"""
+WITH {SQL_TRAINING}
+SELECT year, count(*) AS n_rows, count(DISTINCT entity_id) AS n_keys,
+       round(avg(CASE WHEN days_since_filing IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS null_days_since_filing,
+       round(avg(CASE WHEN fwd_ret_5d IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS null_fwd_ret_5d,
+       round(avg(CASE WHEN macro_urgent IS NULL THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS null_macro_urgent
+FROM training GROUP BY year
+""")
+def q_panel_audit(spark, sf_dir):
+    t = panel.training_panel(spark, sf_dir)
+    return round_doubles(G.audit_by(t, "year", "entity_id", ["days_since_filing", "fwd_ret_5d", "macro_urgent"]))
+
+
+@register("null_rate_gate", f"""
+WITH {SQL_TRAINING},
+r AS (SELECT CAST(year AS VARCHAR) AS scope,
+             avg(CASE WHEN days_since_filing IS NULL THEN 1.0 ELSE 0.0 END) AS a,
+             avg(CASE WHEN fwd_ret_5d IS NULL THEN 1.0 ELSE 0.0 END) AS b FROM training GROUP BY year)
+SELECT scope, 'NULL_RATE:days_since_filing' AS rule, round(a, 6) + 0.0 AS value, 0.1 AS "limit", a <= 0.1 AS ok FROM r
+UNION ALL SELECT scope, 'NULL_RATE:fwd_ret_5d', round(b, 6) + 0.0, 0.05, b <= 0.05 FROM r
+""")
+def q_null_rate_gate(spark, sf_dir):
+    t = panel.training_panel(spark, sf_dir)
+    return round_doubles(G.null_rate_table(t, {"days_since_filing": 0.1, "fwd_ret_5d": 0.05}, by="year"))
+
+
+@register("panel_ranges", f"""
+WITH {SQL_DAILY}
+SELECT count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities, min(date) AS first_date, max(date) AS last_date
+FROM daily
+""")
+def q_panel_ranges(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir)
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
+                 F.min("date").alias("first_date"), F.max("date").alias("last_date"))

@@ -26,3 +26,33 @@ def pit_panel(daily: DataFrame, fund: DataFrame, entity: str = "entity_id",
 
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pit_panel(roles.daily_bars(spark, sf_dir), roles.fundamentals(spark, sf_dir))
+
+
+# Fixed values of the training-panel role: order priorities playing 10-K/10-Q/8-K.
+KQ8_FORMS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+MACRO_SERIES = ("URGENT", "HIGH", "MEDIUM", "NOT SPECIFIED", "LOW")
+
+
+def macro_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide macro series forward-filled on the ship-day axis (one row per day)."""
+    from vintage.operators import temporal as T
+    wide = T.pivot_wide(roles.macro_long_orders(spark, sf_dir), "date", "series", "value", MACRO_SERIES)
+    axis = roles.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("date"))
+    return T.fill_on_axis(axis, wide, "date")
+
+
+def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§3.2 stages 5-6: member rows of the daily panel + macro + recency + filing
+    count + forward labels on member rows + year (no year loop: whole table)."""
+    from vintage.operators import temporal as T
+    from vintage.operators.asof import days_since_event
+    d = roles.panel_keys(spark, sf_dir).join(
+        roles.daily_bars(spark, sf_dir).select("entity_id", "date", "ret", "prc", "vol"), ["entity_id", "date"])
+    member = T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date")
+    x = member.join(macro_on_axis(spark, sf_dir), "date", "left")
+    f = roles.filings(spark, sf_dir)
+    x = days_since_event(x, f.filter(F.col("form_type").isin(*KQ8_FORMS)), "cik", "date", "filing_date",
+                         "days_since_filing")
+    x = T.trailing_event_count(x, f, "cik", "date", "filing_date", 7)
+    x = T.forward_returns(x, "entity_id", "date", "ret", (1, 5))
+    return x.withColumn("year", F.year("date"))
