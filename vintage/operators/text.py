@@ -77,7 +77,6 @@ def _page_text(doc: str | None, skip: frozenset[str], sep: str) -> str | None:
 
 
 _PARSER_SKIP = frozenset({"script", "style", "head", "meta"})
-_GETTEXT_SKIP = frozenset({"script", "style", "template"})
 
 
 @F.pandas_udf(T.StringType())
@@ -85,11 +84,6 @@ def _html_lines_udf(s: pd.Series) -> pd.Series:
     return s.map(lambda d: _page_text(d, _PARSER_SKIP, "\n"))
 
 
-@F.pandas_udf(T.StringType())
-def _html_words_udf(s: pd.Series) -> pd.Series:
-    return s.map(lambda d: _page_text(d, _GETTEXT_SKIP, " "))
-
-
 def keep_mask(flags: np.ndarray, window: int = WINDOW_TOKENS, threshold: float = CONTENT_THRESHOLD,
               radius: int = LOCAL_RADIUS) -> np.ndarray:
     """G6/G7 on one document's content flags, O(n) with prefix sums."""
@@ -111,7 +105,7 @@ def keep_mask(flags: np.ndarray, window: int = WINDOW_TOKENS, threshold: float =
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def _keep_mask_udf(flags: pd.Series) -> pd.Series:
-    return flags.map(lambda a: None if a is None else keep_mask(np.asarray(a, dtype=bool)).tolist())
+    return flags.map(lambda a: None if a is None else keep_mask(a))
 
 
 # --------------------------------------------------------------------------- #
@@ -161,16 +155,25 @@ def page_text(c, method: str = "parser") -> Column:
 # --------------------------------------------------------------------------- #
 # G5-G7 refilter
 # --------------------------------------------------------------------------- #
+def html_words(c) -> Column:
+    """Text of HTML-like input for the refilter: script/style/template contents
+    and comments dropped, tags to space, entities decoded (JVM regex; the
+    stdlib-parser form is ``page_text(..., "parser")``)."""
+    x = col(c)
+    for pat in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<template\b.*?</template>",
+                r"(?s)<!--.*?-->"):
+        x = F.regexp_replace(x, pat, " ")
+    return TX.decode_basic_entities(TX.tags_to_space(x))
+
+
 def refilter(df: DataFrame, text: str, out: str = "refiltered", keep_flags: bool = False) -> DataFrame:
     """Drop noise tokens by content density.
 
-    HTML-like input is first reduced to its text (stdlib parser, only for those
-    rows); tokens and content flags are JVM array expressions; the sliding
-    window and radius pass run per document in an Arrow UDF (numpy prefix sums).
+    HTML-like input is first reduced to its text; tokens and content flags are
+    JVM array expressions; the sliding window and radius pass run per
+    document in one Arrow UDF (numpy prefix sums, O(n)).
     """
-    htmlish = TX.html_like(text)
-    parsed = _html_words_udf(F.when(htmlish, F.col(text)))
-    base = F.coalesce(parsed, F.col(text))
+    base = F.when(TX.html_like(text), html_words(text)).otherwise(F.col(text))
     x = (df.withColumn("_tok", TX.tokens(TX.collapse_ws(base)))
          .withColumn("_flag", TX.content_flags(F.col("_tok"))))
     x = x.withColumn("_keep", _keep_mask_udf(F.col("_flag")))

@@ -46,8 +46,8 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     count + forward labels on member rows + year (no year loop: whole table)."""
     from vintage.operators import temporal as T
     from vintage.operators.asof import days_since_event
-    d = roles.panel_keys(spark, sf_dir).join(
-        roles.daily_bars(spark, sf_dir).select("entity_id", "date", "ret", "prc", "vol"), ["entity_id", "date"])
+    d = roles.daily_bars(spark, sf_dir).select(
+        "entity_id", F.lpad(F.col("entity_id").cast("string"), 10, "0").alias("cik"), "date", "ret", "prc", "vol")
     member = T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date")
     x = member.join(macro_on_axis(spark, sf_dir), "date", "left")
     f = roles.filings(spark, sf_dir)

@@ -25,8 +25,15 @@ VECTOR_EPOCH = "2024-01-01"
 VECTOR_DAYS = 30
 
 
+# Tables whose rows carry whole texts: per-row work is CPU-heavy, so their scans
+# are spread over the cluster when the file gives fewer partitions than cores.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from vintage.sources.tables import read_table, spread
+    df = read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ def get_spark(app: str = "vintage", cpus: int | str | None = None,
     parts = shuffle_partitions or (int(cpus) if str(cpus).isdigit() else 8)
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(parts))
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
