@@ -858,3 +858,154 @@ def q_panel_ranges(spark, sf_dir):
     d = roles.daily_bars(spark, sf_dir)
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
                  F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+# --------------------------------------------------------------------------- #
+# keys and intervals: C1-C5, D3, D6, D14, H4
+# --------------------------------------------------------------------------- #
+from vintage.functions import keys as K  # noqa: E402
+from vintage.operators import intervals as IV  # noqa: E402
+
+
+def _sql_cik(x: str) -> str:
+    s = f"CAST(CAST(TRY_CAST({x} AS DOUBLE) AS BIGINT) AS VARCHAR)"
+    return f"CASE WHEN length({s}) >= 10 THEN {s} ELSE lpad({s}, 10, '0') END"
+
+
+def _sql_ticker(x: str) -> str:
+    return f"nullif(regexp_replace(upper(trim({x})), '\\.', '-', 'g'), 'NAN')"
+
+
+@register("url_keys", f"""
+SELECT page_id, TRY_CAST(regexp_extract(url, 'page=(\\d+)', 1) AS BIGINT) AS page_no,
+       {_sql_cik("page_id")} AS cik,
+       {_sql_ticker("regexp_extract(url, '//([^/]+)', 1)")} AS host_ticker,
+       coalesce(nullif(regexp_extract(url, '{K.ACCESSION_DASHED}', 1), ''),
+                CASE WHEN nullif(regexp_extract(url, '{K.ACCESSION_DIGITS}', 1), '') IS NOT NULL THEN
+                  concat_ws('-', substr(regexp_extract(url, '{K.ACCESSION_DIGITS}', 1), 1, 10),
+                            substr(regexp_extract(url, '{K.ACCESSION_DIGITS}', 1), 11, 2),
+                            substr(regexp_extract(url, '{K.ACCESSION_DIGITS}', 1), 13, 6)) END) AS accession,
+       lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[A-Za-z0-9]+)$', 1)) AS suffix
+FROM pages
+""")
+def q_url_keys(spark, sf_dir):
+    p = roles.table(spark, sf_dir, "pages")
+    return p.select("page_id", K.number_from_url("url", "page").alias("page_no"),
+                    K.normalize_cik(F.col("page_id")).alias("cik"),
+                    K.normalize_ticker(F.regexp_extract("url", "//([^/]+)", 1)).alias("host_ticker"),
+                    K.accession_from_path("url").alias("accession"),
+                    K.suffix(F.regexp_replace("url", "[?#].*$", "")).alias("suffix"))
+
+
+def _sql_spells(src: str, name: str, gap: int) -> str:
+    return f"""
+{name}_g AS (SELECT entity_id, date, CASE WHEN date_diff('day', lag(date) OVER (PARTITION BY entity_id ORDER BY date),
+                   date) <= {gap} THEN 0 ELSE 1 END AS nw FROM (SELECT DISTINCT entity_id, date FROM {src})),
+{name}_s AS (SELECT *, sum(nw) OVER (PARTITION BY entity_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS spell_no
+             FROM {name}_g),
+{name}_a AS (SELECT entity_id, spell_no, min(date) AS date_in, max(date) AS date_out FROM {name}_s GROUP BY 1, 2),
+{name} AS (SELECT entity_id, CAST(spell_no AS INTEGER) AS spell_no, date_in,
+                  CASE WHEN spell_no = max(spell_no) OVER (PARTITION BY entity_id) THEN NULL ELSE date_out END
+                  AS date_out FROM {name}_a)"""
+
+
+SQL_XWALK = f"""
+{SQL_DAILY}, {SQL_FUND}, {_sql_spells("daily", "ship", 14)},
+tmap AS (SELECT {_sql_ticker("s_name")} AS ticker, {_sql_cik("s_suppkey")} AS cik FROM supplier WHERE s_acctbal >= 0),
+uids AS (SELECT {_sql_cik("entity_id")} AS cik, entity_id + 100000 AS permno, date_in, date_out FROM ship),
+srows AS (SELECT DISTINCT {_sql_ticker("s.s_name")} AS ticker, f.datekey FROM fund_raw f
+          JOIN supplier s ON f.entity_id = s.s_suppkey)"""
+
+
+@register("crosswalk_resolve", f"""
+WITH {SQL_XWALK},
+r AS (SELECT r.ticker, r.datekey, m.cik FROM srows r LEFT JOIN tmap m ON r.ticker = m.ticker),
+c AS (SELECT r.*, u.permno, r.datekey BETWEEN u.date_in AND coalesce(u.date_out, DATE '2100-01-01') AS inw,
+             u.date_in FROM r JOIN uids u ON r.cik = u.cik),
+p AS (SELECT *, row_number() OVER (PARTITION BY ticker, datekey ORDER BY inw DESC, date_in, permno) AS rn FROM c),
+anyin AS (SELECT ticker, datekey, bool_or(inw) AS in_window FROM c GROUP BY ALL)
+SELECT p.ticker, p.datekey, p.cik, p.permno, a.in_window FROM p JOIN anyin a USING (ticker, datekey) WHERE rn = 1
+""")
+def q_crosswalk_resolve(spark, sf_dir):
+    f = roles.fundamentals(spark, sf_dir)
+    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = (f.join(s, f.entity_id == s.s_suppkey).select(K.normalize_ticker("s_name").alias("ticker"), "datekey")
+            .distinct().join(roles.ticker_map(spark, sf_dir), "ticker", "left"))
+    out = IV.resolve_by_window(rows, "cik", "datekey", roles.universe_ids(spark, sf_dir), "permno")
+    return out.select("ticker", "datekey", "cik", "permno", "in_window")
+
+
+@register("largest_overlap", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {_sql_spells("daily", "ship", 14)},
+od0 AS (SELECT DISTINCT entity_id, datekey AS date FROM fund_raw), {_sql_spells("od0", "ords", 14)},
+c AS (SELECT o.entity_id, o.spell_no, s.entity_id * 1000 + s.spell_no AS ship_id,
+             date_diff('day', greatest(o.date_in, s.date_in),
+                       least(coalesce(o.date_out, DATE '2100-01-01'), coalesce(s.date_out, DATE '2100-01-01'))) AS ov
+      FROM ords o JOIN ship s ON o.entity_id = s.entity_id),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id, spell_no ORDER BY ov DESC, ship_id) AS rn
+                     FROM c WHERE ov > 0) WHERE rn = 1)
+SELECT o.entity_id, o.spell_no, o.date_in, o.date_out, b.ship_id, CAST(b.ov AS INTEGER) AS overlap_days
+FROM ords o LEFT JOIN b ON o.entity_id = b.entity_id AND o.spell_no = b.spell_no
+""")
+def q_largest_overlap(spark, sf_dir):
+    left = T.spells(roles.fundamentals(spark, sf_dir).select("entity_id", F.col("datekey").alias("date")),
+                    "entity_id", "date", 14)
+    right = roles.ship_spells(spark, sf_dir).select(
+        "entity_id", (F.col("entity_id") * 1000 + F.col("spell_no")).alias("ship_id"),
+        F.col("date_in").alias("r_in"), F.col("date_out").alias("r_out"))
+    out = IV.largest_overlap(left, right, "entity_id", "date_in", "date_out", "r_in", "r_out", "ship_id")
+    return out.select("entity_id", "spell_no", "date_in", "date_out", "ship_id", "overlap_days")
+
+
+@register("universe_tickers", f"""
+WITH {SQL_XWALK}
+SELECT DISTINCT ticker FROM tmap WHERE cik IN (SELECT cik FROM uids)
+""")
+def q_universe_tickers(spark, sf_dir):
+    return IV.keys_in_universe(roles.ticker_map(spark, sf_dir), roles.universe_ids(spark, sf_dir), "cik", "ticker")
+
+
+MEMBERSHIP_START, MEMBERSHIP_END = "2024-01-03", "2024-01-28"
+
+
+def _membership_inputs(spark, sf_dir):
+    ch = roles.membership_changes(spark, sf_dir)
+    ev = roles.table(spark, sf_dir, "events")
+    cur = (ev.filter(F.col("event_type") == "purchase")
+           .groupBy(F.format_string("U%d", F.col("user_id")).alias("ticker"))
+           .agg(F.max(F.to_date("ts")).alias("last_purchase"))
+           .filter(F.col("last_purchase") >= F.lit(MEMBERSHIP_END).cast("date")).select("ticker"))
+    return ch, cur
+
+
+@register("membership_intervals", f"""
+WITH ch AS (SELECT printf('U%d', user_id) AS t, CAST(ts AS DATE) AS d, event_id AS q,
+                   CASE WHEN event_type = 'signup' THEN 'added' ELSE 'removed' END AS op
+            FROM events WHERE event_type IN ('signup', 'error')),
+cur AS (SELECT printf('U%d', user_id) AS t FROM events WHERE event_type = 'purchase' GROUP BY 1
+        HAVING max(CAST(ts AS DATE)) >= DATE '{MEMBERSHIP_END}'),
+u AS (SELECT t, d, q, op, 1 AS k0, CASE WHEN op = 'added' THEN 0 ELSE 1 END AS k3 FROM ch
+      UNION ALL SELECT t, NULL, NULL, 'current', 0, 1 FROM cur),
+s AS (SELECT *, CASE WHEN op = 'added' THEN -1 ELSE 1 END AS delta,
+             sum(CASE WHEN op = 'added' THEN -1 ELSE 1 END) OVER w AS s,
+             min(x) OVER wp AS mprev
+      FROM (SELECT *, sum(CASE WHEN op = 'added' THEN -1 ELSE 1 END) OVER
+                        (PARTITION BY t ORDER BY k0, d DESC, q DESC, k3 ROWS UNBOUNDED PRECEDING) AS x FROM u)
+      WINDOW w AS (PARTITION BY t ORDER BY k0, d DESC, q DESC, k3 ROWS UNBOUNDED PRECEDING),
+             wp AS (PARTITION BY t ORDER BY k0, d DESC, q DESC, k3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, s - delta - least(0, coalesce(mprev, 0)) AS before FROM s),
+kk AS (SELECT *, CASE WHEN op <> 'added' THEN 'push' WHEN before > 0 THEN 'pop' ELSE 'new' END AS kind,
+              CASE WHEN op <> 'added' THEN before + 1 WHEN before > 0 THEN before END AS lvl FROM k),
+st AS (SELECT *, lead(kind) OVER lw AS nk, lead(d) OVER lw AS nd FROM kk WHERE kind <> 'new'
+       WINDOW lw AS (PARTITION BY t, lvl ORDER BY k0, d DESC, q DESC, k3)),
+iv AS (SELECT t, CASE WHEN nk = 'pop' THEN nd ELSE DATE '{MEMBERSHIP_START}' END AS date_in, d AS date_out
+       FROM st WHERE kind = 'push'
+       UNION ALL SELECT t, d, NULL FROM kk WHERE kind = 'new'),
+c1 AS (SELECT t, greatest(date_in, DATE '{MEMBERSHIP_START}') AS date_in,
+              CASE WHEN date_out > DATE '{MEMBERSHIP_END}' THEN NULL ELSE date_out END AS date_out
+       FROM iv WHERE date_in <= DATE '{MEMBERSHIP_END}' AND (date_out IS NULL OR date_out >= DATE '{MEMBERSHIP_START}'))
+SELECT t AS ticker, date_in, date_out FROM c1 WHERE date_out IS NULL OR date_in <= date_out
+""")
+def q_membership_intervals(spark, sf_dir):
+    ch, cur = _membership_inputs(spark, sf_dir)
+    return IV.reconstruct_membership(ch, cur, MEMBERSHIP_START, MEMBERSHIP_END)

@@ -84,6 +84,31 @@ def membership_windows(spark: SparkSession, sf_dir: str, max_gap_days: int = 5)
     return spells(days, "entity_id", "date", max_gap_days)
 
 
+def ship_spells(spark: SparkSession, sf_dir: str, max_gap_days: int = 14) -> DataFrame:
+    """(entity_id, spell_no, date_in, date_out): spells of a supplier's ship days."""
+    from vintage.operators.temporal import spells
+    days = daily_bars(spark, sf_dir).select("entity_id", "date")
+    return spells(days, "entity_id", "date", max_gap_days)
+
+
+def ticker_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ticker, cik): supplier name as ticker, supplier key as 10-digit cik;
+    suppliers with a negative balance have no filer id (not in the map)."""
+    from vintage.functions.keys import normalize_cik, normalize_ticker
+    s = table(spark, sf_dir, "supplier")
+    return s.filter(F.col("s_acctbal") >= 0).select(normalize_ticker("s_name").alias("ticker"),
+                                                     normalize_cik(F.col("s_suppkey")).alias("cik"))
+
+
+def universe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cik, permno, date_in, date_out): ship-day spells as validity windows of a
+    security id (supplier key + 100000) under the supplier's cik."""
+    from vintage.functions.keys import normalize_cik
+    sp = ship_spells(spark, sf_dir)
+    return sp.select(normalize_cik(F.col("entity_id")).alias("cik"),
+                     (F.col("entity_id") + 100000).alias("permno"), "date_in", "date_out")
+
+
 def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, seq, op) change rows: signup = added, error = removed."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
