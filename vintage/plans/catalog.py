@@ -1009,3 +1009,40 @@ SELECT t AS ticker, date_in, date_out FROM c1 WHERE date_out IS NULL OR date_in
 def q_membership_intervals(spark, sf_dir):
     ch, cur = _membership_inputs(spark, sf_dir)
     return IV.reconstruct_membership(ch, cur, MEMBERSHIP_START, MEMBERSHIP_END)
+
+
+# --------------------------------------------------------------------------- #
+# sources and resume: A5, A12, B4, B5
+# --------------------------------------------------------------------------- #
+from vintage.sources import files as SF  # noqa: E402
+from vintage.sources import sinks as SK  # noqa: E402
+from vintage.sources.tables import repeatable_sample  # noqa: E402
+
+
+@register("page_cells")
+def q_page_cells(spark, sf_dir):
+    return SF.html_cells(roles.table(spark, sf_dir, "pages"), "page_id")
+
+
+@register("sample_documents")
+def q_sample_documents(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return repeatable_sample(d, "doc_id", 25)
+
+
+@register("unlabelled_documents", """
+SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+""")
+def q_unlabelled_documents(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return SK.todo(d, roles.table(spark, sf_dir, "labels"), "doc_id")
+
+
+@register("labelled_long_documents", """
+SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS n_chars FROM documents d
+WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND length(text) >= 500
+""")
+def q_labelled_long_documents(spark, sf_dir):
+    d = roles.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    x = SK.long_enough(SK.done_only(d, roles.table(spark, sf_dir, "labels"), "doc_id"), "text")
+    return x.select("doc_id", "lang", F.length("text").alias("n_chars"))
