@@ -42,8 +42,9 @@ def rank_ic_by_date(df: DataFrame, date: str, score: str, target: str) -> DataFr
     """J2 per date: Spearman correlation (Pearson of average ranks) on complete rows."""
     c = df.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
     r = c.select(date, average_rank(score, date).alias("_rs"), average_rank(target, date).alias("_rt"))
-    return r.groupBy(date).agg(F.corr("_rs", "_rt").alias("ic")).filter(
-        F.col("ic").isNotNull() & ~F.isnan("ic"))
+    # Pearson of the ranks; a constant column (zero spread) gives NULL, not an error
+    ic = F.try_divide(F.covar_samp("_rs", "_rt"), F.stddev_samp("_rs") * F.stddev_samp("_rt"))
+    return r.groupBy(date).agg(ic.alias("ic")).filter(F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
 def decile_spread_by_date(df: DataFrame, date: str, score: str, target: str,

@@ -1046,3 +1046,88 @@ def q_labelled_long_documents(spark, sf_dir):
     d = roles.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     x = SK.long_enough(SK.done_only(d, roles.table(spark, sf_dir, "labels"), "doc_id"), "text")
     return x.select("doc_id", "lang", F.length("text").alias("n_chars"))
+
+
+# --------------------------------------------------------------------------- #
+# scoring and reduction: I1-I8, J5, G15-G19, K4 (iterative fits: rows-only checks)
+# --------------------------------------------------------------------------- #
+from vintage.operators import scoring as SC  # noqa: E402
+
+WALKS = (1, 2, 3)
+GBT_PARAMS = dict(max_iter=20, max_depth=4, step_size=0.1)
+
+
+def _walk_frame(spark, sf_dir):
+    tp = panel.training_panel(spark, sf_dir)
+    fr = SC.assemble_walk_features(tp, None, "entity_id", "date", "fwd_ret_5d", BT.N_BUCKETS)
+    walks = T.walk_schedule(spark, len(WALKS), "1995-01-01", 1996)
+    return T.assign_walks(fr, walks, "date")
+
+
+@register("walk_summary")
+def q_walk_summary(spark, sf_dir):
+    fr = _walk_frame(spark, sf_dir)
+    feats = SC.feature_columns(fr)
+    arms = SC.walk_summary(fr, WALKS, feats, "entity_id", "date", BT.TOP_K, "all", **GBT_PARAMS)
+    no_text = SC.drop_text_columns(fr)
+    arm2 = SC.walk_summary(no_text, WALKS, SC.feature_columns(no_text), "entity_id", "date", BT.TOP_K, "no_text",
+                           **GBT_PARAMS)
+    return arms.unionByName(arm2)
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    fr = _walk_frame(spark, sf_dir).filter(F.col("walk_id") == 1)
+    feats = SC.feature_columns(fr)
+    return SC.feature_importance(SC.fit_walk(fr, feats, **GBT_PARAMS), feats, spark)
+
+
+@register("param_search")
+def q_param_search(spark, sf_dir):
+    fr = _walk_frame(spark, sf_dir).filter(F.col("walk_id") == 1)
+    grid = [dict(max_iter=10, max_depth=3, step_size=0.1), dict(max_iter=20, max_depth=5, step_size=0.05)]
+    return SC.grid_search(fr, SC.feature_columns(fr), grid, "entity_id", "date", BT.TOP_K)
+
+
+def _pca_matrix(spark, sf_dir):
+    grid, docs, bridge = _stockday_inputs(spark, sf_dir)
+    return V.stockday_vectors(grid, docs, bridge, "entity_id", "date", "cik", "doc_id", "filing_date", "vec")
+
+
+@register("pca_walks")
+def q_pca_walks(spark, sf_dir):
+    """Expanding windows over the stock-day vectors (14-day steps); the
+    width is locked at walk 1 (95% explained variance, +1); drift vs walk 1."""
+    mat = _pca_matrix(spark, sf_dir)
+    first = mat.agg(F.min("date")).first()[0]
+    windows = mat.select("entity_id").distinct().select("entity_id", F.lit(first).alias("date_in"),
+                                                          F.lit(None).cast("date").alias("date_out"))
+    rows, locked, base = [], None, None
+    import datetime as _dt
+    for w in (1, 2, 3):
+        end = first + _dt.timedelta(days=14 * w + 13)
+        m = V.training_matrix(mat, windows, "entity_id", "date", "vec", str(first), str(end))
+        dim = len(mat.first()["vec"])
+        sc, model = V.fit_pca(m, "vec", dim)
+        ev = V.explained_variance_table(model, spark)
+        if locked is None:
+            locked = V.pick_n(ev, 0.95)
+        captured = ev.filter(F.col("component") == locked - 1).first()["cumulative"]
+        base = captured if base is None else base
+        rows.append((w, m.count(), locked, float(captured), float(captured - base)))
+    return spark.createDataFrame(rows, "walk_id int, n_train long, n_components int, var_captured double, "
+                                       "drift_vs_walk1 double")
+
+
+@register("pca_projection")
+def q_pca_projection(spark, sf_dir):
+    mat = _pca_matrix(spark, sf_dir)
+    sc, model = V.fit_pca(mat, "vec", 8)
+    return V.project(mat, sc, model, "vec", ["entity_id", "date"])
+
+
+@register("minvar_weights")
+def q_minvar_weights(spark, sf_dir):
+    fri = BT.friday_panel(spark, sf_dir)
+    board = BT.scoreboard(fri)
+    return P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
