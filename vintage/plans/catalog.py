@@ -1131,3 +1131,171 @@ def q_minvar_weights(spark, sf_dir):
     fri = BT.friday_panel(spark, sf_dir)
     board = BT.scoreboard(fri)
     return P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
+
+
+# --------------------------------------------------------------------------- #
+# portfolio analytics continued: D15, E13, K10, K11, K13-K16, E11
+# --------------------------------------------------------------------------- #
+LOOKBACK = 26
+
+
+@register("trailing_covariance", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_BOARD},
+hd AS (SELECT DISTINCT date FROM fri),
+hn AS (SELECT date, row_number() OVER (ORDER BY date) AS hn FROM hd),
+flags AS (SELECT date, max(h) AS h FROM (SELECT date, 0 AS h FROM board UNION ALL SELECT date, 1 FROM hd) GROUP BY date),
+bef AS (SELECT date, coalesce(sum(h) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hb
+        FROM flags),
+sp0 AS (SELECT b.date, b.entity_id, be.hb, unnest(range(1, {LOOKBACK + 1})) AS lag_no FROM board b
+        JOIN bef be ON b.date = be.date),
+sp AS (SELECT *, hb - lag_no + 1 AS hn FROM sp0 WHERE hb - lag_no + 1 >= 1),
+tr AS (SELECT s.date, s.entity_id, s.lag_no, coalesce(f.fwd_ret_5d, 0.0) AS x FROM sp s JOIN hn ON s.hn = hn.hn
+       LEFT JOIN fri f ON f.entity_id = s.entity_id AND f.date = hn.date),
+c AS (SELECT a.date, a.entity_id AS i, b.entity_id AS j, covar_samp(a.x, b.x) AS cov FROM tr a JOIN tr b
+      ON a.date = b.date AND a.lag_no = b.lag_no GROUP BY a.date, a.entity_id, b.entity_id)
+SELECT date, i, j, round(cov + CASE WHEN i = j THEN 1e-6 ELSE 0.0 END, 6) + 0.0 AS cov FROM c
+""")
+def q_trailing_covariance(spark, sf_dir):
+    fri = BT.friday_panel(spark, sf_dir)
+    board = BT.scoreboard(fri).select("date", "entity_id")
+    th = P.trailing_history(board, fri, "date", "entity_id", "fwd_ret_5d", LOOKBACK)
+    return round_doubles(P.covariance_long(th, "date", "entity_id", "fwd_ret_5d"))
+
+
+def _sql_roll(v: str, c: str = "cost", w: int = 16) -> str:
+    frame = f"OVER (ORDER BY date ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+    return (f"CASE WHEN count({v}) {frame} >= 2 THEN avg({v}) {frame} / (stddev_pop({v}) {frame} + 1e-6) - {c} "
+            f"ELSE {v} - {c} END")
+
+
+@register("reward_series", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_RETURNS},
+p AS (SELECT date, max(CASE WHEN strategy = 'TILT' THEN return_gross END) AS port,
+             max(CASE WHEN strategy = 'EW' THEN return_gross END) AS base,
+             max(CASE WHEN strategy = 'SP' THEN return_gross END) AS spr,
+             max(CASE WHEN strategy = 'TILT' THEN turnover END) * {BT.COST_BPS / 1e4} AS cost FROM rets GROUP BY date),
+q AS (SELECT *, port - base AS excess_return, port - spr AS active_return FROM p)
+SELECT date, round(excess_return, 6) + 0.0 AS excess_return, round(excess_return - cost, 6) + 0.0 AS reward_excess,
+  round(port - cost, 6) + 0.0 AS reward_return_only,
+  round(excess_return - 5.0 * greatest(0.0, -port) - cost, 6) + 0.0 AS reward_downside,
+  round({_sql_roll("excess_return")}, 6) + 0.0 AS reward_sharpe,
+  round({_sql_roll("port")}, 6) + 0.0 AS reward_sharpe_total,
+  round({_sql_roll("active_return")}, 6) + 0.0 AS reward_ir_vs_baseline
+FROM q
+""")
+def q_reward_series(spark, sf_dir):
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    p = r.groupBy("date").agg(
+        F.max(F.when(F.col("strategy") == "TILT", F.col("return_gross"))).alias("port"),
+        F.max(F.when(F.col("strategy") == "EW", F.col("return_gross"))).alias("base"),
+        F.max(F.when(F.col("strategy") == "SP", F.col("return_gross"))).alias("spr"),
+        (F.max(F.when(F.col("strategy") == "TILT", F.col("turnover"))) * (BT.COST_BPS / 1e4)).alias("cost"))
+    out = M.reward_columns(p.withColumn("series", F.lit("TILT")), "series", "date", "port", "base", "spr", "cost")
+    return round_doubles(out.select("date", "excess_return", "reward_excess", "reward_return_only", "reward_downside",
+                                    "reward_sharpe", "reward_sharpe_total", "reward_ir_vs_baseline"))
+
+
+@register("observation_table", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_RETURNS},
+z AS (SELECT date, entity_id, CAST(slot AS INTEGER) AS slot,
+        {", ".join(f"coalesce(({c} - avg({c}) OVER d) / (stddev_pop({c}) OVER d + 1e-8), 0.0) AS {c}_z"
+                   for c in ("score", "ret", "vol"))}
+      FROM board WINDOW d AS (PARTITION BY date)),
+l AS (SELECT date, {", ".join(f"coalesce(lag(return_gross, {k}) OVER (ORDER BY date), 0.0) AS ret_lag_{k}"
+                               for k in range(1, 5))} FROM rets WHERE strategy = 'SP')
+SELECT z.date, z.entity_id, z.slot, {", ".join(f"round({c}_z, 6) + 0.0 AS {c}_z" for c in ("score", "ret", "vol"))},
+       {", ".join(f"round(l.ret_lag_{k}, 6) + 0.0 AS ret_lag_{k}" for k in range(1, 5))}
+FROM z JOIN l ON z.date = l.date
+""")
+def q_observation_table(spark, sf_dir):
+    board = BT.scoreboard(BT.friday_panel(spark, sf_dir))
+    z = X.zscore(board, "date", ["score", "ret", "vol"], suffix="_z").select(
+        "date", "entity_id", "slot", "score_z", "ret_z", "vol_z")
+    r = BT.weekly_returns(BT.strategy_weights(board)).filter(F.col("strategy") == "SP")
+    lags = M.lagged_returns(r, "strategy", "date", "return_gross", 4).select("date", *[f"ret_lag_{k}" for k in range(1, 5)])
+    return round_doubles(z.join(lags, "date"))
+
+
+SQL_WALK_RETURNS = f"""
+{SQL_WEIGHTS},
+wk AS (SELECT CAST(n AS INTEGER) AS walk_id, make_date(CAST(1997 + n AS INTEGER), 1, 1) AS t0,
+              make_date(CAST(1997 + n AS INTEGER), 12, 31) AS t1 FROM range(1, 4) t(n)),
+ww AS (SELECT w.*, k.walk_id FROM weights w JOIN wk k ON w.date BETWEEN k.t0 AND k.t1),
+wtv0 AS (SELECT walk_id, strategy, date, abs(w - coalesce(lag(w) OVER (PARTITION BY strategy, walk_id, slot ORDER BY date),
+                                                      1.0 / count(*) OVER (PARTITION BY strategy, walk_id, date))) AS d
+         FROM ww),
+wtv AS (SELECT walk_id, strategy, date, sum(d) AS turnover FROM wtv0 GROUP BY ALL),
+wgr AS (SELECT walk_id, strategy, date, sum(w * coalesce(fwd_ret_5d, 0.0)) AS return_gross FROM ww GROUP BY ALL),
+wret AS (SELECT g.*, t.turnover, g.return_gross - {BT.COST_BPS / 1e4} * t.turnover AS return_net
+         FROM wgr g JOIN wtv t USING (walk_id, strategy, date))"""
+
+
+def _walk_returns(spark, sf_dir):
+    board = BT.scoreboard(BT.friday_panel(spark, sf_dir))
+    w = BT.strategy_weights(board)
+    walks = T.walk_schedule(spark, len(WALKS), "1995-01-01", 1996)
+    lab = T.assign_walks(w, walks, "date").filter(F.col("split") == "test").drop("split")
+    return BT.weekly_returns(lab, series_by=("strategy", "walk_id"), with_sixty_forty=False)
+
+
+@register("walk_returns", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WALK_RETURNS}
+SELECT walk_id, strategy, date, round(return_gross, 6) + 0.0 AS return_gross, round(turnover, 6) + 0.0 AS turnover,
+       round(return_net, 6) + 0.0 AS return_net FROM wret
+""")
+def q_walk_returns(spark, sf_dir):
+    r = _walk_returns(spark, sf_dir)
+    return round_doubles(r.select("walk_id", "strategy", "date", "return_gross", "turnover", "return_net"))
+
+
+@register("walk_annualised", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WALK_RETURNS}
+SELECT walk_id, strategy, round(pow(1 + avg(return_net), 52.0) - 1, 6) + 0.0 AS annualized_from_mean
+FROM wret GROUP BY walk_id, strategy
+""")
+def q_walk_annualised(spark, sf_dir):
+    return round_doubles(M.mean_annualised(_walk_returns(spark, sf_dir), ["walk_id", "strategy"]))
+
+
+_SQL_METRICS_BODY = ORACLE["strategy_metrics"].split("WITH ", 1)[1]
+
+
+@register("strategy_comparison", f"""
+WITH m AS (WITH {_SQL_METRICS_BODY})
+SELECT strategy, sharpe, max(CASE WHEN strategy = 'EW' THEN sharpe END) OVER () AS base_sharpe,
+       round(sharpe - max(CASE WHEN strategy = 'EW' THEN sharpe END) OVER (), 6) + 0.0 AS diff_sharpe,
+       sharpe - max(CASE WHEN strategy = 'EW' THEN sharpe END) OVER () > 0 AS win
+FROM m
+""")
+def q_strategy_comparison(spark, sf_dir):
+    m = round_doubles(BT.build_summary(spark, sf_dir))
+    c = M.compare_to_base(m, "strategy", "EW", ["sharpe"])
+    return round_doubles(c.select("strategy", "sharpe", "base_sharpe", "diff_sharpe", "win"))
+
+
+@register("strategy_leaderboard", f"""
+WITH m AS (WITH {_SQL_METRICS_BODY})
+SELECT strategy, sharpe, CAST(row_number() OVER (ORDER BY sharpe DESC NULLS LAST) AS INTEGER) AS rank FROM m
+""")
+def q_strategy_leaderboard(spark, sf_dir):
+    m = round_doubles(BT.build_summary(spark, sf_dir))
+    return M.leaderboard(m, "sharpe").select("strategy", "sharpe", "rank")
+
+
+_ZI_COLS = ["prc", "vol", *[T.series_column(s) for s in MACRO_SERIES], "days_since_filing", "doc_count_7d"]
+
+
+@register("zero_info_report", f"""
+WITH {SQL_TRAINING}
+{" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values, "
+                    f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, "
+                    f"count({c}) = 0 OR min({c}) = max({c}) AS zero_info FROM training" for c in _ZI_COLS)}
+""")
+def q_zero_info_report(spark, sf_dir):
+    t = panel.training_panel(spark, sf_dir)
+    parts = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n_values"),
+                               F.min(c).cast("double").alias("min_value"), F.max(c).cast("double").alias("max_value"))
+                      for c in _ZI_COLS])
+    rows = t.agg(parts.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    rows = rows.withColumn("zero_info", (F.col("n_values") == 0) | (F.col("min_value") == F.col("max_value")))
+    return round_doubles(rows)
