@@ -1299,3 +1299,48 @@ def q_zero_info_report(spark, sf_dir):
     rows = t.agg(parts.alias("r")).select(F.explode("r").alias("r")).select("r.*")
     rows = rows.withColumn("zero_info", (F.col("n_values") == 0) | (F.col("min_value") == F.col("max_value")))
     return round_doubles(rows)
+
+
+# --------------------------------------------------------------------------- #
+# streaming: L1-L3 (each runs a stream to completion, then reads its sink)
+# --------------------------------------------------------------------------- #
+from vintage.streaming import incremental as ST  # noqa: E402
+
+
+def _stream_of(spark, sf_dir, name):
+    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
+    return ST.file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
+
+
+@register("stream_clean_pages", f"""
+SELECT page_id, clean_text, n_chars FROM ({ORACLE["clean_pages"]})
+""")
+def q_stream_clean_pages(spark, sf_dir):
+    sink, ckpt = ST.stream_paths(spark, "clean_pages")
+    ST.run_available(ST.clean_new_documents(_stream_of(spark, sf_dir, "pages"), "page_id", "html"), sink, ckpt)
+    return spark.read.parquet(sink).select("page_id", "clean_text", F.col("n_chars").cast("int").alias("n_chars"))
+
+
+@register("stream_dedup_orders", """
+SELECT DISTINCT l_orderkey AS order_key FROM lineitem
+""")
+def q_stream_dedup_orders(spark, sf_dir):
+    sink, ckpt = ST.stream_paths(spark, "dedup_orders")
+    s = _stream_of(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
+    ST.run_available(ST.dedupe_stream(s, "l_orderkey", "l_shipdate", "150 days"), sink, ckpt)
+    return spark.read.parquet(sink).select(F.col("l_orderkey").alias("order_key"))
+
+
+@register("stream_doc_count", f"""
+WITH {SQL_FUND}, {SQL_FILINGS},
+days AS (SELECT cik, filing_date + CAST(unnest(range(0, 8)) AS INTEGER) AS date FROM filings)
+SELECT cik, date, count(*) AS n FROM days GROUP BY cik, date
+""")
+def q_stream_doc_count(spark, sf_dir):
+    sink, ckpt = ST.stream_paths(spark, "doc_count")
+    orders = _stream_of(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    li = roles.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    ev = orders.join(li, orders.o_orderkey == li.l_orderkey).select(
+        K.normalize_cik(F.col("l_suppkey")).alias("cik"), "o_orderdate")
+    ST.run_upserts(ST.trailing_counts(ev, "cik", "o_orderdate", 7), sink, ckpt)
+    return ST.latest(spark, sink, ["cik", "date"]).select("cik", "date", "n")
