@@ -1344,3 +1344,92 @@ def q_stream_doc_count(spark, sf_dir):
         K.normalize_cik(F.col("l_suppkey")).alias("cik"), "o_orderdate")
     ST.run_upserts(ST.trailing_counts(ev, "cik", "o_orderdate", 7), sink, ckpt)
     return ST.latest(spark, sink, ["cik", "date"]).select("cik", "date", "n")
+
+
+# --------------------------------------------------------------------------- #
+# gates and audits: B6, B7, B9, B11, E2, F8
+# --------------------------------------------------------------------------- #
+@register("leakage_gate", f"""
+WITH {SQL_DAILY}, {SQL_FUND},
+p AS (SELECT d.date, f.datekey FROM daily d ASOF LEFT JOIN fund f ON d.entity_id = f.entity_id AND d.date >= f.datekey)
+SELECT 'all' AS scope, 'LEAKAGE' AS rule, CAST(count(*) FILTER (WHERE datekey > date) AS DOUBLE) AS value,
+       0.0 AS "limit", count(*) FILTER (WHERE datekey > date) <= 0 AS ok FROM p
+""")
+def q_leakage_gate(spark, sf_dir):
+    j = panel.pit_panel(roles.daily_bars(spark, sf_dir), roles.fundamentals(spark, sf_dir))
+    return G.leakage_table(j, "datekey", "date")
+
+
+@register("match_rate_gate", f"""
+WITH {SQL_XWALK},
+r AS (SELECT r.ticker, r.datekey, m.cik FROM srows r LEFT JOIN tmap m ON r.ticker = m.ticker),
+x AS (SELECT r.*, EXISTS (SELECT 1 FROM uids u WHERE u.cik = r.cik) AS resolved FROM r)
+SELECT 'all' AS scope, 'MATCH_RATE' AS rule, round(avg(CASE WHEN resolved THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS value,
+       0.95 AS "limit", avg(CASE WHEN resolved THEN 1.0 ELSE 0.0 END) >= 0.95 AS ok FROM x
+""")
+def q_match_rate_gate(spark, sf_dir):
+    f = roles.fundamentals(spark, sf_dir)
+    s = roles.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    rows = (f.join(s, f.entity_id == s.s_suppkey).select(K.normalize_ticker("s_name").alias("ticker"), "datekey")
+            .distinct().join(roles.ticker_map(spark, sf_dir), "ticker", "left"))
+    res = IV.resolve_by_window(rows, "cik", "datekey", roles.universe_ids(spark, sf_dir), "permno",
+                               drop_unresolved=False)
+    return round_doubles(G.match_rate_table(res, "permno", 0.95))
+
+
+@register("min_rows_gate", f"""
+WITH {SQL_TRAINING}
+SELECT CAST(year AS VARCHAR) AS scope, 'MIN_ROWS' AS rule, CAST(count(*) AS DOUBLE) AS value, 1000.0 AS "limit",
+       count(*) >= 1000 AS ok FROM training GROUP BY year
+""")
+def q_min_rows_gate(spark, sf_dir):
+    return G.min_count_table(panel.training_panel(spark, sf_dir), 1000, by="year")
+
+
+@register("coverage_audit", f"""
+WITH {SQL_XWALK}
+SELECT count(*) AS n_tickers,
+       count(*) FILTER (WHERE cik IN (SELECT cik FROM uids)) AS n_in_universe,
+       round(avg(CASE WHEN cik IN (SELECT cik FROM uids) THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS share_in_universe,
+       (SELECT min(date_in) FROM uids) AS first_date, (SELECT max(date_in) FROM uids) AS last_date
+FROM tmap
+""")
+def q_coverage_audit(spark, sf_dir):
+    tm = roles.ticker_map(spark, sf_dir)
+    u = roles.universe_ids(spark, sf_dir)
+    flag = tm.join(u.select("cik").distinct().withColumn("_in", F.lit(True)), "cik", "left")
+    # one pass over both tables (a union), no join of one-row aggregates
+    t = flag.select(F.lit(1).alias("_t"), F.col("_in").isNotNull().alias("_hit"), F.lit(None).cast("date").alias("d"))
+    v = u.select(F.lit(0).alias("_t"), F.lit(None).cast("boolean").alias("_hit"), F.col("date_in").alias("d"))
+    a = t.unionByName(v).agg(
+        F.count_if(F.col("_t") == 1).alias("n_tickers"), F.count_if(F.col("_hit")).alias("n_in_universe"),
+        F.avg(F.when(F.col("_t") == 1, F.col("_hit").cast("double"))).alias("share_in_universe"),
+        F.min("d").alias("first_date"), F.max("d").alias("last_date"))
+    return round_doubles(a)
+
+
+@register("filings_per_year", f"""
+WITH {SQL_FUND}, {SQL_FILINGS}
+SELECT CAST(year(filing_date) AS INTEGER) AS year, form_type, count(*) AS n FROM filings GROUP BY ALL
+""")
+def q_filings_per_year(spark, sf_dir):
+    f = roles.filings(spark, sf_dir)
+    return f.groupBy(F.year("filing_date").alias("year"), "form_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("scoreboard_extension", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_BOARD},
+present AS (SELECT DISTINCT date FROM board WHERE year(date) < 2000),
+wanted AS (SELECT DISTINCT date FROM fri WHERE year(date) >= 1999),
+todo AS (SELECT date FROM wanted EXCEPT SELECT date FROM present)
+SELECT b.entity_id, b.date, CAST(b.slot AS INTEGER) AS slot FROM board b WHERE b.date IN (SELECT date FROM todo)
+""")
+def q_scoreboard_extension(spark, sf_dir):
+    """F8: score only the dates still missing from a stored scoreboard (here:
+    the board before 2000 is 'present'; Fridays from 1999 on are 'wanted')."""
+    fri = BT.friday_panel(spark, sf_dir)
+    present = BT.scoreboard(fri.filter(F.year("date") < 2000)).select("date").distinct()
+    wanted = fri.filter(F.year("date") >= 1999).select("date").distinct()
+    todo_dates = SK.missing_partitions(wanted, present, "date")
+    new = BT.scoreboard(fri.join(todo_dates, "date", "left_semi"))
+    return new.select("entity_id", "date", "slot")
