@@ -5,7 +5,7 @@ is one plan; nothing loops over dates on the driver.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintage.functions.core import is_friday
@@ -47,27 +47,48 @@ def scoreboard(fri: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def strategy_weights(board: DataFrame, cap: float = MAX_WEIGHT, method: str = "exact") -> DataFrame:
-    """Long weights (strategy, date, entity_id, slot, w, fwd_ret_5d) for EW, SP, TILT."""
-    cols = ["date", "entity_id", "slot", "fwd_ret_5d"]
-    ew = P.equal_weights(board, "date").select(F.lit("EW").alias("strategy"), *cols, "w")
-    sp = P.capped_softmax(board, "date", "score", cap, "entity_id", "w", method)
-    tilt = P.tilted_weights(sp.withColumn("action", action_expr()).withColumnRenamed("w", "base_w"),
-                            "date", "base_w", "action", TILT_SCALE, cap, "entity_id", "w", method)
-    sp = sp.select(F.lit("SP").alias("strategy"), *cols, "w")
-    tilt = tilt.select(F.lit("TILT").alias("strategy"), *cols, "w")
-    return ew.unionByName(sp).unionByName(tilt)
+    """Long weights (strategy, date, entity_id, slot, w, fwd_ret_5d) for EW, SP, TILT.
+
+    All rules are computed as columns of one board (windows over the same
+    date partitioning) and turned long with ``explode`` — one pass over the
+    board instead of one branch per strategy.
+    """
+    x = P.equal_weights(board, "date", "w_ew")
+    x = P.capped_softmax(x, "date", "score", cap, "entity_id", "w_sp", method)
+    x = P.tilted_weights(x.withColumn("action", action_expr()), "date", "w_sp", "action", TILT_SCALE, cap,
+                         "entity_id", "w_tilt", method)
+    arms = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(c).alias("w"))
+                     for n, c in (("EW", "w_ew"), ("SP", "w_sp"), ("TILT", "w_tilt"))])
+    return x.select("date", "entity_id", "slot", "fwd_ret_5d", F.explode(arms).alias("a")).select(
+        "a.strategy", "date", "entity_id", "slot", "a.w", "fwd_ret_5d")
 
 
 def weekly_returns(weights: DataFrame, cost_bps: float = COST_BPS, series_by=("strategy",),
                    with_sixty_forty: bool = True) -> DataFrame:
-    """(strategy, date, return_gross, turnover, return_net); turnover in slot mode."""
+    """(strategy, date, return_gross, turnover, return_net); turnover in slot mode.
+
+    Return and turnover come from one aggregate per (series, date); the 60/40
+    proxy is emitted from the equal-weight rows (K5), not from a second branch.
+    """
     sb = list(series_by)
-    g = P.portfolio_returns(weights, sb + ["date"], "w", "fwd_ret_5d")
-    t = P.turnover_slot(weights, sb, "date", "slot", "w")
-    r = g.join(t, sb + ["date"])
+    k = F.count(F.lit(1)).over(Window.partitionBy(*sb, "date"))
+    prev = F.lag("w").over(Window.partitionBy(*sb, "slot").orderBy("date"))
+    x = weights.select(*sb, "date", "w", "fwd_ret_5d",
+                       F.abs(F.col("w") - F.coalesce(prev, F.lit(1.0) / k)).alias("_d"))
+    r = x.groupBy(*sb, "date").agg(
+        F.sum(F.col("w") * F.coalesce(F.col("fwd_ret_5d"), F.lit(0.0))).alias("return_gross"),
+        F.sum("_d").alias("turnover"))
     if with_sixty_forty:
-        sf = P.sixty_forty(r.filter(F.col("strategy") == "EW"), yield_col=None)
-        r = r.unionByName(sf.withColumn("strategy", F.lit("SIXTY_FORTY")))
+        ew = F.col("strategy") == "EW"
+        arms = F.when(ew, F.array(F.struct(F.col("strategy"), F.col("return_gross"), F.col("turnover")),
+                                  F.struct(F.lit("SIXTY_FORTY").alias("strategy"),
+                                           (F.lit(0.6) * F.col("return_gross") + F.lit(0.4 * 4.0 / 5200.0))
+                                           .alias("return_gross"),
+                                           (F.lit(0.6) * F.col("turnover")).alias("turnover")))
+                      ).otherwise(F.array(F.struct(F.col("strategy"), F.col("return_gross"), F.col("turnover"))))
+        others = [c for c in sb if c != "strategy"]
+        r = r.select(*others, "date", F.explode(arms).alias("a")).select(
+            "a.strategy", *others, "date", "a.return_gross", "a.turnover")
     return P.net_returns(r, cost_bps)
 
 
