@@ -48,7 +48,10 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vintage.operators.asof import days_since_event
     d = roles.daily_bars(spark, sf_dir).select(
         "entity_id", F.lpad(F.col("entity_id").cast("string"), 10, "0").alias("cik"), "date", "ret", "prc", "vol")
-    member = T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date")
+    from vintage.session import materialize
+    # the member panel feeds several steps (as-of, counts, labels): write it once
+    member = materialize(T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date"),
+                         "member_panel")
     x = member.join(macro_on_axis(spark, sf_dir), "date", "left")
     f = roles.filings(spark, sf_dir)
     x = days_since_event(x, f.filter(F.col("form_type").isin(*KQ8_FORMS)), "cik", "date", "filing_date",
