@@ -238,3 +238,32 @@ def test_membership_flag_and_filter(spark):
     assert got == {(101, d("2009-01-15")): False, (101, d("2009-02-02")): True,
                    (202, d("2009-01-15")): True, (303, d("2009-01-15")): False}
     assert T.membership_filter(p, w, "permno", "date").count() == 2
+
+
+def test_weights_from_rule_and_rollup(spark):
+    import pandas as pd
+    b = spark.createDataFrame([(d("2020-01-03"), e, float(e)) for e in range(4)], "date date, e long, score double")
+
+    def rule(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf["w"] = pdf["score"] / pdf["score"].sum()
+        return pdf
+    w = P.weights_from_rule(b, "date", rule)
+    assert sum(r.w for r in w.collect()) == pytest.approx(1.0)
+    s = spark.createDataFrame([(1, 0.5), (2, 0.7), (3, 0.2)], "walk int, ic double")
+    got = {r.walk: r.ic_drift for r in M.rollup_vs_first(s, "walk", ["ic"]).collect()}
+    assert got[1] == 0 and got[2] == pytest.approx(0.2) and got[3] == pytest.approx(-0.3)
+
+
+def test_pca_model_roundtrip(spark, tmp_path):
+    from pyspark.ml.feature import PCAModel
+    from vintage.operators import vectors as V
+    rng = np.random.RandomState(0)
+    m = spark.createDataFrame([(i, [float(x) for x in rng.randn(4)]) for i in range(30)], "i int, vec array<double>")
+    sc, model = V.fit_pca(m, "vec", 2)
+    p = V.save_walk_model(model, str(tmp_path), 1)
+    back = V.load_walk_model(PCAModel, str(tmp_path), 1)
+    assert back.getK() == 2 and p.endswith("walk-001")
+    out = V.project(m, sc, back, "vec", ["i"])
+    assert out.columns == ["i", "pca_0", "pca_1"]
+    with pytest.raises(ValueError):
+        V.fit_pca(m.limit(1), "vec", 2)

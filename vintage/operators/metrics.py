@@ -119,3 +119,13 @@ def leaderboard(results: DataFrame, by_metric: str, descending: bool = True) ->
     """Experiment rows ranked by a metric (rank column; the sink orders)."""
     o = F.col(by_metric).desc_nulls_last() if descending else F.col(by_metric).asc_nulls_last()
     return results.withColumn("rank", F.row_number().over(Window.orderBy(o)))
+
+
+def rollup_vs_first(df: DataFrame, order: str, cols: Sequence[str], suffix: str = "_drift") -> DataFrame:
+    """Per-walk rows next to their drift from the first row in ``order``
+    (one row per walk: a small table, a single global window is fine)."""
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    out = df
+    for c in cols:
+        out = out.withColumn(c + suffix, F.col(c) - F.first(c).over(w))
+    return out

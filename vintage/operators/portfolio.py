@@ -293,5 +293,15 @@ def min_variance_weights(board: DataFrame, history: DataFrame, by, date: str, en
             res[c] = first[c]
         return res[by + [date, entity, out]]
 
-    schema = board.select(*by, date, entity).schema.add(out, "double")
+    from pyspark.sql import types as T
+    schema = T.StructType(list(board.select(*by, date, entity).schema.fields) + [T.StructField(out, T.DoubleType())])
     return g.groupBy(*by, date).applyInPandas(solve, schema=schema)
+
+
+def weights_from_rule(board: DataFrame, by, rule, out: str = "w") -> DataFrame:
+    """M1: externally supplied weights — ``rule(pdf) -> pdf`` adds ``out`` to one
+    date's (small, K-row) board; applied per group with ``applyInPandas``."""
+    from pyspark.sql import types as T
+    by = as_list(by)
+    schema = T.StructType(list(board.schema.fields) + [T.StructField(out, T.DoubleType())])
+    return board.groupBy(*by).applyInPandas(rule, schema=schema)

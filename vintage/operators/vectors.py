@@ -164,3 +164,15 @@ def project(df: DataFrame, scaler, pca_model, vec: str, keys: Sequence[str], n:
     v = df.withColumn("_v", array_to_vector(vec))
     p = pca_model.transform(scaler.transform(v)).withColumn("_a", vector_to_array("_p"))
     return p.select(*keys, *[(F.col("_a")[i] * signs[i]).cast("float").alias(f"{prefix}{i}") for i in range(k)])
+
+
+def save_walk_model(model, root: str, walk_id: int) -> str:
+    """Persist a fitted model (or pipeline) for a walk under ``root``."""
+    path = f"{root.rstrip('/')}/walk-{walk_id:03d}"
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_walk_model(loader, root: str, walk_id: int):
+    """Load the walk's model with ``loader`` (e.g. ``PCAModel`` or ``PipelineModel``)."""
+    return loader.load(f"{root.rstrip('/')}/walk-{walk_id:03d}")

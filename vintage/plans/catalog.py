@@ -1433,3 +1433,16 @@ def q_scoreboard_extension(spark, sf_dir):
     todo_dates = SK.missing_partitions(wanted, present, "date")
     new = BT.scoreboard(fri.join(todo_dates, "date", "left_semi"))
     return new.select("entity_id", "date", "slot")
+
+
+@register("strategy_menu")
+def q_strategy_menu(spark, sf_dir):
+    """EW, SP, TILT, 60/40 and minimum-variance on one scoreboard, one plan."""
+    fri = BT.friday_panel(spark, sf_dir)
+    board = BT.scoreboard(fri)
+    w = BT.strategy_weights(board)
+    mv = P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
+    mv = mv.join(board.select("date", "entity_id", "slot", "fwd_ret_5d"), ["date", "entity_id"]).select(
+        F.lit("MINVAR").alias("strategy"), "date", "entity_id", "slot", "w", "fwd_ret_5d")
+    r = BT.weekly_returns(w.unionByName(mv))
+    return M.rollup_vs_first(M.strategy_metrics(r, "strategy", "date"), "strategy", ["sharpe"])
