@@ -19,9 +19,23 @@ HEADLINE = [
     "pit_asof", "days_since_filing", "doc_count_window", "forward_returns", "membership_flag",
     "text_novelty", "macro_ffill", "crosssection_targets", "scoreboard_topk", "ranking_metrics",
     "capped_weights", "strategy_metrics", "clean_pages", "refilter_documents", "token_chunks",
-    "stockday_vectors", "training_panel",
+    "stockday_vectors", "training_panel", "crosswalk_resolve", "membership_intervals",
 ]
 
+# Throughput figures next to the reference's pipeline anchors (BASELINE rows 3, 5, 7, 8):
+# query -> (input table whose rows are the unit, unit name)
+THROUGHPUT = {
+    "clean_pages": ("pages", "pages_per_s"),
+    "refilter_documents": ("documents", "docs_per_s"),
+    "pit_asof": ("lineitem", "input_rows_per_s"),
+    "training_panel": ("lineitem", "input_rows_per_s"),
+}
+
+
+def _rows(sf_dir: str, table: str) -> int:
+    import pyarrow.parquet as pq
+    return pq.ParquetFile(f"{sf_dir.rstrip('/')}/{table}.parquet").metadata.num_rows
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -36,9 +50,11 @@ def main() -> None:
         catalog.QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
+    tput = {f"{q}_{unit}": round(_rows(sf_dir, t) / times[q], 1)
+            for q, (t, unit) in THROUGHPUT.items() if q in times and times[q] > 0}
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(cpus)}))
+                      "cpus": int(cpus), "throughput": tput}))
     spark.stop()
 
 
