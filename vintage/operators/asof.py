@@ -35,21 +35,6 @@ def _bucket(t: Column, unit: str) -> Column:
     return F.to_date(F.date_trunc(unit, t))
 
 
-def latest_per_time(right: DataFrame, by, on: str, tie_break=(), cols=None) -> DataFrame:
-    """One right row per ``(by, on)``: the last in ``tie_break`` order."""
-    by = as_list(by)
-    cols = [c for c in (cols or right.columns) if c not in by and c != on]
-    payload = F.struct(*[F.col(c) for c in cols])
-    tb = as_list(tie_break)
-    if not tb:
-        # ties without a tie-break are only allowed when rows are identical
-        agg = F.max(payload)
-    else:
-        agg = F.max_by(payload, F.struct(*[F.col(c) for c in tb]))
-    return (right.groupBy(*[F.col(c) for c in by], F.col(on))
-            .agg(agg.alias("_r")).select(*by, on, "_r.*"))
-
-
 def asof_join(left: DataFrame, right: DataFrame, by, left_on: str, right_on: str,
               tie_break=(), right_cols=None, bucket: str = "month",
               how: str = "left") -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.functions.core import FAR_FUTURE, as_list, open_end
+from vintage.functions.core import FAR_FUTURE, open_end
 
 
 def _far() -> F.Column:

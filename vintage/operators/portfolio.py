@@ -7,7 +7,6 @@ names, so every window and array fold below works on a bounded group.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd

@@ -8,12 +8,12 @@ input may repeat a key first collapse it with a partial aggregate.
 """
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vintage.functions.core import FAR_FUTURE, as_list, open_end
+from vintage.functions.core import as_list, open_end
 
 
 # --------------------------------------------------------------------------- #

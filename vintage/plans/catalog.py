@@ -186,10 +186,6 @@ def q_text_novelty(spark, sf_dir):
     return round_doubles(out)
 
 
-def _macro_cols():
-    return [(T.series_column(s), s) for s in MACRO_SERIES]
-
-
 @register("macro_ffill", f"""
 WITH m AS (SELECT CAST(o_orderdate AS DATE) AS date, regexp_replace(o_orderpriority, '^[0-9]-', '') AS series,
                   avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),

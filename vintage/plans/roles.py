@@ -10,7 +10,7 @@ derived from them, so the work of each query grows with the data.
 | daily bars      | lineitem by (supplier, ship day)                              |
 | fundamentals    | lineitem x orders: order date is the filing date              |
 | filings         | same rows, order priority as the form type                    |
-| membership      | events: signup = added, error = removed, per user             |
+| membership      | spells of order or ship days; events: signup/error change log |
 | macro           | orders by (order day, priority) or events by (day, type)      |
 | vectors         | embeddings: label = entity, 2024-01-01 + vec_id % 30 = date   |
 | pages / text    | pages.html, documents.text                                    |
@@ -119,17 +119,6 @@ def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
                       .otherwise(F.lit("removed")).alias("op"))
 
 
-def supplier_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval table (entity_id, window_id, date_in, date_out): per supplier and
-    return flag, the first and last ship day; the 'N' flag is left open-ended."""
-    li = table(spark, sf_dir, "lineitem")
-    w = (li.groupBy(F.col("l_suppkey").alias("entity_id"), F.col("l_returnflag").alias("window_id"))
-         .agg(F.min(F.to_date("l_shipdate")).alias("date_in"),
-              F.max(F.to_date("l_shipdate")).alias("date_out")))
-    return w.withColumn("date_out", F.when(F.col("window_id") == "N", F.lit(None).cast("date"))
-                        .otherwise(F.col("date_out")))
-
-
 def macro_long_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(date, series, value): mean order value per order day and priority."""
     od = table(spark, sf_dir, "orders")
