@@ -31,27 +31,29 @@ def softmax(board: DataFrame, by, score: str, out: str = "w") -> DataFrame:
     return board.withColumn("_e", e).withColumn(out, F.col("_e") / F.sum("_e").over(w)).drop("_e")
 
 
-def cap_weights(df: DataFrame, by, w: str, cap: float, entity: str, out: str | None = None) -> DataFrame:
+def cap_weights(df: DataFrame, by, w: str, cap, entity: str, out: str | None = None) -> DataFrame:
     """K2 ``exact``: the fixed point of capping — names above ``cap`` are set to it
     and the rest rescaled proportionally until none exceeds it.
 
     With weights sorted descending and m names capped, the others scale by
     ``(1 - m cap) / sum_{i>m} w_i``; m is the smallest count for which the
     largest uncapped name fits. One ordered window pass per group.
-    Raises at run time when ``n * cap < 1`` (infeasible).
+    Raises at run time when ``n * cap < 1`` (infeasible). ``cap`` is a number or
+    a column (e.g. a per-date cap).
     """
     by = as_list(by)
     out = out or w
+    cap = cap if isinstance(cap, Column) else F.lit(float(cap))
     g = Window.partitionBy(*by)
     o = g.orderBy(F.col(w).desc(), F.col(entity).asc())
     x = (df.withColumn("_r", F.row_number().over(o))
          .withColumn("_n", F.count(F.lit(1)).over(g))
          # suffix sum (not total minus prefix: that cancels to 0 when the tail is tiny)
          .withColumn("_from", F.sum(w).over(o.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-    fits = F.col(w) * (F.lit(1.0) - (F.col("_r") - 1) * cap) <= F.lit(cap + 1e-12) * F.col("_from")
+    fits = F.col(w) * (F.lit(1.0) - (F.col("_r") - 1) * cap) <= (cap + F.lit(1e-12)) * F.col("_from")
     x = x.withColumn("_m", F.min(F.when(fits, F.col("_r") - 1)).over(g))
     rest = F.sum(F.when(F.col("_r") > F.col("_m"), F.col(w))).over(g)
-    new = F.when(F.col("_r") <= F.col("_m"), F.lit(cap)).otherwise(
+    new = F.when(F.col("_r") <= F.col("_m"), cap).otherwise(
         F.coalesce(F.try_divide(F.col(w) * (F.lit(1.0) - F.col("_m") * cap), rest), F.lit(0.0)))
     infeasible = F.col("_n") * cap < 1.0 - 1e-12
     new = F.when(infeasible, F.raise_error(F.lit("cap infeasible: n * max_weight < 1"))).otherwise(new)
@@ -96,11 +98,12 @@ def cap_weights_rounds(df: DataFrame, by, w: str, cap: float, entity: str,
                         .otherwise(F.col("_cw"))).drop("_cw")
 
 
-def capped_softmax(board: DataFrame, by, score: str, cap: float, entity: str, out: str = "w",
+def capped_softmax(board: DataFrame, by, score: str, cap, entity: str, out: str = "w",
                    method: str = "exact") -> DataFrame:
-    """K2: score-proportional weights = softmax, then capped at ``cap``."""
+    """K2: score-proportional weights = softmax, then capped at ``cap`` (a number, or
+    a column for the ``exact`` method)."""
     s = softmax(board, by, score, "_sm")
-    if cap >= 1.0:
+    if not isinstance(cap, Column) and cap >= 1.0:
         return s.withColumnRenamed("_sm", out)
     if method == "exact":
         return cap_weights(s, by, "_sm", cap, entity, out).drop("_sm") if out != "_sm" else s
@@ -109,7 +112,7 @@ def capped_softmax(board: DataFrame, by, score: str, cap: float, entity: str, ou
     raise ValueError("method must be 'exact' or 'rounds'")
 
 
-def tilted_weights(board: DataFrame, by, base: str, action: str, tilt_scale: float, cap: float,
+def tilted_weights(board: DataFrame, by, base: str, action: str, tilt_scale: float, cap,
                    entity: str, out: str = "w", method: str = "exact") -> DataFrame:
     """K3: ``project(log(base + 1e-8) + tilt_scale * action)``; action 0 returns base."""
     b = board.withColumn("_tilt", F.log(F.col(base) + F.lit(1e-8)) + F.lit(tilt_scale) * F.col(action))

@@ -54,8 +54,11 @@ def strategy_weights(board: DataFrame, cap: float = MAX_WEIGHT, method: str = "e
     board instead of one branch per strategy.
     """
     x = P.equal_weights(board, "date", "w_ew")
-    x = P.capped_softmax(x, "date", "score", cap, "entity_id", "w_sp", method)
-    x = P.tilted_weights(x.withColumn("action", action_expr()), "date", "w_sp", "action", TILT_SCALE, cap,
+    # a date with fewer than 1/cap names uses the tightest feasible cap, 1/n
+    x = x.withColumn("_cap", F.greatest(F.lit(float(cap)), F.col("w_ew")))
+    eff = F.col("_cap") if method == "exact" else cap
+    x = P.capped_softmax(x, "date", "score", eff, "entity_id", "w_sp", method)
+    x = P.tilted_weights(x.withColumn("action", action_expr()), "date", "w_sp", "action", TILT_SCALE, eff,
                          "entity_id", "w_tilt", method)
     arms = F.array(*[F.struct(F.lit(n).alias("strategy"), F.col(c).alias("w"))
                      for n, c in (("EW", "w_ew"), ("SP", "w_sp"), ("TILT", "w_tilt"))])

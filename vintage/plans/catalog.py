@@ -281,15 +281,18 @@ def _sql_avg_rank(col: str, part: str = "date") -> str:
             f"+ (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0)")
 
 
-def _sql_cap(src: str, dst: str, w: str, cap: float) -> str:
-    """SQL of the exact capping fixed point (same recipe as ``portfolio.cap_weights``)."""
+def _sql_cap(src: str, dst: str, w: str, cap_value: float) -> str:
+    """SQL of the exact capping fixed point (same recipe as ``portfolio.cap_weights``),
+    with the per-date cap ``max(cap, 1/n)``."""
+    cap = "_cap"
     return f"""
+{dst}_c AS (SELECT *, greatest({cap_value}, 1.0 / count(*) OVER (PARTITION BY date)) AS _cap FROM {src}),
 {dst}_a AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY {w} DESC, entity_id) AS _r,
        sum({w}) OVER (PARTITION BY date ORDER BY {w} DESC, entity_id
-           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _from FROM {src}),
+           ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS _from FROM {dst}_c),
 {dst}_b AS (SELECT *, min(CASE WHEN {w} * (1 - (_r - 1) * {cap}) <= ({cap} + 1e-12) * _from THEN _r - 1 END)
        OVER (PARTITION BY date) AS _m FROM {dst}_a),
-{dst} AS (SELECT * EXCLUDE (_r, _from, _m), CASE WHEN _r <= _m THEN {cap}
+{dst} AS (SELECT * EXCLUDE (_r, _from, _m, _cap), CASE WHEN _r <= _m THEN {cap}
        ELSE coalesce({w} * (1 - _m * {cap}) / nullif(sum(CASE WHEN _r > _m THEN {w} END) OVER (PARTITION BY date), 0),
                      0.0) END AS w
        FROM {dst}_b)"""
@@ -837,8 +840,9 @@ WITH {SQL_TRAINING},
 r AS (SELECT CAST(year AS VARCHAR) AS scope,
              avg(CASE WHEN days_since_filing IS NULL THEN 1.0 ELSE 0.0 END) AS a,
              avg(CASE WHEN fwd_ret_5d IS NULL THEN 1.0 ELSE 0.0 END) AS b FROM training GROUP BY year)
-SELECT scope, 'NULL_RATE:days_since_filing' AS rule, round(a, 6) + 0.0 AS value, 0.1 AS "limit", a <= 0.1 AS ok FROM r
-UNION ALL SELECT scope, 'NULL_RATE:fwd_ret_5d', round(b, 6) + 0.0, 0.05, b <= 0.05 FROM r
+SELECT scope, 'NULL_RATE:days_since_filing' AS rule, round(a, 6) + 0.0 AS value, CAST(0.1 AS DOUBLE) AS "limit",
+       a <= 0.1 AS ok FROM r
+UNION ALL SELECT scope, 'NULL_RATE:fwd_ret_5d', round(b, 6) + 0.0, CAST(0.05 AS DOUBLE), b <= 0.05 FROM r
 """)
 def q_null_rate_gate(spark, sf_dir):
     t = panel.training_panel(spark, sf_dir)
@@ -1349,7 +1353,7 @@ def q_stream_doc_count(spark, sf_dir):
 WITH {SQL_DAILY}, {SQL_FUND},
 p AS (SELECT d.date, f.datekey FROM daily d ASOF LEFT JOIN fund f ON d.entity_id = f.entity_id AND d.date >= f.datekey)
 SELECT 'all' AS scope, 'LEAKAGE' AS rule, CAST(count(*) FILTER (WHERE datekey > date) AS DOUBLE) AS value,
-       0.0 AS "limit", count(*) FILTER (WHERE datekey > date) <= 0 AS ok FROM p
+       CAST(0.0 AS DOUBLE) AS "limit", count(*) FILTER (WHERE datekey > date) <= 0 AS ok FROM p
 """)
 def q_leakage_gate(spark, sf_dir):
     j = panel.pit_panel(roles.daily_bars(spark, sf_dir), roles.fundamentals(spark, sf_dir))
@@ -1361,7 +1365,7 @@ WITH {SQL_XWALK},
 r AS (SELECT r.ticker, r.datekey, m.cik FROM srows r LEFT JOIN tmap m ON r.ticker = m.ticker),
 x AS (SELECT r.*, EXISTS (SELECT 1 FROM uids u WHERE u.cik = r.cik) AS resolved FROM r)
 SELECT 'all' AS scope, 'MATCH_RATE' AS rule, round(avg(CASE WHEN resolved THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS value,
-       0.95 AS "limit", avg(CASE WHEN resolved THEN 1.0 ELSE 0.0 END) >= 0.95 AS ok FROM x
+       CAST(0.95 AS DOUBLE) AS "limit", avg(CASE WHEN resolved THEN 1.0 ELSE 0.0 END) >= 0.95 AS ok FROM x
 """)
 def q_match_rate_gate(spark, sf_dir):
     f = roles.fundamentals(spark, sf_dir)
@@ -1375,7 +1379,8 @@ def q_match_rate_gate(spark, sf_dir):
 
 @register("min_rows_gate", f"""
 WITH {SQL_TRAINING}
-SELECT CAST(year AS VARCHAR) AS scope, 'MIN_ROWS' AS rule, CAST(count(*) AS DOUBLE) AS value, 1000.0 AS "limit",
+SELECT CAST(year AS VARCHAR) AS scope, 'MIN_ROWS' AS rule, CAST(count(*) AS DOUBLE) AS value,
+       CAST(1000.0 AS DOUBLE) AS "limit",
        count(*) >= 1000 AS ok FROM training GROUP BY year
 """)
 def q_min_rows_gate(spark, sf_dir):
