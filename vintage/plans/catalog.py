@@ -1447,3 +1447,35 @@ def q_strategy_menu(spark, sf_dir):
         F.lit("MINVAR").alias("strategy"), "date", "entity_id", "slot", "w", "fwd_ret_5d")
     r = BT.weekly_returns(w.unionByName(mv))
     return M.rollup_vs_first(M.strategy_metrics(r, "strategy", "date"), "strategy", ["sharpe"])
+
+
+@register("panel_build", f"""
+WITH {SQL_XWALK},
+sf1 AS (SELECT {_sql_ticker("s.s_name")} AS ticker, f.datekey, f.order_key, f.revenue FROM fund_raw f
+        JOIN supplier s ON f.entity_id = s.s_suppkey WHERE f.form_type IN ('1-URGENT', '2-HIGH')),
+r AS (SELECT sf1.*, m.cik FROM sf1 LEFT JOIN tmap m ON sf1.ticker = m.ticker),
+c AS (SELECT r.*, u.permno, u.date_in,
+             r.datekey BETWEEN u.date_in AND coalesce(u.date_out, DATE '2100-01-01') AS inw
+      FROM r JOIN uids u ON r.cik = u.cik),
+res AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, datekey, order_key, revenue
+            ORDER BY inw DESC, date_in, permno) AS rn FROM c) WHERE rn = 1),
+fl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY permno, datekey ORDER BY order_key DESC) AS k
+                      FROM res) WHERE k = 1),
+d AS (SELECT entity_id + 100000 AS permno, date, ret, prc, vol FROM daily),
+p AS (SELECT d.*, fl.datekey, fl.ticker, fl.cik, fl.revenue FROM d ASOF LEFT JOIN fl
+      ON d.permno = fl.permno AND d.date >= fl.datekey),
+s AS (SELECT * FROM p WHERE permno IN (SELECT permno FROM p WHERE datekey IS NOT NULL)),
+g AS (SELECT s.permno, s.date, coalesce(bool_or(s.date BETWEEN u.date_in AND coalesce(u.date_out, DATE '2100-01-01')),
+                                         false) AS in_universe
+      FROM s LEFT JOIN uids u ON s.permno = u.permno GROUP BY s.permno, s.date)
+SELECT s.permno, s.date, round(s.ret, 6) + 0.0 AS ret, round(s.prc, 6) + 0.0 AS prc, round(s.vol, 6) + 0.0 AS vol,
+       s.datekey, s.ticker, s.cik, round(s.revenue, 6) + 0.0 AS revenue, g.in_universe,
+       CAST(date_diff('day', s.datekey, s.date) AS INTEGER) AS fund_age_days, CAST(year(s.date) AS INTEGER) AS year
+FROM s JOIN g ON s.permno = g.permno AND s.date = g.date
+""")
+def q_panel_build(spark, sf_dir):
+    d = roles.daily_bars(spark, sf_dir).select((F.col("entity_id") + 100000).alias("permno"), "date", "ret", "prc", "vol")
+    out = panel.build_panel(d, roles.sf1_rows(spark, sf_dir), roles.ticker_map(spark, sf_dir),
+                            roles.universe_ids(spark, sf_dir))
+    return round_doubles(out.select("permno", "date", "ret", "prc", "vol", "datekey", "ticker", "cik", "revenue",
+                                    "in_universe", "fund_age_days", "year"))

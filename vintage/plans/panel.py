@@ -59,3 +59,32 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = T.trailing_event_count(x, f, "cik", "date", "filing_date", 7)
     x = T.forward_returns(x, "entity_id", "date", "ret", (1, 5))
     return x.withColumn("year", F.year("date"))
+
+
+def build_panel(daily: DataFrame, sf1: DataFrame, tickers: DataFrame, entity_ids: DataFrame,
+                permno: str = "permno", date: str = "date", ticker: str = "ticker", cik: str = "cik",
+                datekey: str = "datekey", tie_break=("order_key",), dimension: str | None = "ARQ",
+                bucket: str = "month") -> DataFrame:
+    """§3.1 as one lazy plan: as-reported filter (C6) -> ticker->cik (left) ->
+    cik->permno through validity windows (D3, fallback to the earliest window,
+    unresolved dropped) -> backward as-of by permno (D1) -> strike permnos
+    without any fundamental (D13) -> membership flag (D4) -> leakage guard (B6)
+    -> fundamental age (C11) and year (C12)."""
+    from vintage.functions.keys import normalize_cik
+    from vintage.operators import temporal as T
+    from vintage.operators.intervals import resolve_by_window
+    f = sf1.filter(F.col("dimension") == dimension) if dimension else sf1
+    tmap = tickers.select(ticker, normalize_cik(F.col(cik)).alias(cik)).dropDuplicates([ticker])
+    ids = entity_ids.select(normalize_cik(F.col(cik)).alias(cik), permno, "date_in", "date_out")
+    f = f.join(tmap, ticker, "left")
+    f = resolve_by_window(f, cik, datekey, ids, permno)
+    payload = [c for c in f.columns if c not in (permno, datekey, "in_window", *tie_break)]
+    rename = {c: f"fund_{c}" for c in payload if c in daily.columns}
+    for a, b in rename.items():
+        f = f.withColumnRenamed(a, b)
+    payload = [rename.get(c, c) for c in payload]
+    j = asof_join(daily, f, permno, date, datekey, tie_break=list(tie_break), right_cols=payload, bucket=bucket)
+    j = T.strike_without(j, permno, datekey)
+    j = T.membership_flag(j, entity_ids.select(permno, "date_in", "date_out"), permno, date)
+    age = leakage_guarded(F.datediff(F.col(date), F.col(datekey)), datekey, date)
+    return j.withColumn("fund_age_days", age).withColumn("year", F.year(date))

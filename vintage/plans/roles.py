@@ -109,6 +109,18 @@ def universe_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("entity_id") + 100000).alias("permno"), "date_in", "date_out")
 
 
+def sf1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor-style fundamentals: (ticker, dimension, datekey, order_key, revenue);
+    urgent/high priority orders are the as-reported quarterly ('ARQ') rows."""
+    from vintage.functions.keys import normalize_ticker
+    f = fundamentals(spark, sf_dir)
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return f.join(s, f.entity_id == s.s_suppkey).select(
+        normalize_ticker("s_name").alias("ticker"),
+        F.when(F.col("form_type").isin("1-URGENT", "2-HIGH"), F.lit("ARQ")).otherwise(F.lit("ARY")).alias("dimension"),
+        "datekey", "order_key", "revenue")
+
+
 def membership_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, date, seq, op) change rows: signup = added, error = removed."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type").isin("signup", "error"))
