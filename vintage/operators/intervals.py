@@ -123,3 +123,10 @@ def reconstruct_membership(changes: DataFrame, current: DataFrame, start: str, e
           .withColumn("date_out", F.when(F.col("date_out") > e, F.lit(None).cast("date")).otherwise(F.col("date_out"))))
     iv = iv.filter(F.col("date_out").isNull() | (F.col("date_in") <= F.col("date_out")))
     return iv.select(F.col("t").alias(ticker), "date_in", "date_out")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """Raise when ``df`` is empty (one-row probe), else return it unchanged."""
+    if df.limit(1).count() == 0:
+        raise ValueError(f"no rows: {what}")
+    return df

@@ -129,3 +129,21 @@ def rollup_vs_first(df: DataFrame, order: str, cols: Sequence[str], suffix: str
     for c in cols:
         out = out.withColumn(c + suffix, F.col(c) - F.first(c).over(w))
     return out
+
+
+def pack_observation(board: DataFrame, date: str, slot: str, per_name: Sequence[str],
+                     per_date: Sequence[str]) -> DataFrame:
+    """K11 packed form: one array per date — each per-name column in slot order,
+    then the per-date values; NULL/NaN -> 0. The array length is
+    ``K * len(per_name) + len(per_date)`` (bounded by K)."""
+    g = board.groupBy(date).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(slot), *[F.col(c).cast("double").alias(c) for c in per_name])))
+        .alias("_s"),
+        *[F.first(c).cast("double").alias(c) for c in per_date])
+    def field(name):
+        return lambda s: s[name]
+
+    parts = [F.transform("_s", field(c)) for c in per_name]
+    parts.append(F.array(*[F.col(c) for c in per_date]))
+    obs = F.transform(F.concat(*parts), lambda x: F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)))
+    return g.select(date, obs.alias("obs"))
