@@ -267,3 +267,26 @@ def test_pca_model_roundtrip(spark, tmp_path):
     assert out.columns == ["i", "pca_0", "pca_1"]
     with pytest.raises(ValueError):
         V.fit_pca(m.limit(1), "vec", 2)
+
+
+def test_average_rank_split_equals_window(spark):
+    rng = np.random.RandomState(3)
+    rows = [(d("2020-01-03"), i, float(rng.randint(0, 50))) for i in range(3000)]
+    rows += [(d("2020-01-10"), i, float(v)) for i, v in enumerate(rng.randn(200))] + [(d("2020-01-10"), 999, None)]
+    df = spark.createDataFrame(rows, "date date, e long, x double")
+    a = {(r.date, r.e): r.p for r in df.select("date", "e", X.average_rank_pct("x", "date").alias("p")).collect()}
+    b = {(r.date, r.e): r.p for r in X.average_rank_split(df, "x", "date", "p", splits=16).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert (a[k] is None and b[k] is None) or a[k] == pytest.approx(b[k], abs=1e-12)
+
+
+def test_excess_buckets_split_option(spark):
+    rng = np.random.RandomState(5)
+    rows = [(d("2020-01-03"), i, float(rng.randn())) for i in range(500)] + [(d("2020-01-10"), 1, None)]
+    df = spark.createDataFrame(rows, "date date, e long, r double")
+    a = {r.e: (r.target, r.y_excess) for r in X.excess_return_buckets(df, "date", "r", 8).collect()}
+    b = {r.e: (r.target, r.y_excess) for r in X.excess_return_buckets(df, "date", "r", 8, split=8).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert a[k][0] == b[k][0]

@@ -46,9 +46,22 @@ def average_rank_pct(col: str, by, tie_digits: int | None = TIE_DIGITS) -> Colum
 
 
 def excess_return_buckets(df: DataFrame, date: str, ret: str, n_buckets: int = 32,
-                          excess_col: str = "y_excess", bucket_col: str = "target") -> DataFrame:
+                          excess_col: str = "y_excess", bucket_col: str = "target",
+                          split: int | None = None) -> DataFrame:
     """H6: excess over the date mean -> average-tie percentile -> ``floor(pct * n)``
-    capped at ``n - 1``; NULL return gives NULL bucket."""
+    capped at ``n - 1``; NULL return gives NULL bucket.
+
+    With ``split`` the per-date work avoids whole-date windows (mean as an
+    aggregate joined back, ranks by :func:`average_rank_split`) for very wide
+    cross-sections.
+    """
+    if split:
+        means = df.groupBy(date).agg(F.avg(ret).alias("_mean"))
+        out = df.join(means, date).withColumn(excess_col, F.col(ret) - F.col("_mean")).drop("_mean")
+        out = average_rank_split(out, excess_col, date, "_pct", splits=split)
+        b = F.when(F.col("_pct").isNotNull(), F.least(F.floor(F.col("_pct") * n_buckets),
+                                                      F.lit(n_buckets - 1))).cast("int")
+        return out.withColumn(bucket_col, b).drop("_pct")
     out = demean(df, date, ret, excess_col)
     pct = average_rank_pct(excess_col, date)
     # least() skips NULLs, so the NULL case is explicit
@@ -106,3 +119,33 @@ def drop_zero_info(train: DataFrame, cols: Sequence[str], *others: DataFrame) ->
     """Drop the zero-information columns of ``train`` from train and every other frame."""
     drop = zero_info_columns(train, cols)
     return tuple(f.drop(*drop) for f in (train, *others))
+
+
+def average_rank_split(df: DataFrame, col: str, by, out: str, pct: bool = True, splits: int = 64,
+                       tie_digits: int | None = TIE_DIGITS) -> DataFrame:
+    """Average rank (or percentile) of ``col`` within ``by`` for groups too large
+    for one task (e.g. one date holding a large share of all rows).
+
+    Counts per ``(group, value)`` are a partial aggregate; each group's values
+    are cut into ``splits`` ranges at approximate quantiles; ranks are taken
+    within a range and offset by the counts of all lower ranges. The result is
+    exact (the quantiles only choose where to cut); no task sees a whole group.
+    """
+    by = as_list(by)
+    x = F.col(col) if tie_digits is None else F.round(F.col(col), tie_digits)
+    keyed = df.withColumn("_x", x)
+    cnt = keyed.filter(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    qs = [i / splits for i in range(1, splits)]
+    cuts = cnt.groupBy(*by).agg(F.percentile_approx("_x", qs, 1000).alias("_q"),
+                                F.sum("_c").alias("_n"))
+    c = cnt.join(cuts, by).withColumn("_sb", F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col("_x"))))
+    sizes = c.groupBy(*by, "_sb").agg(F.sum("_c").alias("_sc"))
+    off = sizes.withColumn("_off", F.coalesce(F.sum("_sc").over(
+        Window.partitionBy(*by).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    c = c.join(off.select(*by, "_sb", "_off"), by + ["_sb"])
+    below = F.coalesce(F.sum("_c").over(Window.partitionBy(*by, "_sb").orderBy("_x")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    c = c.withColumn("_rank", F.col("_off") + below + (F.col("_c") + 1) / 2.0)
+    val = (F.col("_rank") / F.col("_n")) if pct else F.col("_rank")
+    ranks = c.select(*by, "_x", val.alias(out))
+    return keyed.join(ranks, by + ["_x"], "left").drop("_x")
