@@ -1479,3 +1479,28 @@ def q_panel_build(spark, sf_dir):
                             roles.universe_ids(spark, sf_dir))
     return round_doubles(out.select("permno", "date", "ret", "prc", "vol", "datekey", "ticker", "cik", "revenue",
                                     "in_universe", "fund_age_days", "year"))
+
+
+# --------------------------------------------------------------------------- #
+# A1/A2/B1: partitioned write, then a pruned window scan
+# --------------------------------------------------------------------------- #
+from vintage.sources.tables import scan_window  # noqa: E402
+from vintage.session import checkpoint_dir  # noqa: E402
+
+SCAN_START, SCAN_END = "1997-03-01", "1998-06-30"
+
+
+@register("panel_window_scan", f"""
+WITH {SQL_DAILY}
+SELECT CAST(year(date) AS INTEGER) AS year, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entities,
+       min(date) AS first_date, max(date) AS last_date
+FROM daily WHERE date BETWEEN DATE '{SCAN_START}' AND DATE '{SCAN_END}' GROUP BY year(date)
+""")
+def q_panel_window_scan(spark, sf_dir):
+    import uuid
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/daily-{uuid.uuid4().hex[:10]}"
+    SK.write_partitioned(roles.daily_bars(spark, sf_dir).withColumn("year", F.year("date")), path,
+                         sort_within=["entity_id", "date"])
+    w = scan_window(spark, path, "date", SCAN_START, SCAN_END, ["entity_id", "date", "year"])
+    return w.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
+                                 F.min("date").alias("first_date"), F.max("date").alias("last_date"))
