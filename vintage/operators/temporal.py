@@ -115,28 +115,27 @@ def text_novelty(vecs: DataFrame, by, date: str, vec: str = "vec", lookback_days
 # --------------------------------------------------------------------------- #
 # D4 / D5 — interval membership without fanning out the panel
 # --------------------------------------------------------------------------- #
-def _windows_by_key(windows: DataFrame, by, date_in: str, date_out: str) -> DataFrame:
-    by = as_list(by)
-    return (windows.filter(F.col(date_in).isNotNull())
-            .groupBy(*by).agg(F.collect_list(F.struct(F.col(date_in).alias("i"),
-                                                      open_end(date_out).alias("o"))).alias("_w")))
-
-
 def membership_flag(panel: DataFrame, windows: DataFrame, by, date: str,
                     date_in: str = "date_in", date_out: str = "date_out",
                     out_col: str = "in_universe") -> DataFrame:
     """``out_col`` = the date lies in any closed window of the entity; no window -> false.
 
-    Windows are collapsed to one array per entity (a handful of intervals),
-    joined many-to-one and tested with ``exists`` — the panel never multiplies.
+    A date is inside some window exactly when the largest end among the
+    windows that start on or before it reaches the date. So each entity's
+    windows become a running maximum of their (open-ended -> far-future) ends,
+    looked up with the backward as-of join: ordered windows, no per-row scan of
+    a window list, and the panel never multiplies.
     """
+    from vintage.operators.asof import asof_join
     by = as_list(by)
-    w = _windows_by_key(windows, by, date_in, date_out)
-    d = F.col(date)
-    return (panel.join(w, by, "left")
-            .withColumn(out_col, F.coalesce(F.exists("_w", lambda x: (d >= x["i"]) & (d <= x["o"])),
-                                            F.lit(False)))
-            .drop("_w"))
+    w = windows.filter(F.col(date_in).isNotNull()).select(*by, F.col(date_in).alias("_win"),
+                                                            open_end(date_out).alias("_wout"))
+    run = Window.partitionBy(*by).orderBy("_win", "_wout").rowsBetween(Window.unboundedPreceding, 0)
+    ends = w.withColumn("_reach", F.max("_wout").over(run))
+    j = asof_join(panel, ends.select(*by, "_win", "_reach"), by, date, "_win", tie_break=["_reach"],
+                  right_cols=["_reach"])
+    return (j.withColumn(out_col, F.coalesce(F.col("_reach") >= F.col(date), F.lit(False)))
+            .drop("_win", "_reach"))
 
 
 def membership_filter(panel: DataFrame, windows: DataFrame, by, date: str,
