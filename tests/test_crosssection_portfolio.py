@@ -229,15 +229,16 @@ def test_unpivot_drops_nulls(spark):
     assert T.unpivot_long(wide, ["date"], ["DGS3MO", "VIXCLS"]).count() == 3
 
 
-def test_membership_flag_and_filter(spark):
+@pytest.mark.parametrize("method", ["array", "asof"])
+def test_membership_flag_and_filter(spark, method):
     p = spark.createDataFrame([(101, d("2009-01-15")), (101, d("2009-02-02")), (202, d("2009-01-15")),
                                (303, d("2009-01-15"))], "permno long, date date")
     w = spark.createDataFrame([(101, d("2009-02-01"), None), (202, d("2009-01-01"), d("2009-12-31"))],
                               "permno long, date_in date, date_out date")
-    got = {(r.permno, r.date): r.in_universe for r in T.membership_flag(p, w, "permno", "date").collect()}
+    got = {(r.permno, r.date): r.in_universe for r in T.membership_flag(p, w, "permno", "date", method=method).collect()}
     assert got == {(101, d("2009-01-15")): False, (101, d("2009-02-02")): True,
                    (202, d("2009-01-15")): True, (303, d("2009-01-15")): False}
-    assert T.membership_filter(p, w, "permno", "date").count() == 2
+    assert T.membership_filter(p, w, "permno", "date", method=method).count() == 2
 
 
 def test_weights_from_rule_and_rollup(spark):

@@ -115,19 +115,38 @@ def text_novelty(vecs: DataFrame, by, date: str, vec: str = "vec", lookback_days
 # --------------------------------------------------------------------------- #
 # D4 / D5 — interval membership without fanning out the panel
 # --------------------------------------------------------------------------- #
+def _windows_by_key(windows: DataFrame, by, date_in: str, date_out: str) -> DataFrame:
+    by = as_list(by)
+    return (windows.filter(F.col(date_in).isNotNull())
+            .groupBy(*by).agg(F.collect_list(F.struct(F.col(date_in).alias("i"),
+                                                      open_end(date_out).alias("o"))).alias("_w")))
+
+
 def membership_flag(panel: DataFrame, windows: DataFrame, by, date: str,
                     date_in: str = "date_in", date_out: str = "date_out",
-                    out_col: str = "in_universe") -> DataFrame:
+                    out_col: str = "in_universe", method: str = "array") -> DataFrame:
     """``out_col`` = the date lies in any closed window of the entity; no window -> false.
 
-    A date is inside some window exactly when the largest end among the
-    windows that start on or before it reaches the date. So each entity's
-    windows become a running maximum of their (open-ended -> far-future) ends,
-    looked up with the backward as-of join: ordered windows, no per-row scan of
-    a window list, and the panel never multiplies.
+    ``array`` (default, for the usual handful of windows per key): each key's
+    windows collapse to one array, joined many-to-one and tested with
+    ``exists`` — one shuffle, the panel never multiplies.
+
+    ``asof`` (for keys with many windows): a date is inside some window exactly
+    when the largest end among windows starting on or before it reaches the
+    date, so the running maximum of window ends is looked up with the
+    backward as-of join — no per-row scan of a window list.
     """
-    from vintage.operators.asof import asof_join
     by = as_list(by)
+    if method == "array":
+        w = _windows_by_key(windows, by, date_in, date_out)
+        d = F.col(date)
+        return (panel.join(w, by, "left")
+                .withColumn(out_col, F.coalesce(F.exists("_w", lambda x: (d >= x["i"]) & (d <= x["o"])),
+                                                F.lit(False)))
+                .drop("_w"))
+    if method != "asof":
+        raise ValueError("method must be 'array' or 'asof'")
+    from vintage.operators.asof import asof_join
     w = windows.filter(F.col(date_in).isNotNull()).select(*by, F.col(date_in).alias("_win"),
                                                             open_end(date_out).alias("_wout"))
     run = Window.partitionBy(*by).orderBy("_win", "_wout").rowsBetween(Window.unboundedPreceding, 0)
@@ -139,9 +158,9 @@ def membership_flag(panel: DataFrame, windows: DataFrame, by, date: str,
 
 
 def membership_filter(panel: DataFrame, windows: DataFrame, by, date: str,
-                      date_in: str = "date_in", date_out: str = "date_out") -> DataFrame:
+                      date_in: str = "date_in", date_out: str = "date_out", method: str = "array") -> DataFrame:
     """Keep rows inside any window of their entity (interval semi-join, no duplicates)."""
-    return (membership_flag(panel, windows, by, date, date_in, date_out, "_in")
+    return (membership_flag(panel, windows, by, date, date_in, date_out, "_in", method)
             .filter("_in").drop("_in"))
 
 
