@@ -97,23 +97,54 @@ def topk_jaccard_by_date(df: DataFrame, date: str, score: str, entity: str, k: i
 
 def ranking_summary(df: DataFrame, date: str, score: str, target: str, label: str,
                     entity: str | None, k: int = 30, ndcg_k: int = 30) -> DataFrame:
-    """All diagnostics as ``(metric, value)`` rows."""
-    nd = ndcg_by_group(df, date, score, label, ndcg_k, entity)
-    ic = rank_ic_by_date(df, date, score, target)
-    parts = [
-        nd.agg(F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias("value")).withColumn("metric", F.lit(f"ndcg_at_{ndcg_k}")),
-        ic.agg(F.avg("ic").alias("value")).withColumn("metric", F.lit("rank_ic_mean")),
-        ic.agg(F.when((F.count("ic") > 1) & (F.stddev_samp("ic") > 0),
-                      F.avg("ic") / F.stddev_samp("ic")).alias("value")).withColumn("metric", F.lit("rank_ic_ir")),
-        decile_spread_by_date(df, date, score, target).agg((F.avg("spread") * 1e4).alias("value"))
-        .withColumn("metric", F.lit("decile_spread_bps")),
-        hit_by_date(df, date, score, target, k, entity).agg(F.avg("hit").alias("value"))
-        .withColumn("metric", F.lit("hit_rate")),
-    ]
+    """All diagnostics as ``(metric, value)`` rows, from one pass over ``df``.
+
+    Every per-row quantity (ranks by score/label, average ranks, decile edges,
+    group size) is a window column over the same date partitioning; one
+    aggregate per date gives each metric's per-date value; one window over the
+    per-date table (a calendar-sized table) gives the consecutive-date sets.
+    """
+    w = Window.partitionBy(date)
+    c = df.filter(F.col(score).isNotNull() & F.col(target).isNotNull())
+    edges = F.array_distinct(F.percentile(F.col(score), F.array(*[F.lit(q) for q in DECILES])).over(w))
+    x = c.select(
+        date, target, *([entity] if entity else []), score,
+        (F.pow(F.lit(2.0), F.col(label).cast("double")) - 1.0).alias("_g"),
+        F.row_number().over(w.orderBy(*_order(score, entity))).alias("_rs"),
+        F.row_number().over(w.orderBy(*_order(label, entity))).alias("_rl"),
+        F.row_number().over(w.orderBy(F.col(score).asc(), *([F.col(entity).desc()] if entity else []))).alias("_rb"),
+        average_rank(score, date).alias("_ars"), average_rank(target, date).alias("_art"),
+        F.count(F.lit(1)).over(w).alias("_n"), edges.alias("_e"))
+    interior = F.slice(F.col("_e"), 2, F.size("_e") - 2)
+    x = x.withColumn("_bin", F.when((F.col("_n") >= 10) & (F.size("_e") >= 2),
+                                    F.size(F.filter(interior, lambda e: e < F.col(score)))))
+    x = x.withColumn("_top", F.max("_bin").over(w)).withColumn("_bot", F.min("_bin").over(w))
+    t = F.col(target)
+    per = x.groupBy(date).agg(
+        F.sum(F.when(F.col("_rs") <= ndcg_k, F.col("_g") / F.log2(F.col("_rs") + 1.0))).alias("dcg"),
+        F.sum(F.when(F.col("_rl") <= ndcg_k, F.col("_g") / F.log2(F.col("_rl") + 1.0))).alias("idcg"),
+        F.try_divide(F.covar_samp("_ars", "_art"), F.stddev_samp("_ars") * F.stddev_samp("_art")).alias("ic"),
+        (F.avg(F.when(F.col("_bin") == F.col("_top"), t)) - F.avg(F.when(F.col("_bin") == F.col("_bot"), t)))
+        .alias("spread"),
+        F.first("_n").alias("n"),
+        F.avg(F.when(F.col("_rs") <= k, t)).alias("_tm"), F.avg(F.when(F.col("_rb") <= k, t)).alias("_bm"),
+        *([F.collect_set(F.when(F.col("_rs") <= k, F.col(entity))).alias("_s")] if entity else []))
+    per = (per.withColumn("ndcg", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")))
+           .withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
+           .withColumn("hit", F.when(F.col("n") >= 2 * k, (F.col("_tm") > F.col("_bm")).cast("double"))))
+    if entity:
+        prev = F.lag("_s").over(Window.orderBy(date))
+        union = F.size(F.array_union("_s", prev))
+        per = per.withColumn("jaccard", F.when(prev.isNotNull() & (union > 0),
+                                               F.size(F.array_intersect("_s", prev)) / union))
+    aggs = [F.coalesce(F.avg("ndcg"), F.lit(0.0)).alias(f"ndcg_at_{ndcg_k}"), F.avg("ic").alias("rank_ic_mean"),
+            F.when((F.count("ic") > 1) & (F.stddev_samp("ic") > 0), F.avg("ic") / F.stddev_samp("ic"))
+            .alias("rank_ic_ir"),
+            (F.avg("spread") * 1e4).alias("decile_spread_bps"), F.avg("hit").alias("hit_rate")]
     if entity:
-        parts.append(topk_jaccard_by_date(df, date, score, entity, k).agg(F.avg("jaccard").alias("value"))
-                     .withColumn("metric", F.lit("top_k_jaccard")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("metric", F.col("value").cast("double").alias("value"))
+        aggs.append(F.avg("jaccard").alias("top_k_jaccard"))
+    one = per.agg(*aggs)
+    names = [a for a in one.columns]
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value"))
+                               for n in names]))
+    return one.select(long.alias("m")).select("m.metric", "m.value")
