@@ -41,17 +41,19 @@ def forward_returns(df: DataFrame, by, date: str, ret: str = "ret",
 # D9 — number of events of the key in [date - window, date]
 # --------------------------------------------------------------------------- #
 def trailing_event_count(panel: DataFrame, events: DataFrame, by, date: str, event_date: str,
-                         window_days: int = 7, out_col: str | None = None) -> DataFrame:
+                         window_days: int = 7, out_col: str | None = None, weight: str | None = None) -> DataFrame:
     """Count events per key in the closed calendar range ``[date - window_days, date]``.
 
     Each event is spread to the ``window_days + 1`` days it covers and counted
     per ``(key, day)`` (a partial aggregate), then equi-joined to the panel —
     no range join, no per-key fan-out of the panel. Missing -> 0 (int32).
+    ``weight`` counts each input row that many times (pre-aggregated events).
     """
     by = as_list(by)
     out_col = out_col or f"doc_count_{window_days}d"
-    covered = (events.select(*by, F.col(event_date).alias("_d0"))
-               .groupBy(*by, "_d0").agg(F.count(F.lit(1)).alias("_n"))
+    one = F.col(weight) if weight else F.lit(1)
+    covered = (events.select(*by, F.col(event_date).alias("_d0"), one.alias("_one"))
+               .groupBy(*by, "_d0").agg(F.sum("_one").alias("_n"))
                .select(*by, F.explode(F.sequence(F.col("_d0"), F.date_add("_d0", window_days))).alias(date),
                        "_n")
                .groupBy(*by, date).agg(F.sum("_n").alias("_n")))

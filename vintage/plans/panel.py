@@ -43,48 +43,28 @@ def macro_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§3.2 stages 5-6: member rows of the daily panel + macro + recency + filing
-    count + forward labels on member rows + year (no year loop: whole table)."""
+    count + forward labels on member rows + year (no year loop: whole table).
+
+    Filings are aggregated once per (cik, day) — all forms and the 10-K/10-Q/8-K
+    roles — and written once; recency, trailing counts and membership spells
+    all read that table. The member panel is written once as well, since the
+    as-of, the counts and the labels all start from it.
+    """
     from vintage.operators import temporal as T
     from vintage.operators.asof import days_since_event
+    from vintage.session import materialize
+    f = roles.filings(spark, sf_dir)
+    ev = materialize(f.groupBy("cik", "filing_date").agg(
+        F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("form_type").isin(*KQ8_FORMS)).alias("n_kq8")),
+        "filing_days")
+    spells = T.spells(ev.select(F.col("cik").cast("long").alias("entity_id"), F.col("filing_date").alias("date")),
+                      "entity_id", "date", 5)
     d = roles.daily_bars(spark, sf_dir).select(
         "entity_id", F.lpad(F.col("entity_id").cast("string"), 10, "0").alias("cik"), "date", "ret", "prc", "vol")
-    from vintage.session import materialize
     # the member panel feeds several steps (as-of, counts, labels): write it once
-    member = materialize(T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date"),
-                         "member_panel")
+    member = materialize(T.membership_filter(d, spells, "entity_id", "date"), "member_panel")
     x = member.join(macro_on_axis(spark, sf_dir), "date", "left")
-    f = roles.filings(spark, sf_dir)
-    x = days_since_event(x, f.filter(F.col("form_type").isin(*KQ8_FORMS)), "cik", "date", "filing_date",
-                         "days_since_filing")
-    x = T.trailing_event_count(x, f, "cik", "date", "filing_date", 7)
+    x = days_since_event(x, ev.filter(F.col("n_kq8") > 0), "cik", "date", "filing_date", "days_since_filing")
+    x = T.trailing_event_count(x, ev, "cik", "date", "filing_date", 7, weight="n_all")
     x = T.forward_returns(x, "entity_id", "date", "ret", (1, 5))
     return x.withColumn("year", F.year("date"))
-
-
-def build_panel(daily: DataFrame, sf1: DataFrame, tickers: DataFrame, entity_ids: DataFrame,
-                permno: str = "permno", date: str = "date", ticker: str = "ticker", cik: str = "cik",
-                datekey: str = "datekey", tie_break=("order_key",), dimension: str | None = "ARQ",
-                bucket: str = "month") -> DataFrame:
-    """§3.1 as one lazy plan: as-reported filter (C6) -> ticker->cik (left) ->
-    cik->permno through validity windows (D3, fallback to the earliest window,
-    unresolved dropped) -> backward as-of by permno (D1) -> strike permnos
-    without any fundamental (D13) -> membership flag (D4) -> leakage guard (B6)
-    -> fundamental age (C11) and year (C12)."""
-    from vintage.functions.keys import normalize_cik
-    from vintage.operators import temporal as T
-    from vintage.operators.intervals import resolve_by_window
-    f = sf1.filter(F.col("dimension") == dimension) if dimension else sf1
-    tmap = tickers.select(ticker, normalize_cik(F.col(cik)).alias(cik)).dropDuplicates([ticker])
-    ids = entity_ids.select(normalize_cik(F.col(cik)).alias(cik), permno, "date_in", "date_out")
-    f = f.join(tmap, ticker, "left")
-    f = resolve_by_window(f, cik, datekey, ids, permno)
-    payload = [c for c in f.columns if c not in (permno, datekey, "in_window", *tie_break)]
-    rename = {c: f"fund_{c}" for c in payload if c in daily.columns}
-    for a, b in rename.items():
-        f = f.withColumnRenamed(a, b)
-    payload = [rename.get(c, c) for c in payload]
-    j = asof_join(daily, f, permno, date, datekey, tie_break=list(tie_break), right_cols=payload, bucket=bucket)
-    j = T.strike_without(j, permno, datekey)
-    j = T.membership_flag(j, entity_ids.select(permno, "date_in", "date_out"), permno, date)
-    age = leakage_guarded(F.datediff(F.col(date), F.col(datekey)), datekey, date)
-    return j.withColumn("fund_age_days", age).withColumn("year", F.year(date))
