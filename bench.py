@@ -19,7 +19,7 @@ HEADLINE = [
     "pit_asof", "days_since_filing", "doc_count_window", "forward_returns", "membership_flag",
     "text_novelty", "macro_ffill", "crosssection_targets", "scoreboard_topk", "ranking_metrics",
     "capped_weights", "strategy_metrics", "clean_pages", "refilter_documents", "token_chunks",
-    "stockday_vectors", "training_panel", "crosswalk_resolve", "membership_intervals",
+    "stockday_vectors", "training_panel", "crosswalk_resolve", "membership_intervals", "panel_build",
 ]
 
 # Throughput figures next to the reference's pipeline anchors (BASELINE rows 3, 5, 7, 8):
