@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintage.functions.core import is_friday, nan_to_null, numeric_columns
-from vintage.operators.crosssection import excess_return_buckets
+from vintage.operators.crosssection import excess_return_buckets, zero_info_columns
 from vintage.operators.ranking import ranking_summary
 
 # Identifier, label and metadata columns never used as features.
@@ -59,16 +59,22 @@ def drop_text_columns(df: DataFrame, prefixes: Sequence[str] = ("pca_",),
 def regressor(features: Sequence[str], label: str = "y_excess", max_iter: int = 40, max_depth: int = 5,
               step_size: float = 0.05, subsample: float = 0.9, seed: int = 42,
               validation_col: str | None = "is_val") -> Pipeline:
-    """Median imputation (+ NaN handling) -> assembler -> gradient-boosted trees,
-    early-stopped on the validation rows when ``validation_col`` is given."""
+    """Median imputation plus a missing-value indicator per feature (trees
+    then see "missing" as its own signal, as LightGBM does natively) ->
+    assembler -> gradient-boosted trees, early-stopped on the validation rows
+    when ``validation_col`` is given."""
+    from pyspark.ml.feature import SQLTransformer
     imputed = [f"{c}__imp" for c in features]
+    flags = [f"{c}__isna" for c in features]
+    ind = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"CAST(`{c}` IS NULL AS DOUBLE) AS `{f}`" for c, f in zip(features, flags)) + " FROM __THIS__")
     imp = Imputer(inputCols=list(features), outputCols=imputed, strategy="median")
-    asm = VectorAssembler(inputCols=imputed, outputCol="features", handleInvalid="keep")
+    asm = VectorAssembler(inputCols=imputed + flags, outputCol="features", handleInvalid="keep")
     extra = dict(validationIndicatorCol=validation_col, validationTol=0.0) if validation_col else {}
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="score", maxIter=max_iter,
                        maxDepth=max_depth, stepSize=step_size, subsamplingRate=subsample, seed=seed,
                        featureSubsetStrategy="0.9", **extra)
-    return Pipeline(stages=[imp, asm, gbt])
+    return Pipeline(stages=[ind, imp, asm, gbt])
 
 
 def _clean(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -87,13 +93,15 @@ def fit_walk(frame: DataFrame, features: Sequence[str], **params) -> PipelineMod
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
     """``score`` column from a fitted pipeline."""
     out = model.transform(_clean(df, features))
-    return out.drop("features", *[c for c in out.columns if c.endswith("__imp")])
+    return out.drop("features", *[c for c in out.columns if c.endswith(("__imp", "__isna"))])
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """Importance per feature, as a table."""
+    """Importance per feature (its value and its missing indicator summed), as a table."""
     imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
+    n = len(features)
+    vals = [float(imp[i]) + (float(imp[n + i]) if n + i < len(imp) else 0.0) for i in range(n)]
+    return spark.createDataFrame(list(zip(features, vals)), "feature string, importance double")
 
 
 def walk_summary(frame: DataFrame, walks: Sequence[int], features: Sequence[str], entity: str, date: str,
@@ -112,8 +120,11 @@ def walk_summary(frame: DataFrame, walks: Sequence[int], features: Sequence[str]
         sizes = {r["split"]: r["n"] for r in fw.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
         if not sizes.get("train") or not sizes.get("test"):
             continue
-        model = fit_walk(fw, features, **params)
-        test = score(model, fw.filter(F.col("split") == "test"), features)
+        # Columns without information in this walk's train rows are left out
+        dropped = set(zero_info_columns(fw.filter(F.col("split") == "train"), features))
+        feats = [c for c in features if c not in dropped]
+        model = fit_walk(fw, feats, **params)
+        test = score(model, fw.filter(F.col("split") == "test"), feats)
         m = {r["metric"]: r["value"] for r in
              ranking_summary(test, date, "score", "y_excess", "target", entity, k=k, ndcg_k=k).collect()}
         rows.append((w, variant, sizes.get("train", 0), sizes.get("val", 0), sizes.get("test", 0),
