@@ -291,3 +291,12 @@ def test_excess_buckets_split_option(spark):
     assert a.keys() == b.keys()
     for k in a:
         assert a[k][0] == b[k][0]
+
+
+def test_fill_on_axis_asof_carry(spark):
+    wide = spark.createDataFrame([(d("2019-12-30"), 20.0), (d("2020-01-02"), 22.0)], "date date, macro_vix double")
+    axis = spark.createDataFrame([(d(x),) for x in ("2019-12-31", "2020-01-01", "2020-01-03")], "date date")
+    par = [r.macro_vix for r in T.fill_on_axis(axis, wide, "date").orderBy("date").collect()]
+    asof = [r.macro_vix for r in T.fill_on_axis(axis, wide, "date", carry="asof").orderBy("date").collect()]
+    assert par == [None, None, None]      # prints off the axis are lost; fill restarts in January
+    assert asof == [20.0, 20.0, 22.0]

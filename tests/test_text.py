@@ -110,3 +110,10 @@ def test_page_text_parser_and_regex_agree_on_simple_page(spark):
     a = _one(spark, TXT.page_text("x", "parser"), page)
     b = _one(spark, TXT.page_text("x", "regex"), page)
     assert a == b == "Title\nOne & two\nThree"
+
+
+@pytest.mark.parametrize("method", ["parser", "regex"])
+def test_sgml_text_bodies_joined_by_blank_line(spark, method):
+    raw = ("<SEC-DOCUMENT><TEXT><html><body><p>First body</p><p>more</p></body></html></TEXT>"
+           "<TEXT><p>Second &amp; last</p></TEXT></SEC-DOCUMENT>")
+    assert _one(spark, TXT.sgml_text("x", method=method), raw) == "First body\nmore\n\nSecond & last"

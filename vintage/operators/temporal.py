@@ -227,15 +227,26 @@ def forward_fill(df: DataFrame, order: str, cols: Sequence[str], partition_by: S
                        for c in df.columns])
 
 
-def fill_on_axis(axis: DataFrame, wide: DataFrame, date: str, restart_yearly: bool = True) -> DataFrame:
+def fill_on_axis(axis: DataFrame, wide: DataFrame, date: str, restart_yearly: bool = True,
+                 carry: str = "axis") -> DataFrame:
     """Reindex ``wide`` to the ``axis`` dates and forward-fill.
 
-    Values published on dates off the axis are dropped before the fill; with
-    ``restart_yearly`` the fill restarts each 1 January (the reference builds
-    the axis per year). The axis holds one row per calendar day, so a window
-    per year is a few hundred rows.
+    ``carry="axis"`` (reference parity): values published on dates off the
+    axis are dropped before the fill; with ``restart_yearly`` the fill
+    restarts each 1 January (the reference builds the axis per year).
+    ``carry="asof"``: each axis date takes the latest value published on or
+    before it, wherever it was published (no loss, no yearly restart).
+    The axis holds one row per calendar day, so these windows are small.
     """
     cols = [c for c in wide.columns if c != date]
+    if carry == "asof":
+        ax = axis.select(date).distinct().withColumn("_ax", F.lit(1))
+        u = ax.unionByName(wide.withColumn("_ax", F.lit(0)), allowMissingColumns=True)
+        w = Window.partitionBy(F.lit(0)).orderBy(date, "_ax").rowsBetween(Window.unboundedPreceding, 0)
+        filled = u.select(date, "_ax", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+        return filled.filter(F.col("_ax") == 1).drop("_ax")
+    if carry != "axis":
+        raise ValueError("carry must be 'axis' or 'asof'")
     a = axis.select(date).distinct().join(wide, date, "left")
     if restart_yearly:
         a = a.withColumn("_y", F.year(date))

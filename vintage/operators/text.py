@@ -152,6 +152,31 @@ def page_text(c, method: str = "parser") -> Column:
     return F.array_join(lines, "\n")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _html_lines_all(arrs: pd.Series) -> pd.Series:
+    def one(a):
+        if a is None:
+            return None
+        out = []
+        for body in a:
+            lines = (ln.strip() for ln in (_page_text(body, _PARSER_SKIP, "\n") or "").split("\n"))
+            out.append("\n".join(ln for ln in lines if ln))
+        return out
+    return arrs.map(one)
+
+
+def sgml_text(c, tag: str = "TEXT", method: str = "parser") -> Column:
+    """G4 for envelopes: the page text of every ``<TAG>`` body, non-empty bodies
+    joined by a blank line; input without an envelope is read as one page."""
+    bodies = TX.extract_bodies(c, tag)
+    parts = F.when(F.size(bodies) == 0, F.array(col(c))).otherwise(bodies)
+    if method == "parser":
+        texts = _html_lines_all(parts)
+    else:
+        texts = F.transform(parts, lambda b: page_text(b, "regex"))
+    return F.array_join(F.filter(texts, lambda s: s != ""), "\n\n")
+
+
 # --------------------------------------------------------------------------- #
 # G5-G7 refilter
 # --------------------------------------------------------------------------- #
