@@ -95,3 +95,10 @@ def test_pit_panel_smoke(spark):
     out = panel.build(spark, "/root/testdata/sf0.001")
     assert out.filter(F.col("fund_age_days") < 0).count() == 0
     assert out.count() == panel.roles.daily_bars(spark, "/root/testdata/sf0.001").count()
+
+
+def test_asof_null_keys_never_match(spark):
+    left = spark.createDataFrame([(None, d("2020-01-05")), (1, d("2020-01-05"))], "e long, t date")
+    right = spark.createDataFrame([(None, d("2020-01-01"), "n"), (1, d("2020-01-01"), "x")], "e long, k date, v string")
+    got = {r.e: r.v for r in asof_join(left, right, "e", "t", "k").collect()}
+    assert got == {None: None, 1: "x"}

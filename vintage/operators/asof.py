@@ -54,7 +54,11 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_on: str, right_on: str
         raise ValueError(f"right columns collide with left columns: {sorted(clash)}")
     payload_names = [right_on] + rcols
     tb_names = [f"_tb{i}" for i in range(len(tb))]
-    r = right.filter(F.col(right_on).isNotNull()).select(
+    # NULL keys never match (Spark join semantics), so such right rows are dropped
+    keyed = F.col(right_on).isNotNull()
+    for c in by:
+        keyed = keyed & F.col(c).isNotNull()
+    r = right.filter(keyed).select(
         *by, F.col(right_on).cast("timestamp").alias("_t"), _bucket(F.col(right_on), bucket).alias("_b"),
         F.struct(*[F.col(c) for c in payload_names]).alias("_r"),
         *[F.col(c).alias(n) for c, n in zip(tb, tb_names)])
