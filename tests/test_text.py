@@ -117,3 +117,13 @@ def test_sgml_text_bodies_joined_by_blank_line(spark, method):
     raw = ("<SEC-DOCUMENT><TEXT><html><body><p>First body</p><p>more</p></body></html></TEXT>"
            "<TEXT><p>Second &amp; last</p></TEXT></SEC-DOCUMENT>")
     assert _one(spark, TXT.sgml_text("x", method=method), raw) == "First body\nmore\n\nSecond & last"
+
+
+def test_tokenizer_udf_and_approx_percentiles(spark):
+    df = spark.createDataFrame([(1, "a bb ccc"), (2, "dddd")], "id int, text string")
+    tok = TXT.tokenizer_udf(lambda t: [len(w) for w in t.split()])
+    assert [r.ids for r in df.select(tok("text").alias("ids")).orderBy("id").collect()] == [[1, 2, 3], [4]]
+    sizes = spark.createDataFrame([("en", float(i)) for i in range(1, 101)], "lang string, bytes double")
+    ex = TXT.length_percentiles(sizes, "lang", "bytes").first()
+    ap = TXT.length_percentiles(sizes, "lang", "bytes", exact=False).first()
+    assert ex.p50 == pytest.approx(50.5) and abs(ap.p50 - 50.5) <= 1 and ap.max == 100

@@ -216,9 +216,12 @@ def refilter(df: DataFrame, text: str, out: str = "refiltered", keep_flags: bool
 # G8 length profile
 # --------------------------------------------------------------------------- #
 def length_percentiles(df: DataFrame, by: str, size: str,
-                       qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Count, exact linear-interpolated percentiles and max of ``size`` per group."""
-    p = F.percentile(F.col(size), F.array(*[F.lit(q) for q in qs]))
+                       qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), exact: bool = True) -> DataFrame:
+    """Count, percentiles and max of ``size`` per group. ``exact`` uses linear
+    interpolation like pandas (the group's values are counted in one buffer);
+    ``exact=False`` uses a mergeable sketch with bounded memory per group."""
+    arr = F.array(*[F.lit(q) for q in qs])
+    p = F.percentile(F.col(size), arr) if exact else F.percentile_approx(F.col(size), arr, 10000)
     g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), p.alias("_p"), F.max(size).alias("max"))
     return g.select(by, "n", *[F.col("_p")[i].alias(f"p{int(round(q * 100))}") for i, q in enumerate(qs)], "max")
 
@@ -270,6 +273,15 @@ def chunk_documents(df: DataFrame, key: str, tok: str, mode: str = "train",
     return x.select(key, "chunk_no", "start", body.alias("body")).withColumn("n_body", F.size("body"))
 
 
+def tokenizer_udf(tokenize, dtype: str = "array<int>"):
+    """M3/M4: wrap a user tokenizer ``str -> list[int]`` (e.g. a subword model
+    loaded once per worker) as an Arrow UDF over whole texts."""
+    @F.pandas_udf(dtype)
+    def _tok(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else list(tokenize(t)))
+    return _tok
+
+
 def hashed_ids(tok: Column, vocab_size: int = 30000, offset: int = 1000) -> Column:
     """Built-in token ids: hashed vocabulary (a user tokenizer can replace it)."""
     return F.transform(tok, lambda t: (F.pmod(F.xxhash64(t), F.lit(vocab_size - offset)) + offset).cast("int"))

@@ -1504,3 +1504,23 @@ def q_panel_window_scan(spark, sf_dir):
     w = scan_window(spark, path, "date", SCAN_START, SCAN_END, ["entity_id", "date", "year"])
     return w.groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
                                  F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+@register("turnover_by_name", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WEIGHTS},
+dts AS (SELECT strategy, date, row_number() OVER (PARTITION BY strategy ORDER BY date) AS i
+        FROM (SELECT DISTINCT strategy, date FROM weights)),
+x AS (SELECT w.strategy, w.entity_id, w.w, d.i FROM weights w JOIN dts d ON w.strategy = d.strategy AND w.date = d.date),
+j AS (SELECT coalesce(c.strategy, p.strategy) AS strategy, coalesce(c.i, p.i) AS i, c.w, p.pw
+      FROM x c FULL OUTER JOIN (SELECT strategy, i + 1 AS i, entity_id, w AS pw FROM x) p
+      ON c.strategy = p.strategy AND c.i = p.i AND c.entity_id = p.entity_id),
+lst AS (SELECT strategy, max(i) AS last FROM dts GROUP BY strategy),
+j2 AS (SELECT j.*, count(j.w) OVER (PARTITION BY j.strategy, j.i) AS k FROM j JOIN lst ON j.strategy = lst.strategy
+       WHERE j.i <= lst.last),
+t AS (SELECT strategy, i, sum(abs(coalesce(w, 0.0) - coalesce(CASE WHEN i = 1 THEN 1.0 / k ELSE pw END, 0.0)))
+             AS turnover FROM j2 GROUP BY strategy, i)
+SELECT t.strategy, d.date, round(t.turnover, 6) + 0.0 AS turnover FROM t JOIN dts d ON t.strategy = d.strategy AND t.i = d.i
+""")
+def q_turnover_by_name(spark, sf_dir):
+    w = BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)))
+    return round_doubles(P.turnover_name(w, "strategy", "date", "entity_id"))
