@@ -10,9 +10,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vintage.functions import keys as K
+from vintage.functions import text as TX
 from vintage.functions.core import round_doubles
+from vintage.operators import crosssection as X
+from vintage.operators import gates as G
+from vintage.operators import intervals as IV
+from vintage.operators import metrics as M
+from vintage.operators import portfolio as P
+from vintage.operators import ranking as RK
+from vintage.operators import scoring as SC
+from vintage.operators import temporal as T
+from vintage.operators import text as TXT
+from vintage.operators import vectors as V
+from vintage.operators.asof import days_since_event
+from vintage.plans import backtest as BT
 from vintage.plans import panel, roles
+from vintage.session import checkpoint_dir
+from vintage.sources import files as SF
+from vintage.sources import sinks as SK
+from vintage.sources.tables import repeatable_sample, scan_window
+from vintage.streaming import incremental as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,10 +86,7 @@ def q_pit_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # temporal toolkit: D2, D9, H1, D4, D5, D11/G14, E4/H2, E5, H13, D13
 # --------------------------------------------------------------------------- #
-from pyspark.sql import functions as F  # noqa: E402
 
-from vintage.operators import temporal as T  # noqa: E402
-from vintage.operators.asof import days_since_event  # noqa: E402
 
 # Order priorities playing the 10-K / 10-Q / 8-K forms.
 KQ8_FORMS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -255,11 +272,6 @@ def q_walk_splits(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # cross-section, ranking, portfolio: C9, H5-H7, F5, F6, J1-J6, K1-K9, H8-H12
 # --------------------------------------------------------------------------- #
-from vintage.operators import crosssection as X  # noqa: E402
-from vintage.operators import metrics as M  # noqa: E402
-from vintage.operators import portfolio as P  # noqa: E402
-from vintage.operators import ranking as RK  # noqa: E402
-from vintage.plans import backtest as BT  # noqa: E402
 
 SQL_FRI = """
 fwd AS (SELECT entity_id, date, ret, vol,
@@ -503,8 +515,6 @@ def q_strategy_metrics(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # text: G1-G11, E6, E7, F7
 # --------------------------------------------------------------------------- #
-from vintage.functions import text as TX  # noqa: E402
-from vintage.operators import text as TXT  # noqa: E402
 
 _WS = TX.PY_WS
 
@@ -697,7 +707,6 @@ def q_doc_split(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # vectors: E8, E9, G12, G13, H3, B12, G15-G19
 # --------------------------------------------------------------------------- #
-from vintage.operators import vectors as V  # noqa: E402
 
 GRID_TAIL_DAYS = 60
 
@@ -772,7 +781,6 @@ def q_doc_embeddings(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # §3.2 training panel composition, B8/B10 audit, E1, E10, E11
 # --------------------------------------------------------------------------- #
-from vintage.operators import gates as G  # noqa: E402
 
 _MACRO_COLS = [T.series_column(s) for s in MACRO_SERIES]
 SQL_MACRO = f"""
@@ -863,8 +871,6 @@ def q_panel_ranges(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # keys and intervals: C1-C5, D3, D6, D14, H4
 # --------------------------------------------------------------------------- #
-from vintage.functions import keys as K  # noqa: E402
-from vintage.operators import intervals as IV  # noqa: E402
 
 
 def _sql_cik(x: str) -> str:
@@ -1014,9 +1020,6 @@ def q_membership_intervals(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # sources and resume: A5, A12, B4, B5
 # --------------------------------------------------------------------------- #
-from vintage.sources import files as SF  # noqa: E402
-from vintage.sources import sinks as SK  # noqa: E402
-from vintage.sources.tables import repeatable_sample  # noqa: E402
 
 
 @register("page_cells")
@@ -1051,7 +1054,6 @@ def q_labelled_long_documents(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # scoring and reduction: I1-I8, J5, G15-G19, K4 (iterative fits: rows-only checks)
 # --------------------------------------------------------------------------- #
-from vintage.operators import scoring as SC  # noqa: E402
 
 WALKS = (1, 2, 3)
 GBT_PARAMS = dict(max_iter=20, max_depth=4, step_size=0.1)
@@ -1304,7 +1306,6 @@ def q_zero_info_report(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # streaming: L1-L3 (each runs a stream to completion, then reads its sink)
 # --------------------------------------------------------------------------- #
-from vintage.streaming import incremental as ST  # noqa: E402
 
 
 def _stream_of(spark, sf_dir, name):
@@ -1484,8 +1485,6 @@ def q_panel_build(spark, sf_dir):
 # --------------------------------------------------------------------------- #
 # A1/A2/B1: partitioned write, then a pruned window scan
 # --------------------------------------------------------------------------- #
-from vintage.sources.tables import scan_window  # noqa: E402
-from vintage.session import checkpoint_dir  # noqa: E402
 
 SCAN_START, SCAN_END = "1997-03-01", "1998-06-30"
 
