@@ -28,7 +28,7 @@ from vintage.operators import vectors as V
 from vintage.operators.asof import days_since_event
 from vintage.plans import backtest as BT
 from vintage.plans import panel, roles
-from vintage.session import checkpoint_dir
+from vintage.session import checkpoint_dir, materialize
 from vintage.sources import files as SF
 from vintage.sources import sinks as SK
 from vintage.sources.tables import repeatable_sample, scan_window
@@ -1439,8 +1439,9 @@ def q_scoreboard_extension(spark, sf_dir):
 
 @register("strategy_menu")
 def q_strategy_menu(spark, sf_dir):
-    """EW, SP, TILT, 60/40 and minimum-variance on one scoreboard, one plan."""
-    fri = BT.friday_panel(spark, sf_dir)
+    """EW, SP, TILT, 60/40 and minimum-variance on one scoreboard (written
+    once: it feeds every strategy branch and the min-variance history)."""
+    fri = materialize(BT.friday_panel(spark, sf_dir), "friday_panel")
     board = BT.scoreboard(fri)
     w = BT.strategy_weights(board)
     mv = P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
@@ -1475,9 +1476,15 @@ SELECT s.permno, s.date, round(s.ret, 6) + 0.0 AS ret, round(s.prc, 6) + 0.0 AS
 FROM s JOIN g ON s.permno = g.permno AND s.date = g.date
 """)
 def q_panel_build(spark, sf_dir):
-    d = roles.daily_bars(spark, sf_dir).select((F.col("entity_id") + 100000).alias("permno"), "date", "ret", "prc", "vol")
-    out = panel.build_panel(d, roles.sf1_rows(spark, sf_dir), roles.ticker_map(spark, sf_dir),
-                            roles.universe_ids(spark, sf_dir))
+    # the daily table feeds the panel, the validity windows and the as-of carry grid:
+    # hand it over as a written table, as the stages of §3.1 do
+    daily = materialize(roles.daily_bars(spark, sf_dir), "daily")
+    d = daily.select((F.col("entity_id") + 100000).alias("permno"), "date", "ret", "prc", "vol")
+    ids = T.spells(daily.select("entity_id", "date"), "entity_id", "date", 14).select(
+        K.normalize_cik(F.col("entity_id")).alias("cik"), (F.col("entity_id") + 100000).alias("permno"),
+        "date_in", "date_out")
+    out = panel.build_panel(d, materialize(roles.sf1_rows(spark, sf_dir), "sf1"), roles.ticker_map(spark, sf_dir),
+                            ids)
     return round_doubles(out.select("permno", "date", "ret", "prc", "vol", "datekey", "ticker", "cik", "revenue",
                                     "in_universe", "fund_age_days", "year"))
 
@@ -1521,5 +1528,6 @@ t AS (SELECT strategy, i, sum(abs(coalesce(w, 0.0) - coalesce(CASE WHEN i = 1 TH
 SELECT t.strategy, d.date, round(t.turnover, 6) + 0.0 AS turnover FROM t JOIN dts d ON t.strategy = d.strategy AND t.i = d.i
 """)
 def q_turnover_by_name(spark, sf_dir):
-    w = BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)))
+    # the weights table (dates x K x strategies) feeds both sides of the date-to-date comparison
+    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))), "weights")
     return round_doubles(P.turnover_name(w, "strategy", "date", "entity_id"))
