@@ -90,3 +90,15 @@ def test_observation_width(spark):
     obs = M.pack_observation(b, "date", "slot", ["w", "score", "f1", "f2", "f3", "f4", "f5"],
                              ["macro_vixcls", "macro_dgs10", "macro_t10y2y", "last_ret"]).first().obs
     assert len(obs) == 214 and all(x is not None for x in obs)
+
+
+def test_year_validator(spark):
+    rows = [(2002, 0.1 if i % 20 else None, 1.0) for i in range(100)] + [(2003, None, 1.0) for _ in range(10)]
+    df = spark.createDataFrame(rows, "year int, text_novelty double, fwd_ret_5d double")
+    rep = G.validate(df, "year", ["fwd_ret_5d"], {"text_novelty": 0.10, "fwd_ret_5d": 0.05}, min_rows=50)
+    bad = {(r.scope, r.rule) for r in rep.filter(~F.col("ok")).collect()}
+    assert bad == {("2003", "MIN_ROWS"), ("2003", "NULL_RATE:text_novelty")}
+    with pytest.raises(G.GateError):
+        G.enforce(rep)
+    with pytest.raises(G.GateError, match="missing"):
+        G.validate(df, "year", ["days_since_filing"], {})

@@ -95,3 +95,13 @@ def audit_by(df: DataFrame, by: str, key: str, null_cols: Iterable[str]) -> Data
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(key).alias("n_keys"),
         *[F.avg(F.col(c).isNull().cast("double")).alias(f"null_{c}") for c in null_cols])
+
+
+def validate(df: DataFrame, by: str, required: Iterable[str], null_limits: dict[str, float],
+             min_rows: int = 1) -> DataFrame:
+    """Required columns present (schema check, raises), then one report
+    table per ``by`` group with the row-count rule and every null-rate rule;
+    pass it to :func:`enforce` to fail the run."""
+    expected_columns(df, list(required) + [by] + list(null_limits))
+    rep = min_count_table(df, min_rows, by)
+    return rep.unionByName(null_rate_table(df, null_limits, by)) if null_limits else rep
