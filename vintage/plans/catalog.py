@@ -1290,7 +1290,7 @@ _ZI_COLS = ["prc", "vol", *[T.series_column(s) for s in MACRO_SERIES], "days_sin
 @register("zero_info_report", f"""
 WITH {SQL_TRAINING}
 {" UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values, "
-                    f"CAST(min({c}) AS DOUBLE) AS min_value, CAST(max({c}) AS DOUBLE) AS max_value, "
+                    f"round(CAST(min({c}) AS DOUBLE), 6) + 0.0 AS min_value, round(CAST(max({c}) AS DOUBLE), 6) + 0.0 AS max_value, "
                     f"count({c}) = 0 OR min({c}) = max({c}) AS zero_info FROM training" for c in _ZI_COLS)}
 """)
 def q_zero_info_report(spark, sf_dir):
