@@ -33,3 +33,20 @@ def test_dedupe_and_trailing_counts(spark, tmp_path):
     dsink, dck = str(tmp_path / "dd"), str(tmp_path / "dk")
     ST.run_available(ST.dedupe_stream(ST.file_stream(spark, str(src), schema), "cik", "ts", "30 days"), dsink, dck)
     assert sorted(r.cik for r in spark.read.parquet(dsink).collect()) == ["c1", "c2"]
+
+
+def test_trailing_counts_independent_of_session_time_zone(spark, tmp_path):
+    src = tmp_path / "ev"
+    spark.createDataFrame([("c1", "2020-06-01 23:30:00"), ("c1", "2020-06-03 00:10:00")], "cik string, d string") \
+        .selectExpr("cik", "to_timestamp_ntz(d) AS ts").write.parquet(str(src))
+    schema = spark.read.parquet(str(src)).schema
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        sink, ckpt = str(tmp_path / "c"), str(tmp_path / "k")
+        ST.run_upserts(ST.trailing_counts(ST.file_stream(spark, str(src), schema), "cik", "ts", 7), sink, ckpt)
+        got = {str(r.date): r.n for r in ST.latest(spark, sink, ["cik", "date"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got["2020-06-01"] == 1 and got["2020-06-03"] == 2 and got["2020-06-08"] == 2 and got["2020-06-09"] == 1
+    assert "2020-05-31" not in got and "2020-06-11" not in got

@@ -75,10 +75,13 @@ def dedupe_stream(stream: DataFrame, keys, event_time: str, delay: str) -> DataF
 def trailing_counts(stream: DataFrame, key: str, event_time: str, days: int = 7, delay: str = "30 days") -> DataFrame:
     """L3: events per key in sliding windows of ``days + 1`` days sliding by one day;
     the window starting at ``d - days`` holds the count of ``[d - days, d]`` (D9)."""
-    ts = F.col(event_time).cast("timestamp")
+    # day arithmetic on epoch days, so windows align with calendar days whatever
+    # the session time zone is
+    ts = F.timestamp_seconds(F.unix_date(F.to_date(F.col(event_time))).cast("long") * 86400)
     s = stream.withColumn("_ts", ts).withWatermark("_ts", delay)
     g = s.groupBy(key, F.window("_ts", f"{days + 1} days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select(key, F.to_date(F.date_add(F.to_date("w.start"), days)).alias("date"), "n")
+    start_day = F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")
+    return g.select(key, F.date_from_unix_date(start_day + days).alias("date"), "n")
 
 
 def run_upserts(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
