@@ -300,3 +300,10 @@ def test_fill_on_axis_asof_carry(spark):
     asof = [r.macro_vix for r in T.fill_on_axis(axis, wide, "date", carry="asof").orderBy("date").collect()]
     assert par == [None, None, None]      # prints off the axis are lost; fill restarts in January
     assert asof == [20.0, 20.0, 22.0]
+
+
+def test_forward_return_total_loss_is_null(spark):
+    df = spark.createDataFrame([(1, d(f"2020-01-0{i}"), r) for i, r in ((1, 0.1), (2, -1.0), (3, 0.2), (4, 0.1))],
+                               "e long, date date, ret double")
+    got = [r.fwd_ret_1d for r in T.forward_returns(df, "e", "date", "ret", (1,)).orderBy("date").collect()]
+    assert got[0] is None and got[1] == pytest.approx(0.2) and got[3] is None
