@@ -181,7 +181,7 @@ def q_membership_filter(spark, sf_dir):
 
 
 SQL_VECTORS = """
-v AS (SELECT CAST(label AS BIGINT) AS entity_id, DATE '2024-01-01' + CAST(vec_id % 30 AS INTEGER) AS date,
+v AS (SELECT CAST(label AS BIGINT) AS entity_id, DATE '1995-01-02' + CAST(vec_id * 5 AS INTEGER) AS date,
              vec_id, embedding AS vec FROM embeddings)"""
 
 
@@ -716,17 +716,11 @@ def _round_vec(c: str, places: int = 6):
 
 
 def _stockday_inputs(spark, sf_dir):
-    v = roles.vectors(spark, sf_dir)
-    docs = v.select(F.col("entity_id").alias("cik"), F.col("vec_id").alias("doc_id"),
-                    F.col("date").alias("filing_date"), "vec")
-    bridge = v.select("entity_id", F.col("entity_id").alias("cik")).distinct()
-    span = v.groupBy("entity_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
-    grid = span.select("entity_id", F.explode(F.sequence("d0", F.date_add("d1", GRID_TAIL_DAYS))).alias("date"))
-    return grid, docs, bridge
+    return panel.stockday_inputs(spark, sf_dir, GRID_TAIL_DAYS)
 
 
-@register("stockday_vectors", f"""
-WITH {SQL_VECTORS},
+SQL_STOCKDAY = f"""
+{SQL_VECTORS},
 grid AS (SELECT entity_id, CAST(unnest(generate_series(min(date), max(date) + {GRID_TAIL_DAYS}, INTERVAL 1 DAY)) AS DATE)
                 AS date FROM v GROUP BY entity_id),
 hit AS (SELECT g.entity_id, g.date, v.vec, pow(0.5, date_diff('day', v.date, g.date) / {float(V.HALF_LIFE_DAYS)}) AS w
@@ -734,10 +728,15 @@ hit AS (SELECT g.entity_id, g.date, v.vec, pow(0.5, date_diff('day', v.date, g.d
 el AS (SELECT entity_id, date, w, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM hit),
 agg AS (SELECT entity_id, date, list(m ORDER BY i) AS vec FROM
           (SELECT entity_id, date, i, sum(w * x) / sum(w) AS m FROM el GROUP BY entity_id, date, i) GROUP BY ALL),
-f AS (SELECT g.entity_id, g.date, last_value(a.vec IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY g.date
+sfill AS (SELECT g.entity_id, g.date, last_value(a.vec IGNORE NULLS) OVER (PARTITION BY g.entity_id ORDER BY g.date
           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vec FROM grid g LEFT JOIN agg a
-          ON g.entity_id = a.entity_id AND g.date = a.date)
-SELECT entity_id, date, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM f WHERE vec IS NOT NULL
+          ON g.entity_id = a.entity_id AND g.date = a.date),
+sv AS (SELECT * FROM sfill WHERE vec IS NOT NULL)"""
+
+
+@register("stockday_vectors", f"""
+WITH {SQL_STOCKDAY}
+SELECT entity_id, date, list_transform(vec, lambda x: round(x, 6) + 0.0) AS vec FROM sv
 """)
 def q_stockday_vectors(spark, sf_dir):
     grid, docs, bridge = _stockday_inputs(spark, sf_dir)
@@ -794,8 +793,15 @@ macro AS (SELECT date, {", ".join(f"last_value({c} IGNORE NULLS) OVER y AS {c}"
           FROM mj WINDOW y AS (PARTITION BY year(date) ORDER BY date
                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
+SQL_NOVELTY = """
+nv AS (SELECT a.entity_id, a.date,
+         1 - list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] * b.vec[i]))
+             / nullif(sqrt(list_sum(list_transform(a.vec, lambda x: x * x)))
+                      * sqrt(list_sum(list_transform(b.vec, lambda x: x * x))), 0) AS text_novelty
+       FROM sv a LEFT JOIN sv b ON a.entity_id = b.entity_id AND b.date = a.date - 7)"""
+
 SQL_TRAINING = f"""
-{SQL_DAILY}, {SQL_FUND}, {SQL_PANEL}, {SQL_FILINGS}, {SQL_WINDOWS}, {SQL_MACRO},
+{SQL_DAILY}, {SQL_FUND}, {SQL_PANEL}, {SQL_FILINGS}, {SQL_WINDOWS}, {SQL_MACRO}, {SQL_STOCKDAY}, {SQL_NOVELTY},
 member AS (SELECT p.entity_id, p.cik, p.date, d.ret, d.prc, d.vol FROM panel p JOIN daily d
            ON p.entity_id = d.entity_id AND p.date = d.date
            WHERE EXISTS (SELECT 1 FROM windows w WHERE w.entity_id = p.entity_id
@@ -812,8 +818,9 @@ lab AS (SELECT entity_id, date,
         WINDOW w1 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 1 FOLLOWING),
                w5 AS (PARTITION BY entity_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
 training AS (SELECT m.*, {", ".join("mc." + c for c in _MACRO_COLS)}, r.days_since_filing, c.doc_count_7d,
-                    l.fwd_ret_1d, l.fwd_ret_5d, CAST(year(m.date) AS INTEGER) AS year
+                    nv.text_novelty, l.fwd_ret_1d, l.fwd_ret_5d, CAST(year(m.date) AS INTEGER) AS year
              FROM member m LEFT JOIN macro mc ON m.date = mc.date
+             LEFT JOIN nv ON m.entity_id = nv.entity_id AND m.date = nv.date
              JOIN rec r ON m.entity_id = r.entity_id AND m.date = r.date
              JOIN cnt c ON m.entity_id = c.entity_id AND m.date = c.date
              JOIN lab l ON m.entity_id = l.entity_id AND m.date = l.date)"""
@@ -823,6 +830,7 @@ training AS (SELECT m.*, {", ".join("mc." + c for c in _MACRO_COLS)}, r.days_sin
 WITH {SQL_TRAINING}
 SELECT entity_id, cik, date, round(ret, 6) + 0.0 AS ret, round(prc, 6) + 0.0 AS prc, round(vol, 6) + 0.0 AS vol,
        {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _MACRO_COLS)}, days_since_filing, doc_count_7d,
+       round(text_novelty, 6) + 0.0 AS text_novelty,
        round(fwd_ret_1d, 6) + 0.0 AS fwd_ret_1d, round(fwd_ret_5d, 6) + 0.0 AS fwd_ret_5d, year
 FROM training
 """)

@@ -41,9 +41,23 @@ def macro_on_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fill_on_axis(axis, wide, "date")
 
 
+def stockday_inputs(spark: SparkSession, sf_dir: str, tail_days: int = 60):
+    """(grid, docs, bridge) for the stock-day vectors: each filer's daily calendar
+    from its first document to ``tail_days`` after its last; documents keyed by
+    cik; the identity bridge (a filer is its own entity)."""
+    v = roles.vectors(spark, sf_dir)
+    docs = v.select(F.col("entity_id").alias("cik"), F.col("vec_id").alias("doc_id"),
+                    F.col("date").alias("filing_date"), "vec")
+    bridge = v.select("entity_id", F.col("entity_id").alias("cik")).distinct()
+    span = v.groupBy("entity_id").agg(F.min("date").alias("d0"), F.max("date").alias("d1"))
+    grid = span.select("entity_id", F.explode(F.sequence("d0", F.date_add("d1", tail_days))).alias("date"))
+    return grid, docs, bridge
+
+
 def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§3.2 stages 5-6: member rows of the daily panel + macro + recency + filing
-    count + forward labels on member rows + year (no year loop: whole table).
+    count + text novelty + forward labels on member rows + year (no year loop:
+    whole table).
 
     Filings are aggregated once per (cik, day) — all forms and the 10-K/10-Q/8-K
     roles — and written once; recency, trailing counts and membership spells
@@ -66,6 +80,12 @@ def training_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = member.join(macro_on_axis(spark, sf_dir), "date", "left")
     x = days_since_event(x, ev.filter(F.col("n_kq8") > 0), "cik", "date", "filing_date", "days_since_filing")
     x = T.trailing_event_count(x, ev, "cik", "date", "filing_date", 7, weight="n_all")
+    # novelty on the daily stock-day vectors (decay-weighted, forward-filled)
+    from vintage.operators import vectors as V
+    grid, docs, bridge = stockday_inputs(spark, sf_dir)
+    sv = V.stockday_vectors(grid, docs, bridge, "entity_id", "date", "cik", "doc_id", "filing_date", "vec",
+                            dtype="float64")
+    x = x.join(T.text_novelty(sv, "entity_id", "date", "vec", 7), ["entity_id", "date"], "left")
     x = T.forward_returns(x, "entity_id", "date", "ret", (1, 5))
     return x.withColumn("year", F.year("date"))
 

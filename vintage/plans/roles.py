@@ -12,7 +12,7 @@ derived from them, so the work of each query grows with the data.
 | filings         | same rows, order priority as the form type                    |
 | membership      | spells of order or ship days; events: signup/error change log |
 | macro           | orders by (order day, priority) or events by (day, type)      |
-| vectors         | embeddings: label = entity, 2024-01-01 + vec_id % 30 = date   |
+| vectors         | embeddings: label = supplier, 1995-01-02 + 5 * vec_id = date   |
 | pages / text    | pages.html, documents.text                                    |
 """
 from __future__ import annotations
@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The calendar origin of the vector role and its period.
-VECTOR_EPOCH = "2024-01-01"
-VECTOR_DAYS = 30
+# The calendar origin of the vector role and the days between vec_ids.
+VECTOR_EPOCH = "1995-01-02"
+VECTOR_STEP_DAYS = 5
 
 
 # Tables whose rows carry whole texts: per-row work is CPU-heavy, so their scans
@@ -147,9 +147,11 @@ def macro_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, date, vec_id, vec) — label as entity, a synthetic calendar date."""
+    """(entity_id, date, vec_id, vec) — document vectors: the label is the filer
+    (a supplier key), filed ``VECTOR_STEP_DAYS`` days apart in ``vec_id`` order
+    from ``VECTOR_EPOCH`` (the daily panel's calendar)."""
     em = table(spark, sf_dir, "embeddings")
     return em.select(F.col("label").cast("long").alias("entity_id"),
                      F.date_add(F.lit(VECTOR_EPOCH).cast("date"),
-                                F.pmod(F.col("vec_id"), F.lit(VECTOR_DAYS)).cast("int")).alias("date"),
+                                (F.col("vec_id") * VECTOR_STEP_DAYS).cast("int")).alias("date"),
                      "vec_id", F.col("embedding").alias("vec"))
