@@ -97,3 +97,27 @@ def test_clobber_guard(spark, tmp_path):
     with pytest.raises(RuntimeError):
         SK.guard_clobber(spark, path, writing_synthetic=True)
     SK.guard_clobber(spark, str(tmp_path / "none"), writing_synthetic=True)
+
+
+def test_membership_from_page_fixture_cases(spark):
+    from vintage.operators.intervals import reconstruct_membership
+    page = ("<table><tr><th>Symbol</th><th>Security</th></tr><tr><td>aaa</td><td>A</td></tr>"
+            "<tr><td>bbb</td><td>B</td></tr></table>"
+            "<table><tr><th>Date</th><th>Added</th><th>Removed</th></tr>"
+            "<tr><td>2015-06-01</td><td></td><td>ccc</td></tr>"
+            "<tr><td>2012-01-01</td><td></td><td>ddd</td></tr>"
+            "<tr><td>2011-05-05</td><td>eee</td><td></td></tr>"
+            "<tr><td>2010-03-01</td><td>bbb</td><td></td></tr>"
+            "<tr><td>2008-01-01</td><td></td><td>ddd</td></tr>"
+            "<tr><td>2006-01-01</td><td>ddd</td><td></td></tr>"
+            "<tr><td>2005-02-01</td><td>ccc</td><td></td></tr>"
+            "<tr><td>n/a</td><td>zzz</td><td></td></tr></table>")
+    pages = spark.createDataFrame([(1, page)], "page_id int, html string")
+    current, changes = SF.membership_from_pages(pages, "page_id")
+    assert sorted(r.ticker for r in current.collect()) == ["AAA", "BBB"]
+    assert "ZZZ" not in {r.ticker for r in changes.collect()}
+    iv = reconstruct_membership(changes.drop("page_id"), current, "2000-01-01", "2025-12-31")
+    got = sorted((r.ticker, str(r.date_in), str(r.date_out)) for r in iv.collect())
+    assert got == sorted([("AAA", "2000-01-01", "None"), ("BBB", "2010-03-01", "None"),
+                          ("CCC", "2005-02-01", "2015-06-01"), ("DDD", "2006-01-01", "2008-01-01"),
+                          ("DDD", "2000-01-01", "2012-01-01"), ("EEE", "2011-05-05", "None")])

@@ -12,8 +12,9 @@ ACCESSION_DIGITS = r"(\d{18})"
 
 
 def normalize_ticker(c) -> Column:
-    """Upper-case, ``.`` -> ``-``, literal ``NAN`` -> NULL."""
-    return F.nullif(F.regexp_replace(F.upper(F.trim(col(c))), r"\.", "-"), F.lit("NAN"))
+    """Upper-case, ``.`` -> ``-``, literal ``NAN`` (and an empty cell) -> NULL."""
+    t = F.regexp_replace(F.upper(F.trim(col(c))), r"\.", "-")
+    return F.when((t == "NAN") | (t == ""), F.lit(None).cast("string")).otherwise(t)
 
 
 def normalize_cik(c) -> Column:

@@ -887,7 +887,8 @@ def _sql_cik(x: str) -> str:
 
 
 def _sql_ticker(x: str) -> str:
-    return f"nullif(regexp_replace(upper(trim({x})), '\\.', '-', 'g'), 'NAN')"
+    t = f"regexp_replace(upper(trim({x})), '\\.', '-', 'g')"
+    return f"CASE WHEN {t} IN ('NAN', '') THEN NULL ELSE {t} END"
 
 
 @register("url_keys", f"""

@@ -193,3 +193,47 @@ def column_by_header(cells: DataFrame, key: str, fragment: str, out: str) -> Dat
     body = cells.filter(F.col("row_no") > 0)
     j = body.join(hdr, [key, "table_no"]).filter(F.col("col_no") == F.col("_c"))
     return j.select(key, "table_no", "row_no", F.col("text").alias(out))
+
+
+def _table_with(cells: DataFrame, key: str, fragments: Sequence[str]) -> DataFrame:
+    """Tables (page, table_no) whose header row holds every fragment."""
+    hdr = cells.filter((F.col("row_no") == 0) & (F.col("kind") == "table"))
+    ok = None
+    for f in fragments:
+        c = F.max(F.lower("text").contains(f.lower()).cast("int")) == 1
+        ok = c if ok is None else ok & c
+    return hdr.groupBy(key, "table_no").agg(ok.alias("_ok")).filter("_ok").select(key, "table_no")
+
+
+def membership_from_pages(pages: DataFrame, key: str, html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """A5: ``(current, changes)`` from index-constituent pages.
+
+    ``current`` = tickers of the table with a 'symbol' header; ``changes`` =
+    rows of the table with 'date', 'added' and 'removed' headers, one change row
+    per (date, added, removed) line turned into ``op`` rows ('added' before
+    'removed' on the same line via ``seq``). Tickers are normalised (upper, '.'
+    -> '-', 'NAN' -> NULL); undated rows are dropped.
+    """
+    from vintage.functions.keys import normalize_ticker
+    cells = html_cells(pages, key, html_col)
+    cur_t = _table_with(cells, key, ["symbol"])
+    sym = column_by_header(cells.join(cur_t, [key, "table_no"], "left_semi"), key, "symbol", "ticker")
+    current = sym.select(key, normalize_ticker("ticker").alias("ticker")).filter(F.col("ticker").isNotNull())
+    ch_t = _table_with(cells, key, ["date", "added", "removed"])
+    ch = cells.join(ch_t, [key, "table_no"], "left_semi")
+    cols = {}
+    for name in ("date", "added", "removed"):
+        cols[name] = column_by_header(ch, key, name, name)
+    rows = (cols["date"].join(cols["added"], [key, "table_no", "row_no"])
+            .join(cols["removed"], [key, "table_no", "row_no"])
+            .withColumn("date", F.to_date(F.try_to_timestamp(F.col("date"))))
+            .filter(F.col("date").isNotNull()))
+    ops = F.explode(F.array(
+        F.struct(F.lit("added").alias("op"), normalize_ticker("added").alias("ticker"), F.lit(1).alias("k")),
+        F.struct(F.lit("removed").alias("op"), normalize_ticker("removed").alias("ticker"), F.lit(0).alias("k"))))
+    changes = (rows.select(key, "row_no", "date", ops.alias("o"))
+               .select(key, "date", F.col("o.ticker").alias("ticker"), F.col("o.op").alias("op"),
+                       # later table rows are older; within a line 'added' is walked first
+                       (-(F.col("row_no") * 2) + F.col("o.k")).cast("long").alias("seq"))
+               .filter(F.col("ticker").isNotNull()))
+    return current, changes
