@@ -55,3 +55,22 @@ def test_refilter_independent_of_partitioning(spark):
     a = refilter(docs.repartition(1), "text").select("doc_id", "refiltered")
     b = refilter(docs.repartition(13), "text").select("doc_id", "refiltered")
     assert _sorted(a) == _sorted(b)
+
+
+@pytest.mark.parametrize("bucket", ["day", "week", "month", "quarter", "year"])
+def test_asof_hot_key_matches_brute_force_for_every_bucket(spark, bucket):
+    rng = np.random.RandomState(11)
+    base = d("2018-01-01").toordinal()
+    keys = [0] * 300 + [1, 2, 3] * 10          # key 0 holds most rows
+    left = spark.createDataFrame([(k, d("2018-01-01").fromordinal(base + int(t)))
+                                  for k, t in zip(keys, rng.randint(0, 1200, len(keys)))], "k long, t date")
+    rk = [0] * 40 + [1, 2] * 5
+    right_rows = [(k, d("2018-01-01").fromordinal(base + int(t)), i, float(i))
+                  for i, (k, t) in enumerate(zip(rk, rng.randint(0, 1200, len(rk))))]
+    right = spark.createDataFrame(right_rows, "k long, kd date, seq int, v double")
+    out = asof_join(left, right, "k", "t", "kd", tie_break=["seq"], bucket=bucket).collect()
+    assert len(out) == left.count()
+    for r in out:
+        c = [x for x in right_rows if x[0] == r.k and x[1] <= r.t]
+        best = max(c, key=lambda x: (x[1], x[2])) if c else None
+        assert r.v == (best[3] if best else None)
