@@ -121,3 +121,12 @@ def test_membership_from_page_fixture_cases(spark):
     assert got == sorted([("AAA", "2000-01-01", "None"), ("BBB", "2010-03-01", "None"),
                           ("CCC", "2005-02-01", "2015-06-01"), ("DDD", "2006-01-01", "2008-01-01"),
                           ("DDD", "2000-01-01", "2012-01-01"), ("EEE", "2011-05-05", "None")])
+
+
+def test_master_index_latin1_names(spark, tmp_path):
+    p = tmp_path / "latin1.idx"
+    p.write_bytes(("CIK|Company Name|Form Type|Date Filed|Filename\n" + "-" * 40 + "\n"
+                   "1234|Société Générale|10-K|2024-01-05|edgar/data/1234/0000001234-24-000001.txt\n")
+                  .encode("latin-1"))
+    rows = SF.read_master_index(spark, str(p)).collect()
+    assert [r.company for r in rows] == ["Société Générale"] and rows[0].cik == "0000001234"
