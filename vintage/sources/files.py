@@ -51,9 +51,19 @@ def parse_master_index(lines: DataFrame, value: str = "value") -> DataFrame:
     return out.filter(F.col("filing_date").isNotNull())
 
 
+def read_latin1_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """A8 for index files: one row per line, decoded as ISO-8859-1 (the ``text``
+    source reads UTF-8 only; the CSV source honours ``encoding``, so each line is
+    read as a single field with separator and quoting switched off)."""
+    return (spark.read.format("csv").option("encoding", "ISO-8859-1").option("sep", "\u0001")
+            .option("quote", "\u0000").option("escape", "\u0000").option("header", "false")
+            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+            .schema("value string").load(paths))
+
+
 def read_master_index(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """A4 from files (one line per row; Latin-1 index files decode byte-for-byte)."""
-    return parse_master_index(spark.read.option("encoding", "ISO-8859-1").text(paths))
+    return parse_master_index(read_latin1_lines(spark, paths))
 
 
 def collect_filings(index: DataFrame, universe: DataFrame, forms: Sequence[str] = ("10-K", "10-Q", "8-K"),
