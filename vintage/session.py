@@ -40,9 +40,24 @@ def get_spark(app: str = "vintage", cpus: int | str | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vintage`` importable on executors: zip the package once and add it
+    with ``addPyFile`` (Python UDFs reference its functions by module)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_vintage_shipped", False):
+        return
+    import shutil
+    pkg_root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = tempfile.mkdtemp(prefix="vintage-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "vintage"), "zip", root_dir=pkg_root, base_dir="vintage")
+    sc.addPyFile(archive)
+    sc._vintage_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
