@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm import bpe, chat, exact_dedup, langid, simhash, toxicity
+from vintage.llm import bpe, chat, exact_dedup, langid, mixing, simhash, topk, toxicity, warc
 from vintage.llm.common import table
 
 
@@ -32,6 +32,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mixture takes of every document."""
+    return mixing.mixture(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows of each query: every row whose id is divisible by 20 against all rows."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """The place of an installed tokenizer file."""
     import public_tokenizers
@@ -56,6 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_warc": op5_warc,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_exact_topk": op8_exact_topk,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
 }
@@ -68,6 +86,25 @@ ORACLE: dict[str, str] = {
                      count(*) OVER (PARTITION BY text_sha256) AS group_size
               FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY len DESC, doc_id NULLS LAST))
         SELECT doc_id, keep_id, group_size, rn = 1 AS kept, text_sha256 FROM r""",
+    "op5_warc": r"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + ((CAST('0x' || substr(h, CAST((k // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31)), 1)), '')
+                   AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> keep THEN keep END AS refers_to
+        FROM g""",
+    "op8_exact_topk": r"""
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(embedding) > 0
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+        r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                     vec_id, score FROM s)
+        SELECT * FROM r WHERE rank <= 20""",
     "op10_chat_formatting": r"""
         WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
                           '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS s
