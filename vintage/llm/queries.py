@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vintage.llm import bpe, chat, exact_dedup, langid, mixing, simhash, topk, toxicity, warc
+from vintage.llm import bpe, chat, exact_dedup, langid, mixing, quality, simhash, topk, toxicity, warc
 from vintage.llm.common import table
 
 
@@ -42,6 +42,12 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from heuristics only."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs)[1])
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows of each query: every row whose id is divisible by 20 against all rows."""
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_warc": op5_warc,
     "op6_source_mixing": op6_source_mixing,
+    "op7_quality": op7_quality,
     "op8_exact_topk": op8_exact_topk,
     "op9_bpe": op9_bpe,
     "op10_chat_formatting": op10_chat_formatting,
