@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,7 +71,7 @@ class SentenceScorer:
     weights: np.ndarray
     bias: float
     threshold: float = 0.5
-    remember: int = 500_000
+    remember: int = 200_000
 
     def __post_init__(self) -> None:
         self.words: dict[str, float] = {}
@@ -111,43 +112,39 @@ def fit(texts: list[str], labels: np.ndarray, share: float, steps: int = 150, ra
         l1: float = 2e-5) -> tuple[np.ndarray, float]:
     """(weights, bias) from document labels; ``share`` is the toxic share to weight the classes to."""
     ids: dict[str, int] = {}
-    feats: list[list[int]] = []
-    word_of, sent_of, doc_of, sizes = [], [], [], []
-    n_sent = 0
+    f_id, f_word, word_of, doc_of, sizes = (array("i") for _ in range(5))
     for d, t in enumerate(texts):
         for _, _, ws in sentences(t):
             for w in ws:
-                k = ids.get(w)
-                if k is None:
-                    k = ids[w] = len(ids)
-                    feats.append(word_features(w))
+                k = ids.setdefault(w, len(ids))
+                if k == len(ids) - 1 and (not f_word or f_word[-1] != k):
+                    own = word_features(w)
+                    f_id.extend(own)
+                    f_word.extend([k] * len(own))
                 word_of.append(k)
             sizes.append(len(ws))
-            sent_of.append(n_sent)
             doc_of.append(d)
-            n_sent += 1
+    n_sent, n_word = len(sizes), len(ids)
+    del ids
     dim = 1 << BITS
     if not n_sent:
         return np.zeros(dim), -20.0
-    word_of = np.array(word_of)
-    sent = np.repeat(np.arange(n_sent), sizes)
-    doc = np.array(doc_of)
-    f_word = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    f_id = np.array([x for f in feats for x in f])
+    word_of, doc, f_word, f_id = map(np.asarray, (word_of, doc_of, f_word, f_id))
+    sent = np.repeat(np.arange(n_sent, dtype=np.int32), np.asarray(sizes))
     used, f_id = np.unique(f_id, return_inverse=True)
     n_doc, y = len(texts), labels.astype(float)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / n_doc
     w, b = np.zeros(len(used)), -5.0
     g2, gb2 = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
-        ww = np.bincount(f_word, w[f_id], len(feats))
+        ww = np.bincount(f_word, w[f_id], n_word)
         z = b + np.bincount(sent, ww[word_of], n_sent)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), n_doc)
         whole = np.maximum(-np.expm1(log_none), 1e-12)
         slope = np.where(y == 1, -(1 - whole) / whole, 1.0) * weight
         gz = slope[doc] * p
-        gw = np.bincount(word_of, gz[sent], len(feats))
+        gw = np.bincount(word_of, gz[sent], n_word)
         g, gb = np.bincount(f_id, gw[f_word], len(used)), gz.sum()
         g2 += g * g
         gb2 += gb * gb
@@ -178,12 +175,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     share = y.agg(F.avg("y")).first()[0]
     w = Window.partitionBy("y").orderBy("r", "id")
     ids = y.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_class).drop("k")
+    ids = F.broadcast(ids)  # 2 * docs_per_class rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
     return written(texts.groupBy("id", "y", "r").agg(F.min("text").alias("text")), "label-sample"), share or 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", docs_per_class: int = 3000) -> SentenceScorer:
+          label_col: str = "toxic", docs_per_class: int = 2000) -> SentenceScorer:
     """A scorer from labels whose crc32(id) mod 4 is not 2."""
     s, share = labelled_sample(docs, labels, id_col, text_col, label_col, docs_per_class)
     if not 0 < share < 1:
