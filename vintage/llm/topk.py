@@ -4,7 +4,9 @@ Queries and candidates are dealt into blocks; a task gets one query block and
 one candidate block, builds a cover tree over each and searches them together.
 A cover-tree node has a centre and a covering radius; its children are centres
 further apart than half that radius, so that every point lies within half of it
-from one of them. For a pair of nodes
+from one of them. Where trials show that hardly any point has such a neighbour
+(as in random directions), the rest of the node stays one list. For a pair of
+nodes
 
     max q.c <= centre.centre + |centre_q| r_c + |centre_c| r_q + r_q r_c
 
@@ -41,6 +43,8 @@ from pyspark.sql import functions as F
 from vintage.llm.common import written
 
 LEAF = 64
+#: Single points in a row of trials after which the rest of a node is left as one list.
+PROBES = 64
 
 
 @dataclass
@@ -65,23 +69,24 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int | None = None) -> No
         return node
     half = radius / 2
     near = dist <= half
-    groups: list[tuple[int, np.ndarray]] = [(centre, rows[near])]
-    rest, far = rows[~near], dist[~near]
+    groups: list[tuple[int, np.ndarray]] = [(centre, rows[near])] if near.sum() > 1 else []
+    rest = rows[~near] if groups else rows
     lone: list[int] = []
-    while len(rest):
-        at = int(far.argmax())  # further than half the radius from every centre so far
-        d = np.sqrt(np.maximum(((x[rest] - x[rest[at]]) ** 2).sum(axis=1), 0))
+    while len(rest) and not (len(lone) >= PROBES and len(lone) > 3 * len(groups)):
+        # the next point that no centre covers is further than half the radius from all of them
+        d = np.sqrt(np.maximum(((x[rest] - x[rest[0]]) ** 2).sum(axis=1), 0))
         own = d <= half
         if own.sum() == 1:
-            lone.append(int(rest[at]))
+            lone.append(int(rest[0]))
         else:
-            groups.append((int(rest[at]), rest[own]))
-        rest, far = rest[~own], np.minimum(far, d)[~own]
-    if len(lone) > len(rows) // 2:  # mostly single points: one leaf is the same in one product
+            groups.append((int(rest[0]), rest[own]))
+        rest = rest[~own]
+    if not groups:
         return node
+    lone += rest.tolist()  # points that hardly group: one list below this centre
     node.children = [cover_tree(x, r, k) for k, r in groups]
-    if lone:  # children of one point each, kept as one list under this centre
-        r = np.array(lone)
+    if lone:
+        r = np.array(sorted(lone))
         d = np.sqrt(((x[r] - c) ** 2).sum(axis=1).max())
         node.children.append(Node(c, node.norm, float(d), r))
     return node
