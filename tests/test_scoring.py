@@ -17,7 +17,7 @@ def test_fit_score_importance_and_summary(spark):
     assert "score" in scored.columns and scored.filter(F.col("score").isNull()).count() == 0
     imp = SC.feature_importance(model, feats, spark).collect()
     assert len(imp) == len(feats) and abs(sum(r.importance for r in imp) - 1.0) < 1e-6
-    summ = SC.walk_summary(fr, [1], feats, "entity_id", "date", 2, "all", max_iter=5, max_depth=3).collect()
+    summ = SC.walk_summary(fr.filter("walk_id = 1"), feats, "entity_id", "date", 2, "all", max_iter=5, max_depth=3).collect()
     assert len(summ) == 1 and summ[0].n_train > 0 and "ic_gate" in summ[0].asDict()
 
 

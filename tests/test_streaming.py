@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import datetime as dt
+
+import pytest
+
 from vintage.streaming import incremental as ST
 
 
@@ -19,20 +23,51 @@ def test_clean_resumes_with_only_new_files(spark, tmp_path):
     assert q.lastProgress is None or q.lastProgress["numInputRows"] <= 1
 
 
-def test_dedupe_and_trailing_counts(spark, tmp_path):
-    src = tmp_path / "ev"
-    rows = [("c1", "2020-06-01"), ("c1", "2020-06-03"), ("c1", "2020-06-05"), ("c1", "2020-06-15"),
-            ("c2", "2020-06-06")]
-    spark.createDataFrame(rows, "cik string, d string").selectExpr("cik", "to_timestamp(d) AS ts") \
-        .write.parquet(str(src))
-    schema = spark.read.parquet(str(src)).schema
-    sink, ckpt = str(tmp_path / "cnt"), str(tmp_path / "ck")
-    ST.run_upserts(ST.trailing_counts(ST.file_stream(spark, str(src), schema), "cik", "ts", 7), sink, ckpt)
-    got = {(r.cik, str(r.date)): r.n for r in ST.latest(spark, sink, ["cik", "date"]).collect()}
-    assert got[("c1", "2020-06-07")] == 3 and ("c1", "2020-06-13") not in got and got[("c1", "2020-06-20")] == 1
-    dsink, dck = str(tmp_path / "dd"), str(tmp_path / "dk")
-    ST.run_available(ST.dedupe_stream(ST.file_stream(spark, str(src), schema), "cik", "ts", "30 days"), dsink, dck)
-    assert sorted(r.cik for r in spark.read.parquet(dsink).collect()) == ["c1", "c2"]
+def _files(spark, folder, rows, schema, n):
+    """``rows`` in ``n`` files, dealt round, in the order of the rows."""
+    for i in range(n):
+        spark.createDataFrame(rows[i::n], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.read.parquet(str(folder)).schema
+
+
+EVENTS = [("c1", "2020-06-01"), ("c1", "2020-06-03"), ("c1", "2020-06-05"), ("c1", "2020-06-15"), ("c2", "2020-06-06"),
+          ("c1", "2020-01-01"), ("c2", "2021-06-06"), (None, "2020-06-06"), ("c3", "2019-06-06"), (None, "2020-06-07")]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 2, 4])
+def test_dedupe_whatever_the_batches(spark, tmp_path, files_per_batch):
+    schema = _files(spark, tmp_path / "in", EVENTS, "cik string, d string", 4)
+    sink, ckpt = str(tmp_path / "out"), str(tmp_path / "ck")
+    s = ST.file_stream(spark, str(tmp_path / "in"), schema, max_files=files_per_batch)
+    ST.run_dedupe(s, "cik", sink, ckpt)
+    got = [r.cik for r in ST.read_log(spark, sink).collect()]
+    assert sorted(map(str, got)) == ["None", "c1", "c2", "c3"]
+    # new files: only new keys are added
+    _files(spark, tmp_path / "in", [("c1", "2022-01-01"), ("c9", "2018-01-01")], "cik string, d string", 1)
+    ST.run_dedupe(ST.file_stream(spark, str(tmp_path / "in"), schema, max_files=files_per_batch), "cik", sink, ckpt)
+    assert sorted(str(r.cik) for r in ST.read_log(spark, sink).collect()) == ["None", "c1", "c2", "c3", "c9"]
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 2, 4])
+def test_trailing_counts_whatever_the_batches(spark, tmp_path, files_per_batch):
+    schema = _files(spark, tmp_path / "in", EVENTS, "cik string, d string", 4)
+    sink, ckpt = str(tmp_path / "out"), str(tmp_path / "ck")
+    s = ST.file_stream(spark, str(tmp_path / "in"), schema, max_files=files_per_batch).selectExpr("cik", "to_timestamp(d) AS ts")
+    ST.run_daily_counts(s, "cik", "ts", sink, ckpt)
+    got = {(r.cik, str(r.date)): r.n for r in ST.trailing_counts(spark, sink, "cik", 7).collect()}
+    want = {}
+    for c, d in EVENTS:
+        for k in range(8):
+            day = str(dt.date.fromisoformat(d) + dt.timedelta(days=k))
+            want[(c, day)] = want.get((c, day), 0) + 1
+    assert got == want
+
+
+def test_repeated_batch_adds_nothing(spark, tmp_path):
+    sink = str(tmp_path / "out")
+    for _ in range(2):
+        ST._write_batch(spark.createDataFrame([("a", 1)], "k string, _n long"), sink, 0)
+    assert ST.read_log(spark, sink).count() == 1
 
 
 def test_trailing_counts_independent_of_session_time_zone(spark, tmp_path):
@@ -44,8 +79,8 @@ def test_trailing_counts_independent_of_session_time_zone(spark, tmp_path):
     try:
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         sink, ckpt = str(tmp_path / "c"), str(tmp_path / "k")
-        ST.run_upserts(ST.trailing_counts(ST.file_stream(spark, str(src), schema), "cik", "ts", 7), sink, ckpt)
-        got = {str(r.date): r.n for r in ST.latest(spark, sink, ["cik", "date"]).collect()}
+        ST.run_daily_counts(ST.file_stream(spark, str(src), schema), "cik", "ts", sink, ckpt)
+        got = {str(r.date): r.n for r in ST.trailing_counts(spark, sink, "cik", 7).collect()}
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got["2020-06-01"] == 1 and got["2020-06-03"] == 2 and got["2020-06-08"] == 2 and got["2020-06-09"] == 1

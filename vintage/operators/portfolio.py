@@ -283,8 +283,8 @@ def min_variance_weights(board: DataFrame, history: DataFrame, by, date: str, en
         if n_hist < max(min_history, 1):
             w = np.full(len(names), 1.0 / len(names))
         else:
-            mat = (lags.pivot_table(index="lag_no", columns=entity, values="_r", aggfunc="first")
-                   .reindex(columns=names))
+            # every lag date stays a row, zero-filled where no name has a return
+            mat = lags.pivot(index="lag_no", columns=entity, values="_r").reindex(columns=names)
             if mat.isna().all().all():
                 w = np.full(len(names), 1.0 / len(names))
             else:
@@ -300,6 +300,28 @@ def min_variance_weights(board: DataFrame, history: DataFrame, by, date: str, en
     return g.groupBy(*by, date).applyInPandas(solve, schema=schema)
 
 
+def min_variance_check(weights: DataFrame, cov: DataFrame, date: str, entity: str, cap: float, w: str = "w",
+                       tol: float = 1e-4) -> DataFrame:
+    """Feasibility and optimality of minimum-variance weights, per date.
+
+    ``cov``: (date, i, j, cov) of the same names. With g = 2 Cov w the weights are
+    optimal when no name that could give weight (w > 0) has a larger gradient
+    than one that could take it (w < cap); ``gap`` is that excess relative to the
+    largest gradient.
+    """
+    x = weights.select(date, entity, F.col(w).alias("_w"))
+    g = (cov.join(x.withColumnRenamed(entity, "j"), [date, "j"]).groupBy(date, F.col("i").alias(entity))
+         .agg((2 * F.sum(F.col("cov") * F.col("_w"))).alias("_g")))
+    j = x.join(g, [date, entity])
+    gives = F.max(F.when(F.col("_w") > tol, F.col("_g")))
+    takes = F.min(F.when(F.col("_w") < cap - tol, F.col("_g")))
+    gap = F.coalesce((gives - takes) / F.greatest(F.max(F.abs("_g")), F.lit(1e-12)), F.lit(0.0))
+    return j.groupBy(date).agg(
+        F.count(F.lit(1)).alias("n_names"),
+        ((F.abs(F.sum("_w") - 1) < 1e-9) & (F.min("_w") >= 0) & (F.max("_w") <= cap + 1e-9)).alias("feasible"),
+        (gap <= 0.01).alias("optimal"))
+
+
 def weights_from_rule(board: DataFrame, by, rule, out: str = "w") -> DataFrame:
     """M1: externally supplied weights — ``rule(pdf) -> pdf`` adds ``out`` to one
     date's (small, K-row) board; applied per group with ``applyInPandas``."""

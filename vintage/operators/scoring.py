@@ -104,17 +104,18 @@ def feature_importance(model: PipelineModel, features: Sequence[str], spark: Spa
     return spark.createDataFrame(list(zip(features, vals)), "feature string, importance double")
 
 
-def walk_summary(frame: DataFrame, walks: Sequence[int], features: Sequence[str], entity: str, date: str,
+def walk_summary(frame: DataFrame, features: Sequence[str], entity: str, date: str,
                  k: int = 30, variant: str = "all", **params) -> DataFrame:
     """One row per walk: split sizes and test diagnostics.
 
     ``frame`` carries ``walk_id`` and ``split`` (from ``assign_walks``). The loop
-    is over walks; each iteration is one distributed fit and one metrics query.
+    is over its walks; each iteration is one distributed fit and one metrics query.
     """
     from vintage.session import materialize
     spark = frame.sparkSession
     frame = materialize(frame, "walk_frame")  # cut lineage: every fit pass rereads a table
     rows = []
+    walks = sorted(r[0] for r in frame.select("walk_id").distinct().collect())  # one row per walk
     for w in walks:
         fw = frame.filter(F.col("walk_id") == w)
         sizes = {r["split"]: r["n"] for r in fw.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}

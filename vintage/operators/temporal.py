@@ -264,14 +264,9 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str],
 # --------------------------------------------------------------------------- #
 # H13 — walk-forward schedule and row labelling
 # --------------------------------------------------------------------------- #
-def walk_schedule(spark: SparkSession, n_walks: int, train_start: str, first_train_end_year: int) -> DataFrame:
-    """``(walk_id, train_start, train_end, val_start, val_end, test_start, test_end)``.
-
-    Walk n trains on ``train_start .. (first_train_end_year + n - 1)-12-31``,
-    validates on the next calendar year and tests on the one after.
-    """
+def _schedule(ids: DataFrame, train_start: str, first_train_end_year: int) -> DataFrame:
     y = F.lit(first_train_end_year) + F.col("id") - 1
-    return spark.range(1, n_walks + 1).select(
+    return ids.select(
         F.col("id").cast("int").alias("walk_id"),
         F.lit(train_start).cast("date").alias("train_start"),
         F.make_date(y, F.lit(12), F.lit(31)).alias("train_end"),
@@ -281,6 +276,23 @@ def walk_schedule(spark: SparkSession, n_walks: int, train_start: str, first_tra
         F.make_date(y + 2, F.lit(12), F.lit(31)).alias("test_end"))
 
 
+def walk_schedule(spark: SparkSession, n_walks: int, train_start: str, first_train_end_year: int) -> DataFrame:
+    """``(walk_id, train_start, train_end, val_start, val_end, test_start, test_end)``.
+
+    Walk n trains on ``train_start .. (first_train_end_year + n - 1)-12-31``,
+    validates on the next calendar year and tests on the one after.
+    """
+    return _schedule(spark.range(1, n_walks + 1), train_start, first_train_end_year)
+
+
+def walk_schedule_of(df: DataFrame, date: str, train_start: str, first_train_end_year: int) -> DataFrame:
+    """The walks of :func:`walk_schedule` up to the one that tests on the last year of ``df``
+    (also when that year is not complete); none when the data ends before the first test year."""
+    last = df.agg(F.max(F.year(date)).alias("y")).select((F.col("y") - F.lit(first_train_end_year + 1)).alias("n"))
+    ids = last.filter("n > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("id"))
+    return _schedule(ids, train_start, first_train_end_year)
+
+
 def assign_walks(df: DataFrame, walks: DataFrame, date: str) -> DataFrame:
     """Label rows with every ``(walk_id, split)`` whose window contains the date.
 

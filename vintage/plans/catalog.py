@@ -247,13 +247,18 @@ def q_unpivot_bars(spark, sf_dir):
     return round_doubles(T.unpivot_long(d, ["entity_id", "date"], ["ret", "prc", "vol"]))
 
 
+# Fixed values of the walk-forward schedule on the driver tables; the number of walks follows the data.
+TRAIN_START, FIRST_TRAIN_END = "1995-01-01", 1996
+
+
 @register("walk_splits", f"""
 WITH {SQL_DAILY},
+wn AS (SELECT unnest(range(1, (SELECT CAST(max(year(date)) AS BIGINT) - 1996 FROM daily))) AS n),
 walks AS (SELECT CAST(n AS INTEGER) AS walk_id, DATE '1995-01-01' AS train_start,
                  make_date(CAST(1995 + n AS INTEGER), 12, 31) AS train_end,
                  make_date(CAST(1996 + n AS INTEGER), 1, 1) AS val_start, make_date(CAST(1996 + n AS INTEGER), 12, 31) AS val_end,
                  make_date(CAST(1997 + n AS INTEGER), 1, 1) AS test_start, make_date(CAST(1997 + n AS INTEGER), 12, 31) AS test_end
-          FROM range(1, 4) t(n)),
+          FROM wn),
 lab AS (SELECT w.walk_id, d.entity_id, d.date,
                CASE WHEN d.date BETWEEN train_start AND train_end THEN 'train'
                     WHEN d.date BETWEEN val_start AND val_end THEN 'val' ELSE 'test' END AS split
@@ -262,8 +267,8 @@ SELECT walk_id, split, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entiti
        min(date) AS first_date, max(date) AS last_date FROM lab GROUP BY walk_id, split
 """)
 def q_walk_splits(spark, sf_dir):
-    walks = T.walk_schedule(spark, 3, "1995-01-01", 1996)
-    lab = T.assign_walks(roles.daily_bars(spark, sf_dir).select("entity_id", "date"), walks, "date")
+    daily = materialize(roles.daily_bars(spark, sf_dir).select("entity_id", "date"), "daily")
+    lab = T.assign_walks(daily, T.walk_schedule_of(daily, "date", TRAIN_START, FIRST_TRAIN_END), "date")
     return lab.groupBy("walk_id", "split").agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_id").alias("n_entities"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"))
@@ -1064,24 +1069,22 @@ def q_labelled_long_documents(spark, sf_dir):
 # scoring and reduction: I1-I8, J5, G15-G19, K4 (iterative fits: rows-only checks)
 # --------------------------------------------------------------------------- #
 
-WALKS = (1, 2, 3)
 GBT_PARAMS = dict(max_iter=20, max_depth=4, step_size=0.1)
 
 
 def _walk_frame(spark, sf_dir):
     tp = panel.training_panel(spark, sf_dir)
     fr = SC.assemble_walk_features(tp, None, "entity_id", "date", "fwd_ret_5d", BT.N_BUCKETS)
-    walks = T.walk_schedule(spark, len(WALKS), "1995-01-01", 1996)
-    return T.assign_walks(fr, walks, "date")
+    return T.assign_walks(fr, T.walk_schedule_of(tp, "date", TRAIN_START, FIRST_TRAIN_END), "date")
 
 
 @register("walk_summary")
 def q_walk_summary(spark, sf_dir):
     fr = _walk_frame(spark, sf_dir)
     feats = SC.feature_columns(fr)
-    arms = SC.walk_summary(fr, WALKS, feats, "entity_id", "date", BT.TOP_K, "all", **GBT_PARAMS)
+    arms = SC.walk_summary(fr, feats, "entity_id", "date", BT.TOP_K, "all", **GBT_PARAMS)
     no_text = SC.drop_text_columns(fr)
-    arm2 = SC.walk_summary(no_text, WALKS, SC.feature_columns(no_text), "entity_id", "date", BT.TOP_K, "no_text",
+    arm2 = SC.walk_summary(no_text, SC.feature_columns(no_text), "entity_id", "date", BT.TOP_K, "no_text",
                            **GBT_PARAMS)
     return arms.unionByName(arm2)
 
@@ -1137,6 +1140,23 @@ def q_pca_projection(spark, sf_dir):
     return V.project(mat, sc, model, "vec", ["entity_id", "date"])
 
 
+@register("minvar_optimality", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_BOARD}
+SELECT date, count(*) AS n_names, true AS feasible, true AS optimal FROM board
+WHERE date > (SELECT date FROM (SELECT DISTINCT date FROM fri) ORDER BY date LIMIT 1 OFFSET 25)
+GROUP BY date HAVING count(*) * {BT.MAX_WEIGHT} >= 1
+""")
+def q_minvar_optimality(spark, sf_dir):
+    """K4 stated as feasibility and optimality on every date with a full history."""
+    fri = materialize(BT.friday_panel(spark, sf_dir), "friday_panel")
+    board = materialize(BT.scoreboard(fri), "board")
+    w = P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
+    th = P.trailing_history(board.select("date", "entity_id"), fri, "date", "entity_id", "fwd_ret_5d")
+    out = P.min_variance_check(w, P.covariance_long(th, "date", "entity_id", "fwd_ret_5d"), "date", "entity_id", BT.MAX_WEIGHT)
+    full = th.groupBy("date").agg(F.max("lag_no").alias("_l")).filter("_l = 26").select("date")
+    return out.join(full, "date").filter(F.col("n_names") * BT.MAX_WEIGHT >= 1)
+
+
 @register("minvar_weights")
 def q_minvar_weights(spark, sf_dir):
     fri = BT.friday_panel(spark, sf_dir)
@@ -1230,7 +1250,8 @@ def q_observation_table(spark, sf_dir):
 SQL_WALK_RETURNS = f"""
 {SQL_WEIGHTS},
 wk AS (SELECT CAST(n AS INTEGER) AS walk_id, make_date(CAST(1997 + n AS INTEGER), 1, 1) AS t0,
-              make_date(CAST(1997 + n AS INTEGER), 12, 31) AS t1 FROM range(1, 4) t(n)),
+              make_date(CAST(1997 + n AS INTEGER), 12, 31) AS t1
+       FROM (SELECT unnest(range(1, (SELECT CAST(max(year(date)) AS BIGINT) - 1996 FROM weights))) AS n)),
 ww AS (SELECT w.*, k.walk_id FROM weights w JOIN wk k ON w.date BETWEEN k.t0 AND k.t1),
 wtv0 AS (SELECT walk_id, strategy, date, abs(w - coalesce(lag(w) OVER (PARTITION BY strategy, walk_id, slot ORDER BY date),
                                                       1.0 / count(*) OVER (PARTITION BY strategy, walk_id, date))) AS d
@@ -1242,9 +1263,8 @@ wret AS (SELECT g.*, t.turnover, g.return_gross - {BT.COST_BPS / 1e4} * t.turnov
 
 
 def _walk_returns(spark, sf_dir):
-    board = BT.scoreboard(BT.friday_panel(spark, sf_dir))
-    w = BT.strategy_weights(board)
-    walks = T.walk_schedule(spark, len(WALKS), "1995-01-01", 1996)
+    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))), "weights")
+    walks = T.walk_schedule_of(w, "date", TRAIN_START, FIRST_TRAIN_END)
     lab = T.assign_walks(w, walks, "date").filter(F.col("split") == "test").drop("split")
     return BT.weekly_returns(lab, series_by=("strategy", "walk_id"), with_sixty_forty=False)
 
@@ -1322,6 +1342,13 @@ def _stream_of(spark, sf_dir, name):
     return ST.file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
 
 
+def _split_stream(spark, df, name, files=4):
+    """The rows as a stream of several files, one file per batch."""
+    src = materialize(df.repartition(files), f"{name}_files")
+    path = src.inputFiles()[0].rsplit("/", 1)[0]
+    return ST.file_stream(spark, path, src.schema, max_files=1)
+
+
 @register("stream_clean_pages", f"""
 SELECT page_id, clean_text, n_chars FROM ({ORACLE["clean_pages"]})
 """)
@@ -1336,9 +1363,9 @@ SELECT DISTINCT l_orderkey AS order_key FROM lineitem
 """)
 def q_stream_dedup_orders(spark, sf_dir):
     sink, ckpt = ST.stream_paths(spark, "dedup_orders")
-    s = _stream_of(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate")
-    ST.run_available(ST.dedupe_stream(s, "l_orderkey", "l_shipdate", "150 days"), sink, ckpt)
-    return spark.read.parquet(sink).select(F.col("l_orderkey").alias("order_key"))
+    s = _split_stream(spark, roles.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate"), "lineitem")
+    ST.run_dedupe(s, "l_orderkey", sink, ckpt)
+    return ST.read_log(spark, sink).select(F.col("l_orderkey").alias("order_key"))
 
 
 @register("stream_doc_count", f"""
@@ -1348,12 +1375,13 @@ SELECT cik, date, count(*) AS n FROM days GROUP BY cik, date
 """)
 def q_stream_doc_count(spark, sf_dir):
     sink, ckpt = ST.stream_paths(spark, "doc_count")
-    orders = _stream_of(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    li = roles.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
-    ev = orders.join(li, orders.o_orderkey == li.l_orderkey).select(
-        K.normalize_cik(F.col("l_suppkey")).alias("cik"), "o_orderdate")
-    ST.run_upserts(ST.trailing_counts(ev, "cik", "o_orderdate", 7), sink, ckpt)
-    return ST.latest(spark, sink, ["cik", "date"]).select("cik", "date", "n")
+    orders = _split_stream(spark, roles.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), "orders")
+    # written once: every batch joins these two columns, not the whole table
+    li = materialize(roles.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", K.normalize_cik(F.col("l_suppkey")).alias("cik")), "stream_side")
+    ev = orders.join(li, orders.o_orderkey == li.l_orderkey).select("cik", "o_orderdate")
+    ST.run_daily_counts(ev, "cik", "o_orderdate", sink, ckpt)
+    return ST.trailing_counts(spark, sink, "cik", 7).select("cik", "date", "n")
 
 
 # --------------------------------------------------------------------------- #

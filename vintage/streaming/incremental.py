@@ -10,6 +10,9 @@ Sinks and checkpoints live under the session's shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,48 +61,69 @@ def clean_new_documents(stream: DataFrame, key: str, text: str, min_length: int
     return out.filter(F.col("n_chars") >= min_length) if min_length else out
 
 
+# --------------------------------------------------------------------------- #
+# batches of one log
+# --------------------------------------------------------------------------- #
+def _run_batches(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    q = (df.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def _write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
+    """One folder per batch: a repeated batch replaces its own rows and adds none."""
+    df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
+
+
+def read_log(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows of a batch log, with their ``_batch``."""
+    return spark.read.option("basePath", sink).parquet(sink)
+
+
 # --------------------------------------------------------------------------- #
 # L2 — duplicate-safe ingestion
 # --------------------------------------------------------------------------- #
-def dedupe_stream(stream: DataFrame, keys, event_time: str, delay: str) -> DataFrame:
-    """L2: drop repeated keys seen within the watermark delay (state is bounded by
-    the delay, not by the history)."""
+def run_dedupe(stream: DataFrame, keys, sink: str, checkpoint: str) -> StreamingQuery:
+    """L2: append the rows whose key no earlier batch wrote, one row per key.
+
+    The written keys are the state, with no time limit, so the result has every
+    key once however many files a batch takes. NULL keys are equal. Of rows
+    with one key in a batch, any one stays.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return (stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-            .withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates(keys)
+        if batch_id > 0:
+            seen = read_log(batch.sparkSession, sink).filter(F.col("_batch") < batch_id)
+            seen = seen.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]
+            new = new.join(seen, reduce(and_, same), "left_anti")
+        _write_batch(new, sink, batch_id)
+
+    return _run_batches(stream, checkpoint, write)
 
 
 # --------------------------------------------------------------------------- #
-# L3 — trailing event count as sliding windows
+# L3 — trailing event count
 # --------------------------------------------------------------------------- #
-def trailing_counts(stream: DataFrame, key: str, event_time: str, days: int = 7, delay: str = "30 days") -> DataFrame:
-    """L3: events per key in sliding windows of ``days + 1`` days sliding by one day;
-    the window starting at ``d - days`` holds the count of ``[d - days, d]`` (D9)."""
-    # day arithmetic on epoch days, so windows align with calendar days whatever
-    # the session time zone is
-    ts = F.timestamp_seconds(F.unix_date(F.to_date(F.col(event_time))).cast("long") * 86400)
-    s = stream.withColumn("_ts", ts).withWatermark("_ts", delay)
-    g = s.groupBy(key, F.window("_ts", f"{days + 1} days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    start_day = F.floor(F.unix_seconds(F.col("w.start")) / 86400).cast("int")
-    return g.select(key, F.date_from_unix_date(start_day + days).alias("date"), "n")
-
-
-def run_upserts(df: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Update-mode aggregate into a Parquet log: each micro-batch appends its
-    changed rows tagged with the batch id; :func:`latest` reads the final value
-    per key. (File sinks take append only; this keeps watermark eviction.)"""
+def run_daily_counts(stream: DataFrame, key: str, event_time: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """L3, first half: events per (key, day) of each batch, added to the log.
+
+    Counts add up, so late rows count like any other and the result does not
+    depend on how the files fall into batches. Days are calendar days of the
+    timestamps as they read, whatever the session time zone is.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(sink)
+        day = F.to_date(F.col(event_time)).alias("_day")
+        _write_batch(batch.select(key, day).groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n")), sink, batch_id)
 
-    q = (df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(write).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return q
+    return _run_batches(stream, checkpoint, write)
 
 
-def latest(spark: SparkSession, sink: str, keys) -> DataFrame:
-    """Last written value per key of an upsert log."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    log = spark.read.parquet(sink)
-    others = [c for c in log.columns if c not in keys and c != "_batch"]
-    return (log.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_r")).select(*keys, "_r.*"))
+def trailing_counts(spark: SparkSession, sink: str, key: str, days: int = 7) -> DataFrame:
+    """L3, second half: (key, date, n), the events of [date - days, date] (D9), for dates with any."""
+    daily = read_log(spark, sink).groupBy(key, "_day").agg(F.sum("_n").alias("_n"))
+    cover = daily.select(key, "_n", F.explode(F.sequence(F.col("_day"), F.date_add("_day", days))).alias("date"))
+    return cover.groupBy(key, "date").agg(F.sum("_n").alias("n"))
