@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, HashingTF, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -131,6 +132,72 @@ def fit_pca(matrix: DataFrame, vec: str, k: int, min_rows: int = 0):
     return sc, pca
 
 
+def gram_by(df: DataFrame, by: str, vec: str) -> DataFrame:
+    """(key, n, s, g) per value of ``by``: rows, sum and sum of outer products of the vectors.
+
+    One pass: every task sums its own rows, then one small row per task and key
+    meets in the task of the key. Sums of several keys add up, so expanding
+    windows need no further pass.
+    """
+    import pyarrow as pa
+
+    def partial(batches):
+        sums: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            for k in np.unique(keys):
+                r = x[keys == k]
+                n, s, g = sums.get(int(k), (0, 0.0, 0.0))
+                sums[int(k)] = (n + len(r), s + r.sum(axis=0), g + r.T @ r)
+        yield _gram_batch(sums)
+
+    def merge(key, table):
+        parts = table.to_pylist()
+        total = (sum(p["n"] for p in parts), np.sum([p["s"] for p in parts], axis=0),
+                 np.sum([p["g"] for p in parts], axis=0).reshape(len(parts[0]["s"]), -1))
+        return pa.Table.from_batches([_gram_batch({key[0].as_py(): total})])
+
+    schema = "key long, n long, s array<double>, g array<double>"
+    p = df.filter(F.col(vec).isNotNull()).select(F.col(by).cast("long").alias("key"), vec).mapInArrow(partial, schema)
+    return p.groupBy("key").applyInArrow(merge, schema)
+
+
+def _gram_batch(sums: dict):
+    import pyarrow as pa
+    keys = list(sums)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()),
+         pa.array([np.asarray(sums[k][1]).tolist() for k in keys], pa.list_(pa.float64())),
+         pa.array([np.asarray(sums[k][2]).ravel().tolist() for k in keys], pa.list_(pa.float64()))],
+        names=["key", "n", "s", "g"])
+
+
+def add_grams(rows) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, sample covariance) of several rows of :func:`gram_by`."""
+    rows = list(rows)
+    n = sum(r["n"] for r in rows)
+    if n < 2:
+        return n, np.zeros(0), np.zeros((0, 0))
+    s = np.sum([r["s"] for r in rows], axis=0)
+    g = np.sum([r["g"] for r in rows], axis=0).reshape(len(s), len(s))
+    return n, s / n, (g - np.outer(s, s) / n) / (n - 1)
+
+
+def explained_shares(cov: np.ndarray) -> np.ndarray:
+    """Share of the variance per principal component, largest first."""
+    ev = np.maximum(np.linalg.eigvalsh(cov)[::-1], 0.0)
+    return ev / max(ev.sum(), 1e-300)
+
+
+def width_for(shares: np.ndarray, target: float) -> int:
+    """The smallest width that reaches ``target``, plus one, at most all."""
+    at = int(np.searchsorted(np.cumsum(shares), target - 1e-12)) + 1
+    return min(at + 1, len(shares))
+
+
 def explained_variance_table(pca_model, spark) -> DataFrame:
     """Eigenvalue table ``(component, explained, cumulative)``."""
     ev = [float(x) for x in pca_model.explainedVariance.toArray()]

@@ -180,8 +180,10 @@ def q_membership_filter(spark, sf_dir):
     return round_doubles(T.membership_filter(d, roles.membership_windows(spark, sf_dir), "entity_id", "date"))
 
 
-SQL_VECTORS = """
-v AS (SELECT CAST(label AS BIGINT) AS entity_id, DATE '1995-01-02' + CAST(vec_id * 5 AS INTEGER) AS date,
+SQL_VECTORS = f"""
+v AS (SELECT CAST(vec_id // {roles.VECTORS_PER_FILER} + 1 AS BIGINT) AS entity_id,
+             DATE '{roles.VECTOR_EPOCH}' + CAST(((vec_id // {roles.VECTORS_PER_FILER} + 1) * {roles.VECTOR_STRIDE}) % {roles.VECTOR_SPAN_DAYS}
+                                             + 7 * (vec_id % {roles.VECTORS_PER_FILER}) AS INTEGER) AS date,
              vec_id, embedding AS vec FROM embeddings)"""
 
 
@@ -860,14 +862,16 @@ def q_panel_audit(spark, sf_dir):
 WITH {SQL_TRAINING},
 r AS (SELECT CAST(year AS VARCHAR) AS scope,
              avg(CASE WHEN days_since_filing IS NULL THEN 1.0 ELSE 0.0 END) AS a,
-             avg(CASE WHEN fwd_ret_5d IS NULL THEN 1.0 ELSE 0.0 END) AS b FROM training GROUP BY year)
+             avg(CASE WHEN fwd_ret_5d IS NULL THEN 1.0 ELSE 0.0 END) AS b,
+             avg(CASE WHEN text_novelty IS NULL THEN 1.0 ELSE 0.0 END) AS c FROM training GROUP BY year)
 SELECT scope, 'NULL_RATE:days_since_filing' AS rule, round(a, 6) + 0.0 AS value, CAST(0.1 AS DOUBLE) AS "limit",
        a <= 0.1 AS ok FROM r
 UNION ALL SELECT scope, 'NULL_RATE:fwd_ret_5d', round(b, 6) + 0.0, CAST(0.05 AS DOUBLE), b <= 0.05 FROM r
+UNION ALL SELECT scope, 'NULL_RATE:text_novelty', round(c, 6) + 0.0, CAST(0.1 AS DOUBLE), c <= 0.1 FROM r
 """)
 def q_null_rate_gate(spark, sf_dir):
     t = panel.training_panel(spark, sf_dir)
-    return round_doubles(G.null_rate_table(t, {"days_since_filing": 0.1, "fwd_ret_5d": 0.05}, by="year"))
+    return round_doubles(G.null_rate_table(t, {"days_since_filing": 0.1, "fwd_ret_5d": 0.05, "text_novelty": 0.1}, by="year"))
 
 
 @register("panel_ranges", f"""
@@ -1104,33 +1108,56 @@ def q_param_search(spark, sf_dir):
 
 
 def _pca_matrix(spark, sf_dir):
+    """The stock-day vectors of member days, written once for every pass that follows."""
     grid, docs, bridge = _stockday_inputs(spark, sf_dir)
-    return V.stockday_vectors(grid, docs, bridge, "entity_id", "date", "cik", "doc_id", "filing_date", "vec")
+    mat = V.stockday_vectors(grid, docs, bridge, "entity_id", "date", "cik", "doc_id", "filing_date", "vec")
+    mat = T.membership_filter(mat, roles.membership_windows(spark, sf_dir), "entity_id", "date")
+    return materialize(mat.withColumn("year", F.year("date")), "pca_matrix")
+
+
+def _pca_walk_grams(spark, sf_dir):
+    """(walk row, Gram sums of its training years) per walk of the H13 schedule."""
+    mat = _pca_matrix(spark, sf_dir)
+    by_year = {r.key: r for r in V.gram_by(mat, "year", "vec").collect()}  # one row per year
+    walks = T.walk_schedule_of(mat, "date", TRAIN_START, FIRST_TRAIN_END).orderBy("walk_id").collect()
+    return [(w, V.add_grams([g for y, g in by_year.items() if y <= w.train_end.year])) for w in walks]
+
+
+# Fixed values of the reduction gates (B9): rows per fit and width.
+PCA_MIN_ROWS, PCA_MAX_WIDTH = 100_000, 100
 
 
 @register("pca_walks")
 def q_pca_walks(spark, sf_dir):
-    """Expanding windows over the stock-day vectors (14-day steps); the
-    width is locked at walk 1 (95% explained variance, +1); drift vs walk 1."""
-    mat = _pca_matrix(spark, sf_dir)
-    first = mat.agg(F.min("date")).first()[0]
-    windows = mat.select("entity_id").distinct().select("entity_id", F.lit(first).alias("date_in"),
-                                                          F.lit(None).cast("date").alias("date_out"))
+    """An expanding training window per walk; the width is locked at walk 1 (95% explained
+    variance, +1); drift vs walk 1; the row and width gates as columns."""
     rows, locked, base = [], None, None
-    import datetime as _dt
-    for w in (1, 2, 3):
-        end = first + _dt.timedelta(days=14 * w + 13)
-        m = V.training_matrix(mat, windows, "entity_id", "date", "vec", str(first), str(end))
-        dim = len(mat.first()["vec"])
-        sc, model = V.fit_pca(m, "vec", dim)
-        ev = V.explained_variance_table(model, spark)
-        if locked is None:
-            locked = V.pick_n(ev, 0.95)
-        captured = ev.filter(F.col("component") == locked - 1).first()["cumulative"]
+    for w, (n, _, cov) in _pca_walk_grams(spark, sf_dir):
+        if n < 2:
+            continue
+        share = V.explained_shares(cov)
+        locked = V.width_for(share, 0.95) if locked is None else locked
+        captured = float(share[:locked].sum())
         base = captured if base is None else base
-        rows.append((w, m.count(), locked, float(captured), float(captured - base)))
+        rows.append((w.walk_id, n, locked, captured, captured - base, n >= PCA_MIN_ROWS, locked < PCA_MAX_WIDTH))
     return spark.createDataFrame(rows, "walk_id int, n_train long, n_components int, var_captured double, "
-                                       "drift_vs_walk1 double")
+                                       "drift_vs_walk1 double, enough_rows boolean, narrow boolean")
+
+
+@register("pca_walk_variance", f"""
+WITH {SQL_DAILY}, {SQL_FUND}, {SQL_FILINGS}, {SQL_WINDOWS}, {SQL_STOCKDAY},
+m AS (SELECT * FROM sv WHERE EXISTS (SELECT 1 FROM windows w WHERE w.entity_id = sv.entity_id
+      AND sv.date BETWEEN w.date_in AND coalesce(w.date_out, DATE '2100-01-01'))),
+wk AS (SELECT unnest(range(1, (SELECT CAST(max(year(date)) AS BIGINT) - 1996 FROM m))) AS n),
+x AS (SELECT wk.n, m.entity_id, m.date, unnest(vec) AS x, generate_subscripts(vec, 1) AS i
+      FROM m JOIN wk ON year(m.date) <= 1995 + wk.n),
+pv AS (SELECT n, i, var_samp(CAST(x AS FLOAT)) AS v, count(*) AS c FROM x GROUP BY n, i)
+SELECT CAST(n AS INTEGER) AS walk_id, max(c) AS n_train, round(sum(v), 4) + 0.0 AS total_variance FROM pv GROUP BY n
+""")
+def q_pca_walk_variance(spark, sf_dir):
+    """G15/G16 as numbers that SQL can state: training rows and total variance (trace) of every walk."""
+    rows = [(w.walk_id, n, round(float(cov.trace()), 4) + 0.0) for w, (n, _, cov) in _pca_walk_grams(spark, sf_dir) if n > 1]
+    return spark.createDataFrame(rows, "walk_id int, n_train long, total_variance double")
 
 
 @register("pca_projection")

@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 # The calendar origin of the vector role and the days between vec_ids.
 VECTOR_EPOCH = "1995-01-02"
-VECTOR_STEP_DAYS = 5
+VECTORS_PER_FILER = 25
+VECTOR_SPAN_DAYS = 2000
+VECTOR_STRIDE = 613
 
 
 # Tables whose rows carry whole texts: per-row work is CPU-heavy, so their scans
@@ -147,11 +149,13 @@ def macro_long_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(entity_id, date, vec_id, vec) — document vectors: the label is the filer
-    (a supplier key), filed ``VECTOR_STEP_DAYS`` days apart in ``vec_id`` order
-    from ``VECTOR_EPOCH`` (the daily panel's calendar)."""
+    """(entity_id, date, vec_id, vec): document vectors, ``VECTORS_PER_FILER`` weekly filings of each
+    filer (a supplier key). A filer starts on one of ``VECTOR_SPAN_DAYS`` days after ``VECTOR_EPOCH``,
+    so more vectors mean more filers on the same calendar, that of the daily panel."""
     em = table(spark, sf_dir, "embeddings")
-    return em.select(F.col("label").cast("long").alias("entity_id"),
+    filer = F.floor(F.col("vec_id") / VECTORS_PER_FILER).cast("long") + 1
+    start = (filer * VECTOR_STRIDE) % VECTOR_SPAN_DAYS
+    return em.select(filer.alias("entity_id"),
                      F.date_add(F.lit(VECTOR_EPOCH).cast("date"),
-                                (F.col("vec_id") * VECTOR_STEP_DAYS).cast("int")).alias("date"),
+                                (start + 7 * (F.col("vec_id") % VECTORS_PER_FILER)).cast("int")).alias("date"),
                      "vec_id", F.col("embedding").alias("vec"))
