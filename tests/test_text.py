@@ -127,3 +127,23 @@ def test_tokenizer_udf_and_approx_percentiles(spark):
     ex = TXT.length_percentiles(sizes, "lang", "bytes").first()
     ap = TXT.length_percentiles(sizes, "lang", "bytes", exact=False).first()
     assert ex.p50 == pytest.approx(50.5) and abs(ap.p50 - 50.5) <= 1 and ap.max == 100
+
+
+def test_page_text_head_without_end_tag(spark):
+    page = "<html><head><title>T</title><script>x</script><body><p>One</p><script>no</script><p>Two</p></body></html>"
+    assert _one(spark, TXT.page_text("x", "parser"), page) == "One\nTwo"
+    assert _one(spark, TXT.page_text("x", "parser"), "<head><title>T</title><p>One</p>") == "One"
+
+
+def test_refilter_html_by_parser(spark):
+    out = _refilter(spark, '<p title="a > b">The management&rsquo;s results&mdash;revenue grew well</p><script>var x;</script>'
+                           "<template>hidden words</template><!-- a comment --> and the outlook stays good")
+    assert out == "The management\u2019s results\u2014revenue grew well and the outlook stays good"
+
+
+def test_content_token_equals_column(spark):
+    from vintage.functions import text as TX
+    toks = ["a", "ab", "a1", "a12", "1ab", "x" * 40, "x" * 41, "us:gaap", "a=b", 'q"', "a/b", "\u00e9t\u00e9", "don't", "ab12c", "--", "\u4e2d\u6587"]
+    df = spark.createDataFrame([(t,) for t in toks], "t string")
+    got = {r.t: r.ok for r in df.select("t", TX.is_content_token(F.col("t")).alias("ok")).collect()}
+    assert got == {t: TXT.content_token(t) for t in toks}

@@ -2,18 +2,22 @@
 token chunking and a deterministic train/validation split.
 
 Everything runs per document (a row); nothing groups documents, so a large
-source or corpus never concentrates in one task. JVM expressions do the
-regex and array work; Python enters only through Arrow-batched pandas UDFs
-for stdlib helpers Spark lacks (HTML entity decoding, ``html.parser``) and
-for the O(n) sliding-window count over a document's token flags.
+source or corpus never concentrates in one task. Where a step needs what
+Spark lacks (HTML entities, ``html.parser``, the O(n) sliding-window count), the
+whole step is one Arrow UDF from text to text, so no token array crosses over.
 """
 from __future__ import annotations
 
 import html
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,32 +39,65 @@ MIN_EMBED_CHARS = 100
 # --------------------------------------------------------------------------- #
 # small Python helpers used inside Arrow UDFs
 # --------------------------------------------------------------------------- #
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def unescape_all(arrs: pd.Series) -> pd.Series:
-    """``html.unescape`` on every element of an array column."""
-    return arrs.map(lambda a: None if a is None else [html.unescape(x) for x in a])
+_TAG = re.compile(TX.TAG)
+_HTML_LIKE = re.compile(TX.HTML_LIKE)
+
+
+@lru_cache(maxsize=16)
+def _body_pattern(tag: str) -> re.Pattern:
+    return re.compile(TX.TEXT_BLOCK if tag == "TEXT" else rf"(?is)<{tag}[^>]*>(.*?)</{tag}>")
+
+
+def _clean(doc: str, tag: str) -> str:
+    """G3 on one document: bodies (or all of it), tags to space, entities, white space."""
+    parts = _body_pattern(tag).findall(doc) or [doc]
+    cleaned = (" ".join(html.unescape(_TAG.sub(" ", x)).split()) for x in parts)
+    return "\n".join(x for x in cleaned if x)
+
+
+def _clean_column(c, tag: str) -> Column:
+    @F.arrow_udf(T.StringType())
+    def run(docs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for d in docs:
+            yield pa.array([None if (x := v.as_py()) is None else _clean(x, tag) for v in d], pa.string())
+    return run(col(c))
+
+
+#: What a page's head may hold; any other start tag ends an unclosed head.
+_HEAD_CONTENT = frozenset({"title", "meta", "link", "base", "style", "script", "noscript", "template", "html", "head", "bgsound"})
 
 
 class _TextCollector(HTMLParser):
-    """Text nodes of a page; skips the subtrees named in ``skip`` and comments."""
+    """Text nodes of a page; skips the subtrees named in ``skip`` and comments.
+
+    The end tag of the head may be left out: the head then ends at the body or
+    at the first tag that a head can't hold.
+    """
 
     def __init__(self, skip: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.skip, self.depth, self.parts = skip, 0, []
+        self.skip, self.depth, self.in_head, self.parts = skip - {"head", "meta"}, 0, False, []
+        self.skip_head = "head" in skip
 
     def handle_starttag(self, tag, attrs):
-        if tag in self.skip and tag not in ("meta",):
+        if tag == "head":
+            self.in_head = self.skip_head
+        elif self.in_head and tag not in _HEAD_CONTENT:
+            self.in_head = False
+        if tag in self.skip:
             self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
         pass
 
     def handle_endtag(self, tag):
-        if tag in self.skip and tag not in ("meta",) and self.depth > 0:
+        if tag in ("head", "html"):
+            self.in_head = False
+        if tag in self.skip and self.depth > 0:
             self.depth -= 1
 
     def handle_data(self, data):
-        if self.depth == 0:
+        if self.depth == 0 and not self.in_head:
             self.parts.append(data)
 
 
@@ -103,11 +140,6 @@ def keep_mask(flags: np.ndarray, window: int = WINDOW_TOKENS, threshold: float =
     return keep & (f.astype(bool) | (back & fwd))
 
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _keep_mask_udf(flags: pd.Series) -> pd.Series:
-    return flags.map(lambda a: None if a is None else keep_mask(a))
-
-
 # --------------------------------------------------------------------------- #
 # G1-G3 cleaning, G4 page text
 # --------------------------------------------------------------------------- #
@@ -115,16 +147,12 @@ def clean_text(c, tag: str = "TEXT", entities: str = "full") -> Column:
     """Envelope bodies (or the whole input) -> tags to space -> entity decode
     -> whitespace collapse -> strip; empty bodies dropped; joined by newline.
 
-    ``entities="full"`` decodes like ``html.unescape`` (Arrow UDF over the
-    body array); ``"basic"`` is the SQL-expressible named-entity subset.
+    ``entities="full"`` decodes like ``html.unescape`` (one Arrow UDF from
+    text to text); ``"basic"`` is the SQL-expressible named-entity subset.
     """
     if entities == "basic":
         return TX.clean_text_basic(c, tag)
-    bodies = TX.extract_bodies(c, tag)
-    parts = F.when(F.size(bodies) == 0, F.array(col(c))).otherwise(bodies)
-    decoded = unescape_all(F.transform(parts, TX.tags_to_space))
-    cleaned = F.filter(F.transform(decoded, TX.collapse_ws), lambda s: s != "")
-    return F.array_join(cleaned, "\n")
+    return _clean_column(c, tag)
 
 
 def clean_documents(df: DataFrame, text: str, out: str = "clean_text", tag: str = "TEXT",
@@ -180,36 +208,79 @@ def sgml_text(c, tag: str = "TEXT", method: str = "parser") -> Column:
 # --------------------------------------------------------------------------- #
 # G5-G7 refilter
 # --------------------------------------------------------------------------- #
-def html_words(c) -> Column:
-    """Text of HTML-like input for the refilter: script/style/template contents
-    and comments dropped, tags to space, entities decoded (JVM regex; the
-    stdlib-parser form is ``page_text(..., "parser")``)."""
-    x = col(c)
-    for pat in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<template\b.*?</template>",
-                r"(?s)<!--.*?-->"):
-        x = F.regexp_replace(x, pat, " ")
-    return TX.decode_basic_entities(TX.tags_to_space(x))
+_WORDS_SKIP = frozenset({"script", "style", "template"})
+
+
+def html_words(doc: str) -> str:
+    """Text of HTML-like input for the refilter: a parser drops script, style and
+    template contents and comments, turns tags into spaces and decodes entities."""
+    return _page_text(doc, _WORDS_SKIP, " ") or ""
+
+
+def content_token(t: str) -> bool:
+    """G5 on one token; the column form is ``functions.text.is_content_token``."""
+    n = len(t)
+    return (2 <= n <= 40 and t[0].isalpha() and not any(x in t for x in ':="/')
+            and sum(map(str.isalpha, t)) / n >= 0.6)
+
+
+class _Refilter:
+    """G6/G7 on one document; flags of tokens are remembered up to a fixed number."""
+
+    def __init__(self, remember: int = 200_000):
+        self.flags: dict[str, bool] = {}
+        self.remember = remember
+
+    def __call__(self, doc: str) -> tuple[str, list[str], np.ndarray, np.ndarray]:
+        """(kept text, tokens, flags, keep mask)."""
+        tok = (html_words(doc) if _HTML_LIKE.search(doc) else doc).split()
+        get = self.flags.get
+        flags = [get(t) for t in tok]
+        if None in flags:
+            if len(self.flags) > self.remember:
+                self.flags.clear()
+            for i, f in enumerate(flags):
+                if f is None:
+                    flags[i] = self.flags[tok[i]] = content_token(tok[i])
+        f = np.array(flags, bool)
+        keep = keep_mask(f)
+        return " ".join(compress(tok, keep.tolist())), tok, f, keep
+
+
+_REFILTERED = T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType()),
+                            T.StructField("c", T.IntegerType()), T.StructField("k", T.IntegerType()),
+                            T.StructField("flags", T.ArrayType(T.BooleanType()))])
+
+
+def _refilter_column(c, with_flags: bool) -> Column:
+    """The refiltered text, its counts and (if asked) the flags."""
+    @F.arrow_udf(_REFILTERED)
+    def run(docs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        one = _Refilter()
+        for d in docs:
+            out = []
+            for v in d:
+                if (x := v.as_py()) is None:
+                    out.append((None, -1, -1, -1, None))
+                    continue
+                t, tok, f, keep = one(x)
+                out.append((t, len(tok), int(f.sum()), int(keep.sum()), f.tolist() if with_flags else None))
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.bool_()))
+            yield pa.StructArray.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)],
+                                             names=_REFILTERED.names)
+    return run(col(c))
 
 
 def refilter(df: DataFrame, text: str, out: str = "refiltered", keep_flags: bool = False) -> DataFrame:
     """Drop noise tokens by content density.
 
-    HTML-like input is first reduced to its text; tokens and content flags are
-    JVM array expressions; the sliding window and radius pass run per
-    document in one Arrow UDF (numpy prefix sums, O(n)).
+    One Arrow UDF from text to text: HTML-like input is first reduced to its
+    text by a parser; then the tokens are flagged, and the sliding window and
+    radius pass use prefix sums (O(n)). A NULL text stays NULL, its counts -1.
     """
-    base = F.when(TX.html_like(text), html_words(text)).otherwise(F.col(text))
-    x = (df.withColumn("_tok", TX.tokens(TX.collapse_ws(base)))
-         .withColumn("_flag", TX.content_flags(F.col("_tok"))))
-    x = x.withColumn("_keep", _keep_mask_udf(F.col("_flag")))
-    kept = F.transform(F.filter(F.arrays_zip(F.col("_tok").alias("t"), F.col("_keep").alias("k")),
-                                lambda z: z["k"]), lambda z: z["t"])
-    x = (x.withColumn(out, F.array_join(kept, " "))
-         .withColumn("n_tokens", F.size("_tok"))
-         .withColumn("n_content", F.size(F.filter("_flag", lambda b: b)))
-         .withColumn("n_kept", F.size(F.filter("_keep", lambda b: b))))
-    drop = ["_tok", "_keep"] + ([] if keep_flags else ["_flag"])
-    return x.drop(*drop)
+    x = df.withColumn("_r", _refilter_column(text, keep_flags))
+    x = x.withColumns({out: F.col("_r.text"), "n_tokens": F.col("_r.n"), "n_content": F.col("_r.c"), "n_kept": F.col("_r.k")})
+    return (x.withColumn("_flag", F.col("_r.flags")) if keep_flags else x).drop("_r")
 
 
 # --------------------------------------------------------------------------- #

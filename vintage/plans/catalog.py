@@ -779,7 +779,7 @@ def q_vector_sanity(spark, sf_dir):
 
 @register("doc_embeddings")
 def q_doc_embeddings(spark, sf_dir):
-    d = roles.table(spark, sf_dir, "documents")
+    d = roles.table(spark, sf_dir, "documents").filter(F.length("text") >= TXT.MIN_EMBED_CHARS)
     ch = TXT.chunk_documents(d.select("doc_id", TX.tokens("text").alias("tok")), "doc_id", "tok", "inference")
     return V.embed_documents(ch, "doc_id", "body", dim=64)
 

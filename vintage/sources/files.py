@@ -127,46 +127,108 @@ def as_reported(fund: DataFrame, dimensions: Sequence[str] = ("ARQ", "ARY"), dim
 # --------------------------------------------------------------------------- #
 # A5 — tables (and lists) of HTML pages
 # --------------------------------------------------------------------------- #
+class _Grid:
+    """One open table or list: its rows, the cells that reach down from above, and the open cell."""
+
+    def __init__(self, number: int, kind: str):
+        self.number, self.kind, self.row, self.col = number, kind, -1, 0
+        self.reach: dict[int, int] = {}  # column -> first row below the cell that covers it
+        self.cell: tuple[int, int, int, list[str]] | None = None
+
+    def new_row(self) -> None:
+        self.row, self.col = self.row + 1, 0
+
+    def open_cell(self, colspan: int, rowspan: int) -> None:
+        if self.row < 0:
+            self.new_row()
+        while self.reach.get(self.col, 0) > self.row:
+            self.col += 1
+        self.cell = (self.col, colspan, rowspan, [])
+        for c in range(self.col, self.col + colspan):
+            self.reach[c] = self.row + rowspan
+        self.col += colspan
+
+
+def _span(attrs, name: str, most: int) -> int:
+    value = dict(attrs).get(name) or "1"
+    return min(max(int(value), 1), most) if value.strip().isdigit() else 1
+
+
 class _TableParser(HTMLParser):
-    """Cells of every <table> (rows of td/th) and every <ul>/<ol> (one cell per li)."""
+    """Cells of every <table> (rows of td/th) and every <ul>/<ol> (one cell per li).
+
+    A cell ends at its end tag or wherever the next cell, row or the end of the
+    table implies it. Spanned cells are repeated at every row and column they
+    cover. The text of a nested table or list also belongs to the cell around it.
+    """
+
+    #: The largest spans of the HTML standard.
+    MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out, self.stack, self.n_tables = [], [], 0
-        self.cell, self.row, self.col = None, -1, -1
+        self.out, self.stack, self.n_tables, self.mute = [], [], 0, 0
+        self.down: list[tuple[_Grid, int, int, int, str]] = []  # cells with a rowspan: rows are known at the table's end
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("table", "ul", "ol"):
-            self.stack.append([self.n_tables, -1, tag])
+        if tag in ("script", "style"):
+            self.mute += 1
+        elif tag in ("table", "ul", "ol"):
+            self.stack.append(_Grid(self.n_tables, tag))
             self.n_tables += 1
-        elif not self.stack:
-            return
-        elif tag == "tr" and self.stack[-1][2] == "table":
-            self.stack[-1][1] += 1
-            self.col = -1
-        elif (tag in ("td", "th") and self.stack[-1][2] == "table") or (tag == "li" and self.stack[-1][2] != "table"):
-            if tag == "li":
-                self.stack[-1][1] += 1
-                self.col = -1
-            self.col += 1
-            self.cell = []
+        elif self.stack and self.stack[-1].kind == "table" and tag in ("tr", "thead", "tbody", "tfoot"):
+            self._close_cell()
+            if tag == "tr":
+                self.stack[-1].new_row()
+        elif self.stack and self.stack[-1].kind == "table" and tag in ("td", "th"):
+            self._close_cell()
+            self.stack[-1].open_cell(_span(attrs, "colspan", self.MAX_COLSPAN), _span(attrs, "rowspan", self.MAX_ROWSPAN))
+        elif self.stack and self.stack[-1].kind != "table" and tag == "li":
+            self._close_cell()
+            self.stack[-1].new_row()
+            self.stack[-1].open_cell(1, 1)
 
     def _close_cell(self):
-        if self.cell is not None and self.stack:
-            t = self.stack[-1]
-            self.out.append((t[0], t[2], max(t[1], 0), self.col, " ".join("".join(self.cell).split())))
-        self.cell = None
+        g = self.stack[-1]
+        if g.cell is not None:
+            first, cols, rows, parts = g.cell
+            text = " ".join("".join(parts).split())
+            for c in range(first, first + cols):
+                self.out.append((g.number, g.kind, g.row, c, text))
+                if rows > 1:
+                    self.down.append((g, g.row, rows, c, text))
+        g.cell = None
+
+    def _close_table(self):
+        self._close_cell()
+        g = self.stack.pop()
+        for h, row, rows, c, text in self.down:
+            if h is g:
+                self.out += [(g.number, g.kind, r, c, text) for r in range(row + 1, min(row + rows, g.row + 1))]
+        self.down = [d for d in self.down if d[0] is not g]
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th", "li"):
-            self._close_cell()
-        elif tag in ("table", "ul", "ol") and self.stack:
+        if tag in ("script", "style"):
+            self.mute = max(0, self.mute - 1)
+        elif not self.stack:
+            return
+        elif tag in ("td", "th", "tr") and self.stack[-1].kind == "table" or tag == "li" and self.stack[-1].kind != "table":
             self._close_cell()
-            self.stack.pop()
+        elif tag in ("table", "ul", "ol") and any(g.kind == tag for g in self.stack):
+            while self.stack[-1].kind != tag:  # lists left open inside the table end with it
+                self._close_table()
+            self._close_table()
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if not self.mute:
+            for g in self.stack:
+                if g.cell is not None:
+                    g.cell[3].append(data)
+
+    def close(self):
+        super().close()
+        while self.stack:
+            self._close_table()
 
 
 _CELL_SCHEMA = T.ArrayType(T.StructType([

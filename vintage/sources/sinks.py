@@ -8,32 +8,45 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] = ("year",),
                       mode: str = "overwrite", dynamic: bool = True, compression: str = "zstd",
-                      sort_within: Sequence[str] | None = None) -> None:
+                      sort_within: Sequence[str] | None = None, spread_by: str | None = None,
+                      files_per_partition: int = 1) -> None:
     """Partitioned Parquet; with ``dynamic`` only the partitions present in
     ``df`` are replaced. Rows are sorted within files by ``sort_within`` so
-    min/max statistics prune later scans."""
-    spark = df.sparkSession
-    if dynamic:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    min/max statistics prune later scans. ``files_per_partition`` writers share
+    a partition, its rows dealt out by the hash of ``spread_by``."""
     out = df
     if sort_within:
-        out = out.repartition(*[F.col(c) for c in partition_cols]).sortWithinPartitions(*sort_within)
-    (out.write.mode(mode).option("compression", compression)
-     .partitionBy(*partition_cols).parquet(path))
+        keys = [F.col(c) for c in partition_cols]
+        if spread_by and files_per_partition > 1:
+            keys.append(F.pmod(F.xxhash64(spread_by), F.lit(files_per_partition)))
+        out = out.repartition(*keys).sortWithinPartitions(*sort_within)
+    w = out.write.mode(mode).option("compression", compression)
+    if dynamic:
+        w = w.option("partitionOverwriteMode", "dynamic")
+    w.partitionBy(*partition_cols).parquet(path)
+
+
+def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, None only where no such path exists; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def existing_partitions(spark: SparkSession, path: str, col: str = "year") -> DataFrame:
     """Partition values already written under ``path`` (empty when nothing is there)."""
-    try:
-        return spark.read.parquet(path).select(col).distinct()
-    except Exception:  # noqa: BLE001 - path absent: nothing written yet
-        return spark.createDataFrame([], f"{col} int")
+    found = _read_if_there(spark, path)
+    return spark.createDataFrame([], f"{col} int") if found is None else found.select(col).distinct()
 
 
 def missing_partitions(wanted: DataFrame, present: DataFrame, col: str = "year") -> DataFrame:
@@ -71,9 +84,8 @@ def guard_clobber(spark: SparkSession, summary_path: str, flag_col: str = "synth
     column of the existing summary, a few rows)."""
     if not writing_synthetic:
         return
-    try:
-        existing = spark.read.parquet(summary_path)
-    except Exception:  # noqa: BLE001 - nothing there yet
+    existing = _read_if_there(spark, summary_path)
+    if existing is None:
         return
     if flag_col in existing.columns and existing.filter(~F.col(flag_col)).limit(1).count() > 0:
         raise RuntimeError(f"refusing to overwrite real artifacts at {summary_path} with synthetic output")
