@@ -87,3 +87,9 @@ def as_list(x) -> list:
     if isinstance(x, (list, tuple)):
         return list(x)
     return [x]
+
+
+def md5_number(key, seed: int) -> Column:
+    """A number from 0 to 2**32 - 1 by the MD5 of ``seed:key``; NULL for a NULL key."""
+    text = F.concat(F.lit(f"{seed}:"), col(key).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")

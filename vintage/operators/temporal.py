@@ -84,6 +84,18 @@ def exact_lag(df: DataFrame, by, date: str, cols: Sequence[str], lag_days: int,
     return df.join(prev, by + [date], "left")
 
 
+def attach_on_day(df: DataFrame, events: DataFrame, by, date: str, cols: dict[str, str]) -> DataFrame:
+    """The ``cols`` (name -> type) of the event on the same entity and day, NULL elsewhere.
+
+    Rows of ``df`` stay as they are; a table without events, or without some of
+    the columns, gives NULL columns of the stated types. Several events on one
+    (entity, day) repeat the row.
+    """
+    keys = as_list(by) + [date]
+    have = [F.col(c).cast(t).alias(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in cols.items()]
+    return df.join(events.select(*keys, *have), keys, "left")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, x: acc + x)

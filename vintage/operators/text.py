@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vintage.functions import text as TX
-from vintage.functions.core import col
+from vintage.functions.core import col, md5_number
 
 # Fixed values of the refilter (G6/G7) and the chunkers.
 WINDOW_TOKENS = 100
@@ -369,6 +369,7 @@ def model_inputs(body_ids: Column, length: int = CHUNK_LEN, cls: int = 101, sep:
 
 
 def doc_split(key: str, seed: int = 42, train_share: float = 0.95) -> Column:
-    """Deterministic, re-runnable split by document hash ("train"/"val")."""
-    b = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(10000))
+    """Deterministic, re-runnable split by document hash ("train"/"val"); the
+    first 32 bits of an MD5, which other engines can state as well. A NULL key is "val"."""
+    b = md5_number(key, seed) % 10000
     return F.when(b < int(round(train_share * 10000)), F.lit("train")).otherwise(F.lit("val"))

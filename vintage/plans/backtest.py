@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vintage.functions.core import is_friday
+from vintage.functions.core import is_friday, nan_to_zero
 from vintage.operators import crosssection as X
 from vintage.operators import metrics as M
 from vintage.operators import portfolio as P
@@ -46,17 +46,18 @@ def scoreboard(fri: DataFrame, k: int = TOP_K) -> DataFrame:
     return X.top_k(fri, "date", "score", k, "entity_id", rank_col="slot")
 
 
-def strategy_weights(board: DataFrame, cap: float = MAX_WEIGHT, method: str = "exact") -> DataFrame:
+def strategy_weights(board: DataFrame, cap: float = MAX_WEIGHT, method: str = "exact",
+                     loosen_cap: bool = False) -> DataFrame:
     """Long weights (strategy, date, entity_id, slot, w, fwd_ret_5d) for EW, SP, TILT.
 
     All rules are computed as columns of one board (windows over the same
     date partitioning) and turned long with ``explode`` — one pass over the
-    board instead of one branch per strategy.
+    board instead of one branch per strategy. A date with fewer than 1/cap names
+    can't meet the cap: it raises, or with ``loosen_cap`` takes 1/n instead.
     """
     x = P.equal_weights(board, "date", "w_ew")
-    # a date with fewer than 1/cap names uses the tightest feasible cap, 1/n
     x = x.withColumn("_cap", F.greatest(F.lit(float(cap)), F.col("w_ew")))
-    eff = F.col("_cap") if method == "exact" else cap
+    eff = F.col("_cap") if loosen_cap and method == "exact" else cap
     x = P.capped_softmax(x, "date", "score", eff, "entity_id", "w_sp", method)
     x = P.tilted_weights(x.withColumn("action", action_expr()), "date", "w_sp", "action", TILT_SCALE, eff,
                          "entity_id", "w_tilt", method)
@@ -79,7 +80,7 @@ def weekly_returns(weights: DataFrame, cost_bps: float = COST_BPS, series_by=("s
     x = weights.select(*sb, "date", "w", "fwd_ret_5d",
                        F.abs(F.col("w") - F.coalesce(prev, F.lit(1.0) / k)).alias("_d"))
     r = x.groupBy(*sb, "date").agg(
-        F.sum(F.col("w") * F.coalesce(F.col("fwd_ret_5d"), F.lit(0.0))).alias("return_gross"),
+        F.sum(F.col("w") * nan_to_zero("fwd_ret_5d")).alias("return_gross"),
         F.sum("_d").alias("turnover"))
     if with_sixty_forty:
         ew = F.col("strategy") == "EW"
@@ -96,5 +97,5 @@ def weekly_returns(weights: DataFrame, cost_bps: float = COST_BPS, series_by=("s
 
 
 def build_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = weekly_returns(strategy_weights(scoreboard(friday_panel(spark, sf_dir))))
+    r = weekly_returns(strategy_weights(scoreboard(friday_panel(spark, sf_dir)), loosen_cap=True))
     return M.strategy_metrics(r, "strategy", "date")

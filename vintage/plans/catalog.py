@@ -31,7 +31,7 @@ from vintage.plans import panel, roles
 from vintage.session import checkpoint_dir, materialize
 from vintage.sources import files as SF
 from vintage.sources import sinks as SK
-from vintage.sources.tables import repeatable_sample, scan_window
+from vintage.sources.tables import common_years, repeatable_sample, scan_window
 from vintage.streaming import incremental as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -461,7 +461,7 @@ WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WEIGHTS}
 SELECT strategy, date, entity_id, CAST(slot AS INTEGER) AS slot, round(w, 6) + 0.0 AS w FROM weights
 """)
 def q_capped_weights(spark, sf_dir):
-    w = BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)))
+    w = BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True)
     return round_doubles(w.select("strategy", "date", "entity_id", "slot", "w"))
 
 
@@ -471,7 +471,7 @@ SELECT strategy, date, round(return_gross, 6) + 0.0 AS return_gross, round(turno
        round(return_net, 6) + 0.0 AS return_net FROM rets
 """)
 def q_strategy_returns(spark, sf_dir):
-    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True))
     return round_doubles(r.select("strategy", "date", "return_gross", "turnover", "return_net"))
 
 
@@ -485,7 +485,7 @@ SELECT strategy, date, round(equity_gross, 6) + 0.0 AS equity_gross, round(equit
              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 6) + 0.0 AS drawdown FROM eq
 """)
 def q_equity_curve(spark, sf_dir):
-    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True))
     e = M.equity_curve(r, "strategy", "date")
     return round_doubles(e.select("strategy", "date", "equity_gross", "equity_net", "drawdown"))
 
@@ -705,7 +705,14 @@ def q_inference_chunks(spark, sf_dir):
     return _chunks(spark, sf_dir, "inference")
 
 
-@register("doc_split")
+def _sql_md5_number(key: str, seed: int) -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
+
+
+@register("doc_split", f"""
+SELECT CASE WHEN {_sql_md5_number("doc_id", 42)} % 10000 < 9500 THEN 'train' ELSE 'val' END AS split, count(*) AS n_docs
+FROM documents GROUP BY 1
+""")
 def q_doc_split(spark, sf_dir):
     d = roles.table(spark, sf_dir, "documents")
     return d.groupBy(TXT.doc_split("doc_id").alias("split")).agg(F.count(F.lit(1)).alias("n_docs"))
@@ -1045,7 +1052,9 @@ def q_page_cells(spark, sf_dir):
     return SF.html_cells(roles.table(spark, sf_dir, "pages"), "page_id")
 
 
-@register("sample_documents")
+@register("sample_documents", f"""
+SELECT doc_id, lang, n_chars FROM documents ORDER BY {_sql_md5_number("doc_id", 0)}, doc_id LIMIT 25
+""")
 def q_sample_documents(spark, sf_dir):
     d = roles.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     return repeatable_sample(d, "doc_id", 25)
@@ -1242,7 +1251,7 @@ SELECT date, round(excess_return, 6) + 0.0 AS excess_return, round(excess_return
 FROM q
 """)
 def q_reward_series(spark, sf_dir):
-    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))))
+    r = BT.weekly_returns(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True))
     p = r.groupBy("date").agg(
         F.max(F.when(F.col("strategy") == "TILT", F.col("return_gross"))).alias("port"),
         F.max(F.when(F.col("strategy") == "EW", F.col("return_gross"))).alias("base"),
@@ -1269,7 +1278,7 @@ def q_observation_table(spark, sf_dir):
     board = BT.scoreboard(BT.friday_panel(spark, sf_dir))
     z = X.zscore(board, "date", ["score", "ret", "vol"], suffix="_z").select(
         "date", "entity_id", "slot", "score_z", "ret_z", "vol_z")
-    r = BT.weekly_returns(BT.strategy_weights(board)).filter(F.col("strategy") == "SP")
+    r = BT.weekly_returns(BT.strategy_weights(board, loosen_cap=True)).filter(F.col("strategy") == "SP")
     lags = M.lagged_returns(r, "strategy", "date", "return_gross", 4).select("date", *[f"ret_lag_{k}" for k in range(1, 5)])
     return round_doubles(z.join(lags, "date"))
 
@@ -1290,7 +1299,7 @@ wret AS (SELECT g.*, t.turnover, g.return_gross - {BT.COST_BPS / 1e4} * t.turnov
 
 
 def _walk_returns(spark, sf_dir):
-    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))), "weights")
+    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True), "weights")
     walks = T.walk_schedule_of(w, "date", TRAIN_START, FIRST_TRAIN_END)
     lab = T.assign_walks(w, walks, "date").filter(F.col("split") == "test").drop("split")
     return BT.weekly_returns(lab, series_by=("strategy", "walk_id"), with_sixty_forty=False)
@@ -1507,7 +1516,7 @@ def q_strategy_menu(spark, sf_dir):
     once: it feeds every strategy branch and the min-variance history)."""
     fri = materialize(BT.friday_panel(spark, sf_dir), "friday_panel")
     board = BT.scoreboard(fri)
-    w = BT.strategy_weights(board)
+    w = BT.strategy_weights(board, loosen_cap=True)
     mv = P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
     mv = mv.join(board.select("date", "entity_id", "slot", "fwd_ret_5d"), ["date", "entity_id"]).select(
         F.lit("MINVAR").alias("strategy"), "date", "entity_id", "slot", "w", "fwd_ret_5d")
@@ -1515,6 +1524,33 @@ def q_strategy_menu(spark, sf_dir):
     return M.rollup_vs_first(M.strategy_metrics(r, "strategy", "date"), "strategy", ["sharpe"])
 
 
+@register("delisting_panel", f"""
+WITH {SQL_DAILY},
+dl AS (SELECT entity_id, max(date) AS date, -0.3 AS dlret, CAST(500 + entity_id % 5 AS INTEGER) AS dlstcd
+       FROM daily GROUP BY entity_id)
+SELECT d.entity_id, d.date, round(d.ret, 6) + 0.0 AS ret, CAST(dl.dlret AS DOUBLE) AS dlret, dl.dlstcd
+FROM daily d LEFT JOIN dl USING (entity_id, date)
+""")
+def q_delisting_panel(spark, sf_dir):
+    """Delisting returns on the matching row of the daily table (here: every entity's last day)."""
+    daily = materialize(roles.daily_bars(spark, sf_dir).select("entity_id", "date", "ret"), "daily")
+    dl = daily.groupBy("entity_id").agg(F.max("date").alias("date")).select(
+        "entity_id", "date", F.lit(-0.3).alias("dlret"), (500 + F.col("entity_id") % 5).cast("int").alias("dlstcd"))
+    return round_doubles(T.attach_on_day(daily, dl, "entity_id", "date", {"dlret": "double", "dlstcd": "int"}))
+
+
+@register("common_years", f"""
+WITH {SQL_DAILY}
+SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM daily WHERE year(date) >= 1996
+  AND year(date) IN (SELECT year(CAST(o_orderdate AS DATE)) FROM orders)
+""")
+def q_common_years(spark, sf_dir):
+    """A3: years that the daily table and the orders share."""
+    a = roles.daily_bars(spark, sf_dir).select(F.year("date").alias("year"))
+    b = roles.table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"))
+    return common_years(a, b, "year", 1996)
+
+
 @register("panel_build", f"""
 WITH {SQL_XWALK},
 sf1 AS (SELECT {_sql_ticker("s.s_name")} AS ticker, f.datekey, f.order_key, f.revenue FROM fund_raw f
@@ -1593,5 +1629,5 @@ SELECT t.strategy, d.date, round(t.turnover, 6) + 0.0 AS turnover FROM t JOIN dt
 """)
 def q_turnover_by_name(spark, sf_dir):
     # the weights table (dates x K x strategies) feeds both sides of the date-to-date comparison
-    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir))), "weights")
+    w = materialize(BT.strategy_weights(BT.scoreboard(BT.friday_panel(spark, sf_dir)), loosen_cap=True), "weights")
     return round_doubles(P.turnover_name(w, "strategy", "date", "entity_id"))

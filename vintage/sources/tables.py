@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vintage.functions.core import md5_number
+
 
 def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A1: read every Parquet file/partition under ``path`` (partition discovery);
@@ -50,4 +52,4 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 
 def repeatable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """A deterministic sample of ``n`` rows (hash order, re-runnable)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(md5_number(key, seed), F.col(key)).limit(n)
