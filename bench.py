@@ -31,6 +31,17 @@ THROUGHPUT = {
     "training_panel": ("lineitem", "input_rows_per_s"),
 }
 
+# text queries: the column whose uncompressed bytes give MB/s (BASELINE rows 3 and 5 are rates in bytes)
+TEXT_COLUMN = {"clean_pages": ("pages", "html"), "refilter_documents": ("documents", "text")}
+
+
+def _column_mb(sf_dir: str, table: str, column: str) -> float:
+    """Uncompressed MB of one column, from the Parquet footer."""
+    import pyarrow.parquet as pq
+    m = pq.ParquetFile(f"{sf_dir.rstrip('/')}/{table}.parquet").metadata
+    at = m.schema.to_arrow_schema().names.index(column)
+    return sum(m.row_group(i).column(at).total_uncompressed_size for i in range(m.num_row_groups)) / 1e6
+
 
 def _rows(sf_dir: str, table: str) -> int:
     import pyarrow.parquet as pq
@@ -58,6 +69,7 @@ def main() -> None:
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     tput = {f"{q}_{unit}": round(_rows(sf_dir, t) / times[q], 1)
             for q, (t, unit) in THROUGHPUT.items() if q in times and times[q] > 0}
+    tput |= {f"{q}_mb_per_s": round(_column_mb(sf_dir, *c) / times[q], 2) for q, c in TEXT_COLUMN.items() if times.get(q)}
     print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3),
                       "unit": "sec", "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
                       "cpus": int(cpus), "throughput": tput}))

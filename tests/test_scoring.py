@@ -25,3 +25,66 @@ def test_conform_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     out = SC.conform_columns(df, ["b", "c", "a"])
     assert out.columns == ["b", "c", "a"] and out.first().c is None
+
+
+def test_gram_pass_equals_numpy(spark):
+    import numpy as np
+
+    from vintage.operators import vectors as V
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 6)) @ rng.normal(size=(6, 6))
+    year = [1995 + i % 3 for i in range(300)]
+    df = spark.createDataFrame([(y, [float(a) for a in r]) for y, r in zip(year, x)], "year int, vec array<double>").repartition(5)
+    rows = {r.key: r for r in V.gram_by(df, "year", "vec").collect()}
+    assert set(rows) == {1995, 1996, 1997}
+    use = np.array(year) <= 1996
+    n, mean, cov = V.add_grams([rows[1995], rows[1996]])
+    assert n == use.sum() and np.allclose(mean, x[use].mean(axis=0)) and np.allclose(cov, np.cov(x[use], rowvar=False))
+    share = V.explained_shares(cov)
+    assert abs(share.sum() - 1) < 1e-12 and (np.diff(share) <= 1e-12).all()
+    assert V.width_for(np.array([0.5, 0.3, 0.2]), 0.8) == 3 and V.width_for(np.array([0.97, 0.03]), 0.95) == 2
+    d = V.components_of(cov, 2)
+    got = V.project_on(df, mean, d, "vec", ["year"]).select("pca_0", "pca_1").collect()
+    want = (x - mean) @ d
+    assert np.allclose(sorted(r.pca_0 for r in got), sorted(want[:, 0]), atol=1e-4)
+
+
+def test_minimum_variance_keeps_empty_lag_dates(spark):
+    """A lag date on which no name has a return is a row of zeros in the covariance."""
+    import datetime as dt
+
+    import numpy as np
+
+    from vintage.operators import portfolio as P
+    rng = np.random.default_rng(1)
+    days = [dt.date(2020, 1, 3) + dt.timedelta(days=7 * i) for i in range(9)]
+    hist = [(d, e, float(rng.normal()) if i not in (2, 5) else None) for i, d in enumerate(days[:8]) for e in (1, 2, 3)]
+    h = spark.createDataFrame(hist, "date date, e int, r double")
+    b = spark.createDataFrame([(days[8], e) for e in (1, 2, 3)], "date date, e int")
+    w = {r.e: r.w for r in P.min_variance_weights(b, h, [], "date", "e", "r", cap=0.8, lookback=8).collect()}
+    m = np.array([[0.0 if r is None else r for d, e, r in hist if d == day] for day in days[:8]])
+    want = P.min_variance_solve(m, 0.8)
+    assert np.allclose([w[1], w[2], w[3]], want, atol=1e-4)
+
+
+def test_walks_follow_the_data(spark):
+    import datetime as dt
+
+    from vintage.operators import temporal as T
+    df = spark.createDataFrame([(dt.date(1995, 5, 1),), (dt.date(2001, 11, 4),)], "date date")
+    got = T.walk_schedule_of(df, "date", "1995-01-01", 1996).orderBy("walk_id").collect()
+    assert [r.walk_id for r in got] == [1, 2, 3, 4] and str(got[-1].test_start) == "2001-01-01"
+    assert T.walk_schedule_of(df.limit(0), "date", "1995-01-01", 1996).count() == 0
+
+
+def test_attach_on_day(spark):
+    import datetime as dt
+
+    from vintage.operators import temporal as T
+    day = dt.date(2033, 5, 6)
+    df = spark.createDataFrame([(7, day, 1.0), (8, day, 2.0)], "e int, date date, r double")
+    ev = spark.createDataFrame([(7, day, -0.4, 512)], "e int, date date, dlret double, dlstcd int")
+    got = {r.e: (r.r, r.dlret, r.dlstcd) for r in T.attach_on_day(df, ev, "e", "date", {"dlret": "double", "dlstcd": "int"}).collect()}
+    assert got == {7: (1.0, -0.4, 512), 8: (2.0, None, None)}
+    none = T.attach_on_day(df, ev.select("e", "date").limit(0), "e", "date", {"dlret": "double"})
+    assert none.filter("dlret IS NULL").count() == 2

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, HashingTF, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -139,8 +140,6 @@ def gram_by(df: DataFrame, by: str, vec: str) -> DataFrame:
     meets in the task of the key. Sums of several keys add up, so expanding
     windows need no further pass.
     """
-    import pyarrow as pa
-
     def partial(batches):
         sums: dict = {}
         for b in batches:
@@ -166,7 +165,6 @@ def gram_by(df: DataFrame, by: str, vec: str) -> DataFrame:
 
 
 def _gram_batch(sums: dict):
-    import pyarrow as pa
     keys = list(sums)
     return pa.RecordBatch.from_arrays(
         [pa.array(keys, pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()),
@@ -198,6 +196,32 @@ def width_for(shares: np.ndarray, target: float) -> int:
     return min(at + 1, len(shares))
 
 
+def components_of(cov: np.ndarray, n: int) -> np.ndarray:
+    """The first ``n`` principal directions (columns); the largest loading of each is positive."""
+    _, v = np.linalg.eigh(cov)
+    v = v[:, ::-1][:, :n]
+    return v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+
+
+def project_on(df: DataFrame, mean: np.ndarray, directions: np.ndarray, vec: str, keys: Sequence[str],
+               prefix: str = "pca_") -> DataFrame:
+    """G19 with stated directions: ``(v - mean) . directions`` as columns ``pca_0..`` (float).
+
+    The matrix (vector length x width) travels with the function; vectors stay in Arrow batches.
+    """
+    from pyspark.sql import types as T
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            x = a.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(a), -1)
+            y = ((x - mean) @ directions).astype(np.float32)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+
+    p = df.filter(F.col(vec).isNotNull()).select(*keys, run(F.col(vec)).alias("_p"))
+    return p.select(*keys, *[F.col("_p")[i].alias(f"{prefix}{i}") for i in range(directions.shape[1])])
+
+
 def explained_variance_table(pca_model, spark) -> DataFrame:
     """Eigenvalue table ``(component, explained, cumulative)``."""
     ev = [float(x) for x in pca_model.explainedVariance.toArray()]

@@ -1102,6 +1102,41 @@ def q_walk_summary(spark, sf_dir):
     return arms.unionByName(arm2)
 
 
+@register("walk_frame_sizes", f"""
+WITH {SQL_TRAINING},
+wk AS (SELECT unnest(range(1, (SELECT CAST(max(year(date)) AS BIGINT) - 1996 FROM training))) AS n),
+x AS (SELECT n, year(date) AS y FROM training JOIN wk ON year(date) <= 1997 + n
+      WHERE isodow(date) = 5 AND fwd_ret_5d IS NOT NULL)
+SELECT CAST(n AS INTEGER) AS walk_id,
+       CASE WHEN y <= 1995 + n THEN 'train' WHEN y = 1996 + n THEN 'val' ELSE 'test' END AS split, count(*) AS n_rows
+FROM x GROUP BY ALL
+""")
+def q_walk_frame_sizes(spark, sf_dir):
+    """The rows that every walk trains, validates and tests on."""
+    return _walk_frame(spark, sf_dir).groupBy("walk_id", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("walk_summary_text")
+def q_walk_summary_text(spark, sf_dir):
+    """D8/I1/I7/I8 with reduced text: each walk's directions come from its own training window (the width
+    is locked at walk 1); the arm with all features against the one without text."""
+    tp = materialize(panel.training_panel(spark, sf_dir), "training_panel")
+    mat = _pca_matrix(spark, sf_dir)
+    walks = T.walk_schedule_of(tp, "date", TRAIN_START, FIRST_TRAIN_END)
+    width, out = None, None
+    for w, (n, mean, cov) in _pca_walk_grams(spark, sf_dir, mat):
+        if n < 2:
+            continue
+        width = V.width_for(V.explained_shares(cov), 0.95) if width is None else width
+        reduced = V.project_on(mat, mean, V.components_of(cov, width), "vec", ["entity_id", "date"])
+        fr = SC.assemble_walk_features(tp, reduced, "entity_id", "date", "fwd_ret_5d", BT.N_BUCKETS)
+        fr = materialize(T.assign_walks(fr, walks.filter(F.col("walk_id") == w.walk_id), "date"), "text_frame")
+        for arm, f in (("all", fr), ("no_text", SC.drop_text_columns(fr))):
+            s = SC.walk_summary(f, SC.feature_columns(f), "entity_id", "date", BT.TOP_K, arm, max_iter=5, max_depth=3)
+            out = s if out is None else out.unionByName(s)
+    return out
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf_dir):
     fr = _walk_frame(spark, sf_dir).filter(F.col("walk_id") == 1)
@@ -1124,9 +1159,9 @@ def _pca_matrix(spark, sf_dir):
     return materialize(mat.withColumn("year", F.year("date")), "pca_matrix")
 
 
-def _pca_walk_grams(spark, sf_dir):
+def _pca_walk_grams(spark, sf_dir, mat=None):
     """(walk row, Gram sums of its training years) per walk of the H13 schedule."""
-    mat = _pca_matrix(spark, sf_dir)
+    mat = _pca_matrix(spark, sf_dir) if mat is None else mat
     by_year = {r.key: r for r in V.gram_by(mat, "year", "vec").collect()}  # one row per year
     walks = T.walk_schedule_of(mat, "date", TRAIN_START, FIRST_TRAIN_END).orderBy("walk_id").collect()
     return [(w, V.add_grams([g for y, g in by_year.items() if y <= w.train_end.year])) for w in walks]
