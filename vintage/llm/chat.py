@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vintage.llm.common import written
+
 def _hashes(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     r, t = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
     return turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"), r.alias("r"),
@@ -57,7 +59,7 @@ def prefix_hashes(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 def maximal_conversations(turns: DataFrame, conv: str = "conv_id", **names) -> DataFrame:
     """conv_id, n_turns and copies (logged conversations with the same turns) of those that no longer one extends."""
-    p = prefix_hashes(turns, conv=conv, **names)
+    p = written(prefix_hashes(turns, conv=conv, **names), "turn-prefixes")
     whole = (p.filter("pos = n").groupBy("n", "p1", "p2")
              .agg(F.min("c").alias(conv), F.count(F.lit(1)).alias("copies")))
     proper = p.filter("pos < n").select(F.col("pos").alias("n"), "p1", "p2").distinct()
@@ -73,13 +75,12 @@ def render_turn(role: Column, text: Column) -> Column:
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text") -> DataFrame:
     """conv_id, n_turns, copies, rendered: the maximal conversations as one training text each."""
-    best = maximal_conversations(turns, conv=conv, turn=turn, role=role, text=text).alias("m")
+    best = maximal_conversations(turns, conv=conv, turn=turn, role=role, text=text)
+    best = written(best.withColumnRenamed(conv, "k"), "conversations")
     r, t = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (role, text))
     rows = turns.select(F.col(conv).alias("c"), F.struct(
         F.col(turn).cast("long").alias("t"), r.alias("r"), F.xxhash64(F.lit("a"), r, t).alias("h1"),
         F.xxhash64(F.lit("b"), t, r).alias("h2"), render_turn(r, t).alias("s")).alias("x"))
-    kept = rows.join(best.select(F.col(conv).alias("k")), F.col("c").eqNullSafe(F.col("k")), "left_semi")
-    text_of = kept.groupBy("c").agg(F.sort_array(F.collect_list("x")).alias("xs")).select(
-        "c", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("rendered"))
-    return (text_of.alias("t").join(best, F.col("t.c").eqNullSafe(F.col(f"m.{conv}")))
-            .select(f"m.{conv}", "n_turns", "copies", "rendered"))
+    kept = rows.join(best, F.col("c").eqNullSafe(F.col("k")))
+    return kept.groupBy("c", "n_turns", "copies").agg(F.sort_array(F.collect_list("x")).alias("xs")).select(
+        F.col("c").alias(conv), "n_turns", "copies", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("rendered"))
