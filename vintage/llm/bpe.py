@@ -25,8 +25,8 @@ Decoding is a state machine over ids. Where the tokenizer file names no decoder,
 tokens are joined by a space (the state is whether one was emitted); a
 byte-level decoder keeps the bytes of an unfinished character.
 
-Texts are cut at ASCII white space, which no piece spans; the results of such
-parts are remembered per task up to a fixed number.
+The ids of words that come again are remembered per Python process, in two
+generations of a fixed number.
 
 Defined cases: NULL counts as empty; an empty text has no token and decodes to
 the empty text; special tokens inside a text are recognised, as the tokenizer
@@ -75,89 +75,102 @@ def lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int | No
     return max(reach.values(), default=0)
 
 
+_CONTROLS = regex.compile(r"[\x1c-\x1f]")
+
+
+_NONE = 1 << 62
+#: Slots that note which words came once.
+_SEEN = 1 << 22
+
+
 class Merger:
-    """Applies a merge list to the symbols of one piece, lowest rank first, leftmost first."""
-
-    def __init__(self, merges: list[tuple[str, str]], end_mark: str, short: int = 48):
-        self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.end_mark = end_mark
-        self.short = short
-        self.length: dict[str, int] = {}
-        for u, v in merges:
-            for t in (u, v, u + v):
-                self.length[t] = len(t) - len(end_mark) if end_mark and t.endswith(end_mark) and len(t) > len(end_mark) else len(t)
-        self.lookahead = lookahead(merges, self.length)
-
-    def merge(self, symbols: list[str]) -> list[str]:
-        """The tokens of ``symbols``."""
-        if len(symbols) > self.short:
-            return self._merge_long(symbols)
-        get, none = self.rank.get, 1 << 30
-        ranks = [get(p, none) for p in zip(symbols, symbols[1:])]
-        while ranks:
-            low = min(ranks)
-            if low == none:
+    """Applies a merge list to the symbols of one piece, lowest rank first, leftmost first.
+
+    Works on token ids; ``pair`` maps two neighbours to rank and result in one integer.
+    """
+
+    def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int], end_mark: str, short: int = 48):
+        self.vocab, self.end_mark, self.short = vocab, end_mark, short
+        self.name = {i: t for t, i in vocab.items()}
+        self.pair = {vocab[u] << 20 | vocab[v]: rank << 20 | vocab[u + v] for rank, (u, v) in reversed(list(enumerate(merges)))}
+
+        def symbols(t: str) -> int:
+            return len(t) - len(end_mark) if end_mark and t.endswith(end_mark) and len(t) > len(end_mark) else len(t)
+
+        self.length = [0] * (max(vocab.values(), default=0) + 1)
+        for t, i in vocab.items():
+            self.length[i] = symbols(t)
+        self.lookahead = lookahead(merges, {t: symbols(t) for t in vocab})
+
+    def merge(self, ids: list[int]) -> list[int]:
+        """The tokens of some symbols; ``ids`` is used up."""
+        if len(ids) > self.short:
+            return self._merge_long(ids)
+        get = self.pair.get
+        found = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
+        while found:
+            low = min(found)
+            if low == _NONE:
                 break
-            at = ranks.index(low)
-            symbols[at] += symbols.pop(at + 1)
-            del ranks[at]
+            at = found.index(low)
+            ids[at] = new = low & 0xFFFFF
+            del ids[at + 1], found[at]
             if at:
-                ranks[at - 1] = get((symbols[at - 1], symbols[at]), none)
-            if at < len(ranks):
-                ranks[at] = get((symbols[at], symbols[at + 1]), none)
-        return symbols
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        n, rank = len(symbols), self.rank
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        live: list[str | None] = list(symbols)
-        heap = [(r, i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if (r := rank.get(p)) is not None]
+                found[at - 1] = get(ids[at - 1] << 20 | new, _NONE)
+            if at < len(found):
+                found[at] = get(new << 20 | ids[at + 1], _NONE)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        n, get = len(ids), self.pair.get
+        nxt, prv, live = list(range(1, n + 1)), list(range(-1, n - 1)), list(ids)
+        heap = [(m >> 20, i, a, b, m) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (m := get(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, (u, v) = heapq.heappop(heap)
+            _, i, a, b, m = heapq.heappop(heap)
             j = nxt[i]
-            if live[i] != u or j >= n or live[j] != v:
+            if live[i] != a or j >= n or live[j] != b:
                 continue
-            live[i], live[j] = u + v, None
+            live[i], live[j] = m & 0xFFFFF, -1
             k = nxt[i] = nxt[j]
             if k < n:
                 prv[k] = i
-                if (r := rank.get((live[i], live[k]))) is not None:
-                    heapq.heappush(heap, (r, i, (live[i], live[k])))
+                if (m := get(live[i] << 20 | live[k])) is not None:
+                    heapq.heappush(heap, (m >> 20, i, live[i], live[k], m))
             h = prv[i]
-            if h >= 0 and (r := rank.get((live[h], live[i]))) is not None:
-                heapq.heappush(heap, (r, h, (live[h], live[i])))
-        return [t for t in live if t is not None]
-
-    def stream(self, piece: str, step: int | None = None) -> Iterator[str]:
-        """The tokens of one piece, each as soon as it is stable."""
-        if not piece:
-            return
-        end = piece[-1] + self.end_mark
-        if self.lookahead is None or (step is None and len(piece) <= 2 * self.lookahead + self.short):
-            yield from self.merge([*piece[:-1], end])
+            if h >= 0 and (m := get(live[h] << 20 | live[i])) is not None:
+                heapq.heappush(heap, (m >> 20, h, live[h], live[i], m))
+        return [t for t in live if t >= 0]
+
+    def stream(self, symbols: list[int], step: int | None = None) -> Iterator[int]:
+        """The tokens of one piece, each as soon as it is stable; the last symbol carries the end mark."""
+        if self.lookahead is None or (step is None and len(symbols) <= 2 * self.lookahead + self.short):
+            yield from self.merge(list(symbols))
             return
         step = step or 2 * self.lookahead + self.short
-        window: list[str] = []
-        for at in range(0, len(piece) - 1, step):
-            window.extend(piece[at:min(at + step, len(piece) - 1)])
+        window: list[int] = []
+        for at in range(0, len(symbols) - 1, step):
+            window.extend(symbols[at:min(at + step, len(symbols) - 1)])
             settled = len(window) - self.lookahead
             done = 0
             for t in self.merge(list(window)) if settled > 0 else ():
-                if done + self.length.get(t, len(t)) > settled:
+                if done + self.length[t] > settled:
                     break
-                done += self.length.get(t, len(t))
+                done += self.length[t]
                 yield t
             del window[:done]
-        yield from self.merge([*window, end])
+        yield from self.merge([*window, *symbols[-1:]])
 
 
 class Decoder:
-    """Ids to text, one id at a time."""
-
-    def __init__(self, tokens: dict[int, str], byte_level: bool, end_mark: str = ""):
-        self.tokens, self.byte_level, self.end_mark = tokens, byte_level, end_mark
-        self.byte_of = {c: b for b, c in byte_alphabet().items()}
+    """Ids to text as they come; between calls only an unfinished character is kept."""
+
+    def __init__(self, tokens: dict[int, str], byte_level: bool):
+        self.byte_level = byte_level
+        byte_of = {c: b for b, c in byte_alphabet().items()}
+        self.tokens = tokens
+        self.bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
+                      for i, t in tokens.items()} if byte_level else {}
         self.pending = codecs.getincrementaldecoder("utf-8")("replace")
         self.reset()
 
@@ -165,18 +178,16 @@ class Decoder:
         self.begun = False
         self.pending.reset()
 
-    def feed(self, token_id: int) -> str:
-        """The text that this id settles; ids outside the vocabulary give none."""
-        token = self.tokens.get(token_id)
-        if token is None:
-            return ""
-        if not self.byte_level:
-            out = f" {token}" if self.begun else token
-            self.begun = True
-            return out
-        if any(c not in self.byte_of for c in token):
-            return self.pending.decode(token.encode())
-        return self.pending.decode(bytes(self.byte_of[c] for c in token))
+    def feed(self, ids: list[int]) -> str:
+        """The text that these ids settle; ids outside the vocabulary give none."""
+        if self.byte_level:
+            return self.pending.decode(b"".join([self.bytes.get(i, b"") for i in ids]))
+        get = self.tokens.get
+        out = " ".join([t for t in map(get, ids) if t is not None])
+        if self.begun and out:
+            out = " " + out
+        self.begun = self.begun or bool(out)
+        return out
 
     def finish(self) -> str:
         """What an unfinished character at the end gives."""
@@ -190,7 +201,7 @@ class Codec:
     replacement and lower case and whose pieces come from one pattern.
     """
 
-    def __init__(self, path: str, remember: int = 400_000):
+    def __init__(self, path: str, remember: int = 150_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -199,7 +210,7 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ", 1)) for m in model["merges"]]
         self.end_mark = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
-        self.merger = Merger(merges, self.end_mark)
+        self.merger = Merger(merges, self.vocab, self.end_mark)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
             raise ValueError("added tokens with stripping or word rules are not covered")
@@ -216,64 +227,100 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.pattern = regex.compile(split[0]["pattern"]["Regex"])
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.letters = byte_alphabet()
+        letters = byte_alphabet()
+        self.byte_id = [self.vocab[letters[b]] for b in range(256)]
+        self.last_id = [self.vocab[letters[b] + self.end_mark] for b in range(256)]
+        self.letter_byte = {c: b for b, c in letters.items()}
         tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.byte_level = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.decoder = Decoder(tokens, self.byte_level)
-        self.parts: dict[bytes, tuple[int, bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.known: dict[str, bool] = {}  # characters, and whether Python's Unicode tables have them
         self.remember = remember
+        self.seen, self.fresh = bytearray(_SEEN), 0
 
-    def _piece(self, piece: str, mapped: str = "") -> list[int]:
-        ids = None if mapped else self.pieces.get(piece)
+    def _word(self, word: str) -> bytes:
+        """The ids of one normalised word; recent words and pieces are remembered in two generations."""
+        ids = self.older.get(word)
         if ids is None:
-            mapped = mapped or "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = [self.vocab[t] for t in self.merger.stream(mapped) if t in self.vocab]
-            if len(piece) <= 64 and piece is not mapped:
-                if len(self.pieces) >= self.remember:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+            pieces = [word] if word.isalpha() else self.pattern.findall(word)
+            if len(pieces) == 1 and pieces[0] == word:
+                ids = self._merged(word.encode())
+            else:
+                get, of = self.pieces.get, self._word
+                ids = b"".join([get(p) or of(p) for p in pieces])
+        if len(word) <= 64:
+            at = hash(word) & (_SEEN - 1)
+            if not self.seen[at]:  # most new words never come back: remembered from the second time on
+                self.seen[at] = 1
+                self.fresh += 1
+                if self.fresh > _SEEN // 2:
+                    self.seen, self.fresh = bytearray(_SEEN), 0
+                return ids
+            if len(self.pieces) >= self.remember:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[word] = ids
         return ids
 
-    def _plain(self, text: str) -> Iterator[int]:
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in text):
-            for mapped, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
-                yield from self._piece(mapped, mapped)
-            return
-        if self.nfc and not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        if self.lower:  # character by character: no final sigma
-            text = text.replace("Σ", "σ").lower()
-        for m in self.pattern.finditer(text):
-            yield from self._piece(m.group())
-
-    def _ids(self, text: str) -> Iterator[int]:
-        at = 0
+    def _merged(self, piece: bytes) -> bytes:
+        """The ids of one piece, merged."""
+        table = self.byte_id
+        ids = [table[b] for b in piece]
+        ids[-1] = self.last_id[piece[-1]]
+        ids = self.merger.merge(ids) if len(ids) <= self.merger.short else list(self.merger.stream(ids))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _assigned(self, text: str) -> bool:
+        for c in set(text):
+            ok = self.known.get(c)
+            if ok is None:
+                ok = self.known[c] = unicodedata.category(c) != "Cn"
+            if not ok:
+                return False
+        return True
+
+    def _plain(self, text: str) -> list[bytes]:
+        """Ids of the pieces of a text without special tokens."""
+        if not text.isascii():
+            if not self._assigned(text):
+                text = self.library.normalizer.normalize_str(text)
+                back = self.letter_byte
+                return [self._merged(bytes([back[c] for c in mapped]))
+                        for mapped, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+            if self.nfc:
+                text = unicodedata.normalize("NFC", text)
+            if self.lower:  # character by character: no final sigma
+                text = text.replace("Σ", "σ")
+        if self.lower:
+            text = text.lower()
+        # white space ends a piece; four control characters end a word for Python only
+        words = [text] if _CONTROLS.search(text) else text.split()
+        get, out = self.pieces.get, []
+        for w in words:
+            ids = get(w)
+            if ids is None:
+                ids = self._word(w)
+                get = self.pieces.get
+            out.append(ids)
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of one text."""
+        out, at = [], 0
         for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-            yield from self._plain(text[at:m.start()])
-            yield self.special[m.group()]
+            out += self._plain(text[at:m.start()])
+            out.append(struct.pack("<I", self.special[m.group()]))
             at = m.end()
-        yield from self._plain(text[at:])
-
-    def _part(self, raw: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids and decoded text of one part between white space."""
-        ids = list(self._ids(raw.decode()))
-        self.decoder.reset()
-        text = "".join([*map(self.decoder.feed, ids), self.decoder.finish()])
-        out = len(ids), struct.pack(f"<{len(ids)}I", *ids), text.encode()
-        if len(raw) <= 64:
-            if len(self.parts) >= self.remember:
-                self.parts.clear()
-            self.parts[raw] = out
-        return out
+        out += self._plain(text[at:] if at else text)
+        return np.frombuffer(b"".join(out), "<u4")
 
-    def encode(self, text: bytes) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids (little-endian 32 bits) and the decoded text of one UTF-8 text."""
-        get, part = self.parts.get, self._part
-        found = [get(w) or part(w) for w in text.split()]
-        gap = b"" if self.byte_level else b" "
-        return (sum([f[0] for f in found]), b"".join([f[1] for f in found]),
-                gap.join([f[2] for f in found if f[0]]))
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids, by the state machine."""
+        d = self.decoder
+        d.reset()
+        parts = [d.feed(ids[at:at + 65_536].tolist()) for at in range(0, len(ids), 65_536)]
+        return "".join([*parts, d.finish()])
 
 
 @lru_cache(maxsize=4)
@@ -282,6 +329,11 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _texts(t: pa.Array) -> Iterator[str | None]:
+    """Texts one at a time, so that a batch is not held twice."""
+    return (x.as_py() for x in t)
+
+
 RESULT = StructType([StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()),
                      StructField("decoded_sha256", StringType()), StructField("ids", ArrayType(IntegerType())),
                      StructField("decoded", StringType())])
@@ -298,21 +350,19 @@ def encode_column(text: Column, path: str, fields: tuple[str, ...] = ("n_tokens"
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
         for t in texts:
-            got = [c.encode(x.as_buffer().to_pybytes()) if x.is_valid else (0, b"", b"")
-                   for x in t.cast(pa.large_binary())]
+            got = [c.encode(x or "") for x in _texts(t)]
             cols = {}
             if "n_tokens" in fields:
-                cols["n_tokens"] = pa.array([g[0] for g in got], pa.int64())
+                cols["n_tokens"] = pa.array([len(g) for g in got], pa.int64())
             if "ids_sha256" in fields:
-                cols["ids_sha256"] = pa.array([hashlib.sha256(g[1]).hexdigest() for g in got], pa.string())
-            if "decoded_sha256" in fields:
-                cols["decoded_sha256"] = pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())
+                cols["ids_sha256"] = pa.array([hashlib.sha256(g.tobytes()).hexdigest() for g in got], pa.string())
             if "ids" in fields:
-                ends = np.concatenate([[0], np.cumsum([g[0] for g in got])]).astype(np.int32)
-                flat = np.frombuffer(b"".join([g[1] for g in got]), "<u4").astype(np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            if "decoded" in fields:
-                cols["decoded"] = pa.array([g[2].decode() for g in got], pa.string())
+                ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, ends[:0]]).astype(np.int32)))
+            if {"decoded", "decoded_sha256"} & set(fields):
+                back = [c.decode(g) for g in got]
+                cols["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
+                cols["decoded"] = pa.array(back, pa.large_string()).cast(pa.string()) if "decoded" in fields else None
             yield pa.StructArray.from_arrays([cols[f.name] for f in want.fields], names=want.names)
     return run(text)
 
@@ -326,7 +376,7 @@ def decode_column(ids: Column, path: str) -> Column:
             out = []
             for x in t:
                 d.reset()
-                out.append("".join([*map(d.feed, x.as_py() or []), d.finish()]))
+                out.append(d.feed(x.as_py() or []) + d.finish())
             yield pa.array(out, pa.string())
     return run(ids)
 
