@@ -19,37 +19,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vintage.llm import bpe, exact_dedup, langid, mixing, simhash
-from vintage.llm.common import ship_package, table, written
+from vintage.llm.common import prepare, table, written
 from vintage.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled documents teach."""
-    ship_package(spark)
+    prepare(spark)
     return langid.drop_rejected(docs, langid.train(docs))
 
 
 def exact_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship_package(spark)
+    prepare(spark)
     return simhash.drop_near_duplicates(docs, shingle=3, max_bits=3)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them."""
-    ship_package(spark)
+    prepare(spark)
     return mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2.0)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and the digests of ids and decoded text."""
-    ship_package(spark)
+    prepare(spark)
     fields = ("n_tokens", "ids_sha256", "decoded_sha256", "ids")
     encoded = bpe.encode_column(F.col("text"), tokenizer_path(), fields)
     return docs.select("doc_id", "source", encoded.alias("__e")).select("doc_id", "source", "__e.*")

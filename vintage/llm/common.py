@@ -9,10 +9,25 @@ from vintage.session import materialize, ship_package
 #: ASCII white space of the text contracts: space, tab, line feed, vertical tab, form feed, return.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
+#: Bytes and rows of one Arrow batch at most.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given Parquet tables; the package is shipped for the UDFs that follow."""
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the executors and keep the Arrow batches of text functions small.
+
+    A batch is held by the JVM and by Python at once, and the JVM also holds the
+    other columns of its rows; at the defaults (64 MB, 10,000 rows) and two
+    tasks an executor that is a large part of its memory.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given Parquet tables."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -27,11 +42,16 @@ def id_remainder(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
-def keep_one_of_repeats(rows: DataFrame, keys: list[str], times: str) -> DataFrame:
-    """Rows once per ``keys``, where ``times`` says how often the key occurs.
+def join_listed(rows: DataFrame, listed: DataFrame, same: Column, keys: list[str], times: str) -> DataFrame:
+    """The ``rows`` that a slim table lists, once per listed key.
 
-    Rows whose key occurs once pass straight through; only repeats shuffle.
+    ``listed`` is a written table with one row per key; ``times`` says how often
+    the key occurs in ``rows``. Its side is hashed, so the wide rows are not
+    sorted. Only keys that repeat need another pass, which is left out where no
+    key does.
     """
-    once = rows.filter(F.col(times) == 1)
-    more = rows.filter(F.col(times) > 1).dropDuplicates(keys)
+    once = rows.join(listed.filter(F.col(times) == 1).hint("shuffle_hash"), same)
+    if listed.filter(F.col(times) > 1).isEmpty():
+        return once
+    more = rows.join(listed.filter(F.col(times) > 1).hint("shuffle_hash"), same).dropDuplicates(keys)
     return once.unionByName(more)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from vintage.llm.common import ASCII_SPACE, keep_one_of_repeats, written
+from vintage.llm.common import ASCII_SPACE, join_listed, written
 
 #: Odd multipliers of the slot hashes (multiplicative hashing, upper bits).
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -132,7 +132,7 @@ def _decide(candidates: DataFrame, id_col: str) -> DataFrame:
                     F.bitwise_not(F.coalesce(F.col(id_col), F.lit(0).cast("long"))).alias("back"))
     g = g.withColumn("__rank", rank)
     best = g.groupBy("__sha").agg(F.max("__rank").alias("__best"), F.sum("__times").alias("__size"))
-    j = g.join(best, "__sha")
+    j = g.join(written(best, "exact-groups"), "__sha")  # a plain shuffle on both sides: skewed hashes can be split
     return (j.withColumn("__keep", F.when(F.col("__best.has"), F.bitwise_not(F.col("__best.back"))))
             .withColumn("__wins", F.col("__rank") == F.col("__best")))
 
@@ -169,11 +169,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     maybe = possibly_repeated(d, "__sha", **filter_size)
     winners = _decide(d.filter(maybe), "__id").filter("__wins").select(
         F.col("__id").alias("__wid"), F.col("__sha").alias("__wsha"), F.col("__len").alias("__wlen"), "__times")
+    winners = written(winners, "exact-winners")
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": text_digest(F.col(text_col)),
                              "__len": F.length(F.coalesce(F.col(text_col), F.lit("")))})
     rows = rows.withColumn("__maybe", maybe)
     single = rows.filter(~F.col("__maybe")).select(*cols)
-    kept = rows.filter("__maybe").join(
-        winners, F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__sha") == F.col("__wsha"))
-        & (F.col("__len") == F.col("__wlen")))
-    return single.unionByName(keep_one_of_repeats(kept, ["__id", "__sha"], "__times").select(*cols))
+    same = (F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__sha") == F.col("__wsha"))
+            & (F.col("__len") == F.col("__wlen")))
+    kept = join_listed(rows.filter("__maybe"), winners, same, ["__id", "__sha"], "__times")
+    return single.unionByName(kept.select(*cols))

@@ -16,7 +16,7 @@ go. The score is the softmax of the negative cross-entropies, its scale fitted
 to the same documents.
 
 Learning reads at most ``docs_per_lang`` documents of each language, those with
-the smallest id hash (a bounded sample for a classifier). Scoring covers every
+the smallest id hash, and ``max_docs`` in all (a bounded sample for a classifier). Scoring covers every
 text as a whole; long texts are scored in blocks that overlap by the context.
 
 Defined cases: a text that is NULL or has no letter is ``und``, score 0, not
@@ -190,11 +190,14 @@ class CharModels:
         ce, n, right = ce[ok], n[ok], right[ok]
         L = len(self.langs)
         self.mean, self.spread, self.z = np.zeros(L), np.tile([0.05, 10.0], (L, 1)), np.full(L, np.inf)
+        mine = ce[np.arange(len(right)), right]
         for k in range(L):
             own = right == k
             if own.sum() < 20:
-                continue  # too few to tell: nothing of this language is rejected
-            x, m = ce[own, k], n[own]
+                own[:] = True  # too few of this language: the bound of all of them together
+            if own.sum() < 20:
+                continue  # too few to tell: nothing is rejected
+            x, m = mine[own], n[own]
             self.mean[k] = np.average(x, weights=m)
             short = m < np.median(m)
             v_long, v_short = np.mean((x[~short] - self.mean[k]) ** 2), np.mean((x[short] - self.mean[k]) ** 2)
@@ -285,14 +288,30 @@ def _count_grams(order: int):
     """Per language: the n-grams of the sample's texts, as bytes of code points, with counts."""
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.full(order - 1, 32, np.uint32)
-        parts = [np.concatenate([pad, t]) for b in batches for x in b.column("text")
-                 if len(t := letters_of(x.as_py()))]
-        grams, n = np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
-        if parts:
-            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(p, order) for p in parts])
+        keys, grams, n = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
+
+        def add(parts: list[np.ndarray]) -> None:
+            nonlocal keys, grams, n
             h = np.concatenate([_hash_orders(p, order)[order][order - 1:] for p in parts])
-            _, first, n = np.unique(h, return_index=True, return_counts=True)
-            grams = windows[first]
+            w = np.concatenate([np.lib.stride_tricks.sliding_window_view(p, order) for p in parts])
+            k, first, c = np.unique(h, return_index=True, return_counts=True)
+            every, at, inv = np.unique(np.concatenate([keys, k]), return_index=True, return_inverse=True)
+            n = np.bincount(inv, np.concatenate([n, c]), len(every)).astype(np.int64)
+            keys, grams = every, np.concatenate([grams, w[first]])[at]
+
+        parts, held = [], 0
+        for b in batches:
+            for x in b.column("text"):
+                t = letters_of(x.as_py())
+                for at in range(0, len(t), _BLOCK):  # blocks overlap by the context
+                    lead = pad if at == 0 else t[at - order + 1:at]
+                    parts.append(np.concatenate([lead, t[at:at + _BLOCK]]))
+                    held += len(parts[-1])
+                    if held >= _BLOCK:
+                        add(parts)
+                        parts, held = [], 0
+        if parts:
+            add(parts)
         for at in range(0, len(grams), 50_000):
             g = grams[at:at + 50_000]
             yield pa.RecordBatch.from_arrays(
@@ -301,23 +320,25 @@ def _count_grams(order: int):
     return run
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int) -> DataFrame:
-    """(lang, text, r): the documents to learn from, ``docs_per_lang`` of each language at most."""
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int,
+            max_docs: int) -> DataFrame:
+    """(lang, text, r): the documents to learn from, ``docs_per_lang`` of each language and ``max_docs`` at most."""
     ids = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
            .filter(F.col("lang").isNotNull() & (id_remainder("id", 5) != 0)).distinct()
            .withColumn("r", F.xxhash64(F.lit("learn"), "id")))
     w = Window.partitionBy("lang").orderBy("r", "id")
-    ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_lang).select(
-        F.col("id").alias("sid"), F.col("lang").alias("slang"), "r")
+    ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_lang)
+    ids = ids.orderBy("k", "lang").limit(max_docs).select(F.col("id").alias("sid"), F.col("lang").alias("slang"), "r")
+    ids = F.broadcast(ids)  # max_docs rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = texts.join(ids, (F.col("id") == F.col("sid")) & (F.col("lang") == F.col("slang")))
     return found.groupBy("lang", "r", "id").agg(F.min("text").alias("text")).filter(F.col("text").isNotNull())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5,
-          docs_per_lang: int = 1500, reject_rate: float = 0.0005, margin: float = 1.5) -> CharModels:
+          docs_per_lang: int = 1500, max_docs: int = 100_000, reject_rate: float = 0.0005, margin: float = 1.5) -> CharModels:
     """Models from labelled documents whose crc32(id) mod 5 is not 0. A quarter of the sample calibrates."""
-    s = _sample(docs, id_col, text_col, lang_col, docs_per_lang).withColumn("calibrates", F.pmod("r", F.lit(4)) == 0)
+    s = _sample(docs, id_col, text_col, lang_col, docs_per_lang, max_docs).withColumn("calibrates", F.pmod("r", F.lit(4)) == 0)
     s = written(s, "langid-sample")
     rows = (s.filter("not calibrates").groupBy("lang").applyInArrow(
         _count_grams(order), "lang string, grams binary, n binary").collect())  # n-grams of the bounded sample
@@ -348,14 +369,17 @@ def predict_column(text: Column, models: CharModels, spark) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for t in texts:
-            langs, scores, ok, sizes = [], [], [], []
-            for at in range(0, len(t), 256):
-                codes = [letters_of(x) if x else np.zeros(0, np.uint32) for x in t.slice(at, 256).to_pylist()]
-                a, b, c = m.predict(codes)
-                langs += a
-                scores.append(b)
-                ok.append(c)
-                sizes += [len(x) for x in codes]
+            langs, scores, ok, sizes, codes, held = [], [], [], [], [], 0
+            for i, x in enumerate(t):
+                codes.append(letters_of(x.as_py() or ""))
+                held += len(codes[-1])
+                if held >= _BLOCK or len(codes) == 512 or i == len(t) - 1:  # bounded memory
+                    a, b, c = m.predict(codes)
+                    langs += a
+                    scores.append(b)
+                    ok.append(c)
+                    sizes += [len(y) for y in codes]
+                    codes, held = [], 0
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()),
                  pa.array(np.concatenate(ok) if ok else [], pa.bool_()), pa.array(sizes, pa.int64())],

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.llm.common import keep_one_of_repeats, written
+from vintage.llm.common import join_listed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 _DP_WORDS = 1 << 16
@@ -204,9 +204,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     times = c.withColumn("times", F.col("base") * F.col("reps") + F.col("more")).filter("times > 0").select(
         F.col("id").alias("__cid"), F.col("source").alias("__csource"), F.col("size").alias("__csize"),
         F.col("times").alias("__times"), F.col("reps").alias("__reps"))
+    times = written(times, "mix-times")
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__source": F.col(source_col).cast("string"),
                              "__size": word_count(F.col(text_col))})
-    rows = rows.join(times, F.col("__id").eqNullSafe(F.col("__cid")) & F.col("__source").eqNullSafe(F.col("__csource"))
-                     & (F.col("__size") == F.col("__csize")))
-    rows = keep_one_of_repeats(rows, ["__id", "__source", "__size"], "__reps")
+    same = (F.col("__id").eqNullSafe(F.col("__cid")) & F.col("__source").eqNullSafe(F.col("__csource"))
+            & (F.col("__size") == F.col("__csize")))
+    rows = join_listed(rows, times, same, ["__id", "__source", "__size"], "__reps")
     return rows.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))).alias("__k")).select(*cols)

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vintage.llm.common import keep_one_of_repeats, written
+from vintage.llm.common import join_listed, written
 from vintage.llm.components import components
 
 _BLOCK = 1 << 16
@@ -83,7 +83,7 @@ def fingerprints(text: Column, shingle: int = 3) -> Column:
             t = t.cast(pa.large_binary())
             yield pa.array((fingerprint(x.as_buffer().to_pybytes(), shingle) if x.is_valid else 0 for x in t),
                            pa.int64(), size=len(t))
-    return run(text)
+    return F.coalesce(run(text), F.lit(0).cast("long"))  # never NULL: no second evaluation to test that
 
 
 def _bucket_of(fp: Column, bits: int) -> Column:
@@ -253,6 +253,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     g = g.join(roots, g.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("s"))
     stay = best.select(F.col("s.id").alias("__wid"), F.col("s.fp").alias("__wfp"), F.col("s.times").alias("__times"))
+    stay = written(stay, "simhash-stay")
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__fp": fp})
-    kept = rows.join(stay, F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__fp") == F.col("__wfp")))
-    return keep_one_of_repeats(kept, ["__id", "__fp"], "__times").select(*cols)
+    same = F.col("__id").eqNullSafe(F.col("__wid")) & (F.col("__fp") == F.col("__wfp"))
+    return join_listed(rows, stay, same, ["__id", "__fp"], "__times").select(*cols)

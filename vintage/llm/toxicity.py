@@ -2,7 +2,7 @@
 
 A document is a bag of sentences. Each sentence has a score
 p = sigmoid(bias + sum of its words' weights); a word's weight is the sum of the
-hashed weights of the word itself and of its first 4, 5 and 6 characters. The
+hashed weights of the word itself and of its first 4 to 7 characters. The
 document's score is the noisy-or 1 - prod(1 - p): one toxic sentence suffices.
 Only document labels are needed to learn, by gradient descent on the noisy-or
 likelihood with a proximal L1 step that leaves harmless words at zero. Weights
@@ -38,7 +38,7 @@ from vintage.llm.common import id_remainder, written
 BITS = 18
 _SENTENCE = re.compile(r"[.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
+_PREFIXES = (4, 5, 6, 7)
 MIN_WORDS = 5
 
 
@@ -108,9 +108,12 @@ class SentenceScorer:
         return out
 
 
-def fit(texts: list[str], labels: np.ndarray, share: float, steps: int = 150, rate: float = 0.3,
-        l1: float = 2e-5) -> tuple[np.ndarray, float]:
-    """(weights, bias) from document labels; ``share`` is the toxic share to weight the classes to."""
+def fit(texts: list[str], labels: np.ndarray, share: float, steps: int = 150, rate: float = 1.0,
+        l1: float = 0.1) -> tuple[np.ndarray, float]:
+    """(weights, bias) from document labels; ``share`` is the toxic share to weight the classes to.
+
+    ``l1`` is in units of one toxic document's weight.
+    """
     ids: dict[str, int] = {}
     f_id, f_word, word_of, doc_of, sizes = (array("i") for _ in range(5))
     for d, t in enumerate(texts):
@@ -134,6 +137,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float, steps: int = 150, ra
     used, f_id = np.unique(f_id, return_inverse=True)
     n_doc, y = len(texts), labels.astype(float)
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9)) / n_doc
+    l1 = l1 * float(weight[y == 1].max(initial=0.0))
     w, b = np.zeros(len(used)), -5.0
     g2, gb2 = np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
