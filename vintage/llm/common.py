@@ -1,7 +1,7 @@
 """Shared pieces of the operators: table access, hand-offs and row rules."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintage.session import materialize, ship_package
@@ -42,6 +42,25 @@ def id_remainder(doc_id: str | Column, mod: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(mod)
 
 
+def smallest_by_hash(ids: DataFrame, by: list[str], hashed: str, key: str, k: int) -> DataFrame:
+    """The ``k`` rows of each group with the smallest hash (as unsigned numbers), ties by ``key``.
+
+    Counts per group and hash bucket tell which of 4,096 buckets matter; only
+    their rows are ranked, so a group that holds most rows is not gathered.
+    """
+    b = ids.withColumn("__b", F.shiftrightunsigned(hashed, 52))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = b.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    needed = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    needed = needed.filter(F.col("__before") < k).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__c"))
+    same = F.col("__b") == F.col("__c")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("__b", hashed, key))
+    found = b.join(needed, same).select(*b.columns).withColumn("__k", rank).filter(F.col("__k") <= k)
+    return found.drop("__b", "__k")
+
+
 def join_listed(rows: DataFrame, listed: DataFrame, same: Column, keys: list[str], times: str) -> DataFrame:
     """The ``rows`` that a slim table lists, once per listed key.
 

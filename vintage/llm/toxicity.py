@@ -29,11 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, StringType, StructField, StructType)
 
-from vintage.llm.common import id_remainder, written
+from vintage.llm.common import id_remainder, smallest_by_hash, written
 
 BITS = 18
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -177,9 +177,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
          .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("hi")).filter("y = hi").drop("hi"))
     y = written(y.withColumn("r", F.xxhash64(F.lit("learn"), "id")), "labels")
     share = y.agg(F.avg("y")).first()[0]
-    w = Window.partitionBy("y").orderBy("r", "id")
-    ids = y.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_class).drop("k")
-    ids = F.broadcast(ids)  # 2 * docs_per_class rows at most
+    ids = F.broadcast(smallest_by_hash(y, ["y"], "r", "id", docs_per_class))  # 2 * docs_per_class rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
     return written(texts.groupBy("id", "y", "r").agg(F.min("text").alias("text")), "label-sample"), share or 0.0
 
