@@ -32,11 +32,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from vintage.llm.common import id_remainder, written
+from vintage.llm.common import id_remainder, smallest_by_hash, written
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -326,9 +326,8 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per
     ids = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
            .filter(F.col("lang").isNotNull() & (id_remainder("id", 5) != 0)).distinct()
            .withColumn("r", F.xxhash64(F.lit("learn"), "id")))
-    w = Window.partitionBy("lang").orderBy("r", "id")
-    ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs_per_lang)
-    ids = ids.orderBy("k", "lang").limit(max_docs).select(F.col("id").alias("sid"), F.col("lang").alias("slang"), "r")
+    ids = smallest_by_hash(ids, ["lang"], "r", "id", docs_per_lang)
+    ids = ids.orderBy("r", "lang", "id").limit(max_docs).select(F.col("id").alias("sid"), F.col("lang").alias("slang"), "r")
     ids = F.broadcast(ids)  # max_docs rows at most
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     found = texts.join(ids, (F.col("id") == F.col("sid")) & (F.col("lang") == F.col("slang")))
@@ -336,7 +335,7 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5,
-          docs_per_lang: int = 1500, max_docs: int = 100_000, reject_rate: float = 0.0005, margin: float = 1.5) -> CharModels:
+          docs_per_lang: int = 1500, max_docs: int = 100_000, reject_rate: float = 0.0005, margin: float = 2.5) -> CharModels:
     """Models from labelled documents whose crc32(id) mod 5 is not 0. A quarter of the sample calibrates."""
     s = _sample(docs, id_col, text_col, lang_col, docs_per_lang, max_docs).withColumn("calibrates", F.pmod("r", F.lit(4)) == 0)
     s = written(s, "langid-sample")
