@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField, StructType)
 
-from vintage.llm.common import written
+from vintage.llm.common import smallest_by_hash, written
 
 BITS = 17
 #: Characters of markup and code rather than prose.
@@ -239,7 +239,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not rows:
         return model, LinearScorer(np.zeros(1 << BITS), 0.0)
     soft = spark.createDataFrame([(p, x) for p, x in model.posterior.items()], "votes string, good double")
-    ids = v.groupBy("r", "id").agg(F.min("votes").alias("votes")).orderBy("r", "id").limit(max_docs).join(soft, "votes")
+    ids = v.groupBy("r", "id").agg(F.min("votes").alias("votes")).withColumn("all", F.lit(0))
+    ids = smallest_by_hash(ids, ["all"], "r", "id", max_docs).drop("all").join(F.broadcast(soft), "votes")
     texts = docs.select(F.col(id_col).cast("long").alias("tid"), F.col(text_col).alias("text"))
     ids = F.broadcast(ids)  # max_docs rows at most
     s = texts.join(ids, F.col("tid").eqNullSafe(F.col("id"))).groupBy("r", "id", "good").agg(F.min("text").alias("text"))
