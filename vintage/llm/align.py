@@ -53,7 +53,7 @@ ALIGNED = ("block string, key binary, copies long, n_a long, n_b long, n_groups
 class Aligner:
     """Two tokenizers and the alignment of texts under them."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 300_000, remember_links: int = 4_000_000):
+    def __init__(self, path_a: str, path_b: str, remember: int = 500_000, remember_links: int = 6_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
@@ -82,7 +82,7 @@ class Aligner:
         """Start again without remembered stretches."""
         self.known: dict[str, int] = {}
         self.groups: list[str] = []  # per stretch: its groups as text
-        self.good: list[bool] = []
+        self.good = np.zeros(1024, bool)
         self.counts = np.zeros((1024, 4), np.int64)  # n_a, n_b, n_groups, n_links
         self.start = np.zeros(1024, np.int64)
         self.links = np.zeros(4096, np.int64)
@@ -90,56 +90,68 @@ class Aligner:
 
     def learn(self, stretches: list[str]) -> None:
         """Tokenise and align stretches, and number them."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + s for s in stretches], add_special_tokens=False)]
-        ids_b = self.b.encode(stretches, num_threads=1)
-        get_a, get_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        good = [b"".join(map(get_a, x)) == (raw := f" {s}".encode()) and b"".join(map(get_b, y)) == raw
-                for s, x, y in zip(stretches, ids_a, ids_b)]
-        first, n = len(self.good), len(stretches)
-        for i, s in enumerate(stretches):
-            self.known[s] = first + i
-        self.good += good
+        odd = [s for s in stretches if not s or s[0].isspace() or s[-1].isspace()]
+        for s in odd:
+            self._learn_halves([s])
+        self._learn_halves([s for s in stretches if s and not (s[0].isspace() or s[-1].isspace())] if odd else stretches)
+
+    def _learn_halves(self, stretches: list[str]) -> None:
+        """Learn stretches together; where some don't come back, by halves, to find which."""
+        if self._learn(stretches, " ".join(stretches)):
+            return
+        if len(stretches) == 1:
+            self._number(stretches, np.zeros((1, 4), np.int64), [""], np.empty(0, np.int64), False)
+        else:
+            self._learn_halves(stretches[:len(stretches) // 2])
+            self._learn_halves(stretches[len(stretches) // 2:])
+
+    def _learn(self, stretches: list[str], text: str) -> bool:
+        """Learn stretches from their text, in which single spaces part them; False if it doesn't come back byte for byte."""
+        if not stretches:
+            return True
+        ids_a, ids_b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        raw = f" {text}".encode()
+        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+            return False
+        stop = np.cumsum(np.fromiter(map(len, map(str.encode, stretches)), np.int64, len(stretches)) + 1)
+        counts, pairs, lines = self._aligned(np.array(ids_a, np.int64), np.array(ids_b, np.int64), stop)
+        self._number(stretches, counts, lines.split("\n")[:-1], pairs, True)
+        return True
+
+    def _number(self, stretches: list[str], counts: np.ndarray, groups: list[str], pairs: np.ndarray, good: bool) -> None:
+        first, n = len(self.groups), len(stretches)
+        self.known.update(zip(stretches, range(first, first + n)))
+        self.groups += groups
         while first + n > len(self.start):
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-        self.start[first:first + n] = self.used
-        self.counts[first:first + n] = 0
-        at = np.flatnonzero(np.array(good, bool))
-        names = [""] * n
-        if len(at):
-            keep_a, keep_b = [ids_a[i] for i in at], [ids_b[i] for i in at]
-            n_a, n_b = (np.array([len(x) for x in k], np.int64) for k in (keep_a, keep_b))
-            flat_a, flat_b = (np.fromiter((t for x in k for t in x), np.int64, m.sum()) for k, m in ((keep_a, n_a), (keep_b, n_b)))
-            pairs, n_groups, n_links, text = self._aligned(flat_a, flat_b, n_a)
-            self.counts[first + at] = np.stack([n_a, n_b, n_groups, n_links], axis=1)
-            self.start[first + at] = self.used + np.cumsum(n_links) - n_links
-            while self.used + len(pairs) > len(self.links):
-                self.links = np.concatenate([self.links, np.zeros_like(self.links)])
-            self.links[self.used:self.used + len(pairs)] = pairs
-            self.used += len(pairs)
-            for i, s in zip(at, text.split("\n")):
-                names[i] = s
-        self.groups += names
-
-    def _aligned(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
-        """Links of many stretches laid end to end; groups and links of each; their groups as text, a line each."""
+            self.counts, self.start, self.good = (np.concatenate([x, np.zeros_like(x)]) for x in (self.counts, self.start, self.good))
+        self.good[first:first + n] = good
+        self.counts[first:first + n] = counts
+        self.start[first:first + n] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+        while self.used + len(pairs) > len(self.links):
+            self.links = np.concatenate([self.links, np.zeros_like(self.links)])
+        self.links[self.used:self.used + len(pairs)] = pairs
+        self.used += len(pairs)
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, str]:
+        """Of stretches that end at the bytes ``stop``: counts of each, links of all, and the groups as text, a line each."""
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
-        cuts = np.union1d(ends_a, ends_b)
-        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        in_a, in_b = np.zeros(stop[-1] + 1, bool), np.zeros(stop[-1] + 1, bool)
+        in_a[ends_a] = in_b[ends_b] = True
+        cuts, both = np.flatnonzero(in_a | in_b), np.flatnonzero(in_a & in_b)
         pairs = a[np.searchsorted(ends_a, cuts)] << SHIFT | b[np.searchsorted(ends_b, cuts)]
-        stop = ends_a[np.cumsum(n_a) - 1]
-        n_links = np.diff(np.searchsorted(cuts, stop, "right"), prepend=0)
-        n_groups = np.diff(np.searchsorted(both, stop, "right"), prepend=0)
+        counts = np.stack([np.diff(np.searchsorted(x, stop, "right"), prepend=0) for x in (ends_a, ends_b, both, cuts)], axis=1)
         group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a * 4 + (both[group_a] == ends_a)
-        last = np.where(np.isin(ends_b, stop, assume_unique=True), 3, 2)
-        codes[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b * 4 + np.where(both[group_b] == ends_b, last, 0)
-        return pairs, n_groups, n_links, "".join(map(self.named.__getitem__, codes.tolist()))
+        codes[np.arange(len(a)) + np.searchsorted(group_b, group_a)] = a * 4 + in_b[ends_a]
+        last = np.zeros(stop[-1] + 1, bool)
+        last[stop] = True
+        codes[np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")] = b * 4 + np.where(in_a[ends_b], 2 + last[ends_b], 0)
+        return counts, pairs, "".join(map(self.named.__getitem__, codes.tolist()))
 
     def _numbers(self, stretches: list[str]) -> np.ndarray:
-        get = self.known.get
-        found = list(map(get, stretches))
+        if len(self.known) > self.remember or self.used > self.remember_links:
+            self.forget()
+        found = list(map(self.known.get, stretches))
         if None in found:
             self.learn(list(dict.fromkeys(s for s, i in zip(stretches, found) if i is None)))
             found = list(map(self.known.__getitem__, stretches))
@@ -169,28 +181,63 @@ class Aligner:
         """Counts (n_a, n_b, n_groups, n_links), SHA-256 of the groups, and the links of a text; None if it has no tokens."""
         total, digest, links = np.zeros(4, np.int64), hashlib.sha256(), []
         for i, stretches in enumerate(self.segments(text)):
-            if len(self.known) > self.remember or self.used > self.remember_links:
-                self.forget()
             n = self._numbers(stretches)
-            if not all(map(self.good.__getitem__, n.tolist())):
+            if not self.good[n].all():
                 if not self.lossless(text):
                     return None
                 self.forget()  # stretches that only together give the bytes back: the text is one stretch
                 self.learn([text])
                 return self.counts[0].copy(), hashlib.sha256(self.groups[0].encode()).hexdigest(), self.links[:self.used].copy()
-            counts = self.counts[n]
-            total += counts.sum(axis=0)
+            total += self.counts[n].sum(axis=0)
             digest.update((";" if i else "").encode() + ";".join(map(self.groups.__getitem__, n.tolist())).encode())
-            m = counts[:, 3]
-            links.append(self.links[np.repeat(self.start[n] - (np.cumsum(m) - m), m) + np.arange(m.sum())])
+            links.append(self._links(n))
         return total, digest.hexdigest(), np.concatenate(links)
 
+    def _links(self, n: np.ndarray) -> np.ndarray:
+        m = self.counts[n, 3]
+        return self.links[np.repeat(self.start[n] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+
+    def texts(self, texts: list[str], size: int = 1 << 20) -> Iterator[tuple[np.ndarray, str, np.ndarray] | None]:
+        """:meth:`text` of each text; short ones together, about ``size`` characters at a time."""
+        group: list[str] = []
+        chars = 0
+        for t in texts:
+            if chars + len(t) > size and group:
+                yield from self._group(group)
+                group, chars = [], 0
+            if len(t) > size:
+                yield self.text(t)
+            else:
+                group.append(t)
+                chars += len(t)
+        if group:
+            yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, np.ndarray] | None]:
+        parts = [_CUT.split(t) for t in texts]
+        n = self._numbers([s for p in parts for s in p])
+        good, counts, links = self.good[n], self.counts[n], self._links(n)
+        ends = np.cumsum([len(p) for p in parts])
+        link_ends = np.cumsum(counts[:, 3])[ends - 1]
+        numbers, groups, at, link_at, odd = n.tolist(), self.groups, 0, 0, []
+        out: list = []
+        for t, end, link_end in zip(texts, ends.tolist(), link_ends.tolist()):
+            if good[at:end].all():
+                sha = hashlib.sha256(";".join(map(groups.__getitem__, numbers[at:end])).encode()).hexdigest()
+                out.append((counts[at:end].sum(axis=0), sha, links[link_at:link_end]))
+            else:
+                odd.append(len(out))
+                out.append(t)
+            at, link_at = end, link_end
+        for i in odd:
+            out[i] = self.text(out[i])
+        yield from out
+
     def block(self, batch: pa.RecordBatch) -> pa.RecordBatch:
         """The rows of :data:`ALIGNED` for the texts of one batch: a row per text, and one with the block's pairs."""
         keys, copies = batch["key"].to_pylist(), batch["copies"].to_pylist()
         counts, shas, links = [], [], []
-        for t in batch["text"]:
-            got = self.text(t.as_py())
+        for got in self.texts(batch["text"].to_pylist()):
             counts.append(got[0] if got else np.zeros(4, np.int64))
             shas.append(got[1] if got else "")
             links.append(got[2] if got else np.empty(0, np.int64))
