@@ -53,7 +53,7 @@ ALIGNED = ("block string, key binary, copies long, n_a long, n_b long, n_groups
 class Aligner:
     """Two tokenizers and the alignment of texts under them."""
 
-    def __init__(self, path_a: str, path_b: str, remember: int = 500_000, remember_links: int = 6_000_000):
+    def __init__(self, path_a: str, path_b: str, remember: int = 400_000, remember_links: int = 6_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import sentencepiece
         from tokenizers import Tokenizer
