@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from vintage.functions.core import is_friday, nan_to_null, numeric_columns
 from vintage.operators.crosssection import excess_return_buckets, zero_info_columns
+from vintage.operators.lambdarank import RankModel, fit_rank, score_rank
 from vintage.operators.ranking import ranking_summary
+from vintage.operators.search import Dim, Pruned, Trial, search
+from vintage.operators.walks import Run, run_key, run_walks
 
 # Identifier, label and metadata columns never used as features.
 NON_FEATURE_COLS = (
@@ -153,3 +156,75 @@ def grid_search(frame: DataFrame, features: Sequence[str], grid: Sequence[dict],
         nd = ndcg_by_group(s, date, "score", "target", k, entity).agg(F.coalesce(F.avg("ndcg"), F.lit(0.0))).first()[0]
         rows.append((i, str(sorted(params.items())), float(nd)))
     return spark.createDataFrame(rows, "trial int, params string, val_ndcg double")
+
+
+# ------------------------------------------------ the listwise arm: search once, freeze, resume
+
+#: The searched parameters and their ranges.
+RANK_SPACE = (Dim("num_leaves", 15, 127, "int"), Dim("learning_rate", 0.01, 0.1, "log"), Dim("min_data_in_leaf", 20, 200, "int"),
+              Dim("feature_fraction", 0.6, 1.0), Dim("bagging_fraction", 0.6, 1.0), Dim("lambda_l2", 0.0, 5.0))
+
+
+def search_rank_params(frame: DataFrame, features: Sequence[str], entity: str, date: str, label: str, path: str,
+                       n_trials: int = 15, space: Sequence[Dim] = RANK_SPACE, seed: int = 42, n_random: int = 5,
+                       **fixed) -> list[Trial]:
+    """Trials on one walk's train and val rows by validation NDCG@k; pruned trials stop early."""
+    from vintage.session import materialize
+    frame = materialize(frame.filter(F.col("split").isin("train", "val")), "search_frame")
+
+    def objective(params: dict, report) -> float:
+        stopped = []
+
+        def watch(step: int, value: float) -> bool:
+            if report(step, value):
+                stopped.append(step)
+            return bool(stopped)
+        model = fit_rank(_clean(frame, features), features, date, entity, label, report=watch, **{**fixed, **params})
+        if stopped:
+            raise Pruned
+        return max(model.history, default=0.0)
+    return search(frame.sparkSession, objective, space, n_trials, path, seed, n_random)
+
+
+def rank_walks(frame: DataFrame, features: Sequence[str], entity: str, date: str, store: str, params: dict,
+               label: str = "target", target: str = "y_excess", k: int = 30, variant: str = "all") -> Run:
+    """I7 with the listwise objective: every walk with the frozen ``params``, resumed from ``store``.
+
+    ``frame`` carries ``walk_id`` and ``split``. Features without information in
+    a walk's train rows are left out (E11). The results' numbers are the split
+    sizes, the trees used and the test diagnostics (J1-J6).
+    """
+    from vintage.session import materialize
+    spark = frame.sparkSession
+    frame = materialize(frame, "rank_walks")
+    sizes: dict[int, dict[str, int]] = {}
+    ends: dict[int, list[str]] = {}
+    for r in frame.groupBy("walk_id", "split").agg(F.count(F.lit(1)).alias("n"), F.min(date).alias("a"), F.max(date).alias("b")).collect():
+        sizes.setdefault(r.walk_id, {})[r.split] = r.n  # three rows per walk
+        ends.setdefault(r.walk_id, []).append(f"{r.split} {r.a} {r.b} {r.n}")
+    walks = sorted(w for w, s in sizes.items() if s.get("train") and s.get("test"))
+
+    def rows(w: int, *splits: str) -> DataFrame:
+        return _clean(frame.filter((F.col("walk_id") == w) & F.col("split").isin(*splits)), features)
+
+    def fit(w: int) -> str:
+        dropped = set(zero_info_columns(rows(w, "train"), features))
+        return fit_rank(rows(w, "train", "val"), [c for c in features if c not in dropped], date, entity, label, k=k, **params).to_json()
+
+    def evaluate(w: int, text: str) -> dict[str, float]:
+        model = RankModel.from_json(text)
+        scored = score_rank(rows(w, "test"), model)
+        m = {r["metric"]: r["value"] for r in ranking_summary(scored, date, "score", target, label, entity, k=k, ndcg_k=k).collect()}
+        return m | {f"n_{s}": sizes[w].get(s, 0) for s in ("train", "val", "test")} | {"n_trees": model.best_iteration}
+    return run_walks(spark, walks, store, variant, lambda w: run_key(params=params, features=list(features), ends=sorted(ends[w]), k=k),
+                     fit, evaluate)
+
+
+def numbers_as_columns(results: DataFrame, k: int) -> DataFrame:
+    """The results of :func:`rank_walks` with the columns of :func:`walk_summary`, and n_trees."""
+    n = {c: F.col("numbers")[c] for c in ("n_train", "n_val", "n_test", "n_trees", "rank_ic_mean", "rank_ic_ir", "decile_spread_bps",
+                                          "hit_rate", "top_k_jaccard")}
+    out = results.select("walk_id", "variant", *[n[c].cast("long").alias(c) for c in ("n_train", "n_val", "n_test", "n_trees")],
+                         F.col("numbers")[f"ndcg_at_{k}"].alias("ndcg"),
+                         *[n[c].alias(c) for c in ("rank_ic_mean", "rank_ic_ir", "decile_spread_bps", "hit_rate", "top_k_jaccard")])
+    return out.withColumn("ic_gate", F.col("rank_ic_mean") > 0)

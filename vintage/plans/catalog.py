@@ -7,6 +7,8 @@ computed column aliased, every ``row_number`` given a total order.
 """
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,8 @@ from vintage.operators import temporal as T
 from vintage.operators import text as TXT
 from vintage.operators import vectors as V
 from vintage.operators.asof import days_since_event
+from vintage.operators.lambdarank import pair_gradients
+from vintage.operators.search import Dim, best_params, trial_table
 from vintage.plans import backtest as BT
 from vintage.plans import panel, roles
 from vintage.session import checkpoint_dir, materialize
@@ -1144,11 +1148,56 @@ def q_feature_importance(spark, sf_dir):
     return SC.feature_importance(SC.fit_walk(fr, feats, **GBT_PARAMS), feats, spark)
 
 
+# A short search and few trees: the query shows the whole path on the driver's tables.
+RANK_FIT = dict(n_estimators=3, max_depth=2, max_bins=31, early_stopping_rounds=2)
+RANK_SEARCH = (Dim("num_leaves", 3, 8, "int"), Dim("learning_rate", 0.05, 0.3, "log"), Dim("min_data_in_leaf", 5, 40, "int"),
+               Dim("feature_fraction", 0.6, 1.0), Dim("bagging_fraction", 0.6, 1.0), Dim("lambda_l2", 0.0, 5.0))
+
+
+def _rank_search(fr, feats):
+    """The trials on walk 1."""
+    path = f"{checkpoint_dir(fr.sparkSession).rstrip('/')}/trials-{uuid.uuid4().hex[:12]}"
+    return SC.search_rank_params(fr.filter(F.col("walk_id") == 1), feats, "entity_id", "date", "target", path, n_trials=5,
+                                 space=RANK_SEARCH, n_random=3, k=BT.TOP_K, **RANK_FIT)
+
+
 @register("param_search")
 def q_param_search(spark, sf_dir):
-    fr = _walk_frame(spark, sf_dir).filter(F.col("walk_id") == 1)
-    grid = [dict(max_iter=10, max_depth=3, step_size=0.1), dict(max_iter=20, max_depth=5, step_size=0.05)]
-    return SC.grid_search(fr, SC.feature_columns(fr), grid, "entity_id", "date", BT.TOP_K)
+    """The trial table of the search on walk 1."""
+    fr = _walk_frame(spark, sf_dir)
+    trials = _rank_search(fr, SC.feature_columns(fr))
+    won = json.dumps(best_params(trials), sort_keys=True)
+    return trial_table(spark, trials).withColumn("winner", F.col("params") == won)
+
+
+@register("rank_walk_summary")
+def q_rank_walk_summary(spark, sf_dir):
+    """One search on walk 1, its winner frozen, and the listwise ranker on every walk."""
+    fr = materialize(_walk_frame(spark, sf_dir), "walk_frame")
+    feats = SC.feature_columns(fr)
+    params = {**RANK_FIT, **best_params(_rank_search(fr, feats))}
+    store = f"{checkpoint_dir(spark).rstrip('/')}/walks-{uuid.uuid4().hex[:12]}"
+    run = SC.rank_walks(fr, feats, "entity_id", "date", store, params, k=BT.TOP_K)
+    return SC.numbers_as_columns(run.results, BT.TOP_K).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
+
+
+@register("rank_gradients", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_LAB},
+o AS (SELECT date, entity_id, label, score, row_number() OVER (PARTITION BY date ORDER BY score DESC, entity_id) AS r,
+             row_number() OVER (PARTITION BY date ORDER BY label DESC, entity_id) AS rl FROM lab),
+d AS (SELECT *, CASE WHEN r <= {BT.TOP_K} THEN 1 / log2(r + 1.0) ELSE 0 END AS disc, pow(2.0, label) - 1 AS gain,
+             sum(CASE WHEN rl <= {BT.TOP_K} THEN (pow(2.0, label) - 1) / log2(rl + 1.0) END) OVER (PARTITION BY date) AS ideal FROM o),
+p AS (SELECT a.date, a.entity_id, CASE WHEN a.ideal > 0 THEN abs(a.gain - b.gain) * abs(a.disc - b.disc) / a.ideal ELSE 0 END AS w,
+             sign(a.label - b.label) AS side, 1 / (1 + exp(sign(a.label - b.label) * (a.score - b.score))) AS rho
+      FROM d a JOIN d b ON a.date = b.date AND a.entity_id <> b.entity_id AND a.label <> b.label),
+g AS (SELECT date, entity_id, sum(-side * rho * w) AS grad, sum(rho * (1 - rho) * w) AS hess FROM p GROUP BY date, entity_id)
+SELECT d.date, d.entity_id, round(coalesce(grad, 0), 6) + 0.0 AS grad, round(coalesce(hess, 0), 6) + 0.0 AS hess
+FROM d LEFT JOIN g USING (date, entity_id)
+""")
+def q_rank_gradients(spark, sf_dir):
+    """The listwise objective's derivatives at the scores of the Friday panel."""
+    g = pair_gradients(_labelled(spark, sf_dir), "date", "entity_id", "label", "score", BT.TOP_K)
+    return round_doubles(g.select(F.col("g").alias("date"), F.col("e").alias("entity_id"), "grad", "hess"))
 
 
 def _pca_matrix(spark, sf_dir):

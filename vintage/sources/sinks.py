@@ -33,7 +33,7 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: Sequence[str] =
     w.partitionBy(*partition_cols).parquet(path)
 
 
-def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
     """The Parquet table at ``path``, None only where no such path exists; other errors are raised."""
     try:
         return spark.read.parquet(path)
@@ -45,7 +45,7 @@ def _read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
 
 def existing_partitions(spark: SparkSession, path: str, col: str = "year") -> DataFrame:
     """Partition values already written under ``path`` (empty when nothing is there)."""
-    found = _read_if_there(spark, path)
+    found = read_if_there(spark, path)
     return spark.createDataFrame([], f"{col} int") if found is None else found.select(col).distinct()
 
 
@@ -84,7 +84,7 @@ def guard_clobber(spark: SparkSession, summary_path: str, flag_col: str = "synth
     column of the existing summary, a few rows)."""
     if not writing_synthetic:
         return
-    existing = _read_if_there(spark, summary_path)
+    existing = read_if_there(spark, summary_path)
     if existing is None:
         return
     if flag_col in existing.columns and existing.filter(~F.col(flag_col)).limit(1).count() > 0:
