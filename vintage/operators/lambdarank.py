@@ -34,7 +34,7 @@ from vintage.session import materialize
 #: Parameters of a fit and their values unless given.
 DEFAULTS = dict(num_leaves=31, max_depth=6, learning_rate=0.05, n_estimators=500, early_stopping_rounds=50,
                 feature_fraction=0.9, bagging_fraction=0.9, bagging_freq=5, min_data_in_leaf=50, lambda_l2=1.0,
-                max_bins=63, k=30, sigma=1.0, seed=42)
+                sigma=1.0, seed=42)
 
 # ------------------------------------------------------------------- gradients
 
@@ -339,39 +339,61 @@ def _grow(grads: DataFrame, width: int, bins: int, used: Sequence[int], p: dict)
     return tree
 
 
-def fit_rank(frame: DataFrame, features: Sequence[str], group: str, entity: str, label: str, split: str = "split",
-             report: Callable[[int, float], bool] | None = None, **params) -> RankModel:
-    """Fit on rows whose ``split`` is train; val rows stop it early by their mean NDCG@k.
+@dataclass
+class Prepared:
+    """Binned train and val rows of one fit: what every fit with other parameters can share."""
+
+    features: list[str]
+    edges: list[list[float]]
+    rows: DataFrame
+    k: int
+    bins: int
+    validate: bool
+
+
+def prepare_rank(frame: DataFrame, features: Sequence[str], group: str, entity: str, label: str, split: str = "split",
+                 k: int = 30, max_bins: int = 63) -> Prepared:
+    """Bin the train and val rows by the train rows' quantiles and write them once."""
+    edges = feature_edges(frame.filter(F.col(split) == "train"), features, max_bins)
+    rows = frame.filter(F.col(split).isin("train", "val") & F.col(label).isNotNull())
+    rows = rows.select(F.col(group).alias("g"), F.col(entity).alias("e"), F.col(label).cast("double").alias("y"),
+                       F.col(split).alias("split"), bins_column(RankModel(list(features), edges)).alias("bins"))
+    rows = materialize(with_ideal(rows, "g", "y", "e", k), "rank_frame")
+    return Prepared(list(features), edges, rows, k, max_bins + 1, not rows.filter("split = 'val'").isEmpty())
+
+
+def boost(data: Prepared, report: Callable[[int, float], bool] | None = None, **params) -> RankModel:
+    """Trees until ``n_estimators``, or until the validation NDCG@k has not risen for some.
 
     ``report`` gets (tree number, validation NDCG) and may end the fit by returning True.
     """
     p = {**DEFAULTS, **params}
-    train = frame.filter(F.col(split) == "train")
-    model = RankModel(list(features), feature_edges(train, features, p["max_bins"]))
-    rows = frame.filter(F.col(split).isin("train", "val") & F.col(label).isNotNull())
-    rows = rows.select(F.col(group).alias("g"), F.col(entity).alias("e"), F.col(label).cast("double").alias("y"),
-                       F.col(split).alias("split"), bins_column(model).alias("bins"))
-    rows = materialize(with_ideal(rows, "g", "y", "e", p["k"]), "rank_frame")
-    train, val = rows.filter("split = 'train'"), rows.filter("split = 'val'")
-    validate = not val.isEmpty()
+    model, width = RankModel(data.features, data.edges), len(data.features)
+    train, val = data.rows.filter("split = 'train'"), data.rows.filter("split = 'val'")
     for i in range(p["n_estimators"]):
         rng = random.Random(f"{p['seed']}-{i}")
-        used = sorted(rng.sample(range(len(features)), max(1, round(p["feature_fraction"] * len(features)))))
-        grads = pair_gradients(train.withColumn("s", _binned_score(model)), "g", "e", "y", "s", p["k"], p["sigma"], F.col("bins"))
+        used = sorted(rng.sample(range(width), max(1, round(p["feature_fraction"] * width))))
+        grads = pair_gradients(train.withColumn("s", _binned_score(model)), "g", "e", "y", "s", data.k, p["sigma"], F.col("bins"))
         if p["bagging_fraction"] < 1:
             bag = F.pmod(F.xxhash64(F.lit(p["seed"]), F.lit(i // max(1, p["bagging_freq"])), "g", "e"), F.lit(10_000))
             grads = grads.filter(bag < int(p["bagging_fraction"] * 10_000))
-        tree = _grow(grads, len(features), p["max_bins"] + 1, used, p)
+        tree = _grow(grads, width, data.bins, used, p)
         if len(tree.feature) == 1:
             break
         model.trees.append(tree)
-        if not validate:
+        if not data.validate:
             continue
         scored = val.withColumn("s", _binned_score(model))
-        ndcg = ndcg_by_group(scored, "g", "s", "y", p["k"], "e").agg(F.coalesce(F.avg("ndcg"), F.lit(0.0))).first()[0]
+        ndcg = ndcg_by_group(scored, "g", "s", "y", data.k, "e").agg(F.coalesce(F.avg("ndcg"), F.lit(0.0))).first()[0]
         model.history.append(float(ndcg))
         if report and report(i, float(ndcg)):
             break
         if len(model.history) - model.best_iteration >= p["early_stopping_rounds"]:
             break
     return model
+
+
+def fit_rank(frame: DataFrame, features: Sequence[str], group: str, entity: str, label: str, split: str = "split",
+             k: int = 30, max_bins: int = 63, **params) -> RankModel:
+    """Fit on rows whose ``split`` is train; val rows stop it early by their mean NDCG@k."""
+    return boost(prepare_rank(frame, features, group, entity, label, split, k, max_bins), **params)

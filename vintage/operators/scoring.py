@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from vintage.functions.core import is_friday, nan_to_null, numeric_columns
 from vintage.operators.crosssection import excess_return_buckets, zero_info_columns
-from vintage.operators.lambdarank import RankModel, fit_rank, score_rank
+from vintage.operators.lambdarank import RankModel, boost, fit_rank, prepare_rank, score_rank
 from vintage.operators.ranking import ranking_summary
 from vintage.operators.search import Dim, Pruned, Trial, search
 from vintage.operators.walks import Run, run_key, run_walks
@@ -167,10 +167,9 @@ RANK_SPACE = (Dim("num_leaves", 15, 127, "int"), Dim("learning_rate", 0.01, 0.1,
 
 def search_rank_params(frame: DataFrame, features: Sequence[str], entity: str, date: str, label: str, path: str,
                        n_trials: int = 15, space: Sequence[Dim] = RANK_SPACE, seed: int = 42, n_random: int = 5,
-                       **fixed) -> list[Trial]:
-    """Trials on one walk's train and val rows by validation NDCG@k; pruned trials stop early."""
-    from vintage.session import materialize
-    frame = materialize(frame.filter(F.col("split").isin("train", "val")), "search_frame")
+                       k: int = 30, max_bins: int = 63, **fixed) -> list[Trial]:
+    """Trials on one walk's train and val rows, binned once, by validation NDCG@k; pruned trials stop early."""
+    data = prepare_rank(_clean(frame, features), features, date, entity, label, k=k, max_bins=max_bins)
 
     def objective(params: dict, report) -> float:
         stopped = []
@@ -179,7 +178,7 @@ def search_rank_params(frame: DataFrame, features: Sequence[str], entity: str, d
             if report(step, value):
                 stopped.append(step)
             return bool(stopped)
-        model = fit_rank(_clean(frame, features), features, date, entity, label, report=watch, **{**fixed, **params})
+        model = boost(data, report=watch, **{**fixed, **params})
         if stopped:
             raise Pruned
         return max(model.history, default=0.0)

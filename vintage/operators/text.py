@@ -71,15 +71,29 @@ class _TextCollector(HTMLParser):
     """Text nodes of a page; skips the subtrees named in ``skip`` and comments.
 
     The end tag of the head may be left out: the head then ends at the body or
-    at the first tag that a head can't hold.
+    at the first tag that a head can't hold. A ``<`` that begins no tag is text,
+    and text up to the next tag or comment is one node.
     """
 
     def __init__(self, skip: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.skip, self.depth, self.in_head, self.parts = skip - {"head", "meta"}, 0, False, []
+        self.skip, self.depth, self.in_head = skip - {"head", "meta"}, 0, False
+        self.nodes: list[list[str]] = []
+        self.ended = True  # whether markup came since the last text
         self.skip_head = "head" in skip
 
+    @property
+    def parts(self) -> list[str]:
+        """The text of each node."""
+        return ["".join(n) for n in self.nodes]
+
+    def handle_comment(self, data):
+        self.ended = True
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
     def handle_starttag(self, tag, attrs):
+        self.ended = True
         if tag == "head":
             self.in_head = self.skip_head
         elif self.in_head and tag not in _HEAD_CONTENT:
@@ -88,9 +102,10 @@ class _TextCollector(HTMLParser):
             self.depth += 1
 
     def handle_startendtag(self, tag, attrs):
-        pass
+        self.ended = True
 
     def handle_endtag(self, tag):
+        self.ended = True
         if tag in ("head", "html"):
             self.in_head = False
         if tag in self.skip and self.depth > 0:
@@ -98,7 +113,10 @@ class _TextCollector(HTMLParser):
 
     def handle_data(self, data):
         if self.depth == 0 and not self.in_head:
-            self.parts.append(data)
+            if self.ended:
+                self.nodes.append([])
+            self.nodes[-1].append(data)
+            self.ended = False
 
 
 def _page_text(doc: str | None, skip: frozenset[str], sep: str) -> str | None:
@@ -337,11 +355,11 @@ def chunk_documents(df: DataFrame, key: str, tok: str, mode: str = "train",
     """One row per chunk ``(key, chunk_no, start, n_body, body)``.
 
     Works on the whole token array of each document (no head cap)."""
-    n = F.size(tok)
-    starts = chunk_starts(n, mode, body_len, stride, min_tokens)
-    x = df.select(key, tok, F.posexplode(starts).alias("chunk_no", "start"))
-    body = F.slice(F.col(tok), F.col("start") + 1, body_len)
-    return x.select(key, "chunk_no", "start", body.alias("body")).withColumn("n_body", F.size("body"))
+    starts = chunk_starts(F.size(tok), mode, body_len, stride, min_tokens)
+    # cut before the rows multiply: a chunk row holds its own tokens only
+    cut = F.transform(starts, lambda s: F.struct(s.alias("start"), F.slice(F.col(tok), s + 1, body_len).alias("body")))
+    x = df.select(key, F.posexplode(cut).alias("chunk_no", "c"))
+    return x.select(key, "chunk_no", "c.start", "c.body").withColumn("n_body", F.size("body"))
 
 
 def tokenizer_udf(tokenize, dtype: str = "array<int>"):

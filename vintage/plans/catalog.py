@@ -11,7 +11,7 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vintage.functions import keys as K
@@ -24,6 +24,7 @@ from vintage.operators import metrics as M
 from vintage.operators import portfolio as P
 from vintage.operators import ranking as RK
 from vintage.operators import scoring as SC
+from vintage.operators import subwords as SW
 from vintage.operators import temporal as T
 from vintage.operators import text as TXT
 from vintage.operators import vectors as V
@@ -574,6 +575,31 @@ def q_clean_pages(spark, sf_dir):
     return c.select("page_id", "clean_text", "n_chars", (F.col("n_chars") >= TXT.MIN_OUTPUT_LENGTH).alias("kept"))
 
 
+@register("clean_envelopes", f"""
+WITH c AS (SELECT page_id, {_sql_strip_html("coalesce(html, '')")} AS t FROM pages)
+SELECT CAST(page_id AS INTEGER) AS page_id, CASE page_id % 3 WHEN 0 THEN '10-K' WHEN 1 THEN 'EX-99' ELSE NULL END AS type,
+       CASE WHEN page_id % 3 = 2 OR t = '' THEN t ELSE t || chr(10) || 'End of ' || page_id END AS clean_text FROM c
+""")
+def q_clean_envelopes(spark, sf_dir):
+    """The pages as documents of full-submission files, read back document by document and cleaned.
+
+    A third of the documents have no TEXT tags, the others two bodies (the second in small letters).
+    """
+    p = roles.table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    kind = F.element_at(F.create_map(F.lit(0), F.lit("<TYPE>10-K\n"), F.lit(1), F.lit("<TYPE>EX-99\n"), F.lit(2), F.lit("")), (F.col("page_id") % 3).cast("int"))
+    body = F.when(F.col("page_id") % 3 == 2, F.col("html")).otherwise(F.concat(
+        F.lit("<TEXT>\n"), "html", F.lit("\n</TEXT>\n<text>"), F.when(F.trim("html") != "", F.concat(F.lit("End of "), "page_id")).otherwise(F.lit("")), F.lit("</text>\n")))
+    doc = F.concat(F.lit("<DOCUMENT>\n"), kind, F.lit("<SEQUENCE>"), "page_id", F.lit("\n"), body, F.lit("</DOCUMENT>\n"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/envelopes-{uuid.uuid4().hex[:12]}"
+    p.select(doc).write.text(folder)
+    d = SF.read_envelopes(spark, folder)
+    # the header fields of a document without TEXT tags are no text
+    text = F.regexp_replace("document", r"(?im)^<(TYPE|SEQUENCE)>.*$", "")
+    d = d.select("sequence", "type", text.alias("document"))
+    c = TXT.clean_documents(d, "document", "clean_text", min_length=None, entities="basic")
+    return c.select(F.col("sequence").alias("page_id"), "type", "clean_text")
+
+
 def _sql_page_text_regex(x: str) -> str:
     for pat in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?is)<head\b.*?</head>",
                 r"(?s)<!--.*?-->", r"(?is)<meta\b[^>]*>", r"(?is)<!doctype[^>]*>"):
@@ -713,6 +739,54 @@ def _sql_md5_number(key: str, seed: int) -> str:
     return f"CAST('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8) AS BIGINT)"
 
 
+def _subword_vocabulary(spark, sf_dir):
+    """(token, id): the special tokens, then the benchmark's words and their parts in the order of their text."""
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    w = roles.table(spark, sf_dir, "benchmark").select(F.explode(words).alias("w")).distinct()
+    chars = w.select(F.explode(F.split("w", "")).alias("c")).filter("c <> ''")
+    pieces = w.select(F.col("w").alias("token")).union(chars.select("c")).union(chars.select(F.concat(F.lit("##"), "c")))
+    pieces = pieces.union(w.filter(F.length("w") <= 5).select(F.concat(F.lit("##"), "w"))).distinct()
+    special = [(t, i) for i, t in enumerate((SW.PAD, SW.UNKNOWN, SW.BEGIN, SW.END))]
+    ranked = pieces.select("token", (F.row_number().over(Window.orderBy("token")) + 3).cast("int").alias("id"))
+    return spark.createDataFrame(special, "token string, id int").unionByName(ranked)
+
+
+@register("subword_chunks", f"""
+WITH RECURSIVE w0 AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM benchmark),
+ch AS (SELECT DISTINCT unnest(string_split(w, '')) AS c FROM w0),
+pieces AS (SELECT w AS token, w AS piece, false AS later FROM w0 UNION SELECT c, c, false FROM ch UNION SELECT '##' || c, c, true FROM ch
+           UNION SELECT '##' || w, w, true FROM w0 WHERE length(w) <= 5),
+vocab AS (SELECT piece, later, CAST(row_number() OVER (ORDER BY token) + 3 AS INTEGER) AS id FROM pieces),
+top AS (SELECT max(length(piece)) AS m FROM vocab),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+|[^\\p{{Z}}\\s\\p{{L}}\\p{{N}}]') AS ws FROM documents),
+words AS (SELECT DISTINCT unnest(ws) AS w FROM d),
+g AS (SELECT w, CAST(1 AS BIGINT) AS pos, []::INTEGER[] AS ids FROM words
+      UNION ALL
+      SELECT w, max(pos + l), list_append(ids, max_by(id, l))
+      FROM (SELECT w, pos, ids, unnest(range(1, least((SELECT m FROM top), length(w) - pos + 1) + 1)) AS l FROM g
+            WHERE pos <= length(w) AND length(w) <= 100) x
+      JOIN vocab v ON v.piece = substr(w, pos, l) AND v.later = (pos > 1) GROUP BY w, pos, ids),
+cut AS (SELECT w, ids FROM g WHERE pos = length(w) + 1),
+tok AS (SELECT d.doc_id, i.i, coalesce(cut.ids, [1]) AS ids
+        FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d) i JOIN d USING (doc_id) LEFT JOIN cut ON cut.w = i.w),
+t AS (SELECT doc_id, flatten(list(ids ORDER BY i)) AS ids FROM tok GROUP BY doc_id),
+c AS (SELECT doc_id, k AS chunk_no, list_slice(ids, k * 446 + 1, k * 446 + 510) AS body
+      FROM (SELECT doc_id, ids, unnest(range(0, CAST(ceil(len(ids) / 446.0) AS BIGINT))) AS k FROM t) WHERE len(ids) - k * 446 >= 128)
+SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk_no, CAST(len(body) AS INTEGER) AS n_body,
+       '2 ' || array_to_string(body, ' ') || ' 3' || repeat(' 0', 510 - len(body)) AS input_ids,
+       trim(repeat('1 ', len(body) + 2) || repeat('0 ', 510 - len(body))) AS attention_mask
+FROM c
+""")
+def q_subword_chunks(spark, sf_dir):
+    """Subword ids of whole texts in windows of 510, with special tokens, padding and mask."""
+    vocabulary = SW.read_vocabulary(_subword_vocabulary(spark, sf_dir))
+    d = roles.table(spark, sf_dir, "documents")
+    d = d.select("doc_id", SW.subword_ids(F.col("text"), vocabulary).alias("ids"))
+    c = TXT.chunk_documents(d, "doc_id", "ids", "train")
+    ids, mask = TXT.model_inputs(F.col("body"), cls=vocabulary[SW.BEGIN], sep=vocabulary[SW.END], pad=vocabulary[SW.PAD])
+    return c.select("doc_id", "chunk_no", "n_body", F.array_join(ids, " ").alias("input_ids"), F.array_join(mask, " ").alias("attention_mask"))
+
+
 @register("doc_split", f"""
 SELECT CASE WHEN {_sql_md5_number("doc_id", 42)} % 10000 < 9500 THEN 'train' ELSE 'val' END AS split, count(*) AS n_docs
 FROM documents GROUP BY 1
@@ -932,6 +1006,23 @@ def q_url_keys(spark, sf_dir):
                     K.suffix(F.regexp_replace("url", "[?#].*$", "")).alias("suffix"))
 
 
+@register("path_keys", f"""
+WITH p AS (SELECT page_id, lpad(CAST(page_id * 7919 % 10000000000 AS VARCHAR), 10, '0') AS a, lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') AS b,
+                  lpad(CAST(page_id % 1000000 AS VARCHAR), 6, '0') AS c FROM pages)
+SELECT page_id, CASE WHEN page_id % 3 < 2 THEN a || '-' || b || '-' || c END AS accession,
+       CASE WHEN page_id % 3 < 2 THEN 'clean/' || {_sql_cik("page_id")} || '/' || a || '-' || b || '-' || c || '.txt' END AS path FROM p
+""")
+def q_path_keys(spark, sf_dir):
+    """Accession numbers of file paths (dashed, as a run of digits, absent), and the path of the cleaned text."""
+    digit = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    i = F.col("page_id")
+    a, b, c = digit(i * 7919 % 10000000000, 10), digit(i % 100, 2), digit(i % 1000000, 6)
+    name = F.when(i % 3 == 0, F.concat_ws("-", a, b, c)).when(i % 3 == 1, F.concat(a, b, c)).otherwise(F.lit("index"))
+    p = roles.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("edgar/data/"), i.cast("string"), F.lit("/"), name, F.lit(".txt")).alias("raw"))
+    p = p.withColumn("accession", K.accession_from_path("raw"))
+    return p.select("page_id", "accession", K.text_path("clean", K.normalize_cik(i), F.col("accession")).alias("path"))
+
+
 def _sql_spells(src: str, name: str, gap: int) -> str:
     return f"""
 {name}_g AS (SELECT entity_id, date, CASE WHEN date_diff('day', lag(date) OVER (PARTITION BY entity_id ORDER BY date),
@@ -1154,18 +1245,18 @@ RANK_SEARCH = (Dim("num_leaves", 3, 8, "int"), Dim("learning_rate", 0.05, 0.3, "
                Dim("feature_fraction", 0.6, 1.0), Dim("bagging_fraction", 0.6, 1.0), Dim("lambda_l2", 0.0, 5.0))
 
 
-def _rank_search(fr, feats):
+def _rank_search(fr, feats, n_trials):
     """The trials on walk 1."""
     path = f"{checkpoint_dir(fr.sparkSession).rstrip('/')}/trials-{uuid.uuid4().hex[:12]}"
-    return SC.search_rank_params(fr.filter(F.col("walk_id") == 1), feats, "entity_id", "date", "target", path, n_trials=5,
-                                 space=RANK_SEARCH, n_random=3, k=BT.TOP_K, **RANK_FIT)
+    return SC.search_rank_params(fr.filter(F.col("walk_id") == 1), feats, "entity_id", "date", "target", path, n_trials=n_trials,
+                                 space=RANK_SEARCH, n_random=2, k=BT.TOP_K, **RANK_FIT)
 
 
 @register("param_search")
 def q_param_search(spark, sf_dir):
     """The trial table of the search on walk 1."""
     fr = _walk_frame(spark, sf_dir)
-    trials = _rank_search(fr, SC.feature_columns(fr))
+    trials = _rank_search(fr, SC.feature_columns(fr), 5)
     won = json.dumps(best_params(trials), sort_keys=True)
     return trial_table(spark, trials).withColumn("winner", F.col("params") == won)
 
@@ -1175,7 +1266,7 @@ def q_rank_walk_summary(spark, sf_dir):
     """One search on walk 1, its winner frozen, and the listwise ranker on every walk."""
     fr = materialize(_walk_frame(spark, sf_dir), "walk_frame")
     feats = SC.feature_columns(fr)
-    params = {**RANK_FIT, **best_params(_rank_search(fr, feats))}
+    params = {**RANK_FIT, **best_params(_rank_search(fr, feats, 3))}
     store = f"{checkpoint_dir(spark).rstrip('/')}/walks-{uuid.uuid4().hex[:12]}"
     run = SC.rank_walks(fr, feats, "entity_id", "date", store, params, k=BT.TOP_K)
     return SC.numbers_as_columns(run.results, BT.TOP_K).withColumn("params", F.lit(json.dumps(params, sort_keys=True)))
@@ -1462,11 +1553,11 @@ def _stream_of(spark, sf_dir, name):
     return ST.file_stream(spark, sf_dir, schema, glob=f"{name}.parquet")
 
 
-def _split_stream(spark, df, name, files=4):
-    """The rows as a stream of several files, one file per batch."""
-    src = materialize(df.repartition(files), f"{name}_files")
-    path = src.inputFiles()[0].rsplit("/", 1)[0]
-    return ST.file_stream(spark, path, src.schema, max_files=1)
+def _split_stream(spark, df, name, batches=4):
+    """The rows as a stream of about ``batches`` batches; the files are as many as Spark writes, two at least."""
+    src = materialize(df.repartition(), f"{name}_files")
+    files = src.inputFiles()
+    return ST.file_stream(spark, files[0].rsplit("/", 1)[0], src.schema, max_files=max(1, len(files) // batches))
 
 
 @register("stream_clean_pages", f"""
@@ -1594,6 +1685,19 @@ def q_scoreboard_extension(spark, sf_dir):
     return new.select("entity_id", "date", "slot")
 
 
+@register("scoreboard_log", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_BOARD}
+SELECT entity_id, date, CAST(slot AS INTEGER) AS slot, CASE WHEN year(date) < 2000 THEN 'first' ELSE 'second' END AS run_id FROM board
+""")
+def q_scoreboard_log(spark, sf_dir):
+    """A stored scoreboard, extended by the dates it lacks; every run is sent twice and counts once."""
+    fri = materialize(BT.friday_panel(spark, sf_dir), "friday_panel")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/scoreboard-{uuid.uuid4().hex[:12]}"
+    for run_id, dates in (("first", F.year("date") < 2000), ("second", F.year("date") >= 1999)) * 2:
+        SK.extend_log(path, run_id, BT.scoreboard(fri.filter(dates)).select("entity_id", "date", "slot"), "date")
+    return SK.read_runs(spark, path)
+
+
 @register("strategy_menu")
 def q_strategy_menu(spark, sf_dir):
     """EW, SP, TILT, 60/40 and minimum-variance on one scoreboard (written

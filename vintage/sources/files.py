@@ -309,3 +309,22 @@ def membership_from_pages(pages: DataFrame, key: str, html_col: str = "html") ->
                        (-(F.col("row_no") * 2) + F.col("o.k")).cast("long").alias("seq"))
                .filter(F.col("ticker").isNotNull()))
     return current, changes
+
+
+# --------------------------------------------------------------------------- #
+# Filings of many documents
+# --------------------------------------------------------------------------- #
+def read_envelopes(spark: SparkSession, path: str, document: str = "<DOCUMENT>") -> DataFrame:
+    """One row per document of full-submission files: path, sequence, type, document.
+
+    The document tag is the record separator of Spark's text source, so a file
+    of any size is split at byte offsets into as many tasks as it needs, and a
+    document is one row; nothing holds a whole file. The part before a file's
+    first document is no row. ``sequence`` and ``type`` are the document's own
+    header fields, ``document`` is what stands between its tags (for the cleaner).
+    """
+    d = spark.read.option("lineSep", document).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("d"))
+    head = lambda tag: F.nullif(F.trim(F.regexp_extract("d", rf"(?i)<{tag}>([^\r\n<]*)", 1)), F.lit(""))
+    # its end tag tells a document from a file's preamble; what follows the end tag belongs to the file
+    d = d.withColumn("document", F.regexp_extract("d", r"(?is)^(.*)</DOCUMENT>", 1)).filter(F.col("d").rlike("(?i)</DOCUMENT>"))
+    return d.select("path", head("SEQUENCE").try_cast("int").alias("sequence"), head("TYPE").alias("type"), "document")

@@ -78,6 +78,28 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     getattr(w, fmt)(path)
 
 
+def append_run(df: DataFrame, path: str, run_id: str) -> bool:
+    """Append ``df`` to the log at ``path`` as the rows of ``run_id``; False (and nothing
+    written) where the log has that run. A run's rows are one partition and appear with its commit."""
+    present = read_if_there(df.sparkSession, path)
+    if present is not None and not present.filter(F.col("run_id") == run_id).isEmpty():
+        return False
+    write_partitioned(df.withColumns({"run_id": F.lit(run_id), "_run": F.lit(run_id)}), path, ("_run",))
+    return True
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an append log, with their ``run_id``."""
+    return spark.read.parquet(path).drop("_run")
+
+
+def extend_log(path: str, run_id: str, new: DataFrame, key: str) -> bool:
+    """F8: append the rows of ``new`` whose ``key`` the log doesn't hold; what it holds is read, not made again."""
+    present = read_if_there(new.sparkSession, path)
+    rows = new if present is None else todo(new, present, key)
+    return append_run(rows, path, run_id)
+
+
 def guard_clobber(spark: SparkSession, summary_path: str, flag_col: str = "synthetic",
                   writing_synthetic: bool = True) -> None:
     """Refuse to overwrite real artifacts with synthetic ones (reads the flag

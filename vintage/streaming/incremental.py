@@ -10,9 +10,8 @@ Sinks and checkpoints live under the session's shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-from functools import reduce
-from operator import and_
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +75,12 @@ def _write_batch(df: DataFrame, sink: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{sink.rstrip('/')}/_batch={batch_id}")
 
 
+def _begin_log(like: DataFrame, sink: str) -> None:
+    """A batch without rows, so that a log without input can be read."""
+    path = f"{sink.rstrip('/')}/_batch=-1"
+    like.sparkSession.createDataFrame([], like.schema).write.mode("ignore").parquet(path)
+
+
 def read_log(spark: SparkSession, sink: str) -> DataFrame:
     """All rows of a batch log, with their ``_batch``."""
     return spark.read.option("basePath", sink).parquet(sink)
@@ -84,25 +89,37 @@ def read_log(spark: SparkSession, sink: str) -> DataFrame:
 # --------------------------------------------------------------------------- #
 # L2 — duplicate-safe ingestion
 # --------------------------------------------------------------------------- #
+#: Settings of a query with much keyed state: on disk, and only changes are written per batch.
+_STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+@contextmanager
+def _keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The settings of :data:`_STATE` for queries that start inside."""
+    old = {k: spark.conf.get(k, None) for k in _STATE}
+    try:
+        for k, v in _STATE.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_dedupe(stream: DataFrame, keys, sink: str, checkpoint: str) -> StreamingQuery:
     """L2: append the rows whose key no earlier batch wrote, one row per key.
 
-    The written keys are the state, with no time limit, so the result has every
-    key once however many files a batch takes. NULL keys are equal. Of rows
-    with one key in a batch, any one stays.
+    The keys are the query's state, partitioned by their hash, with no time
+    limit; a batch looks up its own keys and writes its changes, so its cost does
+    not grow with what was written before. The result has every key once however
+    many files a batch takes. NULL keys are equal. Of rows with one key in a
+    batch, any one stays.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            seen = read_log(batch.sparkSession, sink).filter(F.col("_batch") < batch_id)
-            seen = seen.select(*[F.col(k).alias(f"_seen_{k}") for k in keys])
-            same = [F.col(k).eqNullSafe(F.col(f"_seen_{k}")) for k in keys]
-            new = new.join(seen, reduce(and_, same), "left_anti")
-        _write_batch(new, sink, batch_id)
-
-    return _run_batches(stream, checkpoint, write)
+    _begin_log(stream, sink)
+    with _keyed_state(stream.sparkSession):
+        return _run_batches(stream.dropDuplicates(keys), checkpoint, lambda batch, i: _write_batch(batch, sink, i))
 
 
 # --------------------------------------------------------------------------- #
@@ -115,10 +132,14 @@ def run_daily_counts(stream: DataFrame, key: str, event_time: str, sink: str, ch
     depend on how the files fall into batches. Days are calendar days of the
     timestamps as they read, whatever the session time zone is.
     """
-    def write(batch: DataFrame, batch_id: int) -> None:
+    def daily(events: DataFrame) -> DataFrame:
         day = F.to_date(F.col(event_time)).alias("_day")
-        _write_batch(batch.select(key, day).groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n")), sink, batch_id)
+        return events.select(key, day).groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(daily(batch), sink, batch_id)
 
+    _begin_log(daily(stream), sink)
     return _run_batches(stream, checkpoint, write)
 
 
