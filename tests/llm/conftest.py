@@ -50,7 +50,7 @@ def duck(sf: str = SF2):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations", "labels"):
+    for t in ("benchmark", "documents", "embeddings", "pages", "conversations", "labels"):
         assert os.path.exists(f"{sf}/{t}.parquet")
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con

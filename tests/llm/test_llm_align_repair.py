@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import types as T
 
-from tests.llm.conftest import SF, duck
+from llm.conftest import SF, duck
 from vintage.llm import align, decontaminate, queries, repair
 from vintage.llm.queries import ORACLE, tokenizer_path
 
@@ -84,7 +84,6 @@ def test_decontamination_edges(spark, bench, edge_docs, no_docs):
 
 def test_decontamination_query_equals_sql(spark):
     con = duck()
-    con.sql("CREATE VIEW benchmark AS SELECT * FROM '/root/testdata/sf0.01/benchmark.parquet'")
     sql = con.sql(ORACLE["op11_decontamination"])
     got = queries.op11_decontamination(spark, "/root/testdata/sf0.01").select(*sql.columns).collect()
     assert sorted(map(tuple, got)) == sorted(sql.fetchall())

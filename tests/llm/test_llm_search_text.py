@@ -185,16 +185,45 @@ def test_mix_repeats_rows(edge_docs, no_docs, documents):
 
 
 def brute_top(rows, k):
-    """(query, rank, id, score) from (id, scaled vector) rows."""
-    rows = sorted({(i, tuple(v)) for i, v in rows})
+    """(query, rank, id, score) from (id, scaled vector) rows; every row is a candidate and every row of a query id asks."""
+    rows = [(i, [int(a) for a in v]) for i, v in rows]
     out = []
-    for i, v in {r for r in rows if r[0] % 20 == 0}:
-        s = sorted(((-max(-2 ** 63, min(2 ** 63 - 1, sum(int(a) * int(b) for a, b in zip(v, w)))), j)
-                    for j, w in rows if j != i and len(w) == len(v)))
-        out += [(i, n + 1, j, -x) for n, (x, j) in enumerate(s[:k])]
+    for i in {r[0] for r in rows if r[0] % 20 == 0}:
+        s = sorted((-sum(a * b for a, b in zip(v, w)), j) for q, v in rows if q == i for j, w in rows if j != i and len(w) == len(v))
+        out += [(i, n + 1, j, max(-2 ** 63, min(2 ** 63 - 1, -x))) for n, (x, j) in enumerate(s[:k])]
     return sorted(out)
 
 
+def test_topk_repeated_rows_equal_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    x = [(int(i) % 70, [float(a) for a in rng.integers(-3, 4, size=4) / 8]) for i in range(90)]
+    x += x[:25] + [x[40]] * 30
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    sql = con.sql(ORACLE["op8_exact_topk"])
+    got = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, query_block=2, candidate_block=20).select(*sql.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(sql.fetchall())
+
+
+def test_topk_drops_pairs_of_cells_before_the_search(spark, monkeypatch):
+    """Clustered vectors: most pairs of cells never meet; a few huge rows change nothing for the others."""
+    rng = np.random.default_rng(9)
+    centres = 20 * rng.normal(size=(12, 8))
+    x = [(int(i), [float(a) for a in np.float32(centres[i % 12] + 0.05 * rng.normal(size=8))]) for i in range(1200)]
+    x += [(2001, [1e20] + [0.0] * 7), (2020, [3e25] * 8), (2041, [-1e30] * 8)]
+    df = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    asked, real = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda v, pairs, k: (asked.append(pairs.count()), real(v, pairs, k))[1])
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 20 == 0, k=5, candidate_block=100, query_block=30).collect()))
+    assert got == brute_top([(i, np.floor(64 * np.array(v))) for i, v in x], 5)
+    cells = df.count() // 100
+    assert sum(asked) < cells * cells * 0.7
+
+
 def test_topk_blocks_against_brute_force(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(6, 8))

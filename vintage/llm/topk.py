@@ -1,39 +1,46 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Queries and candidates are dealt into blocks; a task gets one query block and
-one candidate block, builds a cover tree over each and searches them together.
+Queries and candidates lie in cells of one coarse cover: a bounded number of
+seeded pivots, each vector with its nearest. Cells are dealt into blocks of
+bounded size; a task gets one query block and one candidate block, builds a
+cover tree over each and searches them together.
+
 A cover-tree node has a centre and a covering radius; its children are centres
 further apart than half that radius, so that every point lies within half of it
 from one of them. Where trials show that hardly any point has such a neighbour
 (as in random directions), the rest of the node stays one list. For a pair of
-nodes
+nodes, and likewise of cells,
 
     max q.c <= centre.centre + |centre_q| r_c + |centre_c| r_q + r_q r_c
 
 and when that is below the worst kth score of the query node's queries, the
 whole pair is pruned. Pairs are visited best bound first; leaves are compared
-with one matrix product. The best k of every block meet per query.
+with one matrix product.
 
-Blocks follow the number of rows, so tasks stay of one size while their number
-is (query blocks) x (candidate blocks): a stated query set against all rows.
-No vector is sent to the driver. With k rows per query and block, what meets
-per query is bounded by the number of candidate blocks.
+Two rounds: each query cell is searched against the candidate cells of the best
+bounds that hold k rows. That gives each query a kth score, and a pair of cells whose bound
+is below the worst of them is dropped before anything of it is shuffled. The
+other pairs follow, with these scores as first thresholds. The best k of every
+block meet per query. No vector but the pivots is sent to the driver.
 
-Scores are exact: products run in double precision while every partial sum
-stays below 2**53, otherwise in Python integers.
+Scores are exact: products run in double precision where every partial sum
+stays below 2**53; rows too large for that are compared in Python integers, and
+only they.
 
 Defined cases: vectors that are NULL, empty, or hold a NULL or non-finite
 component take no part. Vectors of different lengths are not compared. Equal
-scores go to the smaller id; a query doesn't meet rows with its own id. Rows
-that repeat an id and a vector are one candidate and one query. NULL ids take
-no part. Scores beyond 64 bits are cut to the 64-bit range. An empty table
-gives an empty result; extra columns are ignored.
+scores go to the smaller id; a query doesn't meet rows with its own id. A row
+that comes several times is as many candidates, and under one query id all rows
+with it ask. NULL ids take no part. Scores beyond 64 bits are ranked by their
+true value and shown as the end of the 64-bit range. An empty table gives an
+empty result; extra columns are ignored.
 """
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -92,45 +99,63 @@ def cover_tree(x: np.ndarray, rows: np.ndarray, centre: int | None = None) -> No
     return node
 
 
+#: Vectors shorter than this have products below 2**53 with one another.
+_SHORT = 2.0 ** 26
+
+
 class Search:
-    """Best k candidates of each query, from one pair of blocks."""
+    """Best k candidates of each query, from one pair of blocks; ``floor``: scores below it aren't needed."""
 
-    def __init__(self, q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int):
+    def __init__(self, q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.k, self.q_id, self.c_id = k, q_id, c_id
-        self.whole = (q, c)
         self.q, self.c = q.astype(np.float64), c.astype(np.float64)
-        bound = float(np.sqrt((self.q ** 2).sum(axis=1).max()) * np.sqrt((self.c ** 2).sum(axis=1).max()))
-        self.plain = bound < 2.0 ** 53
-        self.slack = bound * 1e-9 + 1e-6
-        self.score = np.full((len(q), k), -np.inf) if self.plain else None
-        self.found = np.full((len(q), k), -1, np.int64)
+        with np.errstate(over="ignore"):
+            self.short_q, self.short_c = ((x ** 2).sum(axis=1) < _SHORT ** 2 for x in (self.q, self.c))
+            top = [float(np.sqrt((x[s] ** 2).sum(axis=1).max(initial=0))) for x, s in ((self.q, self.short_q), (self.c, self.short_c))]
+        self.slack = top[0] * top[1] * 1e-9 + 1e-6
+        self.score = np.full((len(q), k), -np.inf)
+        self.found = np.full((len(q), k), -1, np.int64)  # rows of c
+        self.floor = np.full(len(q), -np.inf) if floor is None else floor
         self.pruned = 0
 
     def _bound(self, a: Node, b: Node) -> float:
         return float(a.centre @ b.centre) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius + self.slack
 
     def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        worst = self.score[a, -1]
+        worst = np.maximum(self.score[a, -1], self.floor[a])
         s = self.q[a] @ self.c[b].T
         hit = s >= worst[:, None]
         hit &= self.q_id[a][:, None] != self.c_id[b][None, :]
         for i in np.flatnonzero(hit.any(axis=1)):
             r, on = a[i], hit[i]
             sc = np.concatenate([self.score[r], s[i, on]])
-            ids = np.concatenate([self.found[r], self.c_id[b[on]]])
-            by = np.lexsort((ids, -sc))[:self.k]
-            self.score[r], self.found[r] = sc[by], ids[by]
+            at = np.concatenate([self.found[r], b[on]])
+            by = np.lexsort((self.c_id[at], -sc))[:self.k]
+            self.score[r], self.found[r] = sc[by], at[by]
 
     def run(self) -> Iterator[tuple[int, int, int]]:
-        """(query row, candidate id, score)."""
-        if not self.plain:
-            yield from self._big()
-            return
-        tq, tc = cover_tree(self.q, np.arange(len(self.q))), cover_tree(self.c, np.arange(len(self.c)))
+        """(row of q, row of c, score), k or fewer for each query; short rows by the trees, the others exactly."""
+        qs, cs = np.flatnonzero(self.short_q), np.flatnonzero(self.short_c)
+        if len(qs) and len(cs):
+            self._trees(qs, cs)
+        long_c = np.flatnonzero(~self.short_c)
+        whole_c = {j: [int(v) for v in self.c[j]] for j in (range(len(self.c)) if not self.short_q.all() else long_c)}
+        for i in range(len(self.q)):
+            best = [(int(s), int(f)) for s, f in zip(self.score[i], self.found[i]) if f >= 0]
+            others = long_c if self.short_q[i] else range(len(self.c))
+            if len(others):
+                row = [int(v) for v in self.q[i]]
+                best += [(sum(map(mul, row, whole_c[j])), int(j)) for j in others if self.c_id[j] != self.q_id[i]]
+                best = heapq.nsmallest(self.k, best, key=lambda x: (-x[0], self.c_id[x[1]]))
+            for s, j in best:
+                yield i, j, s
+
+    def _trees(self, qs: np.ndarray, cs: np.ndarray) -> None:
+        tq, tc = cover_tree(self.q, qs), cover_tree(self.c, cs)
         queue, n = [(-self._bound(tq, tc), 0, tq, tc)], 0
         while queue:
             bound, _, a, b = heapq.heappop(queue)
-            if -bound < self.score[a.points, -1].min():
+            if -bound < np.maximum(self.score[a.points, -1], self.floor[a.points]).min():
                 self.pruned += len(a.points) * len(b.points)
                 continue
             if not a.children and not b.children:
@@ -142,38 +167,35 @@ class Search:
             for x, y in ([(s, b) for s in a.children] if split_a else [(a, s) for s in b.children]):
                 n += 1
                 heapq.heappush(queue, (-self._bound(x, y), n, x, y))
-        for i in range(len(self.q)):
-            for s, f in zip(self.score[i], self.found[i]):
-                if f >= 0 or s > -np.inf:
-                    yield i, int(f), int(s)
 
-    def _big(self) -> Iterator[tuple[int, int, int]]:
-        """Components too large for exact doubles: Python integers."""
-        q, c = ([[int(v) for v in row] for row in m] for m in self.whole)
-        for i, row in enumerate(q):
-            s = [(-max(-2 ** 63, min(2 ** 63 - 1, sum(a * b for a, b in zip(row, other)))), int(j))
-                 for other, j in zip(c, self.c_id) if j != self.q_id[i]]
-            for neg, j in heapq.nsmallest(self.k, s):
-                yield i, j, -neg
+
+_LOW, _HIGH = -2 ** 63, 2 ** 63 - 1
+
+
+def _beyond(score: int) -> bytes | None:
+    """A key that sorts scores beyond 64 bits; None for others."""
+    return None if _LOW <= score <= _HIGH else (score + (1 << 2200)).to_bytes(276, "big")
+
+
+FOUND = "dim int, cell int, query_id long, vec_id long, score long, beyond binary, copies long"
 
 
 def _search_task(k: int):
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vecs, asks = [], [], []
-        for b in batches:
-            ids.append(b.column("id").to_numpy(zero_copy_only=False))
-            asks.append(b.column("is_query").to_numpy(zero_copy_only=False))
-            vecs.append(b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-        ids, asks, vecs = np.concatenate(ids), np.concatenate(asks), np.concatenate(vecs)
-        by = np.lexsort((ids, asks))
-        ids, asks, vecs = ids[by], asks[by], vecs[by]
+        t = pa.Table.from_batches(list(batches))
+        ids, asks, copies = (t[c].to_numpy() for c in ("id", "is_query", "m"))
+        floor = t["floor"].to_numpy()
+        vecs = t["v"].combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
         qs, cs = np.flatnonzero(asks), np.flatnonzero(~asks)
-        out: list[tuple[int, int, int]] = []
+        qs, cs = qs[np.argsort(ids[qs], kind="stable")], cs[np.argsort(ids[cs], kind="stable")]
+        out: list[tuple] = []
         if len(qs) and len(cs):
-            s = Search(vecs[qs], ids[qs], vecs[cs], ids[cs], k)
-            out = [(int(ids[qs[i]]), j, v) for i, j, v in s.run()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)],
-                                         names=["query_id", "vec_id", "score"])
+            s = Search(vecs[qs], ids[qs], vecs[cs], ids[cs], k, floor[qs])
+            out = [(key[0].as_py(), key[1].as_py(), int(ids[qs[i]]), int(ids[cs[j]]), min(max(v, _LOW), _HIGH), _beyond(v),
+                    int(copies[qs[i]]) * int(copies[cs[j]])) for i, j, v in s.run()]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)],
+                                         names=[f.split()[0] for f in FOUND.split(", ")])
     return run
 
 
@@ -190,23 +212,102 @@ def _floor(x: Column) -> Column:
     return F.when(small, F.floor(F.when(small, x)).cast("double")).otherwise(x)
 
 
+def in_cells(v: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``v`` with cell (the nearest pivot of its dimension; -1, the origin, where there is none) and d, the distance to it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dim, cell, dist = b["dim"].to_numpy(), np.full(b.num_rows, -1, np.int32), np.zeros(b.num_rows)
+            for d in np.unique(dim):
+                at = np.flatnonzero(dim == d)
+                x = b["v"].take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    p = pivots.get(int(d))
+                    if p is not None:
+                        near = np.nan_to_num((p ** 2).sum(axis=1)[None, :] - 2 * x @ p.T, nan=np.inf, posinf=np.inf, neginf=-np.inf).argmin(axis=1)
+                        cell[at], x = near, x - p[near]
+                    dist[at] = np.nan_to_num(np.sqrt((x ** 2).sum(axis=1)), nan=np.inf)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=[*b.schema.names, "cell", "d"])
+    fields = "id long, is_query boolean, v array<double>, dim int, m long"
+    return v.select("id", "is_query", "v", "dim", "m").mapInArrow(run, f"{fields}, cell int, d double")
+
+
+def cell_bounds(cells: list, pivots: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
+    """(dim, query cell, candidate cell, bound of their scores) of cells given as rows dim, cell, nq, r, rq."""
+    out = []
+    for q in cells:
+        for c in cells if q.nq else ():
+            if c.dim == q.dim:
+                p = pivots.get(q.dim)
+                a, b = (p[x.cell] if x.cell >= 0 else np.zeros(q.dim) for x in (q, c))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    size = np.sqrt((a ** 2).sum()), np.sqrt((b ** 2).sum())
+                    bound = float(a @ b + size[0] * c.r + size[1] * q.rq + q.rq * c.r)
+                    bound += 1e-9 * float((size[0] + q.rq) * (size[1] + c.r)) + 1e-6
+                out.append((q.dim, q.cell, c.cell, float("inf") if np.isnan(bound) else bound))
+    return out
+
+
+def _searched(v: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """:data:`FOUND` rows of the given pairs of cells (dim, cell, other, q_parts, c_parts), block by block."""
+    h = F.xxhash64("id")
+    p = F.broadcast(pairs)  # at most max_pivots squared rows a dimension
+    ask = v.filter("is_query").join(p, ["dim", "cell"]).select(
+        "dim", "cell", "other", F.pmod(h, F.col("q_parts")).alias("qp"), F.explode(F.sequence(F.lit(0), F.col("c_parts") - 1)).alias("cp"),
+        "id", F.lit(True).alias("is_query"), "v", "m", "floor")
+    cand = v.withColumnRenamed("cell", "other").join(p, ["dim", "other"]).select(
+        "dim", "cell", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)).alias("qp"),
+        F.pmod(h, F.col("c_parts")).cast("int").alias("cp"), "id", F.lit(False).alias("is_query"), "v", "m", F.lit(0.0).alias("floor"))
+    return ask.unionByName(cand).groupBy("dim", "cell", "other", "qp", "cp").applyInArrow(_search_task(k), FOUND)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-          factor: float = 64.0, query_block: int = 4096, candidate_block: int = 16384) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k best rows of each query."""
+          factor: float = 64.0, query_block: int = 4096, candidate_block: int = 16384, max_pivots: int = 512) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k best rows of each query.
+
+    ``max_pivots``: cells of the coarse cover at most; a larger cell is dealt into more blocks.
+    """
+    spark = vectors.sparkSession
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e"),
                        is_query.alias("is_query")).filter("id is not null")
     v = v.withColumn("is_query", F.coalesce("is_query", F.lit(False)))
     v = v.withColumn("v", scaled_floor(F.col("e"), factor)).filter(F.col("v").isNotNull())
-    v = v.select("id", "is_query", "v", F.size("v").alias("dim"))
-    v = written(v.dropDuplicates(["id", "v"]), "vectors")
-    n, n_query = v.agg(F.count(F.lit(1)), F.coalesce(F.count_if("is_query"), F.lit(0))).first()
-    cb, qb = -(-n // candidate_block) or 1, -(-n_query // query_block) or 1
-    blocks = F.sequence(F.lit(0), F.lit(qb - 1)), F.sequence(F.lit(0), F.lit(cb - 1))
-    cand = v.select("id", F.lit(False).alias("is_query"), "v", "dim", F.pmod(F.xxhash64("id"), F.lit(cb)).cast("int").alias("c"),
-                    F.explode(blocks[0]).alias("q"))
-    ask = v.filter("is_query").select("id", "is_query", "v", "dim", F.explode(blocks[1]).alias("c"),
-                                      F.pmod(F.xxhash64("id"), F.lit(qb)).cast("int").alias("q"))
-    got = cand.unionByName(ask).groupBy("dim", "c", "q").applyInArrow(_search_task(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return (got.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    v = v.groupBy("id", "v").agg(F.max("is_query").alias("is_query"), F.count(F.lit(1)).alias("m"))
+    v = written(v.select("id", "is_query", "v", F.size("v").alias("dim"), "m"), "vectors")
+    cells_wanted = min(max_pivots, max(1, v.count() // candidate_block))
+    pivots: dict[int, list] = {}
+    for r in v.orderBy(F.xxhash64("id"), "id").select("dim", "v").limit(cells_wanted).collect():
+        pivots.setdefault(r.dim, []).append(r.v)
+    centres = {d: np.array(p, np.float64) for d, p in pivots.items()}
+    v = written(in_cells(v, centres), "vectors-in-cells")
+    # one row per cell
+    cells = v.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_query").alias("nq"), F.max("d").alias("r"),
+                                         F.coalesce(F.max(F.when(F.col("is_query"), F.col("d"))), F.lit(0.0)).alias("rq")).collect()
+    size = {(c.dim, c.cell): c for c in cells}
+    bounds = sorted(cell_bounds(cells, centres), key=lambda b: (b[0], b[1], -b[3], b[2]))
+    held: dict[tuple[int, int], int] = {}
+    first, later = [], []
+    for dim, q, c, bound in bounds:
+        enough = held.get((dim, q), 0) > k  # more than k rows: one may be the query's own
+        held[dim, q] = held.get((dim, q), 0) + (0 if enough else size[dim, c].n)
+        (later if enough else first).append((dim, q, c, bound))
+
+    def pairs(some: list) -> DataFrame:
+        rows = [(d, q, c, -(-size[d, q].nq // query_block), -(-size[d, c].n // candidate_block)) for d, q, c, _ in some]
+        return spark.createDataFrame(rows, "dim int, cell int, other int, q_parts int, c_parts int")
+    got = written(_searched(v.withColumn("floor", F.lit(float("-inf"))), pairs(first), k), "search-first")
+    if later:
+        nth = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), "vec_id")
+        kth = got.withColumn("r", F.row_number().over(nth)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+        # a whole score as a double may be rounded up: one step below it is safe
+        least = F.coalesce(F.col("kth") - F.abs("kth") * 1e-15 - 1, F.lit(float("-inf")))
+        v = written(v.join(kth, "id", "left").withColumn("floor", F.when(F.col("is_query"), least).otherwise(F.lit(0.0))).drop("kth"), "vectors-asked")
+        worst = {(r.dim, r.cell): r.w for r in v.filter("is_query").groupBy("dim", "cell").agg(F.min("floor").alias("w")).collect()}
+        left = [b for b in later if b[3] >= worst.get((b[0], b[1]), -np.inf)]
+        if left:
+            got = got.unionByName(_searched(v, pairs(left), k))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc_nulls_last(), "vec_id")
+    top = got.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k)
+    # rows that come several times are several candidates
+    top = top.withColumn("again", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    return (top.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
