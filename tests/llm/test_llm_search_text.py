@@ -337,6 +337,45 @@ def test_bpe_stream_equals_whole(codec):
             assert list(m.stream(ids, step=rng.randint(1, 40))) == m.merge(list(ids)) == naive_merge(m, ids)
 
 
+def test_natural_pieces_leave_the_window_before_their_end(codec):
+    """A run of text without spaces goes through the window: its first tokens come long before its last symbol is read."""
+    m = codec.merger
+    piece = "统计数据显示经济增长速度放缓" * 30
+    raw = piece.encode()
+    symbols = [codec.byte_id[b] for b in raw[:-1]] + [codec.last_id[raw[-1]]]
+    read = []
+
+    def fed():
+        for x in symbols:
+            read.append(x)
+            yield x
+    stream = m.stream(fed())
+    first = next(stream)
+    assert len(read) < 2 * m.lookahead + 100 < len(symbols) / 2
+    assert [first, *stream] == m.merge(list(symbols))
+
+
+def test_bpe_memory_does_not_grow_with_the_text(library):
+    import tracemalloc
+
+    want = {"n_tokens", "ids_sha256", "decoded_sha256"}
+    line = "the quick brown fox <|endoftext|> jumps, over 13 lazy dogs! 统计数据 "
+    c = bpe.Codec(tokenizer_path())
+    c.run(line * 10, want)
+    peaks = []
+    for n in (20_000, 80_000):
+        text = line * n
+        tracemalloc.start()
+        got = c.run(text, want)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if n == 20_000:
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert got["n_tokens"] == len(ids) and got["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+            assert got["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert max(peaks) < 8 << 20 and peaks[1] < 1.5 * peaks[0]
+
+
 def test_lookahead_settles_tokens(codec):
     """Tokens further than the lookahead before the end stay, whatever follows."""
     rng = random.Random(9)

@@ -17,9 +17,12 @@ than that before the end of what was read never changes. The pass needs a merge
 list where a token is used only after every merge that makes it; for a list
 that isn't, pieces are read whole.
 
-A piece is fed symbol by symbol; once the window is full, stable tokens are
-emitted and their symbols forgotten, so memory doesn't grow with the piece. The
-last symbol of a piece is held back, since it carries the end-of-word mark.
+Every piece is fed to the window symbol by symbol; once the window is full, stable
+tokens are emitted and their symbols forgotten, so memory doesn't grow with the
+piece (a piece no longer than the lookahead is settled by its end). The last
+symbol is held back, since it carries the end-of-word mark. Texts are read in
+blocks between white space, and ids, digests and decoded text leave block by
+block, so besides the text itself only a block is held.
 
 Decoding is a state machine over ids. Where the tokenizer file names no decoder,
 tokens are joined by a space (the state is whether one was emitted); a
@@ -41,7 +44,7 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -76,6 +79,7 @@ def lookahead(merges: list[tuple[str, str]], length: dict[str, int]) -> int | No
 
 
 _CONTROLS = regex.compile(r"[\x1c-\x1f]")
+_BREAK = regex.compile(r"[ \n]")
 
 
 _NONE = 1 << 62
@@ -142,24 +146,30 @@ class Merger:
                 heapq.heappush(heap, (m >> 20, h, live[h], live[i], m))
         return [t for t in live if t >= 0]
 
-    def stream(self, symbols: list[int], step: int | None = None) -> Iterator[int]:
-        """The tokens of one piece, each as soon as it is stable; the last symbol carries the end mark."""
-        if self.lookahead is None or (step is None and len(symbols) <= 2 * self.lookahead + self.short):
+    def stream(self, symbols: Iterable[int], step: int = 48) -> Iterator[int]:
+        """The tokens of one piece, each as soon as it is stable; the last symbol carries the end mark.
+
+        The window takes ``step`` symbols at a time; it never holds more than
+        these, the lookahead and one unfinished token.
+        """
+        if self.lookahead is None:
             yield from self.merge(list(symbols))
             return
-        step = step or 2 * self.lookahead + self.short
         window: list[int] = []
-        for at in range(0, len(symbols) - 1, step):
-            window.extend(symbols[at:min(at + step, len(symbols) - 1)])
-            settled = len(window) - self.lookahead
-            done = 0
-            for t in self.merge(list(window)) if settled > 0 else ():
-                if done + self.length[t] > settled:
-                    break
-                done += self.length[t]
-                yield t
-            del window[:done]
-        yield from self.merge([*window, *symbols[-1:]])
+        due = self.lookahead + step
+        for s in symbols:
+            if len(window) > due:  # the newest symbol is held back, since it may be the last
+                settled = len(window) - 1 - self.lookahead
+                done = 0
+                for t in self.merge(window[:-1]):
+                    if done + self.length[t] > settled:
+                        break
+                    done += self.length[t]
+                    yield t
+                del window[:done]
+                due = max(self.lookahead, len(window)) + step
+            window.append(s)
+        yield from self.merge(window)
 
 
 class Decoder:
@@ -226,6 +236,8 @@ class Codec:
         # Unicode data of the installed tokenizers library, for characters that Python's tables don't know yet
         self.library = Tokenizer.from_file(path)
         self.pattern = regex.compile(split[0]["pattern"]["Regex"])
+        if any(_BREAK.search(t) for t in self.special):
+            raise ValueError("special tokens with white space are not covered")
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         letters = byte_alphabet()
         self.byte_id = [self.vocab[letters[b]] for b in range(256)]
@@ -268,7 +280,7 @@ class Codec:
         table = self.byte_id
         ids = [table[b] for b in piece]
         ids[-1] = self.last_id[piece[-1]]
-        ids = self.merger.merge(ids) if len(ids) <= self.merger.short else list(self.merger.stream(ids))
+        ids = list(self.merger.stream(ids))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _assigned(self, text: str) -> bool:
@@ -305,22 +317,62 @@ class Codec:
             out.append(ids)
         return out
 
+    def blocks(self, text: str, size: int = 1 << 16) -> Iterator[str]:
+        """A text in blocks that end at a space or line feed, which end every piece and special token."""
+        at = 0
+        while len(text) - at > size and (m := _BREAK.search(text, at + size)):
+            yield text[at:m.end()]
+            at = m.end()
+        yield text[at:] if at else text
+
+    def encode_blocks(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of one text, block by block."""
+        for block in self.blocks(text):
+            out, at = [], 0
+            for m in self.cut.finditer(block) if self.cut else ():
+                out += self._plain(block[at:m.start()])
+                out.append(struct.pack("<I", self.special[m.group()]))
+                at = m.end()
+            out += self._plain(block[at:] if at else block)
+            yield np.frombuffer(b"".join(out), "<u4")
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text."""
-        out, at = [], 0
-        for m in self.cut.finditer(text) if self.cut and "<" in text else ():
-            out += self._plain(text[at:m.start()])
-            out.append(struct.pack("<I", self.special[m.group()]))
-            at = m.end()
-        out += self._plain(text[at:] if at else text)
-        return np.frombuffer(b"".join(out), "<u4")
+        parts = list(self.encode_blocks(text))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def decode_blocks(self, blocks: Iterable[np.ndarray]) -> Iterator[str]:
+        """The text of some ids, by the state machine, as far as each block settles it."""
+        self.decoder.reset()
+        for ids in blocks:
+            yield self.decoder.feed(ids.tolist())
+        yield self.decoder.finish()
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids, by the state machine."""
-        d = self.decoder
-        d.reset()
-        parts = [d.feed(ids[at:at + 65_536].tolist()) for at in range(0, len(ids), 65_536)]
-        return "".join([*parts, d.finish()])
+        """The text of some ids."""
+        return "".join(self.decode_blocks(ids[at:at + 65_536] for at in range(0, len(ids), 65_536)))
+
+    def run(self, text: str, want: set[str]) -> dict:
+        """The ``want``-ed fields of :data:`RESULT`; without ids and decoded no more than a block is held."""
+        out: dict = {"n_tokens": 0}
+        ids_sha, text_sha, ids, texts = hashlib.sha256(), hashlib.sha256(), [], []
+
+        def counted() -> Iterator[np.ndarray]:
+            for block in self.encode_blocks(text):
+                out["n_tokens"] += len(block)
+                ids_sha.update(block.tobytes())
+                if "ids" in want:
+                    ids.append(block)
+                yield block
+        if {"decoded", "decoded_sha256"} & want:
+            for part in self.decode_blocks(counted()):
+                text_sha.update(part.encode())
+                if "decoded" in want:
+                    texts.append(part)
+        else:
+            for _ in counted():
+                pass
+        return out | {"ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest(), "ids": ids, "decoded": "".join(texts)}
 
 
 @lru_cache(maxsize=4)
@@ -350,19 +402,15 @@ def encode_column(text: Column, path: str, fields: tuple[str, ...] = ("n_tokens"
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
         for t in texts:
-            got = [c.encode(x or "") for x in _texts(t)]
-            cols = {}
-            if "n_tokens" in fields:
-                cols["n_tokens"] = pa.array([len(g) for g in got], pa.int64())
-            if "ids_sha256" in fields:
-                cols["ids_sha256"] = pa.array([hashlib.sha256(g.tobytes()).hexdigest() for g in got], pa.string())
+            got = [c.run(x or "", set(fields)) for x in _texts(t)]
+            cols = {n: pa.array([g[n] for g in got], pa.int64() if n == "n_tokens" else pa.string())
+                    for n in ("n_tokens", "ids_sha256", "decoded_sha256") if n in fields}
             if "ids" in fields:
-                ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*got, ends[:0]]).astype(np.int32)))
-            if {"decoded", "decoded_sha256"} & set(fields):
-                back = [c.decode(g) for g in got]
-                cols["decoded_sha256"] = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string())
-                cols["decoded"] = pa.array(back, pa.large_string()).cast(pa.string()) if "decoded" in fields else None
+                blocks = [b for g in got for b in g["ids"]]
+                ends = np.cumsum([0, *(sum(map(len, g["ids"])) for g in got)]).astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*blocks, ends[:0]]).astype(np.int32)))
+            if "decoded" in fields:
+                cols["decoded"] = pa.array([g["decoded"] for g in got], pa.large_string()).cast(pa.string())
             yield pa.StructArray.from_arrays([cols[f.name] for f in want.fields], names=want.names)
     return run(text)
 
