@@ -9,7 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vintage.operators import gates as G
 from vintage.operators import limits as LI
+from vintage.operators import portfolio as P
 from vintage.operators import rolling as R
 from vintage.operators import selection as SEL
 from vintage.operators import stability as STB
@@ -256,3 +258,34 @@ def test_concentration(spark):
     df = spark.createDataFrame([("a", 0.5), ("a", 0.5), ("a", 0.0), ("a", None), ("b", 1.0)], "g string, w double")
     got = {r.g: (r.n_holdings, r.max_weight, r.herfindahl) for r in STB.concentration(df, "g", "w").collect()}
     assert got == {"a": (2, 0.5, 0.5), "b": (1, 1.0, 1.0)}
+
+
+def test_match_rate_report_is_written_before_the_error(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x"), ("b", None, "y"), ("c", None, "z"), ("d", 4, "w")], "t string, id int, more string")
+    assert G.require_match_rate(df, "id", ["t"], str(tmp_path / "none"), 0.5) is df
+    assert not (tmp_path / "none").exists()
+    for frame, want in ((df, ["b", "c"]), (df.filter("t = 'q'"), [])):
+        path = str(tmp_path / f"unresolved-{len(want)}")
+        with pytest.raises(G.GateError, match="unresolved"):
+            G.require_match_rate(frame, "id", ["t"], path, 0.95)
+        assert sorted(r.t for r in spark.read.option("header", "true").schema("t string").csv(path).collect()) == want
+
+
+def test_sixty_forty_takes_the_yield_of_the_day(spark):
+    df = spark.createDataFrame([(1, 0.01, 0.5, 2.6), (2, 0.01, 0.5, None), (3, 0.01, 0.5, float("nan"))],
+                               "d int, return_gross double, turnover double, macro_dgs10 double")
+    got = {r.d: (r.return_gross, r.turnover) for r in P.sixty_forty(df).collect()}
+    held = 0.006 + 0.4 * 4.0 / 5200
+    assert got == {1: (pytest.approx(0.006 + 0.4 * 2.6 / 5200), 0.3), 2: (pytest.approx(held), 0.3), 3: (pytest.approx(held), 0.3)}
+
+
+def test_walk_menu_agrees_with_its_parts(spark):
+    from conftest import SF_SMALL
+
+    from vintage.plans import signals as S
+    got = {r.strategy: r for r in S.q_walk_menu(spark, SF_SMALL).collect()}
+    assert {"EW", "SP", "TILT", "SIXTY_FORTY"} <= set(got)
+    from vintage.operators import metrics as M
+    parts = S._walk_returns(spark, SF_SMALL)
+    for r in M.strategy_metrics(parts, "strategy", "date").collect():
+        assert got[r.strategy].total_return_net == pytest.approx(r.total_return_net, abs=1e-6)

@@ -45,6 +45,16 @@ def match_rate_table(df: DataFrame, resolved_col: str, min_rate: float = 0.95) -
         (F.coalesce("value", F.lit(0.0)) >= min_rate).alias("ok"))
 
 
+def require_match_rate(df: DataFrame, resolved_col: str, report: list[str], path: str, min_rate: float = 0.95) -> DataFrame:
+    """``df`` itself where enough rows are resolved; else the ``report`` columns of every unresolved row
+    are written to ``path`` (CSV with a header) before the error is raised. An empty table is not resolved."""
+    rate = match_rate_table(df, resolved_col, min_rate).first()
+    if not rate.ok:
+        df.filter(F.col(resolved_col).isNull()).select(*report).write.mode("overwrite").option("header", "true").csv(path)
+        raise GateError(f"{rate.value:.1%} of the rows have {resolved_col}, {min_rate:.0%} are needed; unresolved rows: {path}")
+    return df
+
+
 def null_rate_table(df: DataFrame, limits: dict[str, float], by: str | None = None) -> DataFrame:
     """Per ``by`` group (or overall) the null rate of each column vs its limit."""
     aggs = [F.avg(F.col(c).isNull().cast("double")).alias(c) for c in limits]

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vintage.functions.core import as_list
+from vintage.functions.core import as_list, nan_to_null
 
 
 # --------------------------------------------------------------------------- #
@@ -171,8 +171,10 @@ def net_returns(df: DataFrame, cost_bps: float, gross: str = "return_gross", tur
 def sixty_forty(ew_returns: DataFrame, ew_turnover_col: str = "turnover", gross: str = "return_gross",
                 yield_col: str | None = "macro_dgs10", default_yield: float = 4.0) -> DataFrame:
     """K5: ``0.6 * equity + 0.4 * yield / 5200``; turnover scaled by 0.6; the yield
-    defaults to 4.0 when the column is absent."""
-    y = F.col(yield_col) if yield_col and yield_col in ew_returns.columns else F.lit(default_yield)
+    defaults to 4.0 when the column is absent or holds no value that day."""
+    y = F.lit(default_yield)
+    if yield_col and yield_col in ew_returns.columns:
+        y = F.coalesce(nan_to_null(yield_col), y)
     return (ew_returns.withColumn(gross, F.lit(0.6) * F.col(gross) + F.lit(0.4) * y / 5200.0)
             .withColumn(ew_turnover_col, F.lit(0.6) * F.col(ew_turnover_col)))
 

@@ -1,4 +1,4 @@
-"""Registered queries of the price signals, limits and stability checks.
+"""Registered queries of the price signals, limits and stability checks (N1-N8) and the walks with every arm.
 
 Same conventions as ``catalog``; the tables play the roles of ``roles``: a supplier's
 ship day is a bar, ``prc`` its traded dollars, ``prc / vol`` its price, the supplier's
@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from vintage.functions.core import round_doubles
 from vintage.operators import limits as LI
+from vintage.operators import metrics as M
+from vintage.operators import portfolio as P
 from vintage.operators import rolling as R
 from vintage.operators import selection as SEL
 from vintage.operators import stability as STB
 from vintage.operators import vectors as V
+from vintage.operators.asof import asof_join
 from vintage.plans import backtest as BT
 from vintage.plans import roles
-from vintage.plans.catalog import SQL_DAILY, SQL_FRI, SQL_WEIGHTS, _pca_walk_grams, register
+from vintage.plans.catalog import (FIRST_TRAIN_END, SQL_DAILY, SQL_FRI, SQL_WALK_RETURNS, SQL_WEIGHTS, TRAIN_START,
+                                   _pca_walk_grams, _walk_returns, register)
 from vintage.session import materialize
 
 # Rows of a year, a quarter and a month, and the eligibility limits on the roles above.
@@ -206,3 +210,54 @@ def q_subspace_drift(spark, sf_dir):
     loadings = spark.createDataFrame(rows, "walk_id int, component int, feature int, loading double")
     first = min((r[0] for r in rows), default=1)
     return STB.subspace_cosines(loadings, "walk_id", "component", "feature", "loading", first)
+
+
+# The stitched walks with every arm
+SQL_YIELD = """
+yld AS (SELECT CAST(o_orderdate AS DATE) AS print_date, avg(o_totalprice) / 50000 AS macro_yield FROM orders
+        WHERE o_orderpriority = '2-HIGH' GROUP BY CAST(o_orderdate AS DATE))"""
+
+
+def _macro_yield(spark, sf_dir):
+    """(print_date, macro_yield): the mean value of high-priority orders per order day plays a bond yield in per cent."""
+    od = roles.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    return od.groupBy(F.to_date("o_orderdate").alias("print_date")).agg((F.avg("o_totalprice") / 50000).alias("macro_yield"))
+
+
+def _sixty_forty(spark, sf_dir, returns):
+    """60/40 rows from the equal-weight rows, with the last yield printed by the date."""
+    ew = returns.filter(F.col("strategy") == "EW").drop("return_net").withColumn("__one", F.lit(1))
+    prints = _macro_yield(spark, sf_dir).withColumn("__one", F.lit(1))
+    held = asof_join(ew, prints, "__one", "date", "print_date").drop("__one", "print_date")
+    out = P.sixty_forty(held, yield_col="macro_yield").withColumn("strategy", F.lit("SIXTY_FORTY"))
+    return P.net_returns(out, BT.COST_BPS)
+
+
+@register("walk_sixty_forty", f"""
+WITH {SQL_DAILY}, {SQL_FRI}, {SQL_WALK_RETURNS}, {SQL_YIELD},
+x AS (SELECT w.walk_id, w.date, y.macro_yield, 0.6 * w.return_gross + 0.4 * coalesce(y.macro_yield, 4.0) / 5200.0 AS return_gross,
+             0.6 * w.turnover AS turnover FROM wret w ASOF LEFT JOIN yld y ON w.date >= y.print_date WHERE w.strategy = 'EW')
+SELECT walk_id, date, round(macro_yield, 6) + 0.0 AS macro_yield, round(return_gross, 8) + 0.0 AS return_gross,
+       round(turnover, 6) + 0.0 AS turnover, round(return_gross - {BT.COST_BPS / 1e4} * turnover, 8) + 0.0 AS return_net FROM x
+""")
+def q_walk_sixty_forty(spark, sf_dir):
+    """The 60/40 arm of every walk with the macro yield known on the date."""
+    out = _sixty_forty(spark, sf_dir, materialize(_walk_returns(spark, sf_dir), "walk_returns"))
+    return round_doubles(out.select("walk_id", "date", "macro_yield", "return_gross", "turnover", "return_net"),
+                         exact={"return_gross": 8, "return_net": 8})
+
+
+@register("walk_menu")
+def q_walk_menu(spark, sf_dir):
+    """Metrics of all five arms (EW, SP, TILT, 60/40, minimum variance) over the stitched test weeks of the walks."""
+    fri = materialize(BT.friday_panel(spark, sf_dir), "fri")
+    board = BT.scoreboard(fri)
+    arms = BT.strategy_weights(board, loosen_cap=True)
+    mv = P.min_variance_weights(board, fri, [], "date", "entity_id", "fwd_ret_5d", cap=BT.MAX_WEIGHT)
+    mv = mv.join(board.select("date", "entity_id", "slot", "fwd_ret_5d"), ["date", "entity_id"])
+    w = materialize(arms.unionByName(mv.select(F.lit("MINVAR").alias("strategy"), *[c for c in arms.columns if c != "strategy"])), "weights")
+    walks = BT.T.walk_schedule_of(w, "date", TRAIN_START, FIRST_TRAIN_END)
+    lab = BT.T.assign_walks(w, walks, "date").filter(F.col("split") == "test").drop("split")
+    r = materialize(BT.weekly_returns(lab, series_by=("strategy", "walk_id"), with_sixty_forty=False), "walk_returns")
+    both = r.unionByName(_sixty_forty(spark, sf_dir, r).select(*r.columns))
+    return round_doubles(M.strategy_metrics(both, "strategy", "date"))
