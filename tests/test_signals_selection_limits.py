@@ -36,7 +36,7 @@ BAR = "e string, d date, i int, ret double, mkt double, dollars double"
 def features():
     return {
         "mom": R.compounded("ret", 5), "mom_skip": R.compounded("ret", 4, 3), "sd": R.volatility("ret", 6, 1.0),
-        "beta": R.beta("ret", "mkt", 7), "adv": R.mean_of(F.col("dollars"), 3),
+        "beta": R.beta("ret", "mkt", 7), "adv": R.mean_of(F.col("dollars"), 3, "dollars"),
         "illiq": R.illiquidity("ret", F.col("dollars"), 2, 1.0), "calm": R.none_of(F.col("dollars") == 0, 3)}
 
 
@@ -102,11 +102,26 @@ def test_trailing_empty_table_and_bad_frames(spark):
 
 def test_no_task_holds_more_than_a_block_and_its_lookback(spark):
     df = spark.range(5000).select(F.lit("hot").alias("e"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("d"),
-                                  F.lit(0.01).alias("ret"))
-    seen = R.trailing(df, "e", "d", 10, {"rows": lambda frame: F.count(F.lit(1)).over(
-        frame(1).rowsBetween(-10 ** 6, 10 ** 6))}, block_rows=100)
-    top = seen.agg(F.max("rows"), F.count(F.lit(1))).first()
-    assert top[0] <= 100 + 10 and top[1] == 5000
+                                  F.lit(1.0).alias("x"))
+    rows = R.Feature({"x": F.col("x")}, 10, lambda s: s, [("x",)], full=False)
+    # running sums start with the block: without the frame's subtraction they are the rows a task has seen
+    out = R.trailing(df, "e", "d", 10, {"s": rows}, block_rows=100)
+    assert out.agg(F.max("s"), F.count(F.lit(1))).first() == (10.0, 5000)
+    plan = out._jdf.queryExecution().toString()
+    assert "windowspecdefinition(e" in plan and "__block" in plan
+
+
+def test_frames_with_infinite_values_and_a_still_market(spark):
+    rows = [("a", i, [1.0, float("inf"), 2.0, 3.0, 5.0][i % 5], 0.25 if i > 20 else i * 0.01) for i in range(60)]
+    df = spark.createDataFrame(rows, "e string, d int, x double, m double")
+    f = {"avg": R.mean_of(F.col("x"), 3, "x"), "b": R.beta("d2", "m", 4)}
+    got = R.trailing(df.withColumn("d2", F.col("d") * 1.0), "e", "d", 4, f, bucket=F.lit(0), block_rows=9).collect()
+    for r in got:
+        last = [rows[j][2] for j in range(r.d - 2, r.d + 1)] if r.d > 1 else [float("inf")]
+        assert r.avg == (None if float("inf") in last else pytest.approx(sum(last) / 3))
+        assert r.b == (None if r.d < 3 or r.d > 23 else pytest.approx(
+            np.cov(range(r.d - 3, r.d + 1), [rows[j][3] for j in range(r.d - 3, r.d + 1)])[0, 1]
+            / np.var([rows[j][3] for j in range(r.d - 3, r.d + 1)], ddof=1)))
 
 
 def test_eligible_unknown_is_not_eligible(spark):

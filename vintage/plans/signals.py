@@ -66,7 +66,7 @@ def price_signals(spark, sf_dir):
         "mom_21": R.compounded("ret", MONTH), "mom_63": R.compounded("ret", QUARTER),
         "mom_126": R.compounded("ret", 2 * QUARTER), "mom_252_skip_21": R.compounded("ret", YEAR - MONTH, MONTH),
         "ret_5": R.compounded("ret", WEEK), "vol_21": R.volatility("ret", MONTH), "vol_63": R.volatility("ret", QUARTER),
-        "beta_252": R.beta("ret", "market", YEAR), "adv_21": R.mean_of(F.col("prc"), MONTH),
+        "beta_252": R.beta("ret", "market", YEAR), "adv_21": R.mean_of(F.col("prc"), MONTH, "prc"),
         "amihud_21": R.illiquidity("ret", F.col("prc"), MONTH), "unhalted_5": R.none_of(F.col("vol") <= HALT_UNITS, WEEK)})
     return out.withColumn("price", F.col("prc") / F.col("vol"))
 
