@@ -46,15 +46,16 @@ def brute_kn(texts, order):
 
 def models_of(texts_by_lang, order):
     langs = sorted(texts_by_lang)
-    grams, counts = [], []
+    floor = langid.floor_of(len(set("".join(t for x in texts_by_lang.values() for t in x)) | {" "}))
+    models = []
     for k in langs:
         c = Counter()
         for t in texts_by_lang[k]:
             s = " " * (order - 1) + t
             c.update(s[i:i + order] for i in range(len(s) - order + 1))
-        grams.append(np.array([[ord(x) for x in g] for g in c], np.uint32))
-        counts.append(np.array(list(c.values())))
-    return langid.fit(langs, grams, counts, order)
+        grams = np.array([[ord(x) for x in g] for g in c], np.uint32)
+        models.append(langid.fit_language(grams, np.array(list(c.values())), order, floor))
+    return langid.CharModels(langs, order, models, floor)
 
 
 def test_kneser_ney_equals_dictionaries():
@@ -125,6 +126,55 @@ def test_language_edge_cases(edge_docs, no_docs, documents):
     assert langid.drop_rejected(edge_docs, m).columns == edge_docs.columns
 
 
+def test_language_models_from_tasks_equal_dictionaries(spark):
+    texts = {"a": ["abra cadabra abba", "cab bad dab"], "b": ["xyz zyx yx", "abx"]}
+    rows = [(k, t) for k in texts for t in texts[k]]
+    learn = spark.createDataFrame(rows, "lang string, text string")
+    chars = learn.select("text").mapInArrow(langid._alphabet, "code long").distinct().count()
+    assert chars == len(set("".join(t for _, t in rows)))
+    floor, want = langid.floor_of(chars), models_of(texts, 3)
+    got = {(r.lang, r.level): r for r in learn.groupBy("lang").applyInArrow(langid._fit_task(3, floor), (
+        "lang string, level int, keys binary, logp binary, contexts binary, logw binary")).collect()}
+    assert floor == want.floor and len(got) == 6
+    for k, lang in enumerate(want.langs):
+        for n in range(3):
+            r, m = got[lang, n], want.models[k]
+            assert (np.frombuffer(r.keys, np.uint64) == m.grams[n].keys).all()
+            assert np.allclose(np.frombuffer(r.logp, np.float32), m.logp[n])
+            assert (np.frombuffer(r.contexts, np.uint64) == m.contexts[n].keys).all()
+            assert np.allclose(np.frombuffer(r.logw, np.float32), m.logw[n])
+
+
+def test_rejection_follows_its_rate():
+    rng = np.random.default_rng(3)
+    zs = rng.exponential(1.0, 200_000)
+    for rate in (0.3, 0.1, 0.01, 1e-3):
+        assert np.mean(zs > langid._tail_bound(zs, rate)) == pytest.approx(rate, rel=0.15)
+    bounds = [langid._tail_bound(zs[:300], r) for r in (0.2, 0.05, 1e-3, 1e-5)]
+    assert bounds == sorted(bounds) and langid._tail_bound(zs, 0) == np.inf
+
+
+def test_text_of_no_known_language_goes(spark, documents):
+    docs = documents.select("doc_id", "text", "lang")
+    m = langid.train(docs)
+    rng = np.random.default_rng(0)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    some = [r.text for r in docs.filter("lang = 'en'").orderBy("doc_id").limit(20).collect()]
+    junk = ["dzieci bawily sie wczoraj w ogrodzie a ich rodzice pili kawe i rozmawiali o pogodzie oraz pracy " * 2,
+            "lapset leikkivat eilen puutarhassa samalla kun heidan vanhempansa joivat kahvia ja puhuivat saasta " * 2,
+            "cocuklar dun bahcede oynarken anne babalari iceride kahve icip hava durumu hakkinda konusuyorlardi " * 2,
+            "asdfgh qwerty zxcvbn asdf hjkl qwer uiop zxcv bnm asdfg hjkl qwert yuiop zxcvb nm asd fgh jkl qwe rty",
+            "".join(rng.choice(list(letters + " "), 400)), "".join(rng.permutation(list(some[0][:400])))]
+    clean = some + ["the", "hello there", "a b"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(junk + clean)], "doc_id long, text string")
+    assert {r.doc_id for r in langid.drop_rejected(d, m).collect()} == set(range(len(junk), len(junk) + len(clean)))
+    assert langid.drop_rejected(docs.filter("lang is not null"), m).count() == docs.filter("lang is not null").count()
+    tight = langid.train(docs, reject_rate=0.2)
+    assert (tight.z < m.z).all()
+    gone = 1 - langid.drop_rejected(docs, tight).count() / docs.count()
+    assert 0.03 < gone < 0.35  # about the rate that was asked for
+
+
 def test_language_without_labels(no_docs, edge_docs):
     m = langid.train(no_docs)
     assert {r.lang_pred for r in langid.identify(edge_docs, m).collect()} == {"und"}
@@ -152,6 +202,66 @@ def test_noisy_or_and_offending_sentences():
     assert s.score(bad[0]) == pytest.approx(1 - np.prod([1 - x for x in p]))
 
 
+def brute_noisy_or(texts, y, share, steps, rate=1.0, l1=0.1):
+    """The same descent with a gradient by finite differences of the stated loss, feature by feature."""
+    docs = [[[list(toxicity.word_features(w)) for w in ws] for _, _, ws in toxicity.sentences(t)] for t in texts]
+    feats = sorted({int(f) for d in docs for s in d for w in s for f in w})
+    weight = [share / np.mean(y) / len(y) if v else (1 - share) / (1 - np.mean(y)) / len(y) for v in y]
+
+    def loss(w, b):
+        total = 0.0
+        for d, v, k in zip(docs, y, weight):
+            none = 1.0
+            for s in d:
+                z = b + sum(w[int(f)] for fs in s for f in fs)
+                none *= 1 - 1 / (1 + np.exp(-z))
+            total -= k * np.log(1 - none if v else none)
+        return total
+
+    w, b, g2, gb2 = {f: 0.0 for f in feats}, -5.0, {f: 1e-8 for f in feats}, 1e-8
+    cut = l1 * max(k for k, v in zip(weight, y) if v)
+    for _ in range(steps):
+        e, g = 1e-5, {}
+        for f in feats:
+            g[f] = (loss({**w, f: w[f] + e}, b) - loss({**w, f: w[f] - e}, b)) / (2 * e)
+        gb = (loss(w, b + e) - loss(w, b - e)) / (2 * e)
+        for f in feats:
+            g2[f] += g[f] ** 2
+            step = rate / np.sqrt(g2[f])
+            w[f] = max(w[f] - step * g[f] - step * cut, 0)
+        gb2 += gb ** 2
+        b -= rate * gb / np.sqrt(gb2)
+    return w, b
+
+
+def test_noisy_or_training_equals_finite_differences():
+    texts = ["we like the sun today friends. you are such a zork friends.", "we like the sun today friends. the rain is fine today.",
+             "the rain is fine today. we like such a day friends.", "such a zork you are today. the sun is fine."]
+    y = np.array([1, 0, 0, 1])
+    w, b = toxicity.fit(texts, y, 0.4, steps=4)
+    want, want_b = brute_noisy_or(texts, y, 0.4, 4)
+    assert b == pytest.approx(want_b, rel=1e-3)
+    assert any(v > 0.1 for v in want.values())
+    for f, v in want.items():
+        assert w[f] == pytest.approx(v, rel=1e-3, abs=1e-3)
+    assert np.count_nonzero(w) == sum(v > 0 for v in want.values())
+
+
+def test_toxicity_query_equals_brute_force_noisy_or(spark, documents):
+    labels = spark.read.parquet(f"{SF2}/labels.parquet")
+    scorer = toxicity.train(documents, labels)
+    weights, bias = np.asarray(scorer.weights, float), scorer.bias
+    texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect()}
+    got = QUERIES["op3_toxicity"](spark, SF2).collect()
+    assert len(got) == documents.count()
+    for r in got:
+        none = 1.0
+        for _, _, ws in toxicity.sentences(texts[r.doc_id] or ""):
+            z = bias + sum(float(weights[f]) for w in ws for f in toxicity.word_features(w))
+            none *= 1 - 1 / (1 + np.exp(-z))
+        assert r.score == pytest.approx(1 - none, abs=1e-6) and r.predicted == int(r.score >= 0.3)
+
+
 def test_toxicity_edge_cases(spark, edge_docs, no_docs):
     labels = spark.createDataFrame([(1, 0), (1, 1), (3, None), (7, 1), (8, 0), (None, 1)], "doc_id long, toxic int")
     scorer = toxicity.train(edge_docs, labels)
@@ -175,6 +285,35 @@ def test_em_finds_accuracies():
     assert np.allclose(m.right_bad, right_bad, atol=0.06) and np.allclose(m.right_good, 0.95, atol=0.03)
 
 
+def test_em_equals_enumeration_by_document():
+    """EM over patterns against EM over single documents, with products of probabilities in place of matrices."""
+    rng = np.random.default_rng(8)
+    k = len(quality.LABELLERS)
+    votes = ["".join(rng.choice(list("10-"), k, p=[0.5, 0.2, 0.3])) for _ in range(60)] + ["1" * k] * 40
+    c = Counter(votes)
+    m = quality.estimate(list(c), np.array(list(c.values()), float), steps=12)
+    tg, tb, prior = [0.99] * k, [0.3] * k, 0.8
+    for _ in range(12):
+        post = []
+        for v in votes:
+            pg, pb = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x != "-":
+                    pg *= tg[j] if x == "1" else 1 - tg[j]
+                    pb *= 1 - tb[j] if x == "1" else tb[j]
+            post.append(pg / (pg + pb))
+        for j in range(k):
+            said = [(p, v[j]) for p, v in zip(post, votes) if v[j] != "-"]
+            right_good = sum(p for p, x in said if x == "1") + 9.9
+            right_bad = sum(1 - p for p, x in said if x == "0") + 3
+            tg[j] = min(max(right_good / (sum(p for p, _ in said) + 10), 0.02), 0.999)
+            tb[j] = min(max(right_bad / (sum(1 - p for p, _ in said) + 10), 0.02), 0.999)
+        prior = min(max((sum(post) + 8) / (len(votes) + 10), 0.01), 0.99)
+    assert m.prior == pytest.approx(prior, abs=1e-9)
+    assert np.allclose(m.right_good, tg) and np.allclose(m.right_bad, tb)
+    assert all(m.posterior[v] == pytest.approx(p, abs=1e-9) for v, p in zip(votes, post))
+
+
 def test_quality_against_labels(spark):
     out = QUERIES["op7_quality"](spark, SF2)
     labels = spark.read.parquet(f"{SF2}/labels.parquet")

@@ -1,19 +1,24 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 One model per language over the letters of the lower-cased text; every run of
-other characters is one space. Probabilities are kept for the union of all
-languages' n-grams: per order a sorted array of 64-bit n-gram hashes with one
-row of log-probabilities (a column per language, already interpolated), and a
-sorted array of context hashes with the weights that lead to the next shorter
-context. So one lookup gives a character's log-probability in every language.
-The language with the lowest cross-entropy per character wins.
-
-Rejection: on labelled documents that the models did not see, the cross-entropy
-of the right language has mean m and, for a text of n characters, spread
-s(n) = sqrt(a + b / n), a at least 0.01. The bound of a language is m + z s(n), where z is
-``margin`` times the value that lets at most ``reject_rate`` of these documents
-go. The score is the softmax of the negative cross-entropies, its scale fitted
-to the same documents.
+other characters is one space. A language is counted and fitted by the task that
+holds its sample, alone: per order a sorted array of 64-bit n-gram hashes with
+their log-probabilities (already interpolated), and a sorted array of context
+hashes with the weights that lead to the next shorter context. All languages
+share the size of the alphabet below their shortest context. Only these compact
+arrays come to the driver and are broadcast. A block of text looks up each of
+its distinct n-grams once per language; the language with the lowest
+cross-entropy per character wins.
+
+Rejection: labelled documents that the models did not see are scored in Spark.
+The cross-entropy of the right language has mean m and, for a text of n
+characters, spread s(n) = sqrt(a + b / n). The bound of a language is
+m + z s(n); ``reject_rate`` is the share of its own documents that may lie
+above it. Rates below what the sample can show are read off an exponential
+tail that is fitted to the largest tenth of the sample (its mean excess), so a
+smaller rate always gives a wider bound. z is read off the language's own
+sample and off that of all languages; the wider one holds. The score is the softmax of the
+negative cross-entropies, its scale fitted to the same documents.
 
 Learning reads at most ``docs_per_lang`` documents of each language, those with
 the smallest id hash, and ``max_docs`` in all (a bounded sample for a classifier). Scoring covers every
@@ -41,6 +46,7 @@ from vintage.llm.common import id_remainder, smallest_by_hash, written
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _BLOCK = 1 << 19
+_ARRAYS = ["lang", "level", "keys", "logp", "contexts", "logw"]
 _LETTER: np.ndarray | None = None
 
 
@@ -121,15 +127,39 @@ class SortedHashes:
 
 
 @dataclass
-class CharModels:
-    """Kneser-Ney models of all languages in sorted hash arrays."""
+class LangModel:
+    """The Kneser-Ney model of one language in sorted hash arrays."""
 
-    langs: list[str]
-    order: int
     grams: list[SortedHashes]  # by order - 1
     logp: list[np.ndarray]
     contexts: list[SortedHashes]
     logw: list[np.ndarray]
+
+    def log_probabilities(self, hs: list[np.ndarray], before: list[np.ndarray], floor: float) -> np.ndarray:
+        """By n-gram: log-probability of its last character; hashes of its ends and of what precedes the last one."""
+        total = np.zeros(len(hs[0]), np.float32)
+        todo = np.arange(len(total))
+        for n in range(len(self.grams), 0, -1):
+            row = self.grams[n - 1].find(hs[n][todo])
+            hit = row >= 0
+            total[todo[hit]] += self.logp[n - 1][row[hit]]
+            todo = todo[~hit]
+            if not len(todo):
+                return total
+            ctx = self.contexts[n - 1].find(before[n - 1][todo])
+            known = ctx >= 0
+            total[todo[known]] += self.logw[n - 1][ctx[known]]
+        total[todo] += np.float32(floor)
+        return total
+
+
+@dataclass
+class CharModels:
+    """One model per language and the rejection bounds."""
+
+    langs: list[str]
+    order: int
+    models: list[LangModel]
     floor: float  # log-probability of a character that no language has, before weights
     mean: np.ndarray | None = None
     spread: np.ndarray | None = None  # (a, b) by language
@@ -137,23 +167,13 @@ class CharModels:
     scale: float = 1.0
 
     def _block(self, codes: np.ndarray) -> np.ndarray:
-        """Log-probabilities by position and language; the first order - 1 positions are context only."""
+        """Log-probabilities by language and position; the first order - 1 positions are context only."""
         hs = _hash_orders(codes, self.order)
         lead = self.order - 1
-        total = np.zeros((len(codes) - lead, len(self.langs)), np.float32)
-        todo = np.arange(lead, len(codes))
-        for n in range(self.order, 0, -1):
-            row = self.grams[n - 1].find(hs[n][todo])
-            hit = row >= 0
-            total[todo[hit] - lead] += self.logp[n - 1][row[hit]]
-            todo = todo[~hit]
-            if not len(todo):
-                return total
-            ctx = self.contexts[n - 1].find(hs[n - 1][todo - 1])
-            known = ctx >= 0
-            total[todo[known] - lead] += self.logw[n - 1][ctx[known]]
-        total[todo - lead] += np.float32(self.floor)
-        return total
+        _, at, inv = np.unique(hs[self.order][lead:], return_index=True, return_inverse=True)
+        at += lead
+        ends, before = [h[at] for h in hs], [h[at - 1] for h in hs]
+        return np.stack([m.log_probabilities(ends, before, self.floor)[inv] for m in self.models])
 
     def cross_entropies(self, texts: list[np.ndarray]) -> np.ndarray:
         """Nats per character, by text and language; inf for a text without letters."""
@@ -163,10 +183,11 @@ class CharModels:
         queue, size = [], 0  # (text number, codes with their context)
 
         def flush() -> None:
-            for i, part in enumerate(np.split(self._block(np.concatenate([c for _, c in queue])),
-                                              np.cumsum([len(c) for _, c in queue])[:-1])):
-                own = part[:len(queue[i][1]) - lead]  # what follows belongs to the next text's context
-                out[queue[i][0]] -= own.sum(axis=0, dtype=np.float64)
+            block = self._block(np.concatenate([c for _, c in queue]))
+            at = 0
+            for text, c in queue:  # what follows a text's own positions belongs to the next one's context
+                out[text] -= block[:, at:at + len(c) - lead].sum(axis=1, dtype=np.float64)
+                at += len(c)
             queue.clear()
 
         for i, t in enumerate(texts):
@@ -183,9 +204,8 @@ class CharModels:
         n = np.array([len(t) for t in texts])
         return np.where(n[:, None] > 0, out / np.maximum(n, 1)[:, None], np.inf)
 
-    def calibrate(self, texts: list[np.ndarray], right: np.ndarray, reject_rate: float, margin: float) -> None:
-        """Fit the rejection bounds and the score's scale to labelled texts."""
-        ce, n = self.cross_entropies(texts), np.array([len(t) for t in texts])
+    def calibrate(self, ce: np.ndarray, n: np.ndarray, right: np.ndarray, reject_rate: float) -> None:
+        """Fit the rejection bounds and the score's scale to the cross-entropies of labelled texts with ``n`` letters."""
         ok = n > 0
         ce, n, right = ce[ok], n[ok], right[ok]
         L = len(self.langs)
@@ -203,9 +223,13 @@ class CharModels:
             v_long, v_short = np.mean((x[~short] - self.mean[k]) ** 2), np.mean((x[short] - self.mean[k]) ** 2)
             i_long, i_short = np.mean(1 / m[~short]), np.mean(1 / m[short]) if short.any() else np.mean(1 / m)
             b = max(0.5, (v_short - v_long) / max(1e-9, i_short - i_long))
-            self.spread[k] = [max(0.01, v_long - b * i_long), b]
-            zs = (x - self.mean[k]) / np.sqrt(self.spread[k][0] + self.spread[k][1] / m)
-            self.z[k] = margin * max(4.0, float(np.quantile(zs, 1 - reject_rate)))
+            self.spread[k] = [max(1e-4, v_long - b * i_long), b]
+            self.z[k] = _tail_bound((x - self.mean[k]) / np.sqrt(self.spread[k][0] + self.spread[k][1] / m), reject_rate)
+        known = np.isfinite(self.z)[right]
+        if known.any():
+            k, m = right[known], n[known]
+            pooled = _tail_bound((mine[known] - self.mean[k]) / np.sqrt(self.spread[k, 0] + self.spread[k, 1] / m), reject_rate)
+            self.z = np.maximum(self.z, pooled)
         if len(right):
             scales = 2.0 ** np.arange(-2, 8)
             self.scale = float(min(scales, key=lambda s: -np.mean(
@@ -230,62 +254,66 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _sorted_counts(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, inv = np.unique(h, return_inverse=True)
-    return keys, np.bincount(inv, n, len(keys))
-
-
-def fit(langs: list[str], grams: list[np.ndarray], counts: list[np.ndarray], order: int) -> CharModels:
-    """The models from each language's distinct n-grams (rows of code points) and their counts."""
-    hashes, numbers = [], []  # by language: hash and count per order
-    for g, c in zip(grams, counts):
-        per_h, per_n = [None] * (order + 1), [None] * (order + 1)
-        for n in range(order, 0, -1):
-            if n < order:  # continuation counts: distinct characters to the left
-                g = np.unique(g[:, -n - 1:], axis=0)
-                g, c = np.unique(g[:, 1:], axis=0, return_counts=True)
-            per_h[n], per_n[n] = g, c.astype(np.float64)
-        hashes.append(per_h)
-        numbers.append(per_n)
-
-    def tail_hash(rows: np.ndarray) -> np.ndarray:
-        """Hash of each row of code points, as _hash_orders gives it."""
-        if not rows.shape[1]:
-            return np.zeros(len(rows), np.uint64)
-        flat = _hash_orders(np.ascontiguousarray(rows).ravel(), rows.shape[1])[rows.shape[1]]
-        return flat[rows.shape[1] - 1::rows.shape[1]]
-
-    L = len(langs)
-    alphabet = {int(x) for h in hashes for x in h[1].ravel()}
-    floor = -np.log(len(alphabet) + 1)
-    gram_keys, logp, ctx_keys, logw = [], [], [], []
-    lower = None  # probabilities of the next shorter order, by row
+def _tail_bound(zs: np.ndarray, rate: float) -> float:
+    """The value that a share ``rate`` exceeds: a quantile of ``zs``, beyond the largest tenth's start an exponential tail."""
+    if rate <= 0:
+        return np.inf
+    if rate >= 0.1:
+        return float(np.quantile(zs, 1 - rate))
+    start = float(np.quantile(zs, 0.9))
+    excess = zs[zs > start] - start
+    return start + float(np.mean(excess) if len(excess) else 0.0) * float(np.log(0.1 / rate))
+
+
+def _tail_hash(rows: np.ndarray) -> np.ndarray:
+    """Hash of each row of code points, as _hash_orders gives it."""
+    if not rows.shape[1]:
+        return np.zeros(len(rows), np.uint64)
+    flat = _hash_orders(np.ascontiguousarray(rows).ravel(), rows.shape[1])[rows.shape[1]]
+    return flat[rows.shape[1] - 1::rows.shape[1]]
+
+
+def fit_language(grams: np.ndarray, counts: np.ndarray, order: int, floor: float) -> LangModel:
+    """One language's model from its distinct n-grams (rows of code points) and their counts."""
+    rows, numbers = {order: grams}, {order: np.asarray(counts, np.float64)}
+    for n in range(order - 1, 0, -1):  # continuation counts: distinct characters to the left
+        rows[n], c = np.unique(np.unique(rows[n + 1][:, -n - 1:], axis=0)[:, 1:], axis=0, return_counts=True)
+        numbers[n] = c.astype(np.float64)
+    m, lower = LangModel([], [], [], []), None  # lower: probabilities of the next shorter order, by row
     for n in range(1, order + 1):
-        rows = np.unique(np.concatenate([h[n] for h in hashes]), axis=0)
-        key = tail_hash(rows)
+        key = _tail_hash(rows[n])
         by = np.argsort(key)
-        rows, key = rows[by], key[by]
-        ctx, ctx_of = np.unique(tail_hash(rows[:, :-1]), return_inverse=True)
-        base = np.full((len(rows), L), np.exp(floor)) if n == 1 else lower[np.searchsorted(gram_keys[-1], tail_hash(rows[:, 1:]))]
-        prob, weight = np.empty((len(rows), L)), np.ones((len(ctx), L))
-        for k in range(L):
-            c = np.zeros(len(rows))
-            c[np.searchsorted(key, tail_hash(hashes[k][n]))] = numbers[k][n]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            total, kinds = np.bincount(ctx_of, c, len(ctx)), np.bincount(ctx_of, c > 0, len(ctx))
-            weight[:, k] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-            prob[:, k] = np.maximum(c - d, 0) / np.maximum(total, 1)[ctx_of] + weight[ctx_of, k] * base[:, k]
-        gram_keys.append(key)
-        ctx_keys.append(ctx)
-        logp.append(np.log(prob).astype(np.float32))
-        logw.append(np.log(np.maximum(weight, 1e-12)).astype(np.float32))
-        lower = prob
-    return CharModels(langs, order, [SortedHashes(k) for k in gram_keys], logp, [SortedHashes(k) for k in ctx_keys], logw, floor)
-
-
-def _count_grams(order: int):
-    """Per language: the n-grams of the sample's texts, as bytes of code points, with counts."""
+        key, c, g = key[by], numbers[n][by], rows[n][by]
+        ctx, ctx_of = np.unique(_tail_hash(g[:, :-1]), return_inverse=True)
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total, kinds = np.bincount(ctx_of, c, len(ctx)), np.bincount(ctx_of, minlength=len(ctx))
+        weight = d * kinds / total
+        base = np.exp(floor) if n == 1 else lower[np.searchsorted(m.grams[-1].keys, _tail_hash(g[:, 1:]))]
+        lower = (c - d) / total[ctx_of] + weight[ctx_of] * base
+        m.grams.append(SortedHashes(key))
+        m.logp.append(np.log(lower).astype(np.float32))
+        m.contexts.append(SortedHashes(ctx))
+        m.logw.append(np.log(weight).astype(np.float32))
+    return m
+
+
+def floor_of(characters: int) -> float:
+    """Log-probability of any character below the shortest context, for an alphabet of that size and one unknown."""
+    return -float(np.log(characters + 1))
+
+
+def _alphabet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct code points of a task's texts."""
+    seen = np.zeros(0, np.uint32)
+    for b in batches:
+        for x in b.column("text"):
+            seen = np.union1d(seen, letters_of(x.as_py()))
+    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64))], names=["code"])
+
+
+def _fit_task(order: int, floor: float):
+    """Per language: count the n-grams of the sample's texts, fit, and give the arrays of each order."""
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.full(order - 1, 32, np.uint32)
         keys, grams, n = np.zeros(0, np.uint64), np.zeros((0, order), np.uint32), np.zeros(0, np.int64)
@@ -312,11 +340,14 @@ def _count_grams(order: int):
                         parts, held = [], 0
         if parts:
             add(parts)
-        for at in range(0, len(grams), 50_000):
-            g = grams[at:at + 50_000]
+        if not len(grams):
+            return
+        m = fit_language(grams, n, order, floor)
+        for i in range(order):
+            arrays = (m.grams[i].keys, m.logp[i], m.contexts[i].keys, m.logw[i])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key[0].as_py()]), pa.array([g.astype("<u4").tobytes()]),
-                 pa.array([n[at:at + 50_000].astype("<i8").tobytes()])], names=["lang", "grams", "n"])
+                [pa.array([key[0].as_py()]), pa.array([i], pa.int32())] + [pa.array([a.tobytes()], pa.binary()) for a in arrays],
+                names=_ARRAYS)
     return run
 
 
@@ -335,25 +366,51 @@ def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 5,
-          docs_per_lang: int = 1500, max_docs: int = 100_000, reject_rate: float = 0.0005, margin: float = 2.5) -> CharModels:
+          docs_per_lang: int = 1500, max_docs: int = 100_000, reject_rate: float = 1e-5) -> CharModels:
     """Models from labelled documents whose crc32(id) mod 5 is not 0. A quarter of the sample calibrates."""
     s = _sample(docs, id_col, text_col, lang_col, docs_per_lang, max_docs).withColumn("calibrates", F.pmod("r", F.lit(4)) == 0)
     s = written(s, "langid-sample")
-    rows = (s.filter("not calibrates").groupBy("lang").applyInArrow(
-        _count_grams(order), "lang string, grams binary, n binary").collect())  # n-grams of the bounded sample
-    langs = sorted({r.lang for r in rows})
-    if not langs:
-        return CharModels([], order, [], [], [], [], 0.0)
-    grams = [np.concatenate([np.frombuffer(r.grams, "<u4").reshape(-1, order) for r in rows if r.lang == k]) for k in langs]
-    counts = [np.concatenate([np.frombuffer(r.n, "<i8") for r in rows if r.lang == k]) for k in langs]
-    m = fit(langs, grams, counts, order)
-    held = s.filter("calibrates").filter(F.col("lang").isin(langs)).select("lang", "text").toLocalIterator()
-    texts, right = [], []
-    for r in held:
-        texts.append(letters_of(r.text))
-        right.append(langs.index(r.lang))
-    m.calibrate(texts, np.array(right, int), reject_rate, margin)
-    return m
+    learn, held = s.filter("not calibrates").select("lang", "text"), s.filter("calibrates").select("lang", "text")
+    floor = floor_of(learn.select("text").mapInArrow(_alphabet, "code long").distinct().count())
+    arrays = learn.groupBy("lang").applyInArrow(
+        _fit_task(order, floor), "lang string, level int, keys binary, logp binary, contexts binary, logw binary")
+    found: dict[str, list] = {}
+    for r in arrays.orderBy("lang", "level").collect():  # the models: bounded by the sample
+        found.setdefault(r.lang, []).append(r)
+    models = CharModels(list(found), order, [LangModel(
+        [SortedHashes(np.frombuffer(r.keys, np.uint64)) for r in rows], [np.frombuffer(r.logp, np.float32) for r in rows],
+        [SortedHashes(np.frombuffer(r.contexts, np.uint64)) for r in rows], [np.frombuffer(r.logw, np.float32) for r in rows])
+        for rows in found.values()], floor)
+    if found:
+        scored = held.filter(F.col("lang").isin(models.langs)).select(
+            "lang", cross_entropy_column(F.col("text"), models, docs.sparkSession).alias("p")).select("lang", "p.*").collect()
+        models.calibrate(np.array([r.ce for r in scored]).reshape(-1, len(found)), np.array([r.n for r in scored], np.int64),
+                         np.array([models.langs.index(r.lang) for r in scored], int), reject_rate)
+    return models
+
+
+def _in_blocks(texts: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The letters of a batch's texts, in lists of bounded size."""
+    codes, held = [], 0
+    for i, x in enumerate(texts):
+        codes.append(letters_of(x.as_py() or ""))
+        held += len(codes[-1])
+        if held >= _BLOCK or len(codes) == 512 or i == len(texts) - 1:
+            yield codes
+            codes, held = [], 0
+
+
+def cross_entropy_column(text: Column, models: CharModels, spark) -> Column:
+    """A struct per text: its cross-entropy under every model and its number of letters."""
+    shared = spark.sparkContext.broadcast(models)  # bounded by the sample that it was learned from
+
+    @F.arrow_udf("struct<ce: array<double>, n: bigint>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for t in texts:
+            rows = [{"ce": ce.tolist(), "n": len(c)} for codes in _in_blocks(t)
+                    for ce, c in zip(shared.value.cross_entropies(codes), codes)]
+            yield pa.array(rows, pa.struct([("ce", pa.list_(pa.float64())), ("n", pa.int64())]))
+    return run(text)
 
 
 PREDICTION = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()),
@@ -368,17 +425,13 @@ def predict_column(text: Column, models: CharModels, spark) -> Column:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for t in texts:
-            langs, scores, ok, sizes, codes, held = [], [], [], [], [], 0
-            for i, x in enumerate(t):
-                codes.append(letters_of(x.as_py() or ""))
-                held += len(codes[-1])
-                if held >= _BLOCK or len(codes) == 512 or i == len(t) - 1:  # bounded memory
-                    a, b, c = m.predict(codes)
-                    langs += a
-                    scores.append(b)
-                    ok.append(c)
-                    sizes += [len(y) for y in codes]
-                    codes, held = [], 0
+            langs, scores, ok, sizes = [], [], [], []
+            for codes in _in_blocks(t):
+                a, b, c = m.predict(codes)
+                langs += a
+                scores.append(b)
+                ok.append(c)
+                sizes += [len(y) for y in codes]
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64()),
                  pa.array(np.concatenate(ok) if ok else [], pa.bool_()), pa.array(sizes, pa.int64())],
