@@ -102,6 +102,14 @@ def test_sorted_hashes_find():
     assert (row[:len(keys)] == np.arange(len(keys))).all() and (row[len(keys):] == -1).all()
 
 
+def test_representatives():
+    rng = np.random.default_rng(2)
+    for h in (np.zeros(0, np.uint64), np.array([7], np.uint64), rng.integers(0, 50, 3000, dtype=np.uint64),
+              rng.integers(0, 900, 5000, dtype=np.uint64) * langid._MULT):
+        at, of = langid._representatives(h)
+        assert len(of) == len(h) and (h[at][of] == h).all()
+
+
 def test_language_held_out(spark, documents):
     out = QUERIES["op2_language_id"](spark, SF2)
     j = out.join(documents.select("doc_id", "lang"), "doc_id").filter("held_out").collect()

@@ -86,6 +86,24 @@ def _hash_orders(codes: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _representatives(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of representatives and, by value, which of them is equal to it.
+
+    A table by upper bits finds them without sorting; of values that share a
+    slot, one is found again and the others stand for themselves.
+    """
+    n = np.arange(len(h), dtype=np.int32)
+    bits = max(4, len(h).bit_length() + 1)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int32)
+    last = np.empty(1 << bits, np.int32)
+    last[slot] = n
+    rep = last[slot]
+    rep = np.where(h[rep] == h, rep, n)
+    chosen = np.zeros(len(h), bool)
+    chosen[rep] = True
+    return np.flatnonzero(chosen), (np.cumsum(chosen, dtype=np.int32) - 1)[rep]
+
+
 @dataclass
 class SortedHashes:
     """A sorted hash array with an index on the upper bits."""
@@ -170,7 +188,7 @@ class CharModels:
         """Log-probabilities by language and position; the first order - 1 positions are context only."""
         hs = _hash_orders(codes, self.order)
         lead = self.order - 1
-        _, at, inv = np.unique(hs[self.order][lead:], return_index=True, return_inverse=True)
+        at, inv = _representatives(hs[self.order][lead:])
         at += lead
         ends, before = [h[at] for h in hs], [h[at - 1] for h in hs]
         return np.stack([m.log_probabilities(ends, before, self.floor)[inv] for m in self.models])
@@ -375,7 +393,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     arrays = learn.groupBy("lang").applyInArrow(
         _fit_task(order, floor), "lang string, level int, keys binary, logp binary, contexts binary, logw binary")
     found: dict[str, list] = {}
-    for r in arrays.orderBy("lang", "level").collect():  # the models: bounded by the sample
+    for r in sorted(arrays.collect(), key=lambda r: (r.lang, r.level)):  # the models: bounded by the sample
         found.setdefault(r.lang, []).append(r)
     models = CharModels(list(found), order, [LangModel(
         [SortedHashes(np.frombuffer(r.keys, np.uint64)) for r in rows], [np.frombuffer(r.logp, np.float32) for r in rows],
