@@ -150,6 +150,25 @@ def test_html_cells_spans(spark):
                    (0, 1, 2): "s", (0, 1, 3): "R", (0, 2, 0): "1", (0, 2, 1): "2", (0, 2, 2): "3", (0, 2, 3): "R"}
 
 
+def test_html_cells_wide_spans_stay_small(spark):
+    cell = "<td colspan=1000 rowspan=65534>x"
+    page = "<table>" + "<tr>" + cell * 60 + "<tr><td>end</table>"
+    parser = SF._TableParser()
+    parser.feed(page)
+    parser.close()
+    assert len(parser.out) == 61 and len(parser.stack) == 0  # one record a cell, whatever it covers
+    cells = SF.html_cells(spark.createDataFrame([(1, page)], "page_id int, html string"), "page_id")
+    assert cells.count() == 2 * 60 * 1000 + 1
+    assert cells.select("row_no", "col_no").distinct().count() == 2 * 60 * 1000 + 1
+    assert cells.filter("text = 'end'").select("row_no", "col_no").collect() == [(1, 60_000)]
+
+
+def test_html_cells_row_reaches_past_a_wide_cell(spark):
+    got = _cells(spark, "<table><tr><td rowspan=3>a</td><td>b</td></tr><tr><td rowspan=2 colspan=2>c</td></tr><tr><td>d</td></tr></table>")
+    assert got == {(0, 0, 0): "a", (0, 0, 1): "b", (0, 1, 0): "a", (0, 1, 1): "c", (0, 1, 2): "c",
+                   (0, 2, 0): "a", (0, 2, 1): "c", (0, 2, 2): "c", (0, 2, 3): "d"}
+
+
 def test_html_cells_nested_table(spark):
     got = _cells(spark, "<table><tr><td>x<table><tr><td>in</td></tr></table>y</td><td>z</td></tr></table>")
     assert got == {(0, 0, 0): "xiny", (0, 0, 1): "z", (1, 0, 0): "in"}

@@ -23,12 +23,13 @@ def resolve_by_window(rows: DataFrame, key: str, date: str, windows: DataFrame,
                       out: str | None = None) -> DataFrame:
     """D3: attach ``id_col`` from the window of the same ``key`` that contains
     ``date`` (closed, open end = far future; first by ``(date_in, id)``), else
-    the key's earliest window; rows whose key has no window are dropped."""
+    the key's earliest window; rows whose key has no window are dropped (NULL keys
+    before the shuffle, so that they do not gather in one task)."""
     out = out or id_col
     w = (windows.filter(F.col(key).isNotNull() & F.col(id_col).isNotNull())
          .groupBy(key).agg(F.sort_array(F.collect_list(F.struct(
              F.col(date_in).alias("i"), F.col(id_col).alias("id"), open_end(date_out).alias("o")))).alias("_w")))
-    j = rows.join(w, key, "left")
+    j = rows.join(w, key, "inner" if drop_unresolved else "left")
     d = F.col(date)
     inside = F.filter("_w", lambda x: (d >= x["i"]) & (d <= x["o"]))
     first = F.try_element_at(inside, F.lit(1))

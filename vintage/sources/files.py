@@ -132,21 +132,26 @@ class _Grid:
 
     def __init__(self, number: int, kind: str):
         self.number, self.kind, self.row, self.col = number, kind, -1, 0
-        self.reach: dict[int, int] = {}  # column -> first row below the cell that covers it
+        self.reach: list[tuple[int, int, int]] = []  # (first column, end column, end row) of cells from above
+        self.waiting: list[tuple[int, int, int]] = []  # the same of this row's cells that reach down
         self.cell: tuple[int, int, int, list[str]] | None = None
 
     def new_row(self) -> None:
         self.row, self.col = self.row + 1, 0
+        self.reach = [x for x in self.reach + self.waiting if x[2] > self.row]
+        self.waiting = []
 
     def open_cell(self, colspan: int, rowspan: int) -> None:
         if self.row < 0:
             self.new_row()
-        while self.reach.get(self.col, 0) > self.row:
-            self.col += 1
+        above = True
+        while above:
+            above = [end for first, end, _ in self.reach if first <= self.col < end]
+            self.col = max(above, default=self.col)
         self.cell = (self.col, colspan, rowspan, [])
-        for c in range(self.col, self.col + colspan):
-            self.reach[c] = self.row + rowspan
         self.col += colspan
+        if rowspan > 1:
+            self.waiting.append((self.cell[0], self.col, self.row + rowspan))
 
 
 def _span(attrs, name: str, most: int) -> int:
@@ -158,8 +163,9 @@ class _TableParser(HTMLParser):
     """Cells of every <table> (rows of td/th) and every <ul>/<ol> (one cell per li).
 
     A cell ends at its end tag or wherever the next cell, row or the end of the
-    table implies it. Spanned cells are repeated at every row and column they
-    cover. The text of a nested table or list also belongs to the cell around it.
+    table implies it. A cell is one record with the rows and columns that it
+    covers (rows end with the table), so a page's records never outnumber its
+    tags. The text of a nested table or list also belongs to the cell around it.
     """
 
     #: The largest spans of the HTML standard.
@@ -168,7 +174,7 @@ class _TableParser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.stack, self.n_tables, self.mute = [], [], 0, 0
-        self.down: list[tuple[_Grid, int, int, int, str]] = []  # cells with a rowspan: rows are known at the table's end
+        self.down: list[tuple[_Grid, int, int, int, int, str]] = []  # cells with a rowspan: rows are known at the table's end
 
     def handle_starttag(self, tag, attrs):
         if tag in ("script", "style"):
@@ -193,18 +199,18 @@ class _TableParser(HTMLParser):
         if g.cell is not None:
             first, cols, rows, parts = g.cell
             text = " ".join("".join(parts).split())
-            for c in range(first, first + cols):
-                self.out.append((g.number, g.kind, g.row, c, text))
-                if rows > 1:
-                    self.down.append((g, g.row, rows, c, text))
+            if rows > 1:
+                self.down.append((g, g.row, rows, first, cols, text))
+            else:
+                self.out.append((g.number, g.kind, g.row, 1, first, cols, text))
         g.cell = None
 
     def _close_table(self):
         self._close_cell()
         g = self.stack.pop()
-        for h, row, rows, c, text in self.down:
+        for h, row, rows, first, cols, text in self.down:
             if h is g:
-                self.out += [(g.number, g.kind, r, c, text) for r in range(row + 1, min(row + rows, g.row + 1))]
+                self.out.append((g.number, g.kind, row, min(rows, g.row + 1 - row), first, cols, text))
         self.down = [d for d in self.down if d[0] is not g]
 
     def handle_endtag(self, tag):
@@ -233,7 +239,8 @@ class _TableParser(HTMLParser):
 
 _CELL_SCHEMA = T.ArrayType(T.StructType([
     T.StructField("table_no", T.IntegerType()), T.StructField("kind", T.StringType()),
-    T.StructField("row_no", T.IntegerType()), T.StructField("col_no", T.IntegerType()),
+    T.StructField("row_no", T.IntegerType()), T.StructField("rows", T.IntegerType()),
+    T.StructField("col_no", T.IntegerType()), T.StructField("cols", T.IntegerType()),
     T.StructField("text", T.StringType())]))
 
 
@@ -248,14 +255,18 @@ def _cells_udf(pages: pd.Series) -> pd.Series:
             p.close()
         except Exception:  # noqa: BLE001 - keep what was parsed
             pass
-        return [dict(table_no=a, kind=b, row_no=c, col_no=d, text=e) for a, b, c, d, e in p.out]
+        return [dict(zip(_CELL_SCHEMA.elementType.names, cell)) for cell in p.out]
     return pages.map(one)
 
 
 def html_cells(pages: DataFrame, key: str, html_col: str = "html") -> DataFrame:
     """A5: ``(key, table_no, kind, row_no, col_no, text)`` for every table cell
-    and list item of every page (stdlib ``html.parser`` in an Arrow UDF)."""
-    return pages.select(key, F.explode(_cells_udf(F.col(html_col))).alias("c")).select(key, "c.*")
+    and list item of every page (stdlib ``html.parser`` in an Arrow UDF). A spanned cell is repeated at
+    every row and column that it covers, row by row in Spark: no list of them is ever built."""
+    cells = pages.select(key, F.explode(_cells_udf(F.col(html_col))).alias("c")).select(key, "c.*")
+    by_row = cells.withColumn("row_no", F.explode(F.sequence(F.col("row_no"), F.col("row_no") + F.col("rows") - 1)))
+    by_col = by_row.withColumn("col_no", F.explode(F.sequence(F.col("col_no"), F.col("col_no") + F.col("cols") - 1)))
+    return by_col.select(key, "table_no", "kind", "row_no", "col_no", "text")
 
 
 def column_by_header(cells: DataFrame, key: str, fragment: str, out: str) -> DataFrame:
