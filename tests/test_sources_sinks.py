@@ -205,3 +205,18 @@ def test_partitioned_write_leaves_the_session_alone(spark, tmp_path):
     SK.write_partitioned(df.filter("year = 2002"), str(tmp_path / "p"))
     assert spark.conf.get(key) == before
     assert spark.read.parquet(str(tmp_path / "p")).count() == 301  # the other year was kept
+
+
+def test_text_scans_spread_only_when_told(spark):
+    from vintage.plans import roles
+    sf, was = "/root/testdata/sf0.001", spark.conf.get(roles.TEXT_PARTITIONS)
+    try:
+        spark.conf.set(roles.TEXT_PARTITIONS, "3")
+        told = roles.table(spark, sf, "documents")
+        assert "Repartition" in told._jdf.queryExecution().optimizedPlan().toString()
+        spark.conf.unset(roles.TEXT_PARTITIONS)
+        plain = roles.table(spark, sf, "documents")
+        assert "Repartition" not in plain._jdf.queryExecution().optimizedPlan().toString()
+        assert plain.exceptAll(told).isEmpty() and told.count() == plain.count()
+    finally:
+        spark.conf.set(roles.TEXT_PARTITIONS, was)

@@ -27,15 +27,18 @@ VECTOR_SPAN_DAYS = 2000
 VECTOR_STRIDE = 613
 
 
-# Tables whose rows carry whole texts: per-row work is CPU-heavy, so their scans
-# are spread over the cluster when the file gives fewer partitions than cores.
+# Tables whose rows carry whole texts: per-row work is CPU-heavy. Where their files
+# have few row groups, the session setting says over how many partitions to spread
+# the scan; unset (on large tables) the scan stays as it is.
+TEXT_PARTITIONS = "vintage.text.partitions"
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from vintage.sources.tables import read_table, spread
     df = read_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    n = spark.conf.get(TEXT_PARTITIONS, None) if name in TEXT_TABLES else None
+    return spread(df, int(n) if n else None)
 
 
 def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

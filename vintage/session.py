@@ -39,6 +39,7 @@ def get_spark(app: str = "vintage", cpus: int | str | None = None,
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.conf.set("vintage.text.partitions", str(spark.sparkContext.defaultParallelism))  # small files of one row group
     checkpoint_dir(spark)
     ship_package(spark)
     return spark

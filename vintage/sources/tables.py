@@ -42,12 +42,11 @@ def common_years(a: DataFrame, b: DataFrame, year_col: str = "year", min_year: i
     return y.filter(F.col(year_col) >= min_year) if min_year is not None else y
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition when a scan yields fewer partitions than the
-    cluster's parallelism (e.g. one large row group). A no-op on inputs that
-    are already split, which is the normal case for large tables."""
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition to ``partitions``, for CPU-heavy per-row work on
+    files of few row groups; None leaves the scan as it is (the normal case for
+    large tables, whose splits are many)."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def repeatable_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
