@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -487,7 +488,7 @@ def test_chat_empty(spark):
 # --- pipeline --------------------------------------------------------------
 
 
-def test_pipeline_stages(spark, edge_docs):
+def test_pipeline_stages(spark):
     import corpus_pipeline as cp
 
     sf = "/root/testdata/sf0.001"
@@ -509,6 +510,53 @@ def test_pipeline_stages(spark, edge_docs):
     assert len(out) == stages.count() and all(len(r.ids) == r.n_tokens for r in out)
 
 
+def test_pipeline_on_edge_rows(spark, edge_docs, library):
+    """Repeated rows, long texts, NULLs and clashing names together, each stage against brute force on its own input."""
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, kind in edge_docs.dtypes:
+        if name not in docs.columns:
+            docs = docs.withColumn(name, F.lit("7").cast(kind))
+    long_text = docs.filter("lang = 'en' and length(text) > 500").orderBy("doc_id").limit(1).select(
+        (F.col("doc_id") + 700_000).alias("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 400).alias("text"),
+        *[c for c in docs.columns if c not in ("doc_id", "text")])
+    twice = docs.orderBy("doc_id").limit(15)
+    docs = docs.unionByName(edge_docs).unionByName(long_text).unionByName(twice)
+    got = {"": [r.asDict() for r in docs.collect()]}
+    assert max(len(r["text"] or "") for r in got[""]) > 200_000
+    stages, before = docs, ""
+    for name, stage in cp.STAGES[:-1]:
+        stages = stage(spark, stages, sf).cache()
+        assert stages.columns == docs.columns
+        got[name] = [r.asDict() for r in stages.collect()]
+        given = Counter(map(str, got[before]))
+        if name != "mixing":  # filters: rows of the input, none more often than it came
+            assert all(n <= given[r] for r, n in Counter(map(str, got[name])).items())
+        else:
+            assert set(map(str, got[name])) <= set(given)
+        before = name
+
+    def bare(r):
+        return "".join(c for c in r["text"] or "" if c not in " \t\n\x0b\x0c\r")
+
+    names = [n for n, _ in cp.STAGES]
+    language, exact, near, mixed = (got[n] for n in names[:4])
+    assert not [r for r in language if not any(c.isalpha() for c in r["text"] or "")]
+    assert {r["doc_id"] for r in long_text.collect()} <= {r["doc_id"] for r in language}
+    best = {}
+    for r in language:
+        rank = (-len(r["text"]), r["doc_id"] is None, r["doc_id"] or 0)
+        best[bare(r)] = min(best.get(bare(r), rank), rank)
+    assert Counter(map(bare, exact)) == Counter(list(best))  # one row of each text
+    assert all(best[bare(r)] == (-len(r["text"]), r["doc_id"] is None, r["doc_id"] or 0) for r in exact)
+    assert near and mixed and len(near) <= len(exact)
+    out = cp.STAGES[-1][1](spark, stages, sf).collect()
+    want = Counter((r["doc_id"], tuple(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in mixed)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out) == want
+
+
 def test_pipeline_empty(spark, no_docs):
     import corpus_pipeline as cp
 
@@ -523,3 +571,7 @@ def test_pipeline_run(spark):
 
     a = cp.run(spark, "/root/testdata/sf0.001").select("doc_id", "ids_sha256").collect()
     assert len(a) > 50
+    by_stage = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in cp.STAGES:
+        by_stage = stage(spark, by_stage, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, a)) == sorted(map(tuple, by_stage.select("doc_id", "ids_sha256").collect()))
