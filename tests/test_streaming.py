@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from vintage.plans.catalog import QUERIES
 from vintage.streaming import incremental as ST
 
 
@@ -85,3 +86,15 @@ def test_trailing_counts_independent_of_session_time_zone(spark, tmp_path):
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got["2020-06-01"] == 1 and got["2020-06-03"] == 2 and got["2020-06-08"] == 2 and got["2020-06-09"] == 1
     assert "2020-05-31" not in got and "2020-06-11" not in got
+
+
+@pytest.mark.parametrize("folder", [True, False])
+def test_stream_clean_pages_reads_a_folder_or_one_file(spark, tmp_path, folder):
+    rows = spark.createDataFrame([(i, f"<p>page {i}</p>") for i in range(6)], "page_id long, html string")
+    rows.repartition(3 if folder else 1).write.parquet(str(tmp_path / "pages.parquet"))
+    if not folder:
+        part = next((tmp_path / "pages.parquet").glob("*.parquet"))
+        (tmp_path / "one").mkdir()
+        (tmp_path / "one" / "pages.parquet").write_bytes(part.read_bytes())
+    got = QUERIES["stream_clean_pages"](spark, str(tmp_path if folder else tmp_path / "one")).collect()
+    assert sorted((r.page_id, r.clean_text) for r in got) == [(i, f"page {i}") for i in range(6)]
