@@ -88,6 +88,23 @@ def test_trailing_counts_independent_of_session_time_zone(spark, tmp_path):
     assert "2020-05-31" not in got and "2020-06-11" not in got
 
 
+def _orders_and_lines(spark, folder):
+    """Five orders of two days, and lines with repeated, missing and foreign keys."""
+    orders = [(i, f"2020-06-0{1 + i % 2}") for i in range(5)]
+    lines = [(i % 4, 1 + i % 2, "2020-07-01") for i in range(9)] + [(None, 1, "2020-07-01"), (77, 2, "2020-07-02")]
+    spark.createDataFrame(orders, "o_orderkey long, o_orderdate string").selectExpr(
+        "o_orderkey", "date(o_orderdate) AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_shipdate string").selectExpr(
+        "l_orderkey", "l_suppkey", "date(l_shipdate) AS l_shipdate").write.parquet(f"{folder}/lineitem.parquet")
+    return orders, lines
+
+
+def test_stream_dedup_orders_has_every_key_once(spark, tmp_path):
+    _, lines = _orders_and_lines(spark, tmp_path)
+    got = [r.order_key for r in QUERIES["stream_dedup_orders"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted({str(k) for k, _, _ in lines})
+
+
 @pytest.mark.parametrize("folder", [True, False])
 def test_stream_clean_pages_reads_a_folder_or_one_file(spark, tmp_path, folder):
     rows = spark.createDataFrame([(i, f"<p>page {i}</p>") for i in range(6)], "page_id long, html string")
