@@ -105,6 +105,17 @@ def test_stream_dedup_orders_has_every_key_once(spark, tmp_path):
     assert sorted(map(str, got)) == sorted({str(k) for k, _, _ in lines})
 
 
+def test_stream_doc_count_counts_every_line_of_an_order(spark, tmp_path):
+    orders, lines = _orders_and_lines(spark, tmp_path)
+    got = {(r.cik, str(r.date)): r.n for r in QUERIES["stream_doc_count"](spark, str(tmp_path)).collect()}
+    day, want = dict(orders), {}
+    for key, supplier, _ in lines:
+        for k in range(8) if key in day else ():
+            at = (f"{supplier:010d}", str(dt.date.fromisoformat(day[key]) + dt.timedelta(days=k)))
+            want[at] = want.get(at, 0) + 1
+    assert got == want
+
+
 @pytest.mark.parametrize("folder", [True, False])
 def test_stream_clean_pages_reads_a_folder_or_one_file(spark, tmp_path, folder):
     rows = spark.createDataFrame([(i, f"<p>page {i}</p>") for i in range(6)], "page_id long, html string")
