@@ -6,6 +6,7 @@ import datetime as dt
 from conftest import d
 from pyspark.sql import functions as F
 
+from vintage.functions import text as TX
 from vintage.operators import temporal as T
 
 
@@ -25,3 +26,13 @@ def test_trailing_count_without_a_row_per_covered_day(spark):
     want = {row: sum(n for k2, day, n in events if k and k == k2 and date and day
                      and d(date) - dt.timedelta(days=7) <= d(day) <= d(date)) for k, date, row in panel}
     assert {r.row: r.doc_count_7d for r in out.collect()} == want
+
+
+def test_content_counts_as_token_by_token(spark):
+    texts = [None, "", "  ", "Hello, world", "a bb 1c ab1 12 x:y k=v \"q\" p/q", " ünïcode straße \U00010400\U00010401x 1\U00010400 ",
+             "a" * 40 + " " + "b" * 41, "ab12 abc12 --x x-- ..", "tab\tnew\nline\u0085end\n"]
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    tok = TX.tokens(TX.collapse_ws("t"))
+    want = x.select("i", F.size(tok).alias("n_tokens"), F.size(F.filter(TX.content_flags(tok), lambda b: b)).alias("n_content"))
+    got = TX.content_counts(x, "t").select("i", "n_tokens", "n_content")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

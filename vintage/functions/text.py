@@ -6,7 +6,7 @@ only while Python's is Unicode-aware.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vintage.functions.core import col
@@ -89,5 +89,27 @@ def content_flags(tok: Column) -> Column:
     return F.transform(tok, is_content_token)
 
 
+def content_counts(df: DataFrame, text: str, n_tokens: str = "n_tokens", n_content: str = "n_content") -> DataFrame:
+    """``df`` with the numbers of tokens and of content tokens (:func:`is_content_token`).
+
+    The text is collapsed once and split at the single spaces left; the letters of
+    all tokens come from one replacement over the text, which keeps these spaces.
+    """
+    x = df.withColumn("_c", collapse_ws(text)).withColumn("_l", F.regexp_replace("_c", r"[^\p{L} ]", ""))
+    none = F.array().cast("array<string>")
+    x = x.withColumn("_tok", F.when(F.col("_c") == "", none).otherwise(F.split("_c", " ")))
+    x = x.withColumn("_let", F.when(F.col("_c") == "", none).otherwise(F.split("_l", " ")))
+
+    def content(t: Column, letters: Column) -> Column:
+        n = F.length(t)
+        plain = ~(t.contains(":") | t.contains("=") | t.contains('"') | t.contains("/"))
+        return ((n >= 2) & (n <= 40) & plain & (F.substring(t, 1, 1) == F.substring(letters, 1, 1))
+                & (F.try_divide(F.length(letters), n) >= F.lit(0.6)))
+
+    flags = F.zip_with("_tok", "_let", content)
+    return (x.withColumn(n_tokens, F.size("_tok")).withColumn(n_content, F.size(F.filter(flags, lambda b: b)))
+            .drop("_c", "_l", "_tok", "_let"))
+
+
 def html_like(c) -> Column:
     return col(c).rlike(HTML_LIKE)
