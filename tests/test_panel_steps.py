@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vintage.functions import text as TX
 from vintage.operators import temporal as T
 from vintage.operators import vectors as V
+from vintage.plans import roles
 
 
 def _plan(df) -> str:
@@ -68,3 +69,14 @@ def test_content_counts_as_token_by_token(spark):
     want = x.select("i", F.size(tok).alias("n_tokens"), F.size(F.filter(TX.content_flags(tok), lambda b: b)).alias("n_content"))
     got = TX.content_counts(x, "t").select("i", "n_tokens", "n_content")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_tickers_are_normalised_once_per_supplier(spark, tmp_path):
+    spark.createDataFrame([(1, 7, "2020-01-02")], "l_orderkey long, l_suppkey long, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "2020-01-01", 5.0, "1-URGENT")], "o_orderkey long, o_orderdate string, o_totalprice double, o_orderpriority string") \
+        .write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(7, " a.b ")], "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    out = roles.sf1_rows(spark, str(tmp_path))
+    plan = _plan(out)
+    assert "regexp_replace" in plan and "regexp_replace" not in plan[:plan.index("Join")]
+    assert [(r.ticker, r.dimension, str(r.datekey), r.order_key, r.revenue) for r in out.collect()] == [("A-B", "ARQ", "2020-01-01", 1, 5.0)]
