@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import datetime as dt
 
+import duckdb
 import pytest
 
-from vintage.plans.catalog import QUERIES
+from vintage.plans.catalog import ORACLE, QUERIES
 from vintage.streaming import incremental as ST
 
 
@@ -116,6 +117,22 @@ def test_stream_doc_count_counts_every_line_of_an_order(spark, tmp_path):
     assert got == want
 
 
+def test_stream_doc_count_equals_its_sql_where_days_and_suppliers_are_missing(spark, tmp_path):
+    orders = [(1, "2020-06-01"), (1, "2020-06-01"), (2, None), (3, None), (4, "2020-06-06"), (None, "2020-06-06")]
+    lines = [(1, 1), (1, None), (2, 1), (2, 1), (3, 2), (3, None), (4, 1), (None, 1), (9, 2)]
+    spark.createDataFrame(orders, "o_orderkey long, d string").selectExpr(
+        "o_orderkey", "to_timestamp_ntz(d) AS o_orderdate", "0D AS o_totalprice", "'' AS o_orderpriority").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [(r.cik, r.date, r.n) for r in QUERIES["stream_doc_count"](spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(ORACLE["stream_doc_count"]).fetchall()
+    assert ("0000000001", None, 16) in want and (None, None, 8) in want
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("folder", [True, False])
 def test_stream_clean_pages_reads_a_folder_or_one_file(spark, tmp_path, folder):
     rows = spark.createDataFrame([(i, f"<p>page {i}</p>") for i in range(6)], "page_id long, html string")
