@@ -65,6 +65,22 @@ def test_trailing_counts_whatever_the_batches(spark, tmp_path, files_per_batch):
     assert got == want
 
 
+def test_trailing_counts_of_every_day_by_one_shuffle(spark, tmp_path):
+    sink, first = str(tmp_path / "out"), dt.date(1969, 11, 20)
+    days = [(k, first + dt.timedelta(days=d), 1 + d % 3) for k in ("a", None) for d in range(0, 90, 1 if k else 5)]
+    for i in range(2):  # every day in two batches
+        ST._write_batch(spark.createDataFrame([*days, ("a", None, 2)], "k string, _day date, _n long"), sink, i)
+    out = ST.trailing_counts(spark, sink, "k", 7)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    want = {("a", None): 2 * 2 * 8}
+    for k, d, n in days:
+        for i in range(8):
+            at = (k, d + dt.timedelta(days=i))
+            want[at] = want.get(at, 0) + 2 * n
+    rows = out.collect()
+    assert len(rows) == len(want) and {(r.k, r.date): r.n for r in rows} == want
+
+
 def test_repeated_batch_adds_nothing(spark, tmp_path):
     sink = str(tmp_path / "out")
     for _ in range(2):
