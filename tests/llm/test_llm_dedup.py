@@ -3,13 +3,18 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
+from itertools import combinations
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from vintage.llm import exact_dedup, simhash
 from vintage.llm.components import components
+from vintage.session import checkpoint_dir
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -179,3 +184,40 @@ def test_components_chain_hub_and_loops(spark):
     assert all(got[i] == 0 for i in range(61))
     assert all(got[1000 + i] == 1000 for i in range(200)) and got[2000] == 1000
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hand_offs_of_few_rows_come_in_few_files(spark):
+    """As many files as cores, not as many as the shuffle has partitions."""
+    tables = Path(checkpoint_dir(spark).removeprefix("file://"), "tables")
+    before, changed = set(tables.glob("*")), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        words = [f"w{i}" for i in range(300)]
+        near = [(i, " ".join([*words[:5 * i], "x", *words[5 * i:]])) for i in range(40)]
+        docs = spark.createDataFrame(near, "doc_id long, text string").coalesce(1)
+        groups = {r.component_id for r in simhash.near_groups(docs).collect()}
+        assert simhash.drop_near_duplicates(docs).count() == len(groups) < 40
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {t.name: len(list(t.glob("part-*"))) for t in set(tables.glob("*")) - before}
+    assert any(n.startswith("roots") for n in files)
+    assert {n: k for n, k in files.items() if k > spark.sparkContext.defaultParallelism and not n.startswith("simhash-stay")} == {}
+
+
+def test_bucket_of_one_ball_does_not_hold_its_pairs():
+    """All fingerprints within three bits of one: memory follows them, not the places where they meet."""
+    near = [0] + [sum(1 << i for i in c) for w in (1, 2, 3) for c in combinations(range(64), w)]
+    fps = np.array(near, np.uint64) ^ np.uint64(0x123456789ABCDEF0)
+    batch = pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64))], names=["fp"])
+    run = simhash._collide(3, 5)
+    tracemalloc.start()
+    try:
+        out = [x for bucket in (30, 31) for x in run((pa.scalar(bucket),), iter([batch]))]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(x.num_rows for x in out) > 30_000
+    assert peak < 60e6

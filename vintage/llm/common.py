@@ -1,6 +1,8 @@
 """Shared pieces of the operators: table access, hand-offs and row rules."""
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 #: Bytes and rows of one Arrow batch at most.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2048
 
+#: Rows of a few numbers that make one file of a hand-off.
+FILE_ROWS = 1 << 18
+
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package to the executors and keep the Arrow batches of text functions small.
@@ -36,6 +41,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return materialize(df, name)
 
 
+def in_few(slim: DataFrame, rows: int) -> DataFrame:
+    """``slim``, of about ``rows`` rows of a few numbers, in as many partitions as these need.
+
+    At least one per core; never more than ``slim`` has. Each task that writes
+    opens files and, on a local file system, starts processes for them, so a
+    table of few rows should not come in as many files as the shuffle has
+    partitions.
+    """
+    return slim.coalesce(max(slim.sparkSession.sparkContext.defaultParallelism, ceil(rows / FILE_ROWS)))
+
+
 def id_remainder(doc_id: str | Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; NULL for a NULL id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,8 +22,9 @@ flips at most w bucket bits, so all values of a fingerprint that fall into one
 bucket are shipped as one row (17 rows in place of 2,017 at 6 bits) and the
 task of that bucket lists them. Near copies differ in some bit and so spread
 over the buckets. The number of buckets follows the number of distinct
-fingerprints; a bucket works in blocks of bounded size. Inside a bucket the
-links are reduced to a forest before they leave.
+fingerprints; a bucket works in blocks of bounded size. The links of a block are
+verified and reduced to a forest at once, those of a bucket again before they
+leave, so a bucket that holds one group of near copies never holds its pairs.
 
 Defined cases: a NULL or empty text, or one of white space, has fingerprint
 zero, linked like any other. Texts with fewer words than a shingle hash the
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vintage.llm.common import join_listed, written
+from vintage.llm.common import in_few, join_listed, written
 from vintage.llm.components import components
 
 _BLOCK = 1 << 16
@@ -136,6 +137,13 @@ def _local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return nodes[moved], nodes[root[moved]]
 
 
+def _near_forest(a: np.ndarray, b: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links (a, b) of different fingerprints within ``d`` bits, as a forest."""
+    close = np.bitwise_count(a ^ b) <= d
+    close &= a != b
+    return _local_forest(a[close], b[close])
+
+
 def _emit(fps: np.ndarray, delta: np.ndarray, masks: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(value, fingerprint) of the values that fall into this bucket, block by block."""
     for flip in np.unique(delta):
@@ -176,7 +184,7 @@ def _collide(d: int, bits: int):
         first[1:] = value[1:] != value[:-1]
         spots, smallest = value[first], fp[first]
         rep = smallest[np.cumsum(first) - 1] if len(value) else fp
-        links = [(fp[~first], rep[~first])]
+        links = [_near_forest(fp[~first], rep[~first], d)]
         if len(spots):
             shift = np.uint64(64 - max(10, min(24, int(len(spots)).bit_length() + 4)))
             mix = np.uint64(0x9E3779B97F4A7C15)
@@ -189,12 +197,9 @@ def _collide(d: int, bits: int):
                     at = np.minimum(np.searchsorted(spots, v), len(spots) - 1)
                     hit = spots[at] == v
                     if hit.any():
-                        pairs = np.unique(np.stack([f[hit], smallest[at[hit]]]), axis=1)
-                        links.append((pairs[0], pairs[1]))
-        a, b = (np.concatenate([x[i] for x in links]) for i in (0, 1))
-        close = (np.bitwise_count(a ^ b) <= d) & (a != b)  # verified
-        a, b = _local_forest(a[close].view(np.int64), b[close].view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                        links.append(_near_forest(f[hit], smallest[at[hit]], d))
+        a, b = _local_forest(*(np.concatenate([x[i] for x in links]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
     return run
 
 
@@ -216,23 +221,18 @@ def near_links(fps: DataFrame, max_bits: int = 3, bucket_bits: int | None = None
     return sent.groupBy("bucket").applyInArrow(_collide(max_bits, bucket_bits), "a long, b long")
 
 
-def _component_of(slim: DataFrame, max_bits: int) -> DataFrame:
-    """(fp, root): the component of each distinct fingerprint of ``slim`` that has links."""
-    distinct = written(slim.select("fp").distinct(), "fingerprints")
-    return components(near_links(distinct, max_bits))
-
-
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                 max_bits: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable)."""
     slim = written(docs.select(F.col(id_col).cast("long").alias("id"), fingerprints(F.col(text_col), shingle).alias("fp")),
                    "simhash")
-    roots = _component_of(slim, max_bits)
-    low = slim.groupBy("fp").agg(F.min("id").alias("low"))
-    low = low.join(roots, low.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    low = written(low, "simhash-low")
-    named = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = low.join(named, "root").select("fp", "component_id")
+    rows = slim.count()
+    low = written(in_few(slim.groupBy("fp").agg(F.min("id").alias("low")), rows), "simhash-low")
+    roots = components(near_links(low.select("fp"), max_bits), rows=rows)
+    named = roots.join(low, roots.node == low.fp).groupBy("root").agg(F.min("low").alias("least"))
+    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "least")
+    of_fp = low.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    of_fp = written(in_few(of_fp, rows), "simhash-of")  # else the join below shares its shuffle and cannot split many copies
     return slim.join(of_fp, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -248,7 +248,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cols = docs.columns
     fp = fingerprints(F.col(text_col), shingle)
     slim = written(docs.select(F.col(id_col).cast("long").alias("id"), fp.alias("fp")), "simhash")
-    roots = _component_of(slim, max_bits)
+    rows = slim.count()
+    distinct = written(in_few(slim.select("fp").distinct(), rows), "fingerprints")
+    roots = components(near_links(distinct, max_bits), rows=rows)
     g = slim.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("times"))
     g = g.join(roots, g.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     best = g.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp", "times")).alias("s"))
