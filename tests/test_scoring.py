@@ -21,6 +21,77 @@ def test_fit_score_importance_and_summary(spark):
     assert len(summ) == 1 and summ[0].n_train > 0 and "ic_gate" in summ[0].asDict()
 
 
+def test_stopping_point():
+    assert SC.stopping_point([3.0, 2.0, 2.5, 2.4, 1.0, 1.5, 1.5, 0.5], 3) == (8, False)
+    assert SC.stopping_point([3.0, 2.0, 2.5, 2.4, 2.3, 1.0], 3) == (2, True)
+    assert SC.stopping_point([1.0], 1) == (1, False) and SC.stopping_point([1.0, 1.0], 1) == (1, True)
+
+
+def _planted_rows(spark, n=400):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 3))
+    y = np.sin(2 * x[:, 0]) + 0.5 * (x[:, 1] > 0.3) + rng.normal(size=n) * 0.4
+    rows = [(*map(float, r), float(t), ("train", "train", "val")[i % 3]) for i, (r, t) in enumerate(zip(x, y))]
+    return spark.createDataFrame(rows, "a double, b double, c double, y_excess double, split string").coalesce(1)
+
+
+def test_fit_with_patience_goes_on_to_its_stopping_point(spark):
+    """The fit equals a fit of all trees cut at the stopping point, whatever the number of repeats."""
+    fr, feats = _planted_rows(spark), ["a", "b", "c"]
+    fit = dict(max_depth=2, step_size=0.3)
+    got = SC.fit_walk(fr, feats, patience=2, max_iter=60, **fit)
+    whole = SC.fit_walk(fr, feats, patience=60, max_iter=60, **fit).stages[-1]
+    full = SC.regressor(feats, validation_col=None, max_iter=60, **fit).fit(fr.filter("split = 'train'")).stages[-1]
+    val = got.transform(fr.filter("split = 'val'")).drop("score")
+    errors = full.evaluateEachIteration(val.select("features", "y_excess"), "squared")
+    best, stopped = SC.stopping_point(errors, 2)
+    assert stopped and best > 4 and got.stages[-1].getNumTrees == best
+    assert whole.getNumTrees == errors.index(min(errors)) + 1
+    assert got.stages[-1].treeWeights == [1.0] + [0.3] * (best - 1)
+    by_hand = sum(w * t.predict(r.features) for r in val.limit(1).collect() for w, t in zip(full.treeWeights[:best], full.trees))
+    scored = SC.score(got, fr.filter("split = 'val'").limit(1), feats).first()
+    assert abs(scored.score - by_hand) < 1e-9
+    assert abs(sum(r.importance for r in SC.feature_importance(got, feats, spark).collect()) - 1.0) < 1e-6
+
+
+def test_fit_with_patience_without_validation_rows(spark):
+    fr = _planted_rows(spark, 60).withColumn("split", F.lit("train"))
+    assert SC.fit_walk(fr, ["a", "b", "c"], patience=2, max_iter=6, max_depth=2).stages[-1].getNumTrees == 6
+
+
+def test_text_walks_are_fitted_whole(spark, monkeypatch):
+    """Fits of walk_summary_text aren't held to a few shallow trees, nor ended by the first tree without gain."""
+    import datetime as dt
+
+    import numpy as np
+    rng = np.random.default_rng(5)
+    tp, mat = [], []
+    for week in range(0, 208, 4):
+        day = dt.date(1995, 1, 6) + dt.timedelta(weeks=week)
+        for e in range(12):
+            v = rng.normal(size=2) * (2.0, 1.0)
+            prc = rng.normal()
+            y = 0.02 * np.sin(2 * v[0]) * (1 if v[1] > 0 else -1) + 0.01 * np.sin(3 * prc) + rng.normal() * 0.005
+            tp.append((e, day, float(prc), float(y)))
+            mat.append((e, day, [float(a) for a in v], day.year))
+    tp = spark.createDataFrame(tp, "entity_id int, date date, prc double, fwd_ret_5d double")
+    mat = spark.createDataFrame(mat, "entity_id int, date date, vec array<float>, year int")
+    monkeypatch.setattr(C.panel, "training_panel", lambda *a: tp)
+    monkeypatch.setattr(C, "_pca_matrix", lambda *a: mat)
+    monkeypatch.setitem(C.GBT_WHOLE, "patience", 10)  # a shorter test
+    models, fit = {}, SC.fit_walk
+
+    def kept(frame, features, **params):
+        return models.setdefault(tuple(features), fit(frame, features, **params))
+    monkeypatch.setattr(SC, "fit_walk", kept)
+    rows = C.q_walk_summary_text(spark, "nowhere").collect()
+    assert [(r.walk_id, r.variant) for r in rows] == [(1, "all"), (1, "no_text")]
+    gbt = models["prc", "pca_0", "pca_1"].stages[-1]
+    assert gbt.getNumTrees > 5 and max(t.depth for t in gbt.trees) > 3
+    assert rows[0].rank_ic_mean > rows[1].rank_ic_mean
+
+
 def test_conform_columns(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     out = SC.conform_columns(df, ["b", "c", "a"])
